@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, settle
 
 #: Lines of a window.
 WINDOW = 3
@@ -40,7 +40,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = _windows(docs.select(*row_key(id_col, text), text.alias("text")))
     place = F.struct("k1", "k2", F.col("p")[0].alias("p"))
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
-    later = windows.join(firsts.drop("last"), ["a", "b"]).filter(place != F.col("first")).select("k1", "k2", F.explode("p").alias("p"))
+    firsts = settle(firsts.drop("last"))  # so that both sides of the join are dealt anew and a hot window can be split
+    later = windows.join(firsts, ["a", "b"]).filter(place != F.col("first")).select("k1", "k2", F.explode("p").alias("p"))
     covered = later.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("p")).alias("__gone"))
     covered = covered.select(F.struct("k1", "k2").alias("__key"), "__gone")
     names = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_spans")]

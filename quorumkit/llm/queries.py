@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .maxscore import top_k
 from .mixing import mix_report
+from .piece_codec import encode_decode
 from .sharding import shard_rows
+from .simhash import near_groups
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_lines", spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op2_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary file, where it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    ids = F.sha2(F.array_join("ids", ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -34,6 +59,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk_maxscore": op2_topk_maxscore,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_simhash_pivots": op7_simhash_pivots,
     "op8_mix_sources": op8_mix_sources,
     "op9_shard_jump": op9_shard_jump,
     "op10_exact_dedup": op10_exact_dedup,
@@ -55,6 +83,13 @@ spans AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS s, sum(n)
 SELECT c.doc_id, CASE WHEN none THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(s.n, 0)::BIGINT AS removed_lines,
   coalesce(s.s, '') AS removed_spans, sha256(coalesce(k.t, '')) AS text_sha256
 FROM cut c LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    "op2_topk_maxscore": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256
