@@ -23,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def checkpoint_path(spark: SparkSession) -> str:
+    """The shared folder, as a path for Spark's writers and readers."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that its rows are fixed and its lineage is cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -12,9 +12,12 @@ from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .maxscore import top_k
 from .mixing import mix_report
+from .pii import pseudonymize
 from .piece_codec import encode_decode
+from .quality_lm import classify
 from .sharding import shard_rows
 from .simhash import near_groups
+from .toxicity import score_toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,10 @@ def op2_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file, where it is installed on every machine."""
     import public_tokenizers
@@ -41,6 +48,20 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A fixed key for reports and tests; a corpus gets a secret one of its own.
+DEMO_KEY = b"a key for reports, not a secret!"
+
+
+def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",")
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_replaced"), kinds.alias("kinds"), F.sha2("text", 256).alias("text_sha256"), "spans", "text")
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -57,14 +78,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline, which lies beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_maxscore": op2_topk_maxscore,
+    "op3_toxicity_trees": op3_toxicity_trees,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_lm": op5_quality_lm,
+    "op6_pii_feistel": op6_pii_feistel,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_mix_sources": op8_mix_sources,
     "op9_shard_jump": op9_shard_jump,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
