@@ -152,11 +152,11 @@ def p_value(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     def one(r: float, n: float) -> float:
         if n < 3 or abs(r) >= 1:
             return 1.0 if n < 3 else 0.0
-        a, b, x = (n - 2) / 2, 0.5, 1 - r * r
-        if x >= 1:
+        a, b, y = (n - 2) / 2, 0.5, r * r  # x is 1 - y, which would lose a small y
+        if y == 0:
             return 1.0
-        front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log(1 - x))
-        return float(front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b)
+        front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log1p(-y) + b * np.log(y))
+        return float(front * fraction(a, b, 1 - y) / a if 1 - y < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, y) / b)
 
     return np.array([one(float(a), float(b)) for a, b in zip(r, n)])
 
