@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def row_key(id_col: str, text: Column, *more: Column) -> list[Column]:
     ]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what runs inside: whole texts pass, but fewer at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def running_total(df: DataFrame, group: Sequence[str], chunk: Column, weight: str) -> DataFrame:
     """Adds `start`: the sum of `weight` over all rows that stand before a row in its group.
 

@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import settle
+from .common import arrow_rows, settle
 
 #: Most labelled rows that words and trees are learned from; words learned from them.
-SAMPLE, LEARNED = 20_000, 200
-#: Lengths of stems; least number of toxic texts with a learned word, and least score of it.
-STEMS, LEAST_TEXTS, LEAST_Z = (4, 5, 6, 7), 8, 3.5
+SAMPLE, LEARNED = 20_000, 300
+#: Lengths of stems; least number of toxic texts with a learned word, least likelihood ratio, and least
+#: share of toxic ones among the texts that hold it.
+STEMS, LEAST_TEXTS, LEAST_G, LEAST_SHARE = (4, 5, 6, 7), 8, 25.0, 0.5
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 500
 #: Trees, their depth, learning rate, bins of a feature, least rows of a leaf.
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 64, 10
+PRIOR = 2.0
 #: Characters between an insult and a pronoun that count as near.
 NEAR_CHARS = 30
 
@@ -165,7 +169,8 @@ class Trees:
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        """Isotonic regression of labels on raw scores: neighbours out of order are pooled."""
+        """Isotonic regression of labels on raw scores: neighbours out of order are pooled, and each pool's
+        mean is drawn to the mean of all labels as by PRIOR rows."""
         raw = self.raw(x)
         order = np.argsort(raw, kind="stable")
         blocks: list[list[float]] = []  # sum of labels, rows, sum of raw scores
@@ -174,7 +179,8 @@ class Trees:
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-        self.xs, self.ys = np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
+        self.xs = np.array([b[2] / b[1] for b in blocks])
+        self.ys = np.maximum.accumulate([(b[0] + PRIOR * float(y.mean())) / (b[1] + PRIOR) for b in blocks])
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -191,24 +197,26 @@ def training_rows(labels: DataFrame, label_col: str, id_col: str = "doc_id", sam
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def learn_words(texts: DataFrame, words: int = LEARNED) -> list[str]:
+def learn_words(texts: DataFrame, ones: int, rows: int, words: int = LEARNED) -> list[str]:
     """The words, and stems (as `stem*`, the first letters of longer words), that stand out most in texts
-    with y = 1 against y = 0. texts: (y, text). They are ranked by the log-odds ratio, over its
-    deviation, of the number of distinct texts that hold them, in at least LEAST_TEXTS with y = 1."""
+    with y = 1 against y = 0. texts: (y, text), of `rows` labels of which `ones` are 1. They are ranked
+    by the likelihood ratio of the numbers of distinct texts that hold them; at least LEAST_TEXTS and
+    LEAST_SHARE of these have y = 1."""
+    if not 0 < ones < rows:
+        return []
     bare = F.transform(F.split(F.lower("text"), r"[\s|]+"), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     held = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.min("text").alias("text"))
     held = held.select("y", F.filter(F.array_distinct(bare), lambda w: F.length(w) > 2).alias("w"))
-    stems = [F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.left(w, F.lit(k)), F.lit("*"))) for k in STEMS]
-    held = settle(held.select("y", F.array_distinct(F.concat("w", *stems)).alias("w")))
-    total = held.agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).first()
-    if not total["a"] or total["a"] == total["n"]:
-        return []
-    counts = held.select("y", F.explode("w").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
+
+    counts = held.select("y", F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     counts = counts.filter(F.col("a") >= LEAST_TEXTS)
-    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    ratio = F.log(a / (total["a"] - F.col("a") + 0.5)) - F.log(b / (total["n"] - total["a"] - F.col("n") + F.col("a") + 0.5))
-    z = ratio / F.sqrt(1 / a + 1 / b)
-    return [r["w"] for r in counts.select("w", z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "w").limit(words).collect()]
+    p, a, b = ones / rows, F.col("a"), F.col("n") - F.col("a")
+    ratio = 2 * (a * F.log(a / (F.col("n") * p)) + F.when(b > 0, b * F.log(b / (F.col("n") * (1 - p)))).otherwise(0))
+    found = counts.select("w", "a", "n", ratio.alias("g")).filter((F.col("g") >= LEAST_G) & (a >= LEAST_SHARE * F.col("n")) & (a > F.col("n") * p))
+    return [r["w"] for r in found.orderBy(F.col("g").desc(), "w").limit(words).collect()]
 
 
 def features(docs: DataFrame, learned: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +262,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     taught = plain.join(F.broadcast(known), "doc_id")
-    learned = learn_words(taught.select("y", "text"))
-    made = settle(features(docs, learned, id_col, text_col))
+    total = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    learned = learn_words(taught.select("y", "text"), *total)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        made = settle(features(docs, learned, id_col, text_col))
     rows = made.join(F.broadcast(known), "doc_id").select("doc_id", "y", "f").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
     model = fit(x, np.array([r["y"] for r in rows], dtype=np.float64))
