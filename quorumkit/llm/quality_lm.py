@@ -11,19 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import row_key, settle
+from .common import arrow_rows, row_key, settle
 
 #: Bytes of an n-gram; an n-gram is the integer of its bytes, so contexts and suffixes are shifts and masks.
 ORDER = 5
 #: Documents with ids in one range of so many are scored together; bytes of text that are worked on at once.
-BLOCK, STEP = 4096, 4_000_000
+BLOCK, STEP = 4096, 2_000_000
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 256
 #: Most n-grams that a task holds before it hands them on.
-MOST_GRAMS = 8_000_000
+MOST_GRAMS = 4_000_000
 #: The quantile of trusted documents' ratings, by language, above which a document is rejected.
 QUANTILE = 0.995
 #: Roles of trusted documents: the model is trained on some, the thresholds are set by the others, of
 #: which a language needs LEAST_HELD to have a threshold of its own.
 TRAIN, HELD, HELD_OUT_OF, LEAST_HELD = 1, 2, 5, 30
+#: Discounts where they can't be estimated.
+FALLBACK = (0.5, 1.0, 1.5)
 #: Bytes of usual text that every document is given before it is rated.
 PRIOR_BYTES = 200
 #: Most trusted ids that are broadcast (8 bytes each); beyond, they are joined by a shuffle.
@@ -168,6 +172,8 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if table is None:
                 order = np.argsort(np.concatenate(codes))
                 table = np.concatenate(codes)[order], np.concatenate(logs)[order].astype("<f4")
+                if not np.isfinite(table[1]).all():
+                    raise ValueError("an n-gram has no probability")
             blobs = part.column("blob").to_pylist()
             found = [table[1][np.searchsorted(table[0], unpack(b))].tobytes() for b in blobs]
             yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(blobs, pa.binary()), pa.array(found, pa.binary())], names=["block", "blob", "logs"])
@@ -215,11 +221,16 @@ def _low(order: int) -> Column:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4."""
-    if not n1 or not n2:
-        return 0.5, 0.75, 1.0
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4.
+
+    Where these numbers don't fall as they do in open text (short n-grams of much text are all seen
+    often), the estimates leave their range; FALLBACK stands for them, so that no n-gram has probability 0.
+    """
+    if min(n1, n2, n3, n4) < 1:
+        return FALLBACK
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * (b / a if a else 0.0), 0.0), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    found = tuple(k - (k + 1) * y * b / a for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return found if all(0 < d < k for k, d in enumerate(found, 1)) else FALLBACK
 
 
 def kneser_ney(grams: DataFrame, asked: DataFrame) -> DataFrame:
@@ -297,7 +308,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
-    scored = settle(perplexities(docs, trusted_ids(labels), id_col, text_col, lang_col))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        scored = settle(perplexities(docs, trusted_ids(labels), id_col, text_col, lang_col))
     known = scored.filter((F.col("role") == HELD) & (F.col("n_bytes") > 0))
     usual = F.sum("nll") / F.sum("n_bytes")
     overall = known.agg(usual).first()[0]
