@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .clusters import by_key, cluster, components
 from .functional import by_outputs
-from .similarity import above, cosine_pairs, entails, ngram_precision_pairs
+from .similarity import above, code_bleu_pairs, cosine_pairs, entails, ngram_precision_pairs
 
 
 def _attach(samples: DataFrame, found: DataFrame) -> DataFrame:
@@ -20,7 +20,11 @@ def embed(samples: DataFrame, vector: str = "embedding", threshold: float = 0.5,
     return _attach(samples, cluster(samples, above(cosine_pairs(samples, vector), threshold), algorithm))
 
 
-def bleu(samples: DataFrame, code: str = "code", threshold: float = 0.7, n: int = 1, algorithm: str = "dfs") -> DataFrame:
+def bleu(samples: DataFrame, code: str = "code", threshold: float = 0.7, algorithm: str = "dfs") -> DataFrame:
+    return _attach(samples, cluster(samples, above(code_bleu_pairs(samples, code), threshold), algorithm))
+
+
+def ngrams(samples: DataFrame, code: str = "code", threshold: float = 0.7, n: int = 1, algorithm: str = "dfs") -> DataFrame:
     return _attach(samples, cluster(samples, above(ngram_precision_pairs(samples, code, n), threshold), algorithm))
 
 
@@ -48,7 +52,8 @@ def equality(samples: DataFrame, key: Sequence[str] = ("ckey",)) -> DataFrame:
 
 METHODS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "embed": (embed, "cosine of vectors above a threshold"),
-    "bleu": (bleu, "n-gram precision of texts above a threshold"),
+    "bleu": (bleu, "CodeBLEU of programs above a threshold"),
+    "ngrams": (ngrams, "n-gram precision of texts above a threshold"),
     "nlg_deberta": (nlg, "entailment verdicts of an encoder, both ways"),
     "nlg_llm": (nlg, "entailment verdicts of a language model, both ways"),
     "symbolic": (symbolic, "verdicts of a symbolic checker"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codebleu import code_bleu_of
+from ..session import ship
+
 
 def pairs(samples: DataFrame, value: str, group: str = "qid", pos: str = "pos") -> DataFrame:
     """(group, a, b, x, y): each two samples of a question once, a before b."""
@@ -63,6 +66,12 @@ def ngram_precision_pairs(samples: DataFrame, code: str, n: int = 1, group: str
     return met.select(group, "a", "b", ((share("ta") + share("tb")) / 2).alias("similarity"))
 
 
+def code_bleu_pairs(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos") -> DataFrame:
+    """(group, a, b, similarity): CodeBLEU averaged over both directions, each pair once, in Arrow batches."""
+    ship(samples.sparkSession)
+    return pairs(samples, code, group, pos).select(group, "a", "b", code_bleu_of(F.col("x"), F.col("y")).alias("similarity"))
+
+
 #: Verdicts of a pair: contradiction, neutral, entailment.
 CONTRADICTION, NEUTRAL, ENTAILMENT = 0, 1, 2
 

@@ -232,6 +232,12 @@ def bleu_ngram_pairs(spark, sf_dir):
     return rounded(similarity.ngram_precision_pairs(bound(spark, sf_dir, K), "code", 2, pos="step"))
 
 
+@query()
+def code_bleu_pairs(spark, sf_dir):
+    rows = programs(spark, sf_dir).withColumns({"qid": F.expr("event_id div 8"), "pos": F.col("event_id") % 8})
+    return rounded(similarity.code_bleu_pairs(rows, "code"))
+
+
 #: SQL: verdicts of both directions for pairs of lines, made from part keys.
 VERDICTS = f"b AS ({L}), v AS (SELECT x.qid, x.pos AS a, y.pos AS b, (x.l_partkey + 2 * y.l_partkey) % 3 AS forth, (y.l_partkey + 2 * x.l_partkey + x.pos) % 3 AS back FROM b x JOIN b y ON x.qid = y.qid AND x.pos < y.pos)"
 

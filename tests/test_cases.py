@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quorumkit.functions import code as C
+from quorumkit.functions import codebleu
 from quorumkit.functions import text as T
 from quorumkit.operators import clusters, entropy, evaluate, functional, registry, selection, similarity, traces
 from quorumkit.plans import runs
@@ -220,7 +221,7 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         registry.method_info("none")
     samples = spark.createDataFrame([("a", 0, "x y z"), ("a", 1, "x y z"), ("a", 2, "q")], "qid string, pos int, code string")
-    assert [r.cluster for r in registry.cluster_samples(samples, "bleu").orderBy("pos").collect()] == [0, 0, 1]
+    assert [r.cluster for r in registry.cluster_samples(samples, "ngrams").orderBy("pos").collect()] == [0, 0, 1]
     verdicts = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 0, 1), ("a", 0, 2, 2), ("a", 2, 0, 2), ("a", 1, 2, 0), ("a", 2, 1, 0)], "qid string, a int, b int, verdict int")
     assert [r.cluster for r in registry.cluster_samples(samples, "nlg_llm", verdicts=verdicts).orderBy("pos").collect()] == [0, 1, 0]
     assert [r.cluster for r in registry.cluster_samples(samples, "nlg_llm", verdicts=verdicts, strict=False).orderBy("pos").collect()] == [0, 0, 0]
@@ -228,6 +229,19 @@ def test_registry(spark):
         registry.cluster_samples(samples.drop("pos"), "bleu")
 
 
+def test_code_bleu(spark):
+    f = "def f(a, b):\n    total = a + b\n    for i in range(total):\n        total = total - i\n    return total\n"
+    assert codebleu.code_bleu(f, f) == pytest.approx(1.0)
+    assert codebleu.code_bleu(f, f.replace("total", "s")) > codebleu.code_bleu(f, "print('x')") >= 0
+    assert codebleu.both_ways(f, "print(1)") == codebleu.both_ways("print(1)", f) and codebleu.both_ways(f, None) == 0.0
+    a, b = "a b c d e".split(), "a b c d x".split()
+    assert codebleu.ngram_match(a, b) == pytest.approx((4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25)
+    assert codebleu.ngram_match(a, b[:4]) == pytest.approx(math.exp(1 - 5 / 4))
+    assert codebleu.code_bleu("", "") == 0.0
+    samples = spark.createDataFrame([("q", 0, f), ("q", 1, f + "\n"), ("q", 2, "print(1)")], "qid string, pos int, code string")
+    assert [r.cluster for r in registry.cluster_samples(samples, "bleu").orderBy("pos").collect()] == [0, 0, 1]
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string'}" for k, v in values.items()))
     return row.select(column.alias("x")).first().x
