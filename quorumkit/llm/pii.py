@@ -17,6 +17,9 @@ from ..session import ship
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
+#: Digits and letters move within these.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+CLASS_OF = {c: own for own in CLASSES for c in own}
 #: Rows that are worked on at once.
 STEP = 500
 
@@ -51,14 +54,23 @@ class Feistel:
                 right = (right + sign * self._noise(tweak, i, left)) % a
         return left * a + right
 
+    def _inside(self, x: int, n: int, tweak: str, inverse: bool) -> int:
+        rounds, sign = (range(ROUNDS - 1, -1, -1), -1) if inverse else (range(ROUNDS), 1)
+        while True:
+            x = self._once(x, n, f"{tweak}|{n}", rounds, sign)
+            if x < n:
+                return x
+
     def permute(self, x: int, n: int, tweak: str, inverse: bool = False, fits: Callable[[int], bool] = lambda x: True) -> int:
-        """fits: a further condition that x meets; the permutation is then one of the numbers that meet it."""
+        """There by the network, on by a keyed step, and back by the network: so no number stays itself.
+        fits: a further condition that x meets; the permutation is then one of the numbers that meet it."""
         if n < 2:
             return x
-        rounds, sign = (range(ROUNDS - 1, -1, -1), -1) if inverse else (range(ROUNDS), 1)
+        step = 1 + self._noise(f"{tweak}|{n}|step", 0, 0) % (n - 1)
         while True:
-            x = self._once(x, n, f"{tweak}|{n}", rounds, sign)
-            if x < n and fits(x):
+            x = self._inside(x, n, tweak, False)
+            x = self._inside((x - step if inverse else x + step) % n, n, tweak, True)
+            if fits(x):
                 return x
 
 
@@ -151,18 +163,18 @@ class Pseudonyms:
 
     def mixed(self, kind: str, value: str) -> str:
         """Letters and digits permuted together, each within its class; anything else stays."""
-        sizes = [(10, "0") if c.isascii() and c.isdigit() else (26, "a") if c.isascii() and c.islower() else (26, "A") if c.isascii() and c.isupper() else None for c in value]
+        classes = [CLASS_OF.get(c, "") for c in value]
         n, x = 1, 0
-        for c, s in zip(value, sizes):
-            if s:
-                n, x = n * s[0], x * s[0] + ord(c) - ord(s[1])
-        shape = "".join(s[1] if s else c for c, s in zip(value, sizes))
+        for c, own in zip(value, classes):
+            if own:
+                n, x = n * len(own), x * len(own) + own.index(c)
+        shape = "".join(own[0] if own else c for c, own in zip(value, classes))
         x = self.feistel.permute(x, n, f"{kind}|{shape}", self.inverse)
         out = list(value)
         for i in range(len(value) - 1, -1, -1):
-            if s := sizes[i]:
-                x, r = divmod(x, s[0])
-                out[i] = chr(ord(s[1]) + r)
+            if own := classes[i]:
+                x, r = divmod(x, len(own))
+                out[i] = own[r]
         return "".join(out)
 
     def _new(self, kind: str, found: str, make: Callable[[str], str | None]) -> str | None:
