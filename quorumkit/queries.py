@@ -365,7 +365,8 @@ def running_counters(spark, sf_dir):
 
 CURVE = f"""b AS ({D}), x AS (SELECT y, entropy, unnest([difficulty, 'overall']) AS difficulty FROM b), k AS (SELECT difficulty, entropy, SUM(y)::BIGINT AS p, SUM(1 - y)::BIGINT AS n FROM x GROUP BY difficulty, entropy),
 u AS (SELECT *, SUM(p) OVER w AS tp, SUM(n) OVER w AS fp, SUM(p) OVER (PARTITION BY difficulty) AS pp, SUM(n) OVER (PARTITION BY difficulty) AS nn FROM k WINDOW w AS (PARTITION BY difficulty ORDER BY entropy)),
-r AS (SELECT difficulty, fp / nn AS fpr, tp / pp AS tpr FROM u UNION ALL SELECT DISTINCT difficulty, 0, 0 FROM u)"""
+r AS (SELECT difficulty, fp / nn AS fpr, tp / pp AS tpr FROM u WHERE pp > 0 AND nn > 0 UNION ALL SELECT DISTINCT difficulty, 0, 0 FROM u
+  UNION ALL SELECT DISTINCT difficulty, 1, 1 FROM u WHERE pp = 0 OR nn = 0)"""
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +413,7 @@ def pearson_corr(spark, sf_dir):
     return rounded(evaluate.pearson(bound(spark, sf_dir, D).withColumn("g", F.lit("all")), ["g"], "entropy", "score"))
 
 
-@query(f"WITH b AS (SELECT entropy, score, unnest([difficulty, 'overall']) AS difficulty FROM ({D})) SELECT difficulty, ROUND(COALESCE(corr(entropy, score), 0), 6) AS correlation, COUNT(*) AS num_samples FROM b GROUP BY difficulty")
+@query(f"WITH b AS (SELECT entropy, score, unnest([difficulty, 'overall']) AS difficulty FROM ({D})) SELECT difficulty, ROUND(CASE WHEN COUNT(*) < 2 OR MIN(entropy) = MAX(entropy) OR MIN(score) = MAX(score) THEN 0 ELSE corr(entropy, score) END, 6) AS correlation, COUNT(*) AS num_samples FROM b GROUP BY difficulty")
 def pearson_grouped(spark, sf_dir):
     return rounded(evaluate.pearson(labelled(spark, sf_dir), ["difficulty"], "entropy", "score"))
 
