@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import row_key, settle
+from .common import arrow_rows, row_key, settle
 from .components import components
 
 #: Words of a shingle, seed of its hash, most differing bits of a link.
@@ -21,6 +21,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Reference fingerprints of the pivot table, taken in groups of GROUP.
 N_PIVOTS, GROUP = 32, 8
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 7) for i in range(N_PIVOTS)], dtype=np.uint64)
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
 #: Shingles counted at once; buckets up to SMALL rows compare all their pairs; beyond HOT they are split.
 STEP, SMALL, HOT = 1 << 16, 64, 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -86,6 +88,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, k1 long, k2 long, fp long")
 
 
+def _settled_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return settle(fingerprints(docs, id_col, text_col))
+
+
 def band_masks(bands: int, radius: int = RADIUS) -> list[int]:
     """Masks of all choices of bands - radius out of `bands` bands: two fingerprints at most `radius`
     bits apart agree under one of them at least."""
@@ -221,7 +228,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null id is never the smallest; a component without ids has a null component_id. An empty table
     gives no rows; other columns are not read.
     """
-    prints = settle(fingerprints(docs, id_col, text_col))
+    prints = _settled_prints(docs, id_col, text_col)
     rows = _labelled(prints)
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("own"))
     label = rows.select("fp", "label").distinct()
@@ -231,7 +238,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which the id is the smallest of their component, one for each component, with all columns."""
-    rows = _labelled(settle(fingerprints(docs, id_col, text_col)))
+    rows = _labelled(_settled_prints(docs, id_col, text_col))
     stay = rows.groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("__key")).select("__key")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     met = docs.withColumn("__key", F.struct(*row_key(id_col, text))).join(stay, "__key", "left_semi")
