@@ -72,7 +72,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, block: int, route_bits
     ident = settle(identities(docs, id_col, text_col, block, route_bits))
     known = rows.join(ident, ["k1", "k2"])
     groups = known.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return known.join(groups, ["level", "name"])
+    return known.join(settle(groups), ["level", "name"])  # settled: both sides are dealt anew, and a hot group can be split
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, route_bits: int = 64) -> DataFrame:
