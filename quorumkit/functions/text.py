@@ -88,6 +88,14 @@ def file_name(text: Column, default: str = "all") -> Column:
     return F.coalesce(F.translate(text, "/\\", "__"), F.lit(default))
 
 
+def alias(name: Column, names: dict[str, str]) -> Column:
+    """A short name's long one; a name without one stays."""
+    if not names:
+        return name
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, name), name)
+
+
 def temperature(base: float, index: Column) -> Column:
     """The temperature of a round: 0.01 more each."""
     return F.lit(base) + F.lit(0.01) * index

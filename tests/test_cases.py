@@ -273,6 +273,8 @@ def test_test_texts(spark):
     assert one(spark, T.signature_name(F.col("t")), t="def  go (a)") == "go"
     assert one(spark, T.code_type(F.col("t")), t="x = input()") == "stdin"
     assert one(spark, T.file_name(F.col("t")), t="a/b\\c") == "a_b_c"
+    assert one(spark, T.alias(F.col("t"), {"s": "vendor/small"}), t="s") == "vendor/small"
+    assert one(spark, T.alias(F.col("t"), {"s": "vendor/small"}), t="z") == "z"
 
 
 CODE = "import os\n\nclass A:\n    def inner(self, x):\n        return 1\n\ndef outer(a, b=2, *c):\n    return outer(a)\n\nasync def skip():\n    pass\n"
