@@ -17,9 +17,8 @@ from ..session import ship
 SPACE = "▁"
 #: Symbols from here on stand for characters that are no piece of their own: OTHER + code point.
 OTHER = 1 << 21
-#: Texts of a step hold so many characters; stretches longer than HEAP_FROM use the heap; of the texts of a
-#: step, the library checks one in CHECKED.
-STEP_CHARS, HEAP_FROM, CHECKED = 120_000, 256, 8
+#: Texts of a step hold so many characters; stretches longer than HEAP_FROM use the heap.
+STEP_CHARS, HEAP_FROM = 120_000, 256
 #: Characters with a table of pairs; the last number stands for all others.
 CLASSES = 512
 _NEVER = np.int64(2**62)
@@ -251,14 +250,30 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def checked(c: PieceCodec, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
+    """The ids of all texts in a row, where each text's begin and the last one's end, what they decode to,
+    and whether codec and library agree on each text; where they don't, ids and decoding are the library's."""
+    ids, counts = c.encode(texts)
+    decoded = c.decode(ids, counts)
+    lists = c.library.encode(texts, num_threads=1)
+    plain = c.library.decode(lists, num_threads=1)
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    right = np.fromiter(chain.from_iterable(lists), "<i4", int(sizes.sum()))
+    if np.array_equal(counts, sizes) and np.array_equal(ids, right) and decoded == plain:
+        agrees = [True] * len(texts)
+    else:
+        own = np.split(ids, np.cumsum(counts)[:-1])
+        agrees = [x.tolist() == y and t == u for x, y, t, u in zip(own, lists, decoded, plain)]
+    return right, np.concatenate(([0], np.cumsum(sizes))), plain, agrees
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array<int>), decoded (string), agrees (boolean).
 
     ids are those of the sentencepiece library for the model file at `path` (which every executor can
-    open), without begin or end ids. Texts are encoded and decoded by PieceCodec's agenda, and in each
-    part of an Arrow batch the library encodes and decodes one text in CHECKED, whole. Should one
-    differ, the library encodes and decodes the whole part, and agrees is false for the texts whose
-    results differ. A null text counts as empty; an empty one has no ids and decodes to an empty text.
+    open), without begin or end ids. Texts are encoded and decoded by PieceCodec's agenda, and every one
+    of them by the library too. Where ids or decoding differ, the library's stand and agrees is false.
+    A null text counts as empty; an empty one has no ids and decodes to an empty text.
     Repeated rows each have a row; an empty table gives none; other columns are not read.
     """
     ship(docs.sparkSession)
@@ -268,19 +283,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in _steps(texts):
-                part, agrees = texts[lo:hi], [True] * (hi - lo)
-                ids, counts = c.encode(part)
-                text = c.decode(ids, counts)
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                some = range((lo + hi) % CHECKED % len(part), len(part), CHECKED)
-                lists = c.library.encode([part[k] for k in some], num_threads=1)
-                plain = c.library.decode(lists, num_threads=1)
-                if any(ids[ends[k] : ends[k + 1]].tolist() != x or text[k] != t for k, x, t in zip(some, lists, plain)):
-                    lists = c.library.encode(part, num_threads=1)
-                    plain = c.library.decode(lists, num_threads=1)
-                    agrees = [ids[ends[k] : ends[k + 1]].tolist() == x and text[k] == t for k, (x, t) in enumerate(zip(lists, plain))]
-                    ids, text = np.fromiter(chain.from_iterable(lists), "<i4"), plain
-                    ends = np.cumsum([0, *map(len, lists)])
+                ids, ends, text, agrees = checked(c, texts[lo:hi])
                 made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(text, pa.string()), pa.array(agrees, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *made], names=["doc_id", "ids", "decoded", "agrees"])
 

@@ -278,6 +278,23 @@ def test_codec_heap(codec, text):
     assert ids.tolist() == [i for t in (text, "tail") for i in codec.library.encode(t)] and counts.sum() == len(ids)
 
 
+@pytest.mark.parametrize("at", range(9))
+def test_every_text_is_checked(codec, at):
+    class Wrong(piece_codec.PieceCodec):
+        def __init__(self):
+            self.__dict__.update(codec.__dict__)
+
+        def encode(self, texts):
+            ids, counts = super().encode(texts)
+            ids[counts[:at].sum()] += 1
+            return ids, counts
+
+    texts = [f"text {k}" for k in range(9)]
+    ids, ends, decoded, agrees = piece_codec.checked(Wrong(), texts)
+    assert [x.tolist() for x in np.split(ids, ends[1:-1])] == codec.library.encode(texts) and decoded == texts
+    assert agrees == [k != at for k in range(9)]
+
+
 def brute_kn(grams: Counter, asked: bytes) -> float:
     """The interpolated modified Kneser-Ney probability of the last byte, from the definition."""
     orders = {quality_lm.ORDER: grams}
