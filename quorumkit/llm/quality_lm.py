@@ -26,8 +26,10 @@ MOST_GRAMS = 4_000_000
 #: The quantile of trusted documents' ratings, by language, above which a document is rejected.
 QUANTILE = 0.995
 #: Roles of trusted documents: the model is trained on some, the thresholds are set by the others, of
-#: which a language needs LEAST_HELD to have a threshold of its own.
+#: which a language needs LEAST_HELD to have a quantile of its own. With fewer, the language needs as many
+#: different ratings of any documents; its threshold is then FENCE quartile ranges above the upper quartile of their logarithms.
 TRAIN, HELD, HELD_OUT_OF, LEAST_HELD = 1, 2, 5, 30
+FENCE = 3.0
 #: Discounts where they can't be estimated.
 FALLBACK = (0.5, 1.0, 1.5)
 #: Bytes of usual text that every document is given before it is rated.
@@ -326,10 +328,15 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     rated = met.filter((F.col("role") == HELD) & F.col("rating").isNotNull())
     at = F.percentile_approx("rating", F.lit(quantile), F.lit(10_000))
     limits = rated.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= LEAST_HELD)
-    limits = settle(limits.select("lang", "own")).withColumnRenamed("lang", "__lang")
+    limits = settle(limits.select("lang", "own"))
     pooled = rated.agg(at).first()[0]
-    limit = F.coalesce("own", F.lit(pooled).cast("double"))
-    out = met.join(limits, same, "left").drop("__lang").withColumn("threshold", limit)
+    rare = met.filter((F.col("role") != TRAIN) & F.col("rating").isNotNull() & F.lit(pooled is not None))
+    rare = rare.join(limits.withColumnRenamed("lang", "__lang"), same, "left_anti").select("lang", F.log("rating").alias("r")).distinct()
+    low, high = (F.percentile_approx("r", F.lit(q), F.lit(10_000)) for q in (0.25, 0.75))
+    fences = rare.groupBy("lang").agg(F.exp(high + FENCE * (high - low)).alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_HELD)
+    fences = fences.select("lang", F.greatest("own", F.lit(pooled).cast("double")).alias("own"))
+    limits = settle(limits.unionByName(fences)).select(F.col("lang").alias("__lang"), F.col("own").alias("threshold"))
+    out = met.join(limits, same, "left").drop("__lang")
     return out.withColumn("kept", F.coalesce(F.col("rating") <= F.col("threshold"), F.lit(True)))
 
 
@@ -340,9 +347,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     five of them, whole; the others, which it hasn't seen, set the thresholds. The rating is the
     perplexity as it would be after PRIOR_BYTES more bytes of usual text of the language, so that a few
     odd words don't condemn a short text. The threshold of a language is the given quantile of the
-    ratings of its held-out trusted documents; a language with fewer than LEAST_HELD of them (null is a
-    language) takes that of all languages. A document rated above its threshold is not kept. A null or empty text has no
-    rating and is kept, as all are if nothing is trusted. Repeated rows each have a row; an empty table
+    ratings of its held-out trusted documents. The model hardly knows a language with fewer than
+    LEAST_HELD of them (null is a language), so that all its ratings lie above those of others: its
+    threshold is set by its own documents, trusted or not, where those far above most of them lie, and is
+    no less than the quantile of all languages; with fewer than LEAST_HELD different ratings it has none.
+    A document rated above its threshold is not kept. A null or empty text has no rating and is kept, as
+    are all documents of a language without a threshold, and all if nothing is trusted. Repeated rows each have a row; an empty table
     gives none; other columns are not read.
     """
     return _judged(docs, labels, id_col, text_col, lang_col, quantile).select("doc_id", "lang", "n_bytes", "perplexity", "rating", "threshold", "kept")

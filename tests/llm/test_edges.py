@@ -360,6 +360,20 @@ def test_quality_edges(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
 
 
+@pytest.mark.parametrize("n", [8, 80])
+@pytest.mark.parametrize("lang", ["fi", None])
+def test_a_rare_clean_language_stays(spark, n, lang):
+    rng = np.random.default_rng(3)
+    words = {"en": "the of and to in is that for it was on are as with his they at be this have from".split(), lang: "olla ja ei se että joka hän mutta niin kuin voida minä saada tulla pitää tämä vuosi".split()}
+    text = lambda l: " ".join(rng.choice(words[l], rng.integers(20, 200)))
+    rows = [(i, text("en"), "en") for i in range(300)] + [(1000 + i, text(lang), lang) for i in range(n)]
+    rows += [(2000, "".join(map(chr, rng.integers(0x2500, 0x2600, 4000))), lang)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_lm.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert all(got[1000 + i] for i in range(n))
+    assert got[2000] == (n < quality_lm.LEAST_HELD)
+
+
 def test_pack():
     codes = np.array([0, 1, 5, 2**39, 2**40 - 1])
     assert quality_lm.unpack(quality_lm.pack(codes)).tolist() == codes.tolist() and quality_lm.unpack(quality_lm.pack(codes[:0])).size == 0
