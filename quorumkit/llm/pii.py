@@ -22,12 +22,39 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 CLASS_OF = {c: own for own in CLASSES for c in own}
 #: Rows that are worked on at once.
 STEP = 500
+#: No number reaches farther than so many characters.
+NEAR = 80
+#: Characters of an IBAN, by country.
+IBAN_SIZES = dict(re.findall("([A-Z]{2})([0-9]{2})", """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18
+    FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+    LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24
+    SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""))
+
+
+def _shorter(kind: str, found: str) -> list[str]:
+    """What a match may stand for, longest first: itself, or its beginning up to a separator."""
+    cuts = [m.start() for m in re.finditer(r"[ ./-]", found) if found[m.start() - 1] not in " ./-"]
+    all_ = [found, *(found[:c] for c in reversed(cuts))]
+    digits = lambda v: sum(c.isdigit() for c in v)
+    if kind == "card":
+        return [v for v in all_ if digits(v) >= 13]
+    if kind == "iban":
+        size = IBAN_SIZES.get(found[:2])
+        return [v for v in all_ if (v == found or not size or len(v.replace(" ", "")) == int(size)) and len(v.replace(" ", "")) >= 15]
+    if kind == "international":
+        return [v for v in all_ if 8 <= digits(v) <= 15 and v.count("(") == v.count(")")]
+    return [found]
 
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 EMAIL_LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
 CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
+#: The usual groups of card numbers.
+GROUPS = re.compile(r"\d+|\d{4}([ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
+#: A number with its country code, in groups of any sizes; at most 15 digits (E.164).
+INTERNATIONAL = re.compile(r"(?<![\w.+])\+\d{1,4}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14}))+(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 DATE = re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])")
@@ -85,6 +112,31 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def _is_card(found: str) -> bool:
+    digits = re.sub(r"\D", "", found)
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _is_iban(found: str) -> bool:
+    plain = found.replace(" ", "")
+    return iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def _first(kind: str, pattern: re.Pattern, text: str, at: int, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Where the first card number or IBAN from `at` on stands, clear of what is taken. Of several that
+    overlap it, one in the usual groups of cards counts most, then the longest, then the leftmost."""
+    valid = _is_card if kind == "card" else _is_iban
+    best, until = (), len(text)
+    while (m := pattern.search(text, at)) and m.start() < until:
+        for value in _shorter(kind, m[0]):
+            end = m.start() + len(value)
+            if not any(m.start() < b and a < end for a, b in taken) and valid(value):
+                until = until if best else end
+                best = max(best, (bool(GROUPS.fullmatch(value)), len(value), -m.start()))
+        at = m.start() + 1
+    return (-best[2], best[1] - best[2]) if best else None
+
+
 def _refill(shape: str, digits: str) -> str:
     """shape with its digits replaced in order."""
     it = iter(digits)
@@ -98,7 +150,7 @@ class Pseudonyms:
         self.feistel, self.inverse = Feistel(key), inverse
         self.cache: dict[tuple[str, str], str | None] = {}
         self.kinds = [
-            ("iban", IBAN, self.iban), ("card", CARD, self.card), ("phone", PHONE, self.phone),
+            ("iban", IBAN, self.iban), ("card", CARD, self.card), ("international", INTERNATIONAL, self.phone), ("phone", PHONE, self.phone),
             ("ssn", SSN, self.ssn), ("ipv4", IPV4, self.ipv4), ("date", DATE, self.date),
         ]
 
@@ -106,21 +158,24 @@ class Pseudonyms:
         n = len(digits)
         return f"{self.feistel.permute(int(digits), 10**n, kind, self.inverse, lambda x: fits(f'{x:0{n}d}')):0{n}d}"
 
-    def card(self, found: str) -> str | None:
+    def card(self, found: str, fits: Callable[[str], bool] = lambda v: True) -> str | None:
         digits = re.sub(r"\D", "", found)
-        if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+        if not _is_card(found):
             return None
-        new = self._digits("card", digits[:-1], lambda d: len(set(d + luhn_digit(d))) > 1)
-        return _refill(found, new + luhn_digit(new))
+        full = lambda d: _refill(found, d + luhn_digit(d))
+        return full(self._digits("card", digits[:-1], lambda d: _is_card(full(d)) and fits(full(d))))
 
-    def iban(self, found: str) -> str | None:
+    def iban(self, found: str, fits: Callable[[str], bool] = lambda v: True) -> str | None:
         plain = found.replace(" ", "")
-        country, check, rest = plain[:2], plain[2:4], plain[4:]
-        if iban_check(country, rest) != check:
+        country, rest = plain[:2], plain[4:]
+        if not _is_iban(found):
             return None
-        new = self.mixed("iban", rest)
-        filled = iter(country + iban_check(country, new) + new)
-        return "".join(c if c == " " else next(filled) for c in found)
+
+        def full(new: str) -> str:
+            filled = iter(country + iban_check(country, new) + new)
+            return "".join(c if c == " " else next(filled) for c in found)
+
+        return full(self.mixed("iban", rest, lambda new: fits(full(new))))
 
     def phone(self, found: str) -> str | None:
         country = re.match(r"\+\d{1,3}(?=[ .(-])", found)
@@ -161,7 +216,7 @@ class Pseudonyms:
             return mark.join(values[c] for c in order)
         return None
 
-    def mixed(self, kind: str, value: str) -> str:
+    def mixed(self, kind: str, value: str, fits: Callable[[str], bool] = lambda v: True) -> str:
         """Letters and digits permuted together, each within its class; anything else stays."""
         classes = [CLASS_OF.get(c, "") for c in value]
         n, x = 1, 0
@@ -169,13 +224,30 @@ class Pseudonyms:
             if own:
                 n, x = n * len(own), x * len(own) + own.index(c)
         shape = "".join(own[0] if own else c for c, own in zip(value, classes))
-        x = self.feistel.permute(x, n, f"{kind}|{shape}", self.inverse)
-        out = list(value)
-        for i in range(len(value) - 1, -1, -1):
-            if own := classes[i]:
-                x, r = divmod(x, len(own))
-                out[i] = own[r]
-        return "".join(out)
+
+        def at(x: int) -> str:
+            out = list(value)
+            for i in range(len(value) - 1, -1, -1):
+                if own := classes[i]:
+                    x, r = divmod(x, len(own))
+                    out[i] = own[r]
+            return "".join(out)
+
+        return at(self.feistel.permute(x, n, f"{kind}|{shape}", self.inverse, lambda x: fits(at(x))))
+
+    def _checked(self, kind: str, pattern: re.Pattern, make: Callable[..., str | None], text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        """Card numbers or IBANs with their pseudonyms. A pseudonym is one that is found in the same place,
+        or the way back would read other digits beside it as part of the number."""
+        at = 0
+        while place := _first(kind, pattern, text, at, taken):
+            a, b = place
+            base = max(0, max(at, a - NEAR) - 1)
+            start, before, behind = max(at, a - NEAR) - base, text[base:a], text[b : b + NEAR]
+            near = [(x - base, y - base) for x, y in taken]
+            fits = lambda v: _first(kind, pattern, before + v + behind, start, near) == (a - base, b - base)
+            new = self._new(kind, text[a:b], make)
+            yield a, b, new if fits(new) else make(text[a:b], fits)
+            at = b
 
     def _new(self, kind: str, found: str, make: Callable[[str], str | None]) -> str | None:
         if (kind, found) not in self.cache:
@@ -195,12 +267,20 @@ class Pseudonyms:
         if re.search(r"\d", text):
             taken = [(a, EMAIL_DOMAIN.match(text, b).end()) for a, b, *_ in found]
             for kind, pattern, make in self.kinds:
+                if kind in ("card", "iban"):
+                    own = list(self._checked(kind, pattern, make, text, taken))
+                    found += [(a, b, kind, new) for a, b, new in own]
+                    taken += [(a, b) for a, b, _ in own]
+                    continue
                 for m in pattern.finditer(text):
-                    if any(m.start() < b and a < m.end() for a, b in taken):
-                        continue
-                    if (new := self._new(kind, m[0], make)) is not None:
-                        found.append((m.start(), m.end(), kind, new))
-                        taken.append((m.start(), m.end()))
+                    for value in _shorter(kind, m[0]):
+                        end = m.start() + len(value)
+                        if any(m.start() < b and a < end for a, b in taken):
+                            continue
+                        if (new := self._new("phone" if kind == "international" else kind, value, make)) is not None:
+                            found.append((m.start(), end, "phone" if kind == "international" else kind, new))
+                            taken.append((m.start(), end))
+                            break
         out, spans, at, length = [], [], 0, 0
         for a, b, kind, new in sorted(found):
             out += [text[at:a], new]
@@ -215,10 +295,13 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, text with pseudonyms, spans (array of kind, start, end in that text).
 
     Replaced are e-mail addresses (the part before the @), card numbers (valid by Luhn's rule, and valid
-    again), IBANs (valid check digits, and valid again), phone numbers, US social security numbers,
-    IPv4 addresses and calendar dates; digits and letters move only within their format. Under one
-    key equal values get equal pseudonyms in every document, and `inverse` restores them. Numbers that
-    don't pass their check are left alone. A null text stays null, with no spans; repeated rows each
+    again), IBANs (valid check digits, and valid again), phone numbers (with a + and a country code in any
+    groups; without, only in groups of 3, 3 and 4 digits), US social security numbers, IPv4 addresses and
+    calendar dates; digits and letters move only within their format. A match that fails its check is
+    tried shorter, up to each separator, and then from the next word on. Under one key equal values get
+    equal pseudonyms in every document, but for numbers beside digits or words with which their pseudonym
+    would read as a longer one; `inverse` restores them, but may not where two
+    numbers stand side by side with only a separator between them. Numbers that don't pass their check are left alone. A null text stays null, with no spans; repeated rows each
     have a row; an empty table gives none; other columns are not read. Letters outside ASCII stay.
     """
     ship(docs.sparkSession)

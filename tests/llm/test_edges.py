@@ -411,3 +411,25 @@ def test_formats(text):
 @pytest.mark.parametrize("text", ["GB83 WEST 1234 5698 7654 32", "000-45-6789", "300.0.0.1", "1999-13-31", "30.02.1999", "4539148803436468", "1234567", "no@host", "3.14", "v1.2.3.4.5"])
 def test_left_alone(text):
     assert pii.Pseudonyms(b"k").replace(f"x {text} y") == (f"x {text} y", [])
+
+
+CARD, OTHER_CARD, DE = "4111 1111 1111 1111", "4111111111111111", "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize(
+    "value, text",
+    [(v, t) for v, ts in {
+        CARD: ["{} 12/27", "{} 123", "{} 2 times", "7 {} 2 times", "12 {}", "no {}-12"],
+        OTHER_CARD: ["{} 123", "{} 12/27", "5 {}"],
+        DE: ["{} BIC COBADEFF", "{} EUR 500", "IBAN {} AND MORE WORDS"],
+        "+49 30 12345678": ["{}", "call {}, please"], "+44 (0)20 7946 0958": ["{}"], "+33 1 23 45 67 89": ["tel. {}."], "+493012345678": ["{}"],
+    }.items() for t in ts],
+)
+@pytest.mark.parametrize("key", [b"%d" % i for i in range(20)])
+def test_numbers_beside_others(value, text, key):
+    there, back = pii.Pseudonyms(key), pii.Pseudonyms(key, inverse=True)
+    before = f"x {text.format(value)} y"
+    new, spans = there.replace(before)
+    at = before.index(value)
+    assert value not in new and any(s["start"] <= at and s["end"] >= at + len(value) for s in spans)
+    assert back.replace(new)[0] == before
