@@ -39,11 +39,22 @@ def settle(df: DataFrame) -> DataFrame:
 def row_key(id_col: str, text: Column, *more: Column) -> list[Column]:
     """Two non-null longs that stand for (id, text, more): rows that agree in both are one document; a null id is last."""
     return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"),
-        F.xxhash64(F.col(id_col).isNull(), text, *[y for x in more for y in (x.isNull(), x)]).alias("k2"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("k1"),
+        F.xxhash64(F.col(f"`{id_col}`").isNull(), text, *[y for x in more for y in (x.isNull(), x)]).alias("k2"),
     ]
 
 
+def beside(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns like those given that df doesn't have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what runs inside: whole texts pass, but fewer at once."""

@@ -36,6 +36,13 @@ def _bit_counts(hashes: list[int], owner: np.ndarray, owners: int) -> np.ndarray
     return (histogram @ _BITS).reshape(owners, 64)
 
 
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    lanes = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
+    histogram = np.bincount((lanes + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
+    return (histogram @ _BITS).ravel()
+
+
 def fingerprint_texts(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprints (uint64) of UTF-8 texts: a bit is set if over half of the shingles' hashes have it."""
     counts, totals = np.zeros((len(texts), 64)), np.zeros(len(texts))
@@ -234,12 +241,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = rows.select("fp", "label").distinct()
     ids = label.join(first, "fp").groupBy("label").agg(F.min("own").alias("component_id"))
     return rows.join(settle(ids), "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which the id is the smallest of their component, one for each component, with all columns."""
-    rows = _labelled(_settled_prints(docs, id_col, text_col))
-    stay = rows.groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("__key")).select("__key")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    met = docs.withColumn("__key", F.struct(*row_key(id_col, text))).join(stay, "__key", "left_semi")
-    return met.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

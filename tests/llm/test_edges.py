@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorumkit.llm import common, components, exact_dedup, line_dedup, maxscore, mixing, pii, piece_codec, quality_lm, queries, sharding, simhash, toxicity
+from quorumkit.llm import common, components, exact_dedup, line_dedup, maxscore, mixing, pii, piece_codec, quality_lm, queries, sharding, simhash, similar, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, name long, shard int, taken long, fingerprint string, k1 long, text_sha256 string"
 LONG = "word " * 60_000
@@ -137,8 +137,8 @@ def test_near_groups(spark, odd, none):
     zero = [r for r in got if r.fingerprint == "0" * 16]
     assert {r.doc_id for r in zero} == {None, 3, 4, 5} and {r.component_id for r in zero} == {3}
     assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
-    kept = simhash.keep_first(odd)
-    assert kept.columns == odd.columns and kept.count() == len({r.component_id for r in got})
+    kept = similar.keep_first(odd)
+    assert kept.columns == odd.columns and kept.count() == len({r.component_id for r in similar.similar_groups(odd).collect()})
     alone = simhash.near_groups(docs_of(spark, [(None, "q w e", "s")])).first()
     assert alone.component_id is None
 

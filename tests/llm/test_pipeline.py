@@ -11,7 +11,7 @@ from quorumkit.llm.mixing import mix_report
 from quorumkit.llm.quality_lm import classify
 
 from ..conftest import SF
-from .test_llm_queries import simhash
+from .test_similar import brute
 
 
 @pytest.fixture(scope="module")
@@ -50,13 +50,7 @@ def test_exact(stages):
 
 def test_near(stages):
     before, after = stages[2]
-    prints = {r.doc_id: simhash(r.text) for r in before.collect()}
-    label = {i: i for i in prints}
-    for _ in prints:
-        label = {i: min(label[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4) for i in prints}
-        if all(label[label[i]] == label[i] for i in prints):
-            break
-    assert {r.doc_id for r in after.collect()} == set(label.values())
+    assert {r.doc_id for r in after.collect()} == set(brute({r.doc_id: r.text for r in before.collect()}).values())
 
 
 def test_mix(stages):
