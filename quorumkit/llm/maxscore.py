@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Vectors of a shard and queries of a block, about; least number of shards.
-SHARD, BLOCK, LEAST = 16_384, 1024, 8
+#: Vectors of a shard, about; least number of shards; vectors whose postings are read together.
+SHARD, LEAST, PART = 131_072, 8, 16_384
 #: Postings read from the head of each of so many lists for a first bound.
 HEAD, LISTS = 64, 8
 #: Queries that traverse a shard together; share of the k-th score that the terms only probed may add.
@@ -37,8 +38,9 @@ class Postings:
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
         head = min(HEAD, len(ids))
         order = np.argsort(vectors.T, axis=1, kind="stable")
-        self.heads = {-1: order[:, :head], 1: order[:, order.shape[1] - head :]}
-        self.lists = {t: np.ascontiguousarray(vectors.T, dtype=t) for t in (np.int64,)}
+        self.heads = {-1: order[:, :head].copy(), 1: order[:, order.shape[1] - head :].copy()}
+        self.lists: dict[type, np.ndarray] = {}
+        self.touched = 0
 
     def _exact(self, queries: np.ndarray) -> type:
         """The fastest number type in which every partial sum is exact."""
@@ -50,13 +52,13 @@ class Postings:
 
         What a term can add is bounded by its largest contribution in the shard. Terms are ordered by the
         range of theirs; those at the end whose bounds together stay under MARGIN of the current k-th
-        score are non-essential: they alone can't lift a vector to it. Essential lists are traversed for
+        score are non-essential: they alone can't lift a vector to it. Essential lists, and no others, are traversed for
         a block of queries at once, the others probed, widest first, only for vectors that can still
         reach the k-th score.
         """
         kind = self._exact(queries)
         if kind not in self.lists:
-            self.lists[kind] = self.lists[np.int64].astype(kind)
+            self.lists[kind] = np.ascontiguousarray(self.rows.T, dtype=kind)
         one, other = queries * self.low, queries * self.high
         terms = np.argsort(-np.abs(other - one), axis=1, kind="stable")
         ahead = np.cumsum(np.take_along_axis(np.maximum(one, other), terms, axis=1)[:, ::-1], axis=1)[:, ::-1]
@@ -71,7 +73,10 @@ class Postings:
             cuts.append(int(under[0]) if len(under) else len(order))
         place = np.empty_like(terms)
         np.put_along_axis(place, terms, np.arange(terms.shape[1])[None, :].repeat(len(queries), axis=0), axis=1)
-        gained = (queries * (place < np.array(cuts)[:, None])).astype(kind) @ self.lists[kind]
+        essential = place < np.array(cuts)[:, None]
+        read = essential.any(axis=0)  # lists that are essential to no query of the block are not traversed
+        gained = (queries * essential)[:, read].astype(kind) @ (self.lists[kind] if read.all() else self.lists[kind][read])
+        self.touched += int(read.sum()) * len(self.ids)
         out = []
         for q, (query, mine, limit, cut) in enumerate(zip(queries, own, limits, cuts)):
             alive = np.flatnonzero(gained[q] >= limit - ahead[q, cut]) if limit is not None else np.arange(len(self.ids))
@@ -88,29 +93,55 @@ class Postings:
         return out
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as a matrix; shorter rows end in zeros."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
-    out = np.zeros((len(lists), width), dtype=np.int64)
-    out[np.arange(width)[None, :] < lengths[:, None]] = np.asarray(lists.flatten(), dtype=np.int64)
+    flat = np.asarray(lists.flatten())
+    out = np.zeros((len(lists), width), dtype=flat.dtype)
+    out[np.arange(width)[None, :] < lengths[:, None]] = flat
     return out
 
 
+class Shard:
+    """Vectors of a shard as they come in, then their postings in parts, built once."""
+
+    def __init__(self) -> None:
+        self.ids: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.parts: list[Postings] | None = None
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.rows.append(rows)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, ids, scores): the k best of the shard."""
+        if self.parts is None:
+            ids, rows = (np.concatenate(x) if x else np.zeros((0, 1), np.int64) for x in (self.ids, self.rows))
+            self.ids = self.rows = []
+            self.parts = [Postings(ids[at : at + PART], rows[at : at + PART].astype(np.int64)) for at in range(0, len(ids), PART)]
+        for at in range(0, len(own), STEP):
+            found = [p.search(queries[at : at + STEP], own[at : at + STEP], k) for p in self.parts]
+            for q, several in enumerate(zip(*found)):
+                ids, scores = (np.concatenate(x) for x in zip(*several))
+                best = top_of(ids, scores, k)
+                yield at + q, ids[best], scores[best]
+
+
 def quantized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v): floor(64 * x) of each component; rows with a null vector or component, NaN or infinity go."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.filter(F.col("v").isNotNull() & ~F.exists("v", bad))
     return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 64).cast("long")).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """Each query's k highest integer inner products among vectors: query_id, rank, vec_id, score.
 
     Ties go to smaller vec_ids; a query's own id is no candidate; with fewer vectors all are returned.
-    Vectors are dealt into shards and queries into blocks, and each block meets each shard once; the
+    Vectors are dealt into shards, each sent once, as the smallest integers that hold them; the shard's
+    postings are built once, and queries, of which each shard gets a copy, stream past them. The
     shards' lists are merged by query. Null or non-finite vectors take no part. Vectors of unequal
     lengths are compared as if the shorter ended in zeros. Rows of vectors repeated with one id are
     candidates each; queries repeated with equal vectors count once. A null id is no query, and as a
@@ -118,33 +149,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """
     ship(vectors.sparkSession)
     base, asked = quantized(vectors, id_col, vector_col), quantized(queries, id_col, vector_col).filter("vec_id IS NOT NULL").distinct()
-    n, widest = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    m, wide = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    shards, blocks, width = max(LEAST, ceil(n / shard)), max(1, ceil(m / block)), max(widest or 0, wide or 0, 1)
-    salt = F.xxhash64("vec_id", "v")
-    left = base.select(F.pmod(salt, F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(salt, F.lit(blocks)).alias("b"), "vec_id", "v", salt.alias("q"))
-    # repeated rows would all fall into one shard: they are dealt out by their place instead
-    left = left.withColumn("s", F.pmod(F.col("s") + F.monotonically_increasing_id(), F.lit(shards)))
-
-    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        names = {"q": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        if vectors.num_rows and queries.num_rows:
-            none = np.iinfo(np.int64).min
-            postings = Postings(vectors.column("vec_id").fill_null(none).to_numpy(), _matrix(vectors.column("v"), width))
-            asked = _matrix(queries.column("v"), width)
-            marks, own = queries.column("q").to_numpy(), queries.column("vec_id").to_numpy()
-            for at in range(0, len(own), STEP):
-                for q, mine, (ids, scores) in zip(marks[at:], own[at:], postings.search(asked[at : at + STEP], own[at : at + STEP], k)):
-                    for x, y in zip(out, (np.full(ids.size, q), np.full(ids.size, mine), ids, scores)):
+    least, most = F.min(F.array_min("v")), F.max(F.array_max("v"))
+    n, widest, *ends = base.agg(F.count(F.lit(1)), F.max(F.size("v")), least, most).first()
+    wide, *other = asked.agg(F.max(F.size("v")), least, most).first()
+    kind = next(t for t, top in (("smallint", 2**15), ("int", 2**31), ("bigint", 2**63)) if all(-top <= (x or 0) < top for x in (*ends, *other)))
+    shards, width = max(LEAST, ceil(n / shard)), max(widest or 0, wide or 0, 1)
+    packed = F.col("v").cast(f"array<{kind}>").alias("v")
+    # by their place, so that repeated rows don't all fall into one shard
+    left = base.select(F.pmod(F.xxhash64("vec_id", "v") + F.monotonically_increasing_id(), F.lit(shards)).alias("s"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("q"), "vec_id", packed)
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.lit(1).alias("kind"), F.xxhash64("vec_id", "v").alias("q"), "vec_id", packed)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, at, held = np.iinfo(np.int64).min, None, Shard()
+        for batch in batches:
+            keys, kinds = np.asarray(batch.column("s")), np.asarray(batch.column("kind"))
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(keys)]):
+                if hi == lo:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if keys[lo] != at:
+                    at, held = keys[lo], Shard()
+                own, rows = part.column("vec_id").fill_null(none).to_numpy(), _matrix(part.column("v"), width)
+                if kinds[lo] == 0:
+                    held.add(own, rows)
+                    continue
+                marks, out = part.column("q").to_numpy(), [[np.zeros(0, np.int64)] for _ in range(4)]
+                for q, ids, scores in held.search(rows.astype(np.int64), own, k):
+                    for x, y in zip(out, (np.full(ids.size, marks[q]), np.full(ids.size, own[q]), ids, scores)):
                         x.append(y)
-        arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in out]
-        if vectors.num_rows and queries.num_rows:
-            arrays[2] = pa.compute.if_else(pa.compute.equal(arrays[2], none), pa.scalar(None, pa.int64()), arrays[2])
-        return pa.Table.from_arrays(arrays, schema=pa.schema(names))
+                arrays = [pa.array(np.concatenate(x), pa.int64()) for x in out]
+                arrays[2] = pa.compute.if_else(pa.compute.equal(arrays[2], none), pa.scalar(None, pa.int64()), arrays[2])
+                yield pa.RecordBatch.from_arrays(arrays, names=["q", "query_id", "vec_id", "score"])
 
-    found = left.groupBy("s", "b").cogroup(right.select("s", "b", "vec_id", "v", "q").groupBy("s", "b")).applyInArrow(search, "q long, query_id long, vec_id long, score long")
+    rows = left.unionByName(right).repartition(shards, "s").sortWithinPartitions("s", "kind")
+    found = rows.mapInArrow(search, "q long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_first())
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
