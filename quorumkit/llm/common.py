@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; sets one only where none is set."""
+    """Uses the folder the cluster names in spark.checkpoint.dir; sets one of its own only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems find it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint_path(spark: SparkSession) -> str:
@@ -36,6 +46,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder as packed Parquet and reads it again: like `settle`, for whole texts."""
+    path = f"{checkpoint_path(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(row, doc_id, text, *more), stored: each row with a number of its own. A null text counts as empty."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *more))
+
+
 def row_key(id_col: str, text: Column, *more: Column) -> list[Column]:
     """Two non-null longs that stand for (id, text, more): rows that agree in both are one document; a null id is last."""
     return [

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, locate, row_key, running_total, settle
+from .common import WORD, beside, locate, row_key, running_total, settle
 
 #: Words of a block; blocks (slots) of an output shard; weights by source, repeating; most uses of a word.
 BLOCK, SHARD_SLOTS, WEIGHTS, CAP = 64, 4096, (5, 2, 1), 3
 #: Chunks in which a source's documents are numbered; buckets for looking up a source by its share.
 CHUNKS, BUCKETS = 4096, 4096
 ROUNDS = 4
+#: Output shards of which one task adds up the slots of a source.
+SHARD_CHUNK = 256
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, list[Column]]:
-    text, source = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(source_col).cast("string")
+    text, source = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{source_col}`").cast("string")
     return text, source, row_key(id_col, text, source)
 
 
@@ -23,7 +25,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     text, source, key = _columns(docs, id_col, text_col, source_col)
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     size = F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, source.alias("source"), size.cast("long").alias("size"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *key, source.alias("source"), size.cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap: int = CAP, block: int = BLOCK) -> DataFrame:
@@ -32,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     Targets share `share` of all words by weight; a target stops at cap times its source's size, and
     the excess is shared again among the others by weight until none is above. That is one water
     level: sorted by cap / weight, the capped sources are a prefix. quota is the target in blocks.
-    One row per source is all that meets here.
+    One row per source meets in one task: sources are names of corpora, not as many as documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = per.withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -96,8 +98,9 @@ def mix_plan(targets: DataFrame, slots: int, block: int = BLOCK, shard_slots: in
     drawn = spark.range(0, slots, 1, parts).select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(slots)).alias("u"))
     counts = locate(drawn, "u", shares.select("s", "first", "last"), "first", "last", width).groupBy("shard", "s").agg(F.count(F.lit(1)).alias("c"))
     counts = settle(counts)
-    starts = running_total(counts, ["s"], F.expr("cast(shard div 65536 as int)"), "c")
-    slot = starts.select("shard", "s", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("q"))
+    starts = running_total(counts, ["s"], F.expr(f"cast(shard div {SHARD_CHUNK} as int)"), "c")
+    # dealt out by (shard, source) into a fixed number of tasks: adaptive execution would merge so few rows, and they unfold into all slots
+    slot = starts.repartition(parts, "shard", "s").select("shard", "s", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("q"))
     had = live.select("s", "quota").join(counts.groupBy("s").agg(F.sum("c").alias("had")), "s", "left").select("s", "quota", F.coalesce("had", F.lit(0)).alias("had"))
     over = lambda amount: F.sum(amount).over(by)
     extra, lack = F.greatest(F.col("had") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("had"), F.lit(0))
@@ -153,22 +156,24 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns stay as they are but for the text, which is cut at word limits where only a part is taken;
     an n_chars column follows the text. A document of which nothing is taken has no row. Of rows
-    repeated with the same id, text and source, any one lends its other columns to all.
+    repeated with the same id, text and source, any one lends its other columns to all; these may have any
+    names. An empty table, or one without words, gives no rows.
     """
     _, pieces = _pieces(docs, id_col, text_col, source_col, weights, share, block, seed)
     copies = pieces.select("s", "start", "k1", "k2", "from_word", "to_word", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__copy"))
     spans = copies.groupBy("s", "start", "k1", "k2", "__copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"))
     # rows repeated with one key have a start each: they take turns
     turn = Window.partitionBy("k1", "k2", "__copy").orderBy("start")
-    spans = spans.withColumn("__turn", F.row_number().over(turn)).select(F.struct("k1", "k2").alias("__key"), "__turn", "__copy", "__spans")
-    keyed = docs.withColumn("__key", F.struct(*_columns(docs, id_col, text_col, source_col)[2]))
-    if not spans.filter("__turn > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["__key"])
-    met = keyed.join(spans, "__key")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    met = met.withColumn("__words", words)
-    whole = (F.size("__spans") > 0) & (F.aggregate("__spans", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"]) == F.size("__words"))
-    part = F.array_join(F.flatten(F.transform("__spans", lambda p: F.slice(F.col("__words"), p["from_word"].cast("int") + 1, (p["to_word"] - p["from_word"]).cast("int")))), "")
-    met = met.withColumn("__text", F.when(whole, F.col(text_col)).otherwise(part))
-    columns = {text_col: F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    k1, k2, taken, listed, made = beside(docs, "k1", "k2", "spans", "words", "made")
+    spans = spans.withColumn("turn", F.row_number().over(turn))
+    key = _columns(docs, id_col, text_col, source_col)[2]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(key, (k1, k2))])
+    if not spans.filter("turn > 1").isEmpty():
+        keyed = keyed.dropDuplicates([k1, k2])
+    met = keyed.join(spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("__spans").alias(taken)), [k1, k2])
+    met = met.withColumn(listed, F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
+    whole = F.aggregate(taken, F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"]) == F.size(listed)
+    part = F.array_join(F.flatten(F.transform(taken, lambda p: F.slice(F.col(listed), p["from_word"].cast("int") + 1, (p["to_word"] - p["from_word"]).cast("int")))), "")
+    met = met.withColumn(made, F.when(whole, F.col(f"`{text_col}`")).otherwise(part))
+    columns = {text_col: F.col(made), "n_chars": F.length(made).cast("long")}
     return met.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])

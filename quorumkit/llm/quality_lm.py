@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import arrow_rows, row_key, settle
+from .common import arrow_rows, beside, row_key, settle
 
 #: Bytes of an n-gram; an n-gram is the integer of its bytes, so contexts and suffixes are shifts and masks.
 ORDER = 5
@@ -287,10 +287,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ship(spark)
     n, few = docs.count(), trusted.count() <= BROADCAST_IDS
     shards = 64 * max(1, ceil(n / 262_144)) + 3
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     spread = -1 - F.pmod(F.xxhash64(text), F.lit(1024))
     block = F.coalesce(F.expr(f"cast(`{id_col}` as long) div {BLOCK}"), spread).alias("block")
-    rows = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    rows = docs.select(block, F.col(f"`{id_col}`").cast("long").alias("doc_id"), *row_key(id_col, text), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
     rows = rows.join(F.broadcast(trusted) if few else trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(0)))
     found = settle(rows.select("block", "role", "text").mapInArrow(_gather(shards), "kind int, shard int, block long, blob binary, counts binary"))
     counts = found.filter("kind = 0").select("shard", "blob", "counts").repartition("shard").mapInArrow(_summed_codes, "code long, c long")
@@ -309,8 +309,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(doc_id, role) of the ids whose labels all say 1: one in HELD_OUT_OF is held out, the others are to train on."""
     role = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0, HELD).otherwise(TRAIN)
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    return known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("least")).filter("least = 1").select("doc_id", role.alias("role"))
+    known = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
+    return known.groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg(F.min(f"`{label_col}`").alias("least")).filter("least = 1").select("doc_id", role.alias("role"))
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
@@ -359,9 +359,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """The rows of docs that `classify` keeps, with all their columns."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """The rows of docs that `classify` keeps, with all their columns, which may have any names; repeated rows stay or go together. An empty table gives none."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    k1, k2, l = names = beside(docs, "k1", "k2", "l")
     out = _judged(docs, labels, id_col, text_col, lang_col, quantile).filter(~F.col("kept"))
-    gone = out.select(F.struct("k1", "k2", F.coalesce("lang", F.lit("")).alias("l")).alias("__key"))
-    keyed = docs.withColumn("__key", F.struct(*row_key(id_col, text), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("l")))
-    return keyed.join(gone, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = out.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce("lang", F.lit("")).alias(l)).distinct()
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text), names)], F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias(l))
+    return keyed.join(gone, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

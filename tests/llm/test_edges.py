@@ -175,9 +175,10 @@ def test_near_copies_stay_linear():
     assert len(a) == len(many) - 1
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("at_once", [0, components.AT_ONCE])
+def test_components_of_paths_and_stars(spark, at_once):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
 
 
@@ -198,9 +199,9 @@ def test_top_k(spark):
         if i is not None and i % 10 == 0:
             best = sorted((-dot(v, w), -1 if j is None else j) for j, w in good if j != i)[:5]
             want[i] = [(None if j < 0 else j, -s) for s, j in best]
-    for shard, block in ((16_384, 1024), (7, 3)):
+    for shard in (maxscore.SHARD, 7):
         got = {}
-        for r in maxscore.top_k(table, ask, 5, shard=shard, block=block).orderBy("query_id", "rank").collect():
+        for r in maxscore.top_k(table, ask, 5, shard=shard).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert got == want
     few = spark.createDataFrame(rows[:3], VECTORS)
