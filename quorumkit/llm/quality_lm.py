@@ -15,8 +15,9 @@ from .common import arrow_rows, beside, row_key, settle
 
 #: Bytes of an n-gram; an n-gram is the integer of its bytes, so contexts and suffixes are shifts and masks.
 ORDER = 5
-#: Documents with ids in one range of so many are scored together; bytes of text that are worked on at once.
-BLOCK, STEP = 4096, 2_000_000
+#: Documents with ids in one range of so many are scored together, unless they have more bytes than MOST_BYTES; bytes of
+#: text that are worked on at once.
+BLOCK, MOST_BYTES, STEP = 4096, 48_000_000, 2_000_000
 #: Rows of an Arrow batch of texts.
 ARROW_ROWS = 512
 #: What goes through shuffles is packed well: they take the most disk.
@@ -285,11 +286,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     role TRAIN to train on."""
     spark = docs.sparkSession
     ship(spark)
-    n, few = docs.count(), trusted.count() <= BROADCAST_IDS
-    shards = 64 * max(1, ceil(n / 262_144)) + 3
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     spread = -1 - F.pmod(F.xxhash64(text), F.lit(1024))
-    block = F.coalesce(F.expr(f"cast(`{id_col}` as long) div {BLOCK}"), spread).alias("block")
+    span = F.coalesce(F.expr(f"cast(`{id_col}` as long) div {BLOCK}"), spread)
+    sizes = settle(docs.groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text).cast("long")).alias("bytes")))
+    n, few = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], trusted.count() <= BROADCAST_IDS
+    shards = 64 * max(1, ceil(n / 262_144)) + 3
+    # a range of ids with much text is several blocks, by the rows' hash
+    large = settle(sizes.filter(F.col("bytes") > MOST_BYTES).select("span", F.ceil(F.col("bytes") / MOST_BYTES).alias("cut")))
+    cut = F.lit(0).cast("long")
+    if many := large.count():
+        ours, share = beside(docs, "span", "cut")
+        large = large.select(F.col("span").alias(ours), F.col("cut").alias(share))
+        docs = docs.withColumn(ours, span).join(F.broadcast(large) if many <= BROADCAST_IDS // 10 else large, ours, "left")
+        cut = F.coalesce(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.col(share)), F.lit(0))
+    block = F.xxhash64(span, cut).alias("block")
     rows = docs.select(block, F.col(f"`{id_col}`").cast("long").alias("doc_id"), *row_key(id_col, text), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
     rows = rows.join(F.broadcast(trusted) if few else trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(0)))
     found = settle(rows.select("block", "role", "text").mapInArrow(_gather(shards), "kind int, shard int, block long, blob binary, counts binary"))

@@ -346,6 +346,14 @@ def test_perplexity(spark):
         assert r.nll == pytest.approx(-sum(math.log(brute_kn(grams, g)) for g in cut(texts[r.doc_id])), rel=1e-5)
 
 
+def test_blocks_with_much_text(spark, odd, monkeypatch):
+    trusted = spark.createDataFrame([(1, quality_lm.TRAIN), (2, quality_lm.HELD)], "doc_id long, role int")
+    rates = lambda: sorted((r.k1, r.k2, r.n_bytes, r.nll) for r in quality_lm.perplexities(odd, trusted).collect())
+    before = rates()
+    monkeypatch.setattr(quality_lm, "MOST_BYTES", 10)
+    assert rates() == before and len(before) == len(ROWS)
+
+
 @pytest.mark.parametrize("counts", [(0, 0, 0, 0), (1, 0, 5, 2), (5, 100, 1, 1), (100, 50, 30, 20), (1, 2, 30, 40)])
 def test_discounts_leave_every_probability_positive(counts):
     assert all(0 < d <= k for k, d in enumerate(quality_lm.discounts(*counts), 1))
