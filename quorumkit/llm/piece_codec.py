@@ -21,6 +21,8 @@ OTHER = 1 << 21
 STEP_CHARS, HEAP_FROM = 120_000, 256
 #: Characters with a table of pairs; the last number stands for all others.
 CLASSES = 512
+#: Ids of stretches that are remembered; beyond, all are forgotten.
+MEMO_IDS = 1_000_000
 _NEVER = np.int64(2**62)
 _LOW = np.int64(2**32 - 1)
 
@@ -31,8 +33,8 @@ class PieceCodec:
     become byte pieces.
 
     A text falls into stretches where two neighbours stand together in no piece: no merge reaches over
-    such a place, so the stretches have agendas of their own. All stretches of a step pop the head of
-    their agendas together, in numpy; long ones use a heap. Covers models with the identity normaliser,
+    such a place, so the stretches have agendas of their own. All new stretches of a step pop the head of
+    their agendas together, in numpy; long ones use a heap. The ids of stretches are remembered. Covers models with the identity normaliser,
     a dummy prefix, byte fallback and no user-defined or unused pieces; others raise ValueError.
     """
 
@@ -78,6 +80,8 @@ class PieceCodec:
         self.hash_at = self._hash_table(1 << (4 * len(self.keys)).bit_length())
         self.class_of = np.full(0x110000, -1, np.int16)
         self.chars: list[str] = []
+        self.memo: dict[int, bytes] = {}  # the ids of stretches that have been encoded, by mark
+        self.held, self.noise = 0, np.zeros(0, np.uint64)
         self.symbol_of = np.zeros(CLASSES, np.int32)
         self.pairs = np.full((CLASSES, CLASSES), -1, np.int32)  # the place of a pair in keys, -1: never merges, -2: in no piece
 
@@ -144,8 +148,8 @@ class PieceCodec:
                 heappush(agenda, (m[0], before[i], s[before[i]], made, m[1]))
         return s
 
-    def _symbols(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The symbols that are left of each character after all merges, -1 where none is; texts end at `ends`."""
+    def _first_pairs(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each character, and the place in keys of its pair with the next one (-1: never merges, -2: a stretch ends)."""
         classes = self.class_of[points]
         if (classes < 0).any():
             for p in np.unique(points[classes < 0]):
@@ -161,6 +165,12 @@ class PieceCodec:
             near = near[near < n - 1]
             found[near] = self._found(symbol[near], symbol[near + 1])
         found[ends - 1] = -2
+        return symbol, found
+
+    def _symbols(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The symbols that are left of each character after all merges, -1 where none is; texts end at `ends`."""
+        n = points.size
+        symbol, found = self._first_pairs(points, ends)
         last = found == -2
         part = np.append(np.cumsum(last) - last, -1).astype(np.int32)  # the stretch of each character
         begins = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
@@ -201,15 +211,10 @@ class PieceCodec:
             at = at[keep]
         return symbol[:-1]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each text has."""
-        counts = np.zeros(len(texts), np.int64)
-        full = [k for k, t in enumerate(texts) if t]
-        if not full:
-            return np.zeros(0, np.int32), counts
-        marked = [SPACE + texts[k].replace(" ", SPACE) for k in full]
-        points = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
-        ends = np.cumsum([len(t) for t in marked])
+    def _by_agenda(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and how many each has; no merge reaches from one part into the next."""
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(t) for t in parts])
         symbols = self._symbols(points, ends)
         alive = symbols >= 0
         width = alive.astype(np.int64)
@@ -221,8 +226,52 @@ class PieceCodec:
             begin = total[odd[symbols[odd] == c]] - len(data := chr(c - OTHER).encode())
             for k, b in enumerate(data):
                 out[begin + k] = self.byte_id[b]
-        counts[full] = np.diff(total[ends - 1], prepend=0)
-        return out.astype("<i4"), counts
+        return out.astype("<i4"), np.diff(total[ends - 1], prepend=0)
+
+    def _marks(self, points: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """64 bits for each stretch: the sum of its characters, each times the noise of its place."""
+        if (longest := int(sizes.max())) > self.noise.size:
+            self.noise = np.random.default_rng(5).integers(1, 2**64, 2 * longest, dtype=np.uint64) | np.uint64(1)
+            self.memo, self.held = {}, 0
+        place = np.arange(points.size) - np.repeat(cuts - sizes, sizes)
+        mixed = (points + np.uint64(1)) * self.noise[place]
+        return np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), cuts - sizes)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has.
+
+        Stretches recur from text to text, most of them words: an agenda runs once for each that isn't remembered.
+        """
+        counts = np.zeros(len(texts), np.int64)
+        full = [k for k, t in enumerate(texts) if t]
+        if not full:
+            return np.zeros(0, np.int32), counts
+        marked = [SPACE + texts[k].replace(" ", SPACE) for k in full]
+        joined = "".join(marked)
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(t) for t in marked])
+        cuts = np.flatnonzero(self._first_pairs(points, ends)[1] == -2) + 1
+        sizes = np.diff(cuts, prepend=0)
+        marks, first, which = np.unique(self._marks(points, cuts, sizes), return_index=True, return_inverse=True)
+        marks = marks.tolist()
+        got = list(map(self.memo.get, marks))
+        missing = [k for k, g in enumerate(got) if g is None]
+        if missing:
+            stop = cuts[first[missing]]
+            begin = (stop - sizes[first[missing]]).tolist()
+            ids, n = self._by_agenda([joined[i:j] for i, j in zip(begin, stop.tolist())])
+            raw, stops = ids.tobytes(), (4 * np.cumsum(n)).tolist()
+            for k, i, j in zip(missing, [0, *stops], stops):
+                got[k] = self.memo[marks[k]] = raw[i:j]
+            self.held += ids.size
+            if self.held > MEMO_IDS:
+                self.memo, self.held = {}, 0
+        width = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        each = width[which]
+        total = np.cumsum(each)
+        at = np.repeat((np.cumsum(width) - width)[which] - (total - each), each) + np.arange(total[-1])
+        counts[full] = np.diff(total[np.searchsorted(cuts, ends)], prepend=0)
+        return np.frombuffer(b"".join(got), "<i4")[at], counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of ids in a row: pieces joined, bytes read as UTF-8, without the space of the dummy prefix."""
