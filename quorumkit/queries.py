@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import code as C
+from .functions import generated as G
 from .functions import text as T
 from .operators import clusters, entropy, evaluate, functional, registry, selection, similarity, traces
 from .plans import bindings
@@ -716,7 +717,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'f' || event_id END AS name, CASE WHEN event_id % 10 <> 0 THEN 'f' || event_id || '(a, b)' END AS signature FROM events")
 def function_signature_ast(spark, sf_dir):
-    return programs(spark, sf_dir).select("event_id", C.function_name_of(F.col("code")).alias("name"), C.function_signature_of(F.col("code")).alias("signature"))
+    return programs(spark, sf_dir).select("event_id", C.function_name_and_signature(F.col("code")).alias("f")).select("event_id", "f.name", "f.signature")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'def broken(' ELSE 'def f' || event_id || '(a, b=1):' || chr(10) || '    return f' || event_id || '(a - 1) if a else b' END AS definitions FROM events""")
@@ -734,7 +735,7 @@ def rename_function_ast(spark, sf_dir):
 def test_list_parser(spark, sf_dir):
     ship(spark)
     raw = F.when(F.col("event_id") % 3 == 0, '```json\n[{"input": 10**9, "output": 2}]\n```').when(F.col("event_id") % 3 == 1, F.concat(F.lit("Input: "), F.col("event_type"), F.lit("\nOutput: 1\nInput: 2 Output: 3"))).otherwise("nothing")
-    tests = C.parse_tests_of(raw, F.col("event_id") % 3 == 1)
+    tests = G.parse_tests_of(raw, F.col("event_id") % 3 == 1)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tests.alias("t"))
     return rows.select("event_id", F.size("t").cast("long").alias("tests"), F.get("t", 0)["input"].alias("first"))
 
@@ -743,10 +744,12 @@ def test_list_parser(spark, sf_dir):
 def quotes_to_json(spark, sf_dir):
     ship(spark)
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{'kind': '"), F.col("event_type"), F.lit("', 'n': [1, 2]}"))).when(F.col("event_id") % 3 == 1, "[\"it's\", True]").otherwise("{'broken")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.quotes_to_json_of(raw).alias("json"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", G.quotes_to_json_of(raw).alias("json"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'from typing import *' || chr(10) || chr(10) || 'def fun1(a, b=1):' || chr(10) || '    return fun1(a - 1) if a else b' || chr(10) || chr(10) || 'def fun2(x):' || chr(10) || '    return x' || chr(10) || chr(10)
+  || 'def check(*values, **named):' || chr(10) || '    one = fun1(*values, **named)' || chr(10) || '    two = fun2(*values, **named)' || chr(10) || '    if one != two:' || chr(10)
+  || '        raise AssertionError(f"fun1 gives {one!r}, fun2 gives {two!r}")' || chr(10) || '    return True' || chr(10) END AS program FROM events""")
 def check_program(spark, sf_dir):
     rows = programs(spark, sf_dir)
     return rows.select("event_id", C.check_program_of(F.col("code"), F.lit("def h(x):\n    return x\n")).alias("program"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quorumkit.functions import code as C
 from quorumkit.functions import codebleu
+from quorumkit.functions import generated as G
+from quorumkit.functions import literals as L
 from quorumkit.functions import text as T
 from quorumkit.operators import clusters, entropy, evaluate, functional, registry, selection, similarity, traces
 from quorumkit.plans import runs
@@ -298,22 +300,31 @@ def test_arithmetic(text, value):
 
 
 def test_parse_tests():
-    stdin = lambda t, **k: C.parse_tests(t, True, **k)
+    stdin = lambda t, **k: G.parse_tests(t, True, **k)
     assert stdin('```json\n[{"input": "1 2", "output": "3"}]\n```') == [{"input": "1 2\n", "output": "3\n", "testtype": "stdin"}]
     assert stdin("[{'input': '1', 'output': ''}]") == [{"input": "1\n", "output": "", "testtype": "stdin"}]
     assert stdin("Input: 1\nOutput: 2\nInput: 3\nOutput: 4") == [{"input": "1\n", "output": "2\n", "testtype": "stdin"}, {"input": "3\n", "output": "4\n", "testtype": "stdin"}]
     assert stdin('[{"input": "1"}]', output_needed=True) == []
     assert stdin("[{broken]") == [] and stdin(None) == [] and stdin("") == []
-    plain = lambda t, **k: C.parse_tests(t, False, **k)
+    plain = lambda t, **k: G.parse_tests(t, False, **k)
     assert plain('[{"input": 10**9, "output": 1}]') == [{"input": 10**9, "output": 1, "testtype": "functional"}]
     assert [t["input"] for t in plain('{"input": [1], "output": 2} {"input": [3], "output": 4}')] == [[1], [3]]
     assert [t["input"] for t in plain("{'input': [1]}\nnoise\n{\"input\": 2}")] == [[1], 2]
 
 
+def test_nested_and_mixed():
+    plain = lambda t, **k: G.parse_tests(t, False, **k)
+    text = 'Here: {"input": {"a": {"b": [1, {"c": "}"}]}}, "output": {"d": {}}}\n{\'input\': (1, None), \'output\': True,} and {"input": [2**3, 7/2, 1+2*3], "output": -5 % 3}'
+    assert [(t["input"], t["output"]) for t in plain(text)] == [({"a": {"b": [1, {"c": "}"}]}}, {"d": {}}), ([1, None], True), ([8, 3.5, 7], 1)]
+    assert plain('[{"input": 2**999999, "output": 1}]')[0]["input"] == "2**999999"
+    assert plain('{"input": 1/0, "output": 1}') == [] and plain("{" * 5000) == [] and plain("[" * 5000 + "]" * 5000) == []
+    assert plain("[{'input': 1}]", fix_quotes=False) == [] and len(plain('[{"input": 10**2}]', fix_quotes=False)) == 1
+
+
 def test_quotes():
-    assert json.loads(C.quotes_to_json("{'a': \"it's\", 'b': (1, None)}")) == {"a": "it's", "b": [1, None]}
-    assert json.loads(C.quotes_to_json("{'a': true}")) == {"a": True}
-    assert C.quotes_to_json("{'a'") is None
+    assert json.loads(L.as_json("{'a': \"it's\", 'b': (1, None)}")) == {"a": "it's", "b": [1, None]}
+    assert json.loads(L.as_json("{'a': true}")) == {"a": True}
+    assert L.as_json("{'a'") is None
 
 
 TRACE = [{"code": "x", "prompt_tokens": 1, "completion_tokens": 1, "logprob": -1.0, "norm_logprob": -0.1}]
@@ -418,6 +429,6 @@ def test_stream(spark, saved):
 @settings(max_examples=50, deadline=None)
 @given(st.text(max_size=60))
 def test_parsers_never_fail(text):
-    assert isinstance(C.parse_tests(text, True), list) and isinstance(C.parse_tests(text, False), list)
-    C.quotes_to_json(text)
+    assert isinstance(G.parse_tests(text, True), list) and isinstance(G.parse_tests(text, False), list)
+    L.as_json(text)
     C.function_name(text)
