@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import settle
+from .common import settle, stored
 
 #: Most edges that one task joins (16 bytes each, and a few times that while it works).
 AT_ONCE = 1_000_000
@@ -47,7 +47,7 @@ def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     Up to `at_once` different edges are joined by one task. Beyond, each round hangs every neighbour of a
     node on the smallest one around it, once for larger and once for smaller neighbours, until only stars
     are left. Minima are joined back instead of gathering neighbours, so a node with very many edges is
-    never held by one task alone. Every round is checkpointed. Null ends must not occur; repeated edges
+    never held by one task alone. Every round is stored. Null ends must not occur; repeated edges
     and edges from a node to itself change nothing (a node with no other edge is not returned); no edges give no rows.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -59,11 +59,11 @@ def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = settle(large)
+        large = stored(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.col("a"), F.col("b"))).alias("a")
         small = large.join(least, "a").select(ends, F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = settle(small)
+        edges = stored(small)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break

@@ -2,51 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions with more samples than this get their components by joins instead of array folds.
+from ..session import kept, ship
+
+#: Questions with more samples than this get their clusters by joins instead of one row with all links.
 ARRAY_LIMIT = 64
 
 
 def by_key(samples: DataFrame, key: Sequence[str], group: str = "qid", pos: str = "pos") -> DataFrame:
-    """Adds `cluster`: samples of a question with equal keys share one; ids count from 0 by first position."""
-    first = F.min(pos).over(Window.partitionBy(group, *key))
-    rank = F.dense_rank().over(Window.partitionBy(group).orderBy("__first")) - 1
-    return samples.withColumn("__first", first).withColumn("cluster", rank).drop("__first")
-
-
-def _reach(n: Column, links: Column, directed: bool) -> Column:
-    """For each position, the least one it hangs together with; links: array of struct(a, b).
+    """Adds `cluster`: samples of a question with equal keys share one; ids count from 0 by first position.
 
-    Directed links are followed from the least position that is not yet reached.
+    Keys are counted first and only different ones are ranked, so that a large question is in no single task.
     """
-    both = links if directed else F.concat(links, F.transform(links, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))))
-    pairs = F.array_distinct(both)
-
-    def grow(reached: Column) -> Column:
-        # each pass adds the ends of links that begin inside; as many passes as there are positions suffice
-        step = lambda s, _: F.when(
-            F.exists(pairs, lambda e: F.array_contains(s, e["a"]) & ~F.array_contains(s, e["b"])),
-            F.array_union(s, F.transform(F.filter(pairs, lambda e: F.array_contains(s, e["a"])), lambda e: e["b"])),
-        ).otherwise(s)
-        return F.aggregate(F.sequence(F.lit(1), n), reached, step)
-
-    def assign(roots: Column, i: Column) -> Column:
-        fresh = lambda: F.transform(
-            F.array(grow(F.array(i))), lambda r: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when((F.element_at(roots, j + 1) < 0) & F.array_contains(r, j), i).otherwise(F.element_at(roots, j + 1)))
-        )[0]
-        return F.when(F.element_at(roots, i + 1) >= 0, roots).otherwise(fresh())
-
-    start = F.transform(F.sequence(F.lit(0), n - 1), lambda _: F.lit(-1))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, assign)
-
-
-def _dense(roots: Column) -> Column:
-    """Ids from 0 in the order in which they first appear."""
-    return F.transform(roots, lambda r: F.array_position(F.array_distinct(roots), r).cast("int") - 1)
+    names = [f"__key{k}" for k in range(len(key) + 1)]
+    firsts = samples.groupBy(*[F.col(c).alias(n) for c, n in zip([group, *key], names)]).agg(F.min(pos).alias("__first"))
+    ranked = firsts.withColumn("cluster", F.dense_rank().over(Window.partitionBy(names[0]).orderBy("__first")) - 1).drop("__first")
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip([group, *key], names)])
+    return samples.join(ranked, same).drop(*names)
+
+
+def _reached(n: int, a: np.ndarray, b: np.ndarray, directed: bool) -> list[int]:
+    """For each position, the id of the cluster it hangs together with. Directed links are followed from the least
+    position that is not yet reached."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist()):
+        out[x].append(y)
+        if not directed:
+            out[y].append(x)
+    ids, next_id = [-1] * n, 0
+    for root in range(n):
+        if ids[root] < 0:
+            stack, ids[root] = [root], next_id
+            while stack:
+                for y in out[stack.pop()]:
+                    if ids[y] < 0:
+                        ids[y] = next_id
+                        stack.append(y)
+            next_id += 1
+    return ids
+
+
+def _led(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """For each position, the id of its leader: itself if no earlier leader matches it, else the last one that does."""
+    before: list[set[int]] = [set() for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist()):
+        if x != y:
+            before[max(x, y)].add(min(x, y))
+    place: dict[int, int] = {}
+    ids = []
+    for i in range(n):
+        matched = [k for k in before[i] if k in place]
+        if not matched:
+            place[i] = len(place)
+        ids.append(place[max(matched)] if matched else place[i])
+    return ids
+
+
+def _ids(find: Callable[[int, np.ndarray, np.ndarray], list[int]]) -> Column:
+    """The cluster ids of a question's positions, from its row."""
+
+    @F.pandas_udf("array<int>")
+    def run(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([find(int(k), x, y) for k, x, y in zip(n, a, b)], dtype=object)
+
+    return run("__n", F.transform("__links", lambda e: e["a"]), F.transform("__links", lambda e: e["b"]))
 
 
 def _grouped(samples: DataFrame, links: DataFrame, group: str, pos: str) -> DataFrame:
@@ -70,34 +97,37 @@ def components(samples: DataFrame, links: DataFrame, group: str = "qid", pos: st
 
     Ids count from 0 in the order of each cluster's first member. Links count in both directions unless
     `directed`; directed ones are followed outward from the first sample that is not in a cluster yet.
-    Small questions are folded as arrays, larger ones propagate labels by joins (undirected only).
+    Small questions are searched one by one in Arrow batches, larger ones propagate labels by joins.
     """
-    if directed:
-        rows = _grouped(samples, links, group, pos)
-        return _unfolded(rows, _dense(_reach(F.col("__n"), F.col("__links"), True)), group, pos)
-    sizes = samples.groupBy(group).agg(F.countDistinct(pos).alias("__size"))
-    small, large = sizes.filter(F.col("__size") <= limit).select(group), sizes.filter(F.col("__size") > limit).select(group)
+    small, large = _by_size(samples, group, pos, limit)
     rows = _grouped(samples.join(small, group, "left_semi"), links, group, pos)
-    out = _unfolded(rows, _dense(_reach(F.col("__n"), F.col("__links"), False)), group, pos)
+    ship(samples.sparkSession)
+    out = _unfolded(rows, _ids(lambda n, a, b: _reached(n, a, b, directed)), group, pos)
     if large.isEmpty():
         return out
-    return out.unionByName(propagate(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos))
+    return out.unionByName(propagate(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos, directed))
 
 
-def propagate(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:
-    """Components of questions of any size, by labels that halve the distance to the least member each round."""
-    spark = samples.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def _by_size(samples: DataFrame, group: str, pos: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Questions with up to `limit` samples, and those with more."""
+    sizes = samples.groupBy(group).agg(F.countDistinct(pos).alias("__size"))
+    return sizes.filter(F.col("__size") <= limit).select(group), sizes.filter(F.col("__size") > limit).select(group)
+
+
+def propagate(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", directed: bool = False) -> DataFrame:
+    """Components of questions of any size, by labels that halve the distance to the least member each round.
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    both = links.select(group, "a", "b").union(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = samples.select(group, pos, F.col(pos).alias("label")).distinct().checkpoint()
+    A label is the least sample that reaches a sample. Along directed links that is the root from which it is
+    first reached: had an earlier root reached that sample, it would reach this one too.
+    """
+    back = links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))  # a takes the label of b
+    both = kept((back if directed else back.union(links.select(group, "a", "b"))).filter("a <> b").distinct())
+    labels = kept(samples.select(group, pos, F.col(pos).alias("label")).distinct())
     while True:
         near = both.join(labels.select(group, F.col(pos).alias("b"), F.col("label").alias("other")), [group, "b"]).groupBy(group, "a").agg(F.min("other").alias("other"))
         step = labels.join(near.withColumnRenamed("a", pos), [group, pos], "left").select(group, pos, "label", F.least("label", F.coalesce("other", "label")).alias("least"))
         jump = step.select(group, F.col(pos).alias("least"), F.col("least").alias("further"))
-        after = step.join(jump, [group, "least"], "left").select(group, pos, "label", F.least("least", F.coalesce("further", "least")).alias("next")).checkpoint()
+        after = kept(step.join(jump, [group, "least"], "left").select(group, pos, "label", F.least("least", F.coalesce("further", "least")).alias("next")))
         moved = not after.filter("label <> next").isEmpty()
         labels = after.select(group, pos, F.col("next").alias("label"))
         if not moved:
@@ -106,20 +136,38 @@ def propagate(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str
     return labels.join(first, [group, "label"]).select(group, pos, F.col("cluster").cast("int").alias("cluster"))
 
 
-def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:
-    """(group, pos, cluster): a sample that no earlier leader matches leads; any other takes the last leader that matches it."""
-    rows = _grouped(samples, links, group, pos)
-    linked = lambda a, b: F.array_contains("__links", F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))) | F.array_contains(
-        "__links", F.struct(b.cast("int").alias("a"), a.cast("int").alias("b"))
-    )
-    every = F.sequence(F.lit(0), F.col("__n") - 1)
-    lead = F.aggregate(
-        every, F.array().cast("array<int>"), lambda found, i: F.when(F.exists(found, lambda k: linked(k, i)), found).otherwise(F.concat(found, F.array(i)))
-    )
-    rows = rows.withColumn("__lead", lead)
-    own = F.transform(every, lambda i: F.when(F.array_contains("__lead", i), i).otherwise(F.array_max(F.filter("__lead", lambda k: (k < i) & linked(k, i)))))
-    ids = F.transform(own, lambda k: F.array_position("__lead", k).cast("int") - 1)
-    return _unfolded(rows, ids, group, pos)
+def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", limit: int = ARRAY_LIMIT) -> DataFrame:
+    """(group, pos, cluster): a sample that no earlier leader matches leads; any other takes the last leader that matches it.
+
+    Questions with more than `limit` samples find their leaders in rounds of joins.
+    """
+    small, large = _by_size(samples, group, pos, limit)
+    rows = _grouped(samples.join(small, group, "left_semi"), links, group, pos)
+    ship(samples.sparkSession)
+    out = _unfolded(rows, _ids(_led), group, pos)
+    if large.isEmpty():
+        return out
+    return out.unionByName(lead_by_rounds(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos))
+
+
+def lead_by_rounds(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:
+    """Leaders of questions of any size: in each round a sample without an undecided or leading one before it leads,
+    and one that a leader before it matches follows."""
+    ends = links.filter("a <> b").select(group, F.greatest("a", "b").alias(pos), F.least("a", "b").alias("__before")).distinct()
+    nodes = kept(samples.select(group, pos).distinct())
+    ends = kept(ends.join(nodes, [group, pos], "left_semi").join(nodes.withColumnRenamed(pos, "__before"), [group, "__before"], "left_semi"))
+    state = nodes.withColumn("__leads", F.lit(None).cast("boolean"))
+    while not state.filter("__leads IS NULL").isEmpty():
+        ahead = ends.join(state.select(group, F.col(pos).alias("__before"), "__leads"), [group, "__before"])
+        seen = ahead.groupBy(group, pos).agg(F.bool_or(F.coalesce("__leads", F.lit(False))).alias("__led"), F.count_if(F.col("__leads").isNull()).alias("__open"))
+        met = state.join(seen, [group, pos], "left")
+        fresh = F.when(F.coalesce("__led", F.lit(False)), False).when(F.coalesce("__open", F.lit(0)) == 0, True)
+        state = kept(met.select(group, pos, F.coalesce("__leads", fresh).alias("__leads")))
+    lead = state.filter("__leads").select(group, pos)
+    last = ends.join(lead.withColumnRenamed(pos, "__before"), [group, "__before"]).groupBy(group, pos).agg(F.max("__before").alias("__own"))
+    own = state.join(last, [group, pos], "left").select(group, pos, F.when(F.col("__leads"), F.col(pos)).otherwise(F.col("__own")).alias("__own"))
+    ids = lead.withColumn("cluster", (F.row_number().over(Window.partitionBy(group).orderBy(pos)) - 1).cast("int")).withColumnRenamed(pos, "__own")
+    return own.join(ids, [group, "__own"]).select(group, pos, "cluster")
 
 
 def cluster(samples: DataFrame, links: DataFrame, algorithm: str = "dfs", **names: str) -> DataFrame:

@@ -22,22 +22,52 @@ def pick_tests(tests: DataFrame, k: int = 5, group: str = "qid", test: str = "te
     return tests.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
 
 
-def error_counts(outputs: DataFrame, group: str = "qid", test: str = "test", output: str = "output") -> DataFrame:
-    """(group, test, errors, n): how many samples failed on each test."""
-    return outputs.groupBy(group, test).agg(F.count_if(normalised(F.col(output)) == ERROR).alias("errors"), F.count(F.lit(1)).alias("n"))
+def grid(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
+    """(group, pos, test, output): the output of every sample on every test of its question; ERROR where there is none.
 
+    Of repeated outputs of a sample on a test the least counts, null last.
+    """
+    given = outputs.groupBy(group, pos, test).agg(F.min(normalised(F.col(output))).alias(output))
+    every = samples.select(group, pos).distinct().join(outputs.select(group, test).distinct(), group)
+    return every.join(given, [group, pos, test], "left").withColumn(output, F.coalesce(output, F.lit(ERROR)))
 
-def valid_outputs(outputs: DataFrame, group: str = "qid", test: str = "test", output: str = "output") -> DataFrame:
-    """Outputs of the tests on which fewer than half of the samples failed."""
-    good = error_counts(outputs, group, test, output).filter(F.col("errors") < F.col("n") / 2).select(group, test)
-    return outputs.join(good, [group, test], "left_semi").withColumn(output, normalised(F.col(output)))
+
+def error_counts(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
+    """(group, test, errors, n): on how many of a question's n samples each test failed or gave nothing."""
+    rows = grid(samples, outputs, group, pos, test, output)
+    return rows.groupBy(group, test).agg(F.count_if(F.col(output) == ERROR).alias("errors"), F.count(F.lit(1)).alias("n"))
 
 
 def by_outputs(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
-    """Adds `cluster`: samples with equal outputs on all valid tests; alone where a question has no valid test."""
-    good = valid_outputs(outputs, group, test, output)
+    """Adds `cluster`: samples with equal outputs on all valid tests, those that fewer than half of the question's
+    samples failed; alone where a question has no valid test. A missing output is an error."""
+    rows = grid(samples, outputs, group, pos, test, output)
+    failed = rows.groupBy(group, test).agg(F.count_if(F.col(output) == ERROR).alias("__errors"), F.count(F.lit(1)).alias("__n"))
+    good = rows.join(failed.filter(F.col("__errors") < F.col("__n") / 2).select(group, test), [group, test], "left_semi")
     vectors = good.groupBy(group, pos).agg(F.sort_array(F.collect_list(F.struct(test, output))).alias("__v"))
-    vectors = vectors.select(group, pos, F.col(f"__v.{output}").alias("__v"))
     met = samples.join(vectors, [group, pos], "left")
     alone = F.when(F.col("__v").isNull(), F.col(pos))
     return by_key(met.withColumn("__alone", alone), ["__v", "__alone"], group, pos).drop("__v", "__alone")
+
+
+def acquire_tests(questions: DataFrame, cache: DataFrame, fresh: DataFrame, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The tests that each question is clustered by, and the cache with what was new.
+
+    questions: (task_id, is_stdin, ...); cache and fresh: (task_id, is_stdin, generated_tests). A question whose
+    (task_id, is_stdin) is in the cache with tests takes them, k of them by hash if there are more; any other takes
+    all fresh ones, which go into the cache. A question without a task_id takes fresh ones that no one stores;
+    one without any tests has no rows. The first result is (task_id, is_stdin, test_no, test).
+    """
+    keys, named = ["task_id", "is_stdin"], F.coalesce(F.col("task_id") != "", F.lit(False))
+    wanted = questions.select(*keys).distinct()
+    same = lambda rows, how: wanted.join(rows.select(*[F.col(c).alias(f"__{c}") for c in keys], "generated_tests"), F.col("task_id").eqNullSafe(F.col("__task_id")) & F.col("is_stdin").eqNullSafe(F.col("__is_stdin")), how).select(*keys, "generated_tests")
+    held = same(cache.filter(F.size("generated_tests") > 0), "inner").filter(named)
+    wanted = wanted.join(held.select(*[F.col(c).alias(f"__{c}") for c in keys]), (F.col("task_id") == F.col("__task_id")) & (F.col("is_stdin") == F.col("__is_stdin")), "left_anti")
+    new = same(fresh.filter(F.size("generated_tests") > 0), "inner")
+    rows = held.select(*keys, F.posexplode("generated_tests").alias("test_no", "test"), F.lit(True).alias("__cached")).unionByName(
+        new.select(*keys, F.posexplode("generated_tests").alias("test_no", "test"), F.lit(False).alias("__cached"))
+    )
+    w = Window.partitionBy(*keys, "__cached").orderBy(F.xxhash64(F.lit(seed), *keys, "test_no"), "test_no")
+    picked = rows.withColumn("__k", F.row_number().over(w)).filter(~F.col("__cached") | (F.col("__k") <= k))
+    stored = cache.select(*keys, "generated_tests").unionByName(new.filter(named))
+    return picked.select(*keys, "test_no", "test"), stored

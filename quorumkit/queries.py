@@ -433,22 +433,23 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = SCORES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {bundle('logprob')}, q AS (SELECT e.qid, e.PE_MC, e.PE_Rao, e.SE, e.DSE, s.* EXCLUDE (qid), 'd' || (e.qid % 3) AS d FROM e JOIN s ON e.qid = s.qid)"""
 
 
-@query(f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, pass_at_n, pass_at_cluster, ROUND(DSE, 9) AS DSE FROM q),
-gg AS (SELECT difficulty, metric, entropy, SUM(y)::BIGINT AS p, SUM(1 - y)::BIGINT AS n FROM (SELECT difficulty, 'pass_at_n' AS metric, pass_at_n AS y, DSE AS entropy FROM ff UNION ALL SELECT difficulty, 'pass_at_cluster', pass_at_cluster, DSE FROM ff) GROUP BY ALL),
-u AS (SELECT *, SUM(p) OVER (PARTITION BY difficulty, metric ORDER BY entropy) - p AS tp FROM gg)
-SELECT difficulty, metric, ROUND(SUM(n * (tp + p / 2)) / (SUM(p) * SUM(n)), 6) AS auroc, (SUM(p) + SUM(n))::BIGINT AS num_samples FROM u GROUP BY difficulty, metric""")
+MEASURED = ("PE_MC", "PE_Rao", "SE", "DSE")
+
+
+@query(f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, pass_at_n, pass_at_cluster, PE_MC, PE_Rao, SE, DSE FROM q),
+ll AS ({" UNION ALL ".join(f"SELECT difficulty, '{t}' AS metric, '{m}' AS entropy_type, {t} AS y, ROUND({m}, 9) AS entropy FROM ff" for t in ("pass_at_n", "pass_at_cluster") for m in MEASURED)}),
+gg AS (SELECT difficulty, metric, entropy_type, entropy, SUM(y)::BIGINT AS p, SUM(1 - y)::BIGINT AS n FROM ll GROUP BY ALL),
+u AS (SELECT *, SUM(p) OVER (PARTITION BY difficulty, metric, entropy_type ORDER BY entropy) - p AS tp FROM gg)
+SELECT difficulty, metric, entropy_type, ROUND(SUM(n * (tp + p / 2)) / (SUM(p) * SUM(n)), 5) AS auroc, (SUM(p) + SUM(n))::BIGINT AS num_samples FROM u GROUP BY ALL""")
 def evaluation_grouped(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir).withColumn("DSE", F.round("DSE", 9))
-    out = evaluate.evaluate(rows).filter("entropy_type = 'DSE'")
-    return rounded(out.select("difficulty", "metric", "auroc", "num_samples"))
+    rows = scored_lines(spark, sf_dir).withColumns({m: F.round(m, 9) for m in MEASURED})
+    return rounded(evaluate.evaluate(rows).select("difficulty", "metric", "entropy_type", "auroc", "num_samples"), 5)
 
 
 @query(f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, * EXCLUDE (d) FROM q)
-SELECT difficulty, ROUND(corr(SE, avg_score), 5) AS se_avg, ROUND(corr(PE_MC, max_score), 5) AS pe_max, COUNT(*) AS num_samples FROM ff GROUP BY difficulty""")
+{" UNION ALL ".join(f"SELECT difficulty, '{s}' AS score_type, '{m}' AS entropy_type, ROUND(corr({m}, {s}), 5) AS correlation, COUNT(*) AS num_samples FROM ff GROUP BY difficulty" for s in ("avg_score", "max_score", "cluster_avg_score", "cluster_max_score") for m in MEASURED)}""")
 def correlation_grouped(spark, sf_dir):
-    out = evaluate.correlate(scored_lines(spark, sf_dir))
-    pick = lambda s, e: F.max(F.when((F.col("score_type") == s) & (F.col("entropy_type") == e), F.round("correlation", 5)))
-    return out.groupBy("difficulty").agg(pick("avg_score", "SE").alias("se_avg"), pick("max_score", "PE_MC").alias("pe_max"), F.max("num_samples").alias("num_samples"))
+    return rounded(evaluate.correlate(scored_lines(spark, sf_dir)).select("difficulty", "score_type", "entropy_type", "correlation", "num_samples"), 5)
 
 
 @query()
@@ -558,20 +559,42 @@ def cascade_layer_entropies(spark, sf_dir):
 #: SQL: outputs of each line's program on three tests.
 OUTPUTS = f"""SELECT b.qid, b.pos, t.test, CASE WHEN (b.l_partkey + t.test) % 5 < t.test THEN 'Error: x' WHEN t.test = 0 THEN b.ckey2 WHEN t.test = 1 THEN b.model ELSE b.ckey END AS output
 FROM ({L}) b CROSS JOIN (SELECT 0 AS test UNION ALL SELECT 1 UNION ALL SELECT 2) t"""
-VALID = f"""o AS ({OUTPUTS}), n AS (SELECT qid, test, COUNT(*) AS n, COUNT(*) FILTER (WHERE contains(output, 'Error:')) AS errors FROM o GROUP BY qid, test)"""
+#: SQL: the outputs without one of five, all samples on all tests, and the errors of each test.
+VALID = f"""p AS ({OUTPUTS}), g AS ({L}), o AS (SELECT s.qid, s.pos, t.test, COALESCE(CASE WHEN contains(p.output, 'Error:') THEN 'ERROR' ELSE p.output END, 'ERROR') AS output FROM (SELECT qid, pos FROM g) s
+  JOIN (SELECT DISTINCT qid, test FROM p WHERE (qid + pos + test) % 5 <> 0) t ON s.qid = t.qid LEFT JOIN (SELECT * FROM p WHERE (qid + pos + test) % 5 <> 0) p ON p.qid = s.qid AND p.pos = s.pos AND p.test = t.test),
+n AS (SELECT qid, test, COUNT(*) AS n, COUNT(*) FILTER (WHERE output = 'ERROR') AS errors FROM o GROUP BY qid, test)"""
+
+
+def some_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, OUTPUTS).filter("(qid + pos + test) % 5 <> 0")
 
 
 @query(f"WITH {VALID} SELECT qid, test::BIGINT AS test, errors, n, errors < n / 2 AS valid FROM n")
 def functional_error_filter(spark, sf_dir):
-    return rounded(functional.error_counts(bound(spark, sf_dir, OUTPUTS)).withColumn("valid", F.col("errors") < F.col("n") / 2))
+    return rounded(functional.error_counts(bound(spark, sf_dir, L), some_outputs(spark, sf_dir)).withColumn("valid", F.col("errors") < F.col("n") / 2))
 
 
-@query(f"""WITH {VALID}, b AS ({L}), v AS (SELECT o.qid, o.pos, string_agg(CASE WHEN contains(output, 'Error:') THEN 'ERROR' ELSE output END, '|' ORDER BY o.test) AS v FROM o JOIN n ON o.qid = n.qid AND o.test = n.test AND n.errors < n.n / 2 GROUP BY o.qid, o.pos),
+@query(f"""WITH {VALID}, b AS ({L}), v AS (SELECT o.qid, o.pos, string_agg(o.test || '=' || output, '|' ORDER BY o.test) AS v FROM o JOIN n ON o.qid = n.qid AND o.test = n.test AND n.errors < n.n / 2 GROUP BY o.qid, o.pos),
 k AS (SELECT b.qid, b.pos, COALESCE(v.v, '#' || b.pos) AS k FROM b LEFT JOIN v ON b.qid = v.qid AND b.pos = v.pos), f AS (SELECT qid, k, MIN(pos) AS f FROM k GROUP BY qid, k), r AS (SELECT *, DENSE_RANK() OVER (PARTITION BY qid ORDER BY f) - 1 AS cluster FROM f)
 SELECT k.qid, k.pos::BIGINT AS pos, r.cluster::BIGINT AS cluster FROM k JOIN r ON k.qid = r.qid AND k.k = r.k""")
 def functional_clusters(spark, sf_dir):
     samples = bound(spark, sf_dir, L)
-    return rounded(registry.cluster_samples(samples, "functional", outputs=bound(spark, sf_dir, OUTPUTS)).select("qid", "pos", "cluster"))
+    return rounded(registry.cluster_samples(samples, "functional", outputs=some_outputs(spark, sf_dir)).select("qid", "pos", "cluster"))
+
+
+@query(f"""WITH b AS ({E}), q AS (SELECT DISTINCT qid FROM b), c AS (SELECT qid, ckey AS test, pos FROM b WHERE qid % 3 = 0), f AS (SELECT qid, ckey || '!' AS test, pos FROM b WHERE qid % 3 <> 2),
+t AS (SELECT qid, list(test ORDER BY pos) AS l FROM c GROUP BY qid UNION ALL SELECT qid, list(test ORDER BY pos) FROM f WHERE qid NOT IN (SELECT qid FROM c) GROUP BY qid)
+SELECT q.qid::VARCHAR AS task_id, COALESCE(CASE WHEN q.qid % 3 = 0 THEN LEAST(5, len(l)) ELSE len(l) END, 0)::BIGINT AS tests, (t.qid IS NOT NULL) AS stored, TRUE AS inside FROM q LEFT JOIN t ON t.qid = q.qid""")
+def acquired_tests(spark, sf_dir):
+    """Every third user has cached tests, every third fresh ones only, the others none; `inside`: tests come from the right list."""
+    rows = bound(spark, sf_dir, E).select(F.col("qid").cast("string").alias("task_id"), F.lit(True).alias("is_stdin"), "qid", "pos", "ckey")
+    made = lambda r, text: r.groupBy("task_id", "is_stdin").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(text.alias("input"), F.lit("").alias("output"), F.lit("stdin").alias("testtype")).alias("t")))).alias("g")).select("task_id", "is_stdin", F.col("g.t").alias("generated_tests"))
+    cache, fresh = made(rows.filter("qid % 3 = 0"), F.col("ckey")), made(rows.filter("qid % 3 <> 2"), F.concat("ckey", F.lit("!")))
+    tests, stored = functional.acquire_tests(rows.select("task_id", "is_stdin"), cache, fresh)
+    lists = stored.select("task_id", F.col("generated_tests").alias("l"))
+    right = tests.join(lists, "task_id").groupBy("task_id").agg(F.count(F.lit(1)).alias("tests"), F.bool_and(F.col("test") == F.get("l", F.col("test_no"))).alias("inside"))
+    out = rows.select("task_id").distinct().join(right, "task_id", "left").join(lists, "task_id", "left")
+    return out.select("task_id", F.coalesce("tests", F.lit(0)).cast("long").alias("tests"), F.col("l").isNotNull().alias("stored"), F.coalesce("inside", F.lit(True)).alias("inside"))
 
 
 # -- text functions ---------------------------------------------------------------------------------
@@ -688,13 +711,13 @@ def metadata_filter(spark, sf_dir):
     return rounded(bound(spark, sf_dir, E).join(meta, "qid", "left_semi").select("qid", "pos"))
 
 
-@query(f"""WITH b AS ({E}), e AS (SELECT qid, list(ckey ORDER BY pos) AS o FROM b WHERE pos < 4 GROUP BY qid), f AS (SELECT qid, list(ckey ORDER BY pos) AS n FROM b WHERE pos >= 2 AND pos < 8 AND qid % 2 = 0 GROUP BY qid)
+@query(f"""WITH b AS ({E}), e AS (SELECT qid, list(ckey ORDER BY pos) AS o FROM b WHERE pos % 2 = 0 GROUP BY qid), f AS (SELECT qid, list(ckey ORDER BY pos) AS n FROM b WHERE pos % 2 = 1 OR pos % 3 = 0 GROUP BY qid)
 SELECT COALESCE(e.qid, f.qid)::VARCHAR AS task_id, CASE WHEN f.qid IS NULL THEN o ELSE list_concat(o, list_filter(n, lambda x: NOT list_contains(o, x))) END AS inputs FROM e FULL JOIN f ON e.qid = f.qid""")
 def cache_upsert(spark, sf_dir):
     test = F.struct("pos", F.struct(F.col("ckey").alias("input"), F.lit("").alias("output"), F.lit("stdin").alias("testtype")).alias("t"))
     rows = bound(spark, sf_dir, E)
     gather = lambda r: r.groupBy(F.col("qid").cast("string").alias("task_id"), F.lit(True).alias("is_stdin")).agg(F.sort_array(F.collect_list(test)).alias("g")).select("task_id", "is_stdin", F.col("g.t").alias("generated_tests"))
-    out = writers.upsert_tests(gather(rows.filter("pos < 4")), gather(rows.filter("pos >= 2 AND pos < 8 AND qid % 2 = 0")))
+    out = writers.upsert_tests(gather(rows.filter("pos % 2 = 0")), gather(rows.filter("pos % 2 = 1 OR pos % 3 = 0")))
     return out.select("task_id", F.col("generated_tests.input").alias("inputs"))
 
 
@@ -761,3 +784,6 @@ def verdict_cache(spark, sf_dir):
     cache = asked.filter("event_id % 2 = 0").select(F.md5("prompt").alias("key"), F.lit("Entailment").alias("response"))
     out = similarity.cached_verdicts(asked, cache)
     return rounded(out.select("event_id", F.col("verdict").isNotNull().alias("cached"), F.coalesce("verdict", F.lit(9)).alias("verdict")))
+
+
+from . import queries_files  # noqa: E402, F401  registers the queries on files

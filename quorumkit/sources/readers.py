@@ -24,22 +24,62 @@ CONFIG = "layers_count int, layers array<struct<layer_idx:int,samples:map<string
 TESTS = "array<struct<input:string,output:string,testtype:string>>"
 
 
-def _path_parts(depth: int) -> list[Column]:
-    """The names of the folders above a file, outermost first."""
+def _paths(spark: SparkSession, *patterns: str) -> list[str]:
+    """The folders that some pattern matches, in whatever file system they are."""
+    found = []
+    for pattern in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found += [str(x.getPath()) for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if x.isDirectory()]
+    return found
+
+
+def _plain(part: Column) -> Column:
+    """A part of a path as it was before it was put into a URI."""
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
+def _path_parts(*names: str) -> list[Column]:
+    """The names of the folders above a file, outermost first, with or without `name=` before them."""
     parts = F.split(F.regexp_replace(F.input_file_name(), r"[?#].*$", ""), "/")
-    return [F.url_decode(F.element_at(parts, i - depth - 1)) for i in range(depth)]
+    out = []
+    for i, name in enumerate(names):
+        part = _plain(F.element_at(parts, i - len(names) - 1))
+        value = _plain(F.substr(part, F.lit(len(name) + 2)))
+        out.append(F.when(~F.startswith(part, F.lit(f"{name}=")), part).when(value != "__HIVE_DEFAULT_PARTITION__", value).alias(name))
+    return out
+
+
+def line_order() -> Column:
+    """Orders rows that were just read by file, place in the file, and line."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
+
+
+def _json(spark: SparkSession, schema: str, paths: list[str], glob: str) -> DataFrame:
+    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("allowNonNumericNumbers", True)
+    return read.option("pathGlobFilter", glob).json(paths)
 
 
 def rounds(spark: SparkSession, folder: str, difficulty: str = "*", model: str = "*") -> DataFrame:
-    """Saved rounds below <difficulty>/<model>/round_<k>.jsonl (or .json): their rows with difficulty, model, round_id.
+    """Saved rounds: their rows with difficulty, model, round_id.
 
-    Blank lines and lines that are no JSON are skipped; numbers may be NaN or Infinity.
+    They lie in <difficulty>/<model>/round_<k>.jsonl (or .json), or as writers.write_rounds leaves them, in
+    difficulty=<d>/model=<m>/round_id=<k>/. Blank lines and lines that are no JSON are skipped; numbers may be NaN or
+    Infinity. A folder without rounds gives no rows.
     """
-    read = spark.read.schema(ROUND).option("mode", "DROPMALFORMED").option("allowNonNumericNumbers", True).option("pathGlobFilter", "round_*.json*")
-    rows = read.json(f"{folder}/{difficulty}/{model}/")
-    level, name = _path_parts(2)
-    number = F.regexp_extract(F.input_file_name(), r"round_(\d+)\.jsonl?$", 1).try_cast("int")
-    return rows.select("*", level.alias("difficulty"), name.alias("model"), number.alias("round_id")).filter("question_id IS NOT NULL")
+    named = lambda name, value: value if value == "*" else f"{name}={value}"
+    flat = [p for p in _paths(spark, f"{folder}/{difficulty}/{model}") if "/model=" not in p]
+    deep = _paths(spark, f"{folder}/{'difficulty=*' if difficulty == '*' else named('difficulty', difficulty)}/{'model=*' if model == '*' else named('model', model)}/round_id=*")
+    number = F.regexp_extract(F.input_file_name(), r"round_(\d+)\.jsonl?$", 1).try_cast("int").alias("round_id")
+    out = None
+    if flat:
+        out = _json(spark, ROUND, flat, "round_*.json*").select("*", *_path_parts("difficulty", "model"), number)
+    if deep:
+        level, name, k = _path_parts("difficulty", "model", "round_id")
+        rows = _json(spark, ROUND, deep, "*.json*").select("*", level, name, k.try_cast("int").alias("round_id"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], f"{ROUND}, difficulty string, model string, round_id int")
+    return out.filter("question_id IS NOT NULL")
 
 
 def model_samples(rows: DataFrame, round_ids: Sequence[int]) -> DataFrame:
@@ -75,7 +115,7 @@ def parse_rounds(text: str) -> list[int]:
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """Question metadata from one JSON array; of a repeated task_id the last counts."""
-    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path).withColumn("__k", F.monotonically_increasing_id())
+    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path).withColumn("__k", line_order())
     last = F.max_by(F.struct("prompt", "is_stdin"), "__k").alias("q")
     return rows.filter("task_id IS NOT NULL").groupBy("task_id").agg(last).select("task_id", "q.*")
 
@@ -144,15 +184,21 @@ def baseline_samples(rows: DataFrame, found: dict) -> DataFrame:
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    """Entropy results below <difficulty>/<model>/<method>/result.jsonl with the three names as columns."""
-    read = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").option("allowNonNumericNumbers", True).option("pathGlobFilter", "result.jsonl")
-    level, name, method = _path_parts(3)
-    return read.json(f"{folder}/*/*/*/").select("*", level.alias("difficulty"), name.alias("model"), method.alias("method"))
+    """Entropy results below <difficulty>/<model>/<method>/, in result.jsonl or as writers.write_results leaves them,
+    with the three names as columns. A folder without results gives no rows."""
+    names, out = ("difficulty", "model", "method"), None
+    found = _paths(spark, f"{folder}/*/*/*")
+    for paths, glob in (([p for p in found if "/method=" not in p], "result.jsonl"), ([p for p in found if "/method=" in p], "*.json*")):
+        if paths:
+            rows = _json(spark, RESULT, paths, glob).select("*", *_path_parts(*names))
+            out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], RESULT + "".join(f", {n} string" for n in names)) if out is None else out
 
 
 def test_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(task_id, is_stdin, generated_tests): the last line of each key; empty ids and empty lists are left out."""
-    rows = spark.read.schema(CACHE).option("mode", "DROPMALFORMED").json(path).withColumn("__k", F.monotonically_increasing_id())
+    """(task_id, is_stdin, generated_tests): the last line of each key, of several files that of the last name; empty
+    ids and empty lists are left out."""
+    rows = spark.read.schema(CACHE).option("mode", "DROPMALFORMED").json(path).withColumn("__k", line_order())
     return last_tests(rows, "__k")
 
 
@@ -163,9 +209,11 @@ def last_tests(rows: DataFrame, order: str) -> DataFrame:
     return last.filter(F.size("generated_tests") > 0)
 
 
-def problems(spark: SparkSession, path: str, difficulty: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Benchmark entries as JSON lines, of one difficulty and between two dates, both included."""
+def problems(spark: SparkSession, path: str, difficulty: str | None = None, start: str | None = None, end: str | None = None, last: bool = False) -> DataFrame:
+    """Benchmark entries as JSON lines, of one difficulty and between two dates, both included; with `last`, of those
+    that share a question_id the last line counts, as in maps of their tests."""
     rows = spark.read.schema(PROBLEM).json(path)
+    rows = last_entries(rows, line_order()) if last else rows
     if difficulty:
         rows = rows.filter(F.col("difficulty") == difficulty)
     if start:
@@ -177,7 +225,7 @@ def decode_private(text: str | None) -> str:
     """Tests from base64 of zlib of JSON text, or from plain JSON; '[]' if undecodable. Pickled payloads are refused."""
     if not text:
         return "[]"
-    for read in (lambda t: t, lambda t: zlib.decompressobj().decompress(b64decode(t, validate=True), 1 << 28).decode()):
+    for read in (lambda t: t, lambda t: zlib.decompress(b64decode(t, validate=True)).decode()):
         try:
             found = json.loads(read(text))
         except (ValueError, zlib.error, UnicodeDecodeError):
@@ -203,6 +251,12 @@ def examples(rows: DataFrame) -> DataFrame:
     )
 
 
+def last_entries(rows: DataFrame, order: Column) -> DataFrame:
+    """The last of the problems that share a question_id, by `order` (see line_order)."""
+    kept = rows.withColumn("__k", order)
+    return kept.groupBy("question_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "__k").alias("r")).select("r.*")
+
+
 def tests_of(rows: DataFrame, column: str = "public_tests") -> DataFrame:
     """(task_id, test_no, test): one row per test."""
     return rows.select("task_id", F.posexplode(column).alias("test_no", "test"))

@@ -12,17 +12,29 @@ ROUND_COLUMNS = ("question_id", "debug_trace", "is_passed_public", "passed", "sc
 
 
 def write_rounds(rows: DataFrame, folder: str, append: bool = False) -> None:
-    """The five saved columns."""
-    rows.select(*ROUND_COLUMNS).write.mode("append" if append else "overwrite").json(folder)
+    """The five saved columns, in folders by difficulty, model and round_id, which readers.rounds reads; null values are kept."""
+    names = ("difficulty", "model", "round_id")
+    rows.select(*ROUND_COLUMNS, *names).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).partitionBy(*names).json(folder)
 
 
-def write_results(rows: DataFrame, folder: str) -> None:
-    """Entropy results in folders by difficulty, model and method."""
+def write_results(rows: DataFrame, folder: str, parameters: dict | None = None) -> None:
+    """Entropy results in folders by difficulty, model and method, which readers.results reads; parameters, such as those
+    of an ensemble, go beside them as one line of JSON in config/."""
     rows.write.mode("overwrite").partitionBy("difficulty", "model", "method").json(folder)
+    if parameters is not None:
+        line = json.dumps(parameters, sort_keys=True)
+        rows.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/config")
 
 
 def evaluation_rows(rows: DataFrame) -> DataFrame:
-    return rows.drop("fpr", "tpr").orderBy("model", "method", "difficulty", "metric", "entropy_type")
+    return rows.orderBy("model", "method", "difficulty", "metric", "entropy_type")
+
+
+def operating_rows(rows: DataFrame) -> DataFrame:
+    """The operating points of an evaluation, one row each: (model, method, difficulty, metric, entropy_type, point, value)."""
+    keys, points = ("model", "method", "difficulty", "metric", "entropy_type"), ("fpr_at_80", "fpr_at_90", "tpr_at_5", "tpr_at_10")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("point"), F.col(c).alias("value")) for c in points])).alias("p")
+    return rows.select(*keys, each).select(*keys, "p.*").orderBy(*keys, "point")
 
 
 def correlation_rows(rows: DataFrame) -> DataFrame:
