@@ -25,6 +25,8 @@ ARROW_ROWS = 500
 #: Trees, their depth, learning rate, bins of a feature, least rows of a leaf.
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 64, 10
 PRIOR = 2.0
+#: Parts of the labelled rows, each scored for calibration by trees that haven't seen it.
+FOLDS = 4
 #: Characters between an insult and a pronoun that count as near.
 NEAR_CHARS = 30
 
@@ -131,7 +133,7 @@ class Trees:
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
         raw = np.full(len(y), self.base)
-        for _ in range(min(TREES, 5 + len(y) // 20)):
+        for _ in range(TREES):
             p = 1 / (1 + np.exp(-raw))
             g, h = w * (y - p), w * p * (1 - p)
             node, tree = np.zeros(len(y), np.int64), []
@@ -168,10 +170,9 @@ class Trees:
             out += leaves[node]
         return out
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> Trees:
         """Isotonic regression of labels on raw scores: neighbours out of order are pooled, and each pool's
         mean is drawn to the mean of all labels as by PRIOR rows."""
-        raw = self.raw(x)
         order = np.argsort(raw, kind="stable")
         blocks: list[list[float]] = []  # sum of labels, rows, sum of raw scores
         for r, t in zip(raw[order], y[order]):
@@ -237,16 +238,20 @@ def features(docs: DataFrame, learned: list[str], id_col: str = "doc_id", text_c
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Trees on three of four rows, calibrated on the fourth; the mean label where there is only one."""
+    """Trees on all rows, calibrated on what each of FOLDS parts of them gets from trees on the other
+    parts; the mean label where there is only one."""
     model = Trees()
     if not len(y) or y.min() == y.max():
         model.ys = np.array([float(y.mean()) if len(y) else 0.0])
         return model
-    apart = np.arange(len(y)) % 4 == 3
-    if len(y) < 200 or y[apart].min() == y[apart].max():
-        apart = np.ones(len(y), bool)
-        return model.fit(x, y).calibrate(x, y)
-    return model.fit(x[~apart], y[~apart]).calibrate(x[apart], y[apart])
+    raw, part = np.zeros(len(y)), np.zeros(len(y), np.int64)
+    for label in (0, 1):  # each part gets its share of both labels
+        own = np.flatnonzero(y == label)
+        part[own] = np.arange(own.size) % FOLDS
+    for k in range(FOLDS):
+        if (part == k).any():
+            raw[part == k] = Trees().fit(x[part != k], y[part != k]).raw(x[part == k])
+    return model.fit(x, y).calibrate(raw, y)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
