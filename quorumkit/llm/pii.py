@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from math import isqrt
 
@@ -17,13 +18,16 @@ from ..session import ship
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
-#: Digits and letters move within these.
-CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+#: Digits and letters move within these: ASCII, Latin-1, Latin Extended-A, Greek and Cyrillic, lower and upper case apart.
+ALPHABETS = ((0x61, 0x7B), (0x41, 0x5B), (0xC0, 0x100), (0x100, 0x180), (0x370, 0x400), (0x400, 0x460))
+CLASSES = ("0123456789", *("".join(c for c in map(chr, range(*block)) if case(c)) for block in ALPHABETS for case in (str.islower, str.isupper)))
 CLASS_OF = {c: own for own in CLASSES for c in own}
 #: Rows that are worked on at once.
 STEP = 500
 #: No number reaches farther than so many characters.
 NEAR = 80
+#: Characters of a local part that are permuted together; longer ones are cut, from their end.
+PIECE = 64
 #: Characters of an IBAN, by country.
 IBAN_SIZES = dict(re.findall("([A-Z]{2})([0-9]{2})", """
     AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18
@@ -46,10 +50,10 @@ def _shorter(kind: str, found: str) -> list[str]:
         return [v for v in all_ if 8 <= digits(v) <= 15 and v.count("(") == v.count(")")]
     return [found]
 
-EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
-EMAIL_LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
+#: The local part of an address, of any length; an apostrophe may stand inside. Each run is tried once, from its beginning.
+EMAIL = re.compile(r"(?<![\w.%+-])(?<![\w.%+-]')[\w.%+-]++(?:'[\w.%+-]++)*+(?=(@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}))")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
+CARD = re.compile(r"(?<![\w+-])(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\w|-\w)")
 #: The usual groups of card numbers.
 GROUPS = re.compile(r"\d+|\d{4}([ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
@@ -122,7 +126,31 @@ def _is_iban(found: str) -> bool:
     return iban_check(plain[:2], plain[4:]) == plain[2:4]
 
 
-def _first(kind: str, pattern: re.Pattern, text: str, at: int, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
+class Taken:
+    """Spans of a text that hold a value already, in order; spans that overlap are one."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in spans:
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        lo, hi = bisect_right(self.ends, a), bisect_left(self.begins, b)
+        if lo < hi:
+            a, b = min(a, self.begins[lo]), max(b, self.ends[hi - 1])
+        self.begins[lo:hi], self.ends[lo:hi] = [a], [b]
+
+    def meets(self, a: int, b: int) -> bool:
+        return bisect_right(self.ends, a) < bisect_left(self.begins, b)
+
+    def within(self, a: int, b: int) -> Taken:
+        """The spans that meet [a, b), counted from a."""
+        lo, hi = bisect_right(self.ends, a), bisect_left(self.begins, b)
+        return Taken((x - a, y - a) for x, y in zip(self.begins[lo:hi], self.ends[lo:hi]))
+
+
+def _first(kind: str, pattern: re.Pattern, text: str, at: int, taken: Taken) -> tuple[int, int] | None:
     """Where the first card number or IBAN from `at` on stands, clear of what is taken. Of several that
     overlap it, one in the usual groups of cards counts most, then the longest, then the leftmost."""
     valid = _is_card if kind == "card" else _is_iban
@@ -130,7 +158,7 @@ def _first(kind: str, pattern: re.Pattern, text: str, at: int, taken: list[tuple
     while (m := pattern.search(text, at)) and m.start() < until:
         for value in _shorter(kind, m[0]):
             end = m.start() + len(value)
-            if not any(m.start() < b and a < end for a, b in taken) and valid(value):
+            if not taken.meets(m.start(), end) and valid(value):
                 until = until if best else end
                 best = max(best, (bool(GROUPS.fullmatch(value)), len(value), -m.start()))
         at = m.start() + 1
@@ -208,11 +236,16 @@ class Pseudonyms:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
                 return None
-            # month first and day first must stay apart, or the way back would read the other one
-            same = lambda x: order == "ymd" or order == "dmy" or (FIRST_DAY + dt.timedelta(x)).day > 12
+            short = {c for c, v in zip(order, re.split(r"\D", found)) if len(v) == 1}
+
+            def same(x: int) -> bool:
+                """Month first and day first stay apart, or the way back would read the other one; what has one digit keeps one."""
+                new = FIRST_DAY + dt.timedelta(x)
+                return (order != "mdy" or new.day > 12) and ("d" not in short or new.day < 10) and ("m" not in short or new.month < 10)
+
             x = self.feistel.permute((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, f"date {order}", self.inverse, same)
             new = FIRST_DAY + dt.timedelta(x)
-            values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            values = {c: f"{v:0{1 if c in short else 2}d}" for c, v in (("y", new.year), ("m", new.month), ("d", new.day))}
             return mark.join(values[c] for c in order)
         return None
 
@@ -235,7 +268,11 @@ class Pseudonyms:
 
         return at(self.feistel.permute(x, n, f"{kind}|{shape}", self.inverse, lambda x: fits(at(x))))
 
-    def _checked(self, kind: str, pattern: re.Pattern, make: Callable[..., str | None], text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    def local(self, found: str) -> str:
+        cuts = [0, *range(len(found) % PIECE or PIECE, len(found), PIECE), len(found)]
+        return "".join(self._new("email", found[a:b], lambda v: self.mixed("email", v)) for a, b in zip(cuts, cuts[1:]))
+
+    def _checked(self, kind: str, pattern: re.Pattern, make: Callable[..., str | None], text: str, taken: Taken) -> Iterator[tuple[int, int, str]]:
         """Card numbers or IBANs with their pseudonyms. A pseudonym is one that is found in the same place,
         or the way back would read other digits beside it as part of the number."""
         at = 0
@@ -243,7 +280,7 @@ class Pseudonyms:
             a, b = place
             base = max(0, max(at, a - NEAR) - 1)
             start, before, behind = max(at, a - NEAR) - base, text[base:a], text[b : b + NEAR]
-            near = [(x - base, y - base) for x, y in taken]
+            near = taken.within(base, b + NEAR)
             fits = lambda v: _first(kind, pattern, before + v + behind, start, near) == (a - base, b - base)
             new = self._new(kind, text[a:b], make)
             yield a, b, new if fits(new) else make(text[a:b], fits)
@@ -259,27 +296,27 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with pseudonyms, and where they stand in it: kind, start, end (in characters)."""
         found: list[tuple[int, int, str, str]] = []
+        taken = Taken()
         if "@" in text:
-            for m in EMAIL_DOMAIN.finditer(text):
-                local = EMAIL_LOCAL.search(text, max(0, m.start() - 64), m.start())
-                if local and (new := self._new("email", local[0], lambda v: self.mixed("email", v))):
-                    found.append((local.start(), m.start(), "email", new))
+            for m in EMAIL.finditer(text):
+                found.append((*m.span(), "email", self.local(m[0])))
+                taken.add(m.start(), m.end(1))
         if re.search(r"\d", text):
-            taken = [(a, EMAIL_DOMAIN.match(text, b).end()) for a, b, *_ in found]
             for kind, pattern, make in self.kinds:
                 if kind in ("card", "iban"):
                     own = list(self._checked(kind, pattern, make, text, taken))
                     found += [(a, b, kind, new) for a, b, new in own]
-                    taken += [(a, b) for a, b, _ in own]
+                    for a, b, _ in own:
+                        taken.add(a, b)
                     continue
                 for m in pattern.finditer(text):
                     for value in _shorter(kind, m[0]):
                         end = m.start() + len(value)
-                        if any(m.start() < b and a < end for a, b in taken):
+                        if taken.meets(m.start(), end):
                             continue
                         if (new := self._new("phone" if kind == "international" else kind, value, make)) is not None:
                             found.append((m.start(), end, "phone" if kind == "international" else kind, new))
-                            taken.append((m.start(), end))
+                            taken.add(m.start(), end)
                             break
         out, spans, at, length = [], [], 0, 0
         for a, b, kind, new in sorted(found):
@@ -294,15 +331,17 @@ class Pseudonyms:
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, spans (array of kind, start, end in that text).
 
-    Replaced are e-mail addresses (the part before the @), card numbers (valid by Luhn's rule, and valid
-    again), IBANs (valid check digits, and valid again), phone numbers (with a + and a country code in any
-    groups; without, only in groups of 3, 3 and 4 digits), US social security numbers, IPv4 addresses and
-    calendar dates; digits and letters move only within their format. A match that fails its check is
-    tried shorter, up to each separator, and then from the next word on. Under one key equal values get
-    equal pseudonyms in every document, but for numbers beside digits or words with which their pseudonym
-    would read as a longer one; `inverse` restores them, but may not where two
-    numbers stand side by side with only a separator between them. Numbers that don't pass their check are left alone. A null text stays null, with no spans; repeated rows each
-    have a row; an empty table gives none; other columns are not read. Letters outside ASCII stay.
+    Replaced are e-mail addresses (the whole part before the @), card numbers (valid by Luhn's rule, and
+    valid again), IBANs (valid check digits, and valid again), phone numbers (with a + and a country code in
+    any groups; without, only in groups of 3, 3 and 4 digits), US social security numbers, IPv4 addresses and
+    calendar dates of the years 1900 to 2099 (others stay). Digits and letters move only within their format:
+    Latin, Greek and Cyrillic letters within their alphabet and case; letters of other alphabets stay. A match
+    that fails its check is tried shorter, up to each separator, and then from the next word on; numbers that
+    fail it in every way are left alone. Under one key equal values get equal pseudonyms in every document,
+    but for numbers beside digits or words with which their pseudonym would read as a longer one; `inverse`
+    restores them, but may not where two numbers stand side by side with only a separator between them. A
+    null text stays null, with no spans; repeated rows each have a row; an empty table gives none; other
+    columns are not read.
     """
     ship(docs.sparkSession)
 

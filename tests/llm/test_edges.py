@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -244,6 +246,68 @@ def test_trees():
     assert (np.diff(score[order]) >= -1e-12).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=30))
+def test_pooling_by_brute_force(labels):
+    """The isotonic value at i is the largest, over beginnings up to i, of the least mean up to any end from i on."""
+    y = np.array(labels, float)
+    model = toxicity.Trees().calibrate(np.arange(y.size, dtype=float), y)
+    sizes, at = [], 0.0
+    for x in model.xs:
+        sizes.append(round(2 * (x - at)) + 1)
+        at += sizes[-1]
+    assert sum(sizes) == y.size
+    sums = np.repeat(model.ys * (np.array(sizes) + toxicity.PRIOR) - toxicity.PRIOR * y.mean(), sizes) / np.repeat(sizes, sizes)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, y.size)) for a in range(i + 1)) for i in range(y.size)]
+    assert np.allclose(sums, want)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10**6))
+def test_a_split_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 12, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    p = min(max(y.mean(), 1e-4), 1 - 1e-4)
+    g, h = y - p, np.full(80, p * (1 - p))
+
+    def gain(left):
+        parts = [g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)]
+        return sum(parts) - g.sum() ** 2 / (h.sum() + 1)
+
+    cuts = [(f, t) for f in range(3) for t in np.unique(x[:, f]) if toxicity.LEAF <= (x[:, f] <= t).sum() <= 80 - toxicity.LEAF]
+    best = max((gain(x[:, f] <= t) for f, t in cuts), default=0.0)
+    splits, leaves = toxicity.Trees().fit(x, y).trees[0]
+    (f, t) = splits[0][0]
+    left = x[:, f] <= t
+    assert best < 1e-8 or math.isclose(gain(left), best, rel_tol=1e-9)
+    node = np.zeros(80, int)
+    for level in splits:
+        node = 2 * node + np.array([x[i, level[node[i]][0]] > level[node[i]][1] for i in range(80)])
+    for k in np.unique(node):
+        assert math.isclose(leaves[k], toxicity.RATE * g[node == k].sum() / (h[node == k].sum() + 1), abs_tol=1e-12)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "You", "IDIOT", "fool!", "a-b", "x.y", "aaaa", "7", "#", "?!", "hello", "you_", " ", "\n"]), max_size=25).map(" ".join))
+def test_features_by_brute_force(text):
+    got = dict(zip(toxicity.FEATURES, toxicity.Featurizer().one(text)))
+    words = text.split()
+    n, size = max(1, len(words)), max(1, len(text))
+    whole = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    insults, address = [w for w in whole if w in toxicity.INSULTS], [w for w in whole if w in toxicity.PRONOUNS]
+    letters = [c for c in text if c.isalpha()]
+    want = {
+        "insults": len(insults), "insult_kinds": len(set(insults)), "insult_density": len(insults) / n, "learned": 0, "learned_density": 0,
+        "address_density": len(address) / n, "upper_share": sum(map(str.isupper, letters)) / max(1, len(letters)),
+        "caps_words": sum(map(str.isupper, words)) / n, "marks": sum(c in "!?" for c in text) / n, "other_marks": text.count("#") / size + text.count("_") / size,
+        "elongated": sum(len(set(text[i : i + 4])) == 1 and not text[i].isspace() for i in range(len(text) - 3)) / size,
+        "inner_marks": sum(text[i].isalpha() and text[i + 2].isalpha() and not text[i + 1].isalpha() and not text[i + 1].isspace() for i in range(len(text) - 2)) / n,
+        "digits": sum(map(str.isdigit, text)) / size, "repeated": 1 - len(set(words)) / n, "log_words": math.log(1 + len(words)),
+    }
+    for name, value in want.items():
+        assert math.isclose(got[name], value, abs_tol=1e-9), name
+
+
 def test_disguised_words():
     make = toxicity.Featurizer(["zork*"])
     at = dict(zip(toxicity.FEATURES, make.one("You IDIOT! m0ron s.t.u.p.i.d zorkling")))
@@ -442,3 +506,43 @@ def test_numbers_beside_others(value, text, key):
     at = before.index(value)
     assert value not in new and any(s["start"] <= at and s["end"] >= at + len(value) for s in spans)
     assert back.replace(new)[0] == before
+
+
+def _cards(text):
+    """Every valid card number, by trying each beginning and each end."""
+    for a in range(len(text)):
+        if not text[a].isdigit() or re.search(r"[\w+-]$|\d\.$", text[:a]):
+            continue
+        for b in range(a + 13, min(len(text), a + 37) + 1):
+            value = text[a:b]
+            digits = re.sub(r"\D", "", value)
+            if not re.fullmatch(r"\d([ -]?\d)*", value) or not 13 <= len(digits) <= 19 or re.match(r"\w|-\w", text[b:]):
+                continue
+            total = sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
+            if total % 10 == 0 and len(set(digits)) > 1:
+                yield a, b
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111111111111111", "378282246310005", "5500-0000-0000-0004", "12", "7", "2026", "word", "No.", "x-", "-", ","]), max_size=8), st.sampled_from([" ", "", ", "]))
+def test_cards_by_brute_force(parts, gap):
+    """No valid number stays whole in clear: each meets one that was replaced."""
+    text = gap.join(parts)
+    new, spans = pii.Pseudonyms(b"k" * 16).replace(text)
+    if len(new) == len(text):
+        assert all(any(a < s["end"] and s["start"] < b for s in spans) for a, b in _cards(text))
+
+
+def test_whole_local_parts_and_dates():
+    one, back = pii.Pseudonyms(b"k" * 16), pii.Pseudonyms(b"k" * 16, True)
+    for text in ("john.o'neil@x.com", "ab" * 100 + "@x.com", "иван.łuk@x.ru", "a@b.com@c.com", "am 3.4.2001 und 03.04.2001", "12/31/1999"):
+        new, spans = one.replace(text)
+        assert back.replace(new)[0] == text and [len(w) for w in new.split()] == [len(w) for w in text.split()]
+        for s in spans:
+            own = [(x, y) for x, y in zip(text[s["start"] : s["end"]], new[s["start"] : s["end"]]) if x.isalnum()]
+            assert any(x != y for x, y in own)
+    assert one.replace("john.o'neil@x.com")[1][0]["start"] == 0
+    text = ", ".join(f"name{i}@x.com" for i in range(20_000))
+    began = time.process_time()
+    new, spans = one.replace(text)
+    assert len(spans) == 20_000 and time.process_time() - began < 10
