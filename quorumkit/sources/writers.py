@@ -86,6 +86,8 @@ def write_cache(spark: SparkSession, cache: DataFrame, path: str) -> None:
 
 
 def rejected(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that the schema can't read."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.select("*").filter("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    """Lines that the schema can't read, but for blank ones."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = F.from_json("value", f"{schema}, _corrupt_record string", options)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.filter(read["_corrupt_record"].isNotNull()).select(F.col("value").alias("_corrupt_record"))
