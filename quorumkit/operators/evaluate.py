@@ -55,13 +55,14 @@ def _cumulative(rows: DataFrame, group: Sequence[str], label: str, entropy: str)
     """Per distinct entropy of a group: positives and negatives here and at lower entropies, and in all.
 
     Rows with equal entropies are counted first. Running sums are taken inside ranges of entropy and
-    added to those of the ranges below.
+    added to those of the ranges below. Ranges end at approximate quantiles of the different entropies, so that
+    none holds most of them, whatever outliers there are.
     """
     counted = rows.groupBy(*group, F.col(entropy).cast("double").alias("__e")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    ends = counted.groupBy(*group).agg(F.min("__e").alias("__lo"), F.max("__e").alias("__hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    cuts = F.percentile_approx("__e", [k / RANGES for k in range(1, RANGES)], 4 * RANGES)
+    ends = counted.groupBy(*group).agg(F.array_sort(F.array_distinct(cuts)).alias("__cuts"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     met = counted.join(ends, list(group))
-    at = F.coalesce(F.floor(F.try_divide((F.col("__e") - F.col("__lo")) * RANGES, F.col("__hi") - F.col("__lo"))), F.lit(0))
-    met = met.withColumn("__r", at)
+    met = met.withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__e")))).drop("__cuts")
     sums = met.groupBy(*group, "__r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     below = Window.partitionBy(*group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "__r", F.coalesce(F.sum("rp").over(below), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(below), F.lit(0)).alias("bn"))
@@ -182,17 +183,37 @@ def correlate(rows: DataFrame, keys: Sequence[str] = ("model", "method", "diffic
     return pearson(flat, [*keys, "score_type", "entropy_type"], "entropy", "score").filter("num_samples >= 2")
 
 
-#: What a chart shows: an area of 0.6 or more; some false positive rate below 0.5; some true positive rate of 0.5 or more.
+#: What a chart shows: an area of at least the first number; some false positive rate below the second; some true
+#: positive rate of at least the third.
+LIMITS = (0.6, 0.5, 0.5)
 CHARTS = {
-    "roc": lambda: F.col("auroc") >= 0.6,
-    "fpr": lambda: (F.col("fpr_at_80") < 0.5) | (F.col("fpr_at_90") < 0.5),
-    "tpr": lambda: (F.col("tpr_at_5") >= 0.5) | (F.col("tpr_at_10") >= 0.5),
+    "roc": lambda area, fpr, tpr: F.col("auroc") >= area,
+    "fpr": lambda area, fpr, tpr: (F.col("fpr_at_80") < fpr) | (F.col("fpr_at_90") < fpr),
+    "tpr": lambda area, fpr, tpr: (F.col("tpr_at_5") >= tpr) | (F.col("tpr_at_10") >= tpr),
 }
 
 
-def chart_rows(evaluation: DataFrame, charts: Sequence[str] = tuple(CHARTS)) -> DataFrame:
+def chart_rows(evaluation: DataFrame, charts: Sequence[str] = tuple(CHARTS), limits: tuple[float, float, float] = LIMITS) -> DataFrame:
     """The rows that each chart shows, with its name in `chart`."""
     if unknown := set(charts) - set(CHARTS):
         raise ValueError(f"unknown charts: {', '.join(sorted(unknown))}")
-    names = F.array(*[F.when(CHARTS[c](), c) for c in charts])
+    names = F.array(*[F.when(CHARTS[c](*limits), c) for c in charts])
     return evaluation.withColumn("chart", F.explode(F.filter(names, lambda c: c.isNotNull())))
+
+
+def roc_summary(rows: DataFrame, keys: Sequence[str] = ("model", "method", "difficulty"), targets: Sequence[str] = ("pass_at_n", "pass_at_cluster"), least: float = LIMITS[0]) -> DataFrame:
+    """The curves of each model's summary, one row for each point: (keys, metric, entropy_type, label, auroc, fpr, tpr).
+    Curves with an area below `least` are left out. rows: as in evaluate()."""
+    group = [*keys, "metric", "entropy_type"]
+    flat = with_overall(long_form(rows, keys, targets), keys[-1])
+    shown = auroc(flat, group).filter(F.col("auroc") >= least).drop("num_samples")
+    label = F.concat(F.concat_ws("_", keys[1], "entropy_type"), F.format_string(" (AUC=%.4f)", "auroc"))
+    return roc_points(flat, group).join(shown, group).select(*group, label.alias("label"), "auroc", "fpr", "tpr")
+
+
+def correlation_bars(correlations: DataFrame) -> DataFrame:
+    """The bars of the charts that each model, difficulty and score type has: label, height, and colour, red below zero and
+    blue otherwise."""
+    label = F.concat_ws("_", "method", "entropy_type")
+    colour = F.when(F.col("correlation") < 0, "red").otherwise("blue")
+    return correlations.select("model", "difficulty", "score_type", label.alias("label"), F.col("correlation").alias("height"), colour.alias("colour"))

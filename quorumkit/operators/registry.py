@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,3 +94,31 @@ def cluster_samples(samples: DataFrame, method: str, **options) -> DataFrame:
     """Clusters of the samples of all questions by a named method; ValueError for an unknown one."""
     method_info(method)
     return METHODS[method][0](check_samples(samples), **options)
+
+
+def check_metadata(metadata: DataFrame) -> DataFrame:
+    """metadata, if it has task_id, prompt and a boolean is_stdin."""
+    missing = [c for c in ("task_id", "prompt", "is_stdin") if c not in metadata.columns]
+    if missing:
+        raise ValueError(f"metadata lacks {', '.join(missing)}")
+    if dict(metadata.dtypes)["is_stdin"] != "boolean":
+        raise ValueError("is_stdin must be boolean")
+    return metadata
+
+
+def faults(samples: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(qid, error): questions that have a sample without code or, if metadata is given, no row of it with a prompt and
+    a flag. One error for each question, of two the first by alphabet."""
+    found = [samples.select("qid", F.lit("").alias("error")).filter("false")]
+    if "code" in samples.columns:
+        found.append(samples.filter(F.col("code").isNull()).select("qid", F.lit("a sample has no code").alias("error")))
+    if metadata is not None:
+        whole = check_metadata(metadata).dropna(subset=["task_id", "prompt", "is_stdin"]).select(F.col("task_id").alias("qid"))
+        found.append(samples.select("qid").join(whole, "qid", "left_anti").select("qid", F.lit("the question has no metadata").alias("error")))
+    return reduce(DataFrame.unionByName, found).groupBy("qid").agg(F.min("error").alias("error"))
+
+
+def cluster_sound(samples: DataFrame, method: str, metadata: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Clusters of the questions without faults, and the faults: one bad question doesn't end the others."""
+    errors = faults(samples, metadata)
+    return cluster_samples(samples.join(errors.select("qid"), "qid", "left_anti"), method, **options), errors

@@ -79,6 +79,21 @@ def select(method: str, samples: DataFrame, **options) -> DataFrame:
     return METHODS[method](samples, **options)
 
 
+def answers(method: str, samples: DataFrame, questions: DataFrame, errors: DataFrame | None = None, group: Sequence[str] = ("qid",), **options) -> DataFrame:
+    """One row for each question by one method of METHODS, with `method` and `error`.
+
+    errors: (group, error), one row for each question that has a fault. Such a question fails with score 0.0 and
+    source 'none', whatever samples it has; one without samples does so too, without an error.
+    """
+    if errors is None:
+        errors = questions.select(*group, F.lit("").alias("error")).filter("false")
+    sound = samples.join(errors.select(*group), list(group), "left_anti")
+    out = with_all(questions, select(method, sound, **options), group).join(errors.select(*group, "error"), list(group), "left")
+    if "source" not in out.columns:
+        out = out.withColumn("source", F.when(F.col("error").isNotNull(), "none"))
+    return out.withColumn("method", F.lit(method))
+
+
 def layer_score(entropy: Column, total: Column, public: Column, alpha: Column, beta: Column) -> Column:
     """entropy * alpha + share that fails public tests * beta; infinite for a layer without passing samples."""
     rate = F.coalesce(F.try_divide((total - public).cast("double"), total.cast("double")), F.lit(0.0))

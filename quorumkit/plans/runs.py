@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..operators.entropy import MEASURES, entropies, question_rows
 from ..operators.evaluate import correlate, evaluate, question_scores, with_p_value
 from ..operators.registry import cluster_samples
 from ..operators.selection import cascade, cascade_layers
+from ..sources.readers import model_samples
 
 
 def entropy_run(samples: DataFrame, method: str, metadata: DataFrame | None = None, norm: bool = False, **options) -> DataFrame:
@@ -35,3 +39,18 @@ def cascade_run(clustered: DataFrame, config: list[dict], measure: str = "DSE",
     measured = entropies(clustered.filter("is_passed_public"), logprob, ["qid", "layer"])
     layers = cascade_layers(clustered, measured, config, measure)
     return layers, cascade(layers, clustered)
+
+
+def entropy_sweep(rows: DataFrame, methods: Mapping[str, dict], round_ids: Sequence[int], norm: bool = False) -> DataFrame:
+    """Clusters and entropies of all questions of all models and difficulties in `rows` (sources.readers.rounds) by each
+    method with its options, as sources.writers.write_results takes them.
+
+    A question of one model and difficulty is one group; a method is one plan over all of them.
+    """
+    names = ("difficulty", "model", "problem_id")
+    samples = model_samples(rows, round_ids)
+    key = F.struct("difficulty", "model", F.col("qid").alias("problem_id"))
+    samples = samples.withColumn("qid", key).drop("difficulty", "model")
+    found = [question_rows(cluster_samples(samples, m, **o), "norm_logprob" if norm else "logprob").withColumn("method", F.lit(m)) for m, o in methods.items()]
+    every = reduce(DataFrame.unionByName, found)
+    return every.select(*[F.col(f"qid.{n}").alias(n) for n in names], *[c for c in every.columns if c != "qid"])

@@ -436,25 +436,48 @@ SCORED = SCORES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {bundle('logprob'
 MEASURED = ("PE_MC", "PE_Rao", "SE", "DSE")
 
 
-@query(f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, pass_at_n, pass_at_cluster, PE_MC, PE_Rao, SE, DSE FROM q),
+#: SQL: u, how many passed (p) and failed (n) at each entropy and how many passed or failed below it (tp, fp); a, the areas.
+AREAS = f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, pass_at_n, pass_at_cluster, PE_MC, PE_Rao, SE, DSE FROM q),
 ll AS ({" UNION ALL ".join(f"SELECT difficulty, '{t}' AS metric, '{m}' AS entropy_type, {t} AS y, ROUND({m}, 9) AS entropy FROM ff" for t in ("pass_at_n", "pass_at_cluster") for m in MEASURED)}),
 gg AS (SELECT difficulty, metric, entropy_type, entropy, SUM(y)::BIGINT AS p, SUM(1 - y)::BIGINT AS n FROM ll GROUP BY ALL),
-u AS (SELECT *, SUM(p) OVER (PARTITION BY difficulty, metric, entropy_type ORDER BY entropy) - p AS tp FROM gg)
-SELECT difficulty, metric, entropy_type, ROUND(SUM(n * (tp + p / 2)) / (SUM(p) * SUM(n)), 5) AS auroc, (SUM(p) + SUM(n))::BIGINT AS num_samples FROM u GROUP BY ALL""")
+u AS (SELECT *, SUM(p) OVER w - p AS tp, SUM(n) OVER w - n AS fp FROM gg WINDOW w AS (PARTITION BY difficulty, metric, entropy_type ORDER BY entropy)),
+a AS (SELECT difficulty, metric, entropy_type, SUM(n * (tp + p / 2)) / (SUM(p) * SUM(n)) AS auroc, (SUM(p) + SUM(n))::BIGINT AS num_samples, SUM(p) AS ap, SUM(n) AS an FROM u GROUP BY ALL)"""
+#: SQL: the correlations of all measures and scores.
+CORRELATIONS = f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, * EXCLUDE (d) FROM q),
+cells AS ({" UNION ALL ".join(f"SELECT difficulty, '{s}' AS score_type, '{m}' AS entropy_type, corr({m}, {s}) AS correlation, COUNT(*) AS num_samples FROM ff GROUP BY difficulty" for s in ("avg_score", "max_score", "cluster_avg_score", "cluster_max_score") for m in MEASURED)})"""
+#: The least area of a chart here: few curves of these tables reach the usual one.
+SHOWN = 0.48
+
+
+def rounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_lines(spark, sf_dir).withColumns({m: F.round(m, 9) for m in MEASURED})
+
+
+@query(f"{AREAS} SELECT difficulty, metric, entropy_type, ROUND(auroc, 5) AS auroc, num_samples FROM a")
 def evaluation_grouped(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir).withColumns({m: F.round(m, 9) for m in MEASURED})
-    return rounded(evaluate.evaluate(rows).select("difficulty", "metric", "entropy_type", "auroc", "num_samples"), 5)
+    return rounded(evaluate.evaluate(rounded_lines(spark, sf_dir)).select("difficulty", "metric", "entropy_type", "auroc", "num_samples"), 5)
 
 
-@query(f"""{SCORED}, ff AS (SELECT unnest([d, 'overall']) AS difficulty, * EXCLUDE (d) FROM q)
-{" UNION ALL ".join(f"SELECT difficulty, '{s}' AS score_type, '{m}' AS entropy_type, ROUND(corr({m}, {s}), 5) AS correlation, COUNT(*) AS num_samples FROM ff GROUP BY difficulty" for s in ("avg_score", "max_score", "cluster_avg_score", "cluster_max_score") for m in MEASURED)}""")
+@query(f"{CORRELATIONS} SELECT difficulty, score_type, entropy_type, ROUND(correlation, 5) AS correlation, num_samples FROM cells")
 def correlation_grouped(spark, sf_dir):
     return rounded(evaluate.correlate(scored_lines(spark, sf_dir)).select("difficulty", "score_type", "entropy_type", "correlation", "num_samples"), 5)
 
 
-@query()
+@query(f"{AREAS} SELECT difficulty, metric, entropy_type, ROUND(auroc, 5) AS auroc, 'roc' AS chart FROM a WHERE auroc >= {SHOWN}")
 def evaluation_charts(spark, sf_dir):
-    return rounded(writers.evaluation_rows(evaluate.chart_rows(evaluate.evaluate(scored_lines(spark, sf_dir)))))
+    rows = evaluate.chart_rows(evaluate.evaluate(rounded_lines(spark, sf_dir)), ["roc"], (SHOWN, *evaluate.LIMITS[1:]))
+    return rounded(writers.evaluation_rows(rows).select("difficulty", "metric", "entropy_type", "auroc", "chart"), 5)
+
+
+@query(f"""{AREAS}, pts AS (SELECT difficulty, metric, entropy_type, (fp + n) / an AS x, (tp + p) / ap AS y FROM u JOIN a USING (difficulty, metric, entropy_type) WHERE auroc >= {SHOWN} UNION ALL SELECT difficulty, metric, entropy_type, 0, 0 FROM a WHERE auroc >= {SHOWN})
+SELECT difficulty, metric, entropy_type, ROUND(x, 6) + 0 AS fpr, ROUND(y, 6) + 0 AS tpr FROM pts""")
+def chart_roc_summary(spark, sf_dir):
+    return rounded(evaluate.roc_summary(rounded_lines(spark, sf_dir), least=SHOWN).select("difficulty", "metric", "entropy_type", "fpr", "tpr"))
+
+
+@query(f"{CORRELATIONS} SELECT difficulty, score_type, 'equality_' || entropy_type AS label, ROUND(correlation, 5) AS height, CASE WHEN correlation < 0 THEN 'red' ELSE 'blue' END AS colour FROM cells")
+def chart_correlation_bars(spark, sf_dir):
+    return rounded(evaluate.correlation_bars(evaluate.correlate(scored_lines(spark, sf_dir))).drop("model"), 5)
 
 
 # -- selection --------------------------------------------------------------------------------------
@@ -470,6 +493,19 @@ def vanilla_pick(spark, sf_dir):
     return selection.select("vanilla", baseline_lines(spark, sf_dir), seed=None)
 
 
+@query(f"""WITH b AS ({L}), f AS (SELECT DISTINCT qid, CASE WHEN qid % 11 = 0 THEN 'a sample has no code' ELSE 'the question has no metadata' END AS error FROM b WHERE qid % 11 = 0 OR qid % 5 = 0),
+o AS (SELECT o_orderkey AS qid FROM orders), x AS (SELECT b.* FROM b WHERE pos = 0 AND qid NOT IN (SELECT qid FROM f))
+SELECT o.qid, 'vanilla' AS method, COALESCE(x.is_passed_public, FALSE) AS passed, COALESCE(x.is_passed_public, FALSE)::INTEGER::DOUBLE AS score, COALESCE(x.model || '/' || x.pos, 'none') AS source, f.error
+FROM o LEFT JOIN x ON x.qid = o.qid LEFT JOIN f ON f.qid = o.qid""")
+def error_rows(spark, sf_dir):
+    """Questions with a sample without code, and questions without metadata, are rows of their own."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("qid"))
+    metadata = keys.filter("qid % 5 <> 0").select(F.col("qid").alias("task_id"), F.lit("").alias("prompt"), F.lit(True).alias("is_stdin"))
+    samples = baseline_lines(spark, sf_dir).drop("cluster").withColumn("code", F.when((F.col("qid") % 11 != 0) | (F.col("pos") > 0), F.col("ckey")))
+    found, errors = registry.cluster_sound(samples, "equality", metadata)
+    return selection.answers("vanilla", found, keys, errors, seed=None).select("qid", "method", "passed", "score", "source", "error")
+
+
 @query(f"""WITH {keyed(L, 'ckey')}, {TOP}, n AS (SELECT qid, COUNT(DISTINCT cluster) AS num_clusters FROM c GROUP BY qid),
 x AS (SELECT c.*, top.size, ROW_NUMBER() OVER (PARTITION BY c.qid ORDER BY c.pos) AS k FROM c JOIN top ON c.qid = top.qid AND c.cluster = top.cluster)
 SELECT x.qid, is_passed_public AS passed, is_passed_public::INTEGER::DOUBLE AS score, model || '/' || pos AS source, num_clusters, size AS largest_cluster_size FROM x JOIN n ON x.qid = n.qid WHERE k = 1""")

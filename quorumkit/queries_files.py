@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import entropy
 from .plans.bindings import bound
+from .plans.runs import entropy_sweep
 from .queries import E, L, query, rounded
 from .session import checkpoints
 from .sources import readers, writers
@@ -51,6 +52,15 @@ def ensemble_samples_of_rounds(spark, sf_dir):
     return rounded(readers.ensemble_samples(saved_rounds(spark, sf_dir), ["m1", "m0"], [0, 1]).select("qid", "model", "code", "pos"))
 
 
+@query(f"""WITH s AS (SELECT qid, model, difficulty, code, COUNT(*) AS n FROM ({RUNS}) r WHERE round_id < 3 GROUP BY ALL)
+SELECT qid::VARCHAR AS problem_id, difficulty, model, 'equality' AS method, SUM(n)::BIGINT AS num_samples, COUNT(*) AS num_clusters, ROUND(-SUM(n / t * ln(n / t + 1e-10)), 6) + 0 AS DSE
+FROM (SELECT *, SUM(n) OVER (PARTITION BY qid, model, difficulty) AS t FROM s) x GROUP BY qid, difficulty, model""")
+def entropy_sweep_of_rounds(spark, sf_dir):
+    """Every model and difficulty of the saved rounds, in one plan."""
+    rows = entropy_sweep(saved_rounds(spark, sf_dir), {"equality": {"key": ["code"]}}, [0, 1, 2])
+    return rounded(rows.select("problem_id", "difficulty", "model", "method", "num_samples", "num_clusters", "DSE"))
+
+
 def read_config(spark: SparkSession) -> dict:
     spark.createDataFrame([(json.dumps(CONFIG),)], "value string").coalesce(1).write.text(at := folder(spark, "config"))
     return readers.config(spark, at)

@@ -245,6 +245,51 @@ def test_registry(spark):
         registry.cluster_samples(samples.drop("pos"), "bleu")
 
 
+def test_faulty_questions(spark):
+    samples = spark.createDataFrame([("a", 0, "x"), ("a", 1, "x"), ("b", 0, None), ("b", 1, "y"), ("c", 0, "z")], "qid string, pos int, code string")
+    samples = samples.withColumns({"first_passed": F.lit(True), "source": F.lit("m")})
+    metadata = spark.createDataFrame([("a", "p", True), ("b", "p", False), ("c", "p", None)], "task_id string, prompt string, is_stdin boolean")
+    found, errors = registry.cluster_sound(samples, "ngrams", metadata)
+    assert [(r.qid, r.cluster) for r in found.collect()] == [("a", 0), ("a", 0)]
+    rows = selection.answers("vanilla", found, spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "qid string"), errors).orderBy("qid").collect()
+    assert [(r.passed, r.score, r.source, r.error) for r in rows] == [
+        (True, 1.0, "m", None), (False, 0.0, "none", "a sample has no code"), (False, 0.0, "none", "the question has no metadata"), (False, 0.0, "none", None),
+    ]
+    assert selection.answers("vanilla", found, samples.select("qid")).filter("error IS NOT NULL").isEmpty()
+    assert registry.faults(samples.limit(0), metadata).isEmpty()
+    for bad in (metadata.drop("prompt"), metadata.withColumn("is_stdin", F.lit("no"))):
+        with pytest.raises(ValueError):
+            registry.faults(samples, bad)
+
+
+def test_areas_with_outliers(spark):
+    rows = [("m", float(k % 997) if k else math.inf, k % 3 == 0) for k in range(5000)]
+    table = spark.createDataFrame(rows, "model string, entropy double, y boolean")
+    met = evaluate.auroc(table.withColumn("y", F.col("y").cast("int")), ["model"]).first()
+    wins = sum((n > p) + (n == p) / 2 for _, p, y in rows if y for _, n, z in rows if not z)
+    positives = sum(y for _, _, y in rows)
+    assert met.auroc == pytest.approx(wins / (positives * (5000 - positives)), abs=1e-9) and met.num_samples == 5000
+
+
+def test_command_line(spark, tmp_path):
+    from quorumkit.__main__ import main
+
+    step = F.struct(F.lit("print(1)").alias("code"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(-1.0).alias("logprob"), F.lit(-1.0).alias("norm_logprob"))
+    rows = spark.range(24).select(
+        (F.col("id") % 4).cast("string").alias("question_id"), F.array(step).alias("debug_trace"), F.lit(True).alias("is_passed_public"), (F.col("id") % 4 > 1).alias("passed"),
+        (F.col("id") % 4 > 1).cast("double").alias("score"), F.lit("easy").alias("difficulty"), F.when(F.col("id") < 12, "m").otherwise("n").alias("model"), F.expr("cast(id div 4 % 3 as int)").alias("round_id"),
+    )
+    writers.write_rounds(rows, f"{tmp_path}/rounds")
+    main(["entropy", f"{tmp_path}/rounds", f"{tmp_path}/results", "--methods", "equality", "--options", '{"equality": {"key": ["code"]}}', "--rounds-used", "0,2"], spark)
+    found = readers.results(spark, f"{tmp_path}/results").collect()
+    assert len(found) == 8 and {(r.num_samples, r.num_clusters, r.method) for r in found} == {(2, 1, "equality")}
+    main(["evaluate", f"{tmp_path}/results", f"{tmp_path}/reports"], spark)
+    assert {r.auroc for r in spark.read.json(f"{tmp_path}/reports/evaluation").collect()} == {0.5}
+    assert spark.read.json(f"{tmp_path}/reports/operating_points").count() > 0
+    with pytest.raises(SystemExit):
+        main(["entropy", "a", "b", "--methods", "none"], spark)
+
+
 def test_code_bleu(spark):
     f = "def f(a, b):\n    total = a + b\n    for i in range(total):\n        total = total - i\n    return total\n"
     assert codebleu.code_bleu(f, f) == pytest.approx(1.0)
