@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL where SQL can express them."""
+"""The queries op1 to op12 over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD, table
 from .exact_dedup import exact_groups
+from .hypervectors import identify_languages
 from .line_dedup import dedup_lines
 from .maxscore import top_k
 from .mixing import mix_report
 from .pii import pseudonymize
+from .periodic import collapse_runs
 from .piece_codec import encode_decode
 from .quality_lm import classify
 from .sharding import shard_rows
@@ -78,6 +80,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_language_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents of which about a tenth repeat some of their words to the end, so that there are runs.
+
+    With h = crc32(doc_id), g = floor(h / 10) and n words: where h % 10 = 0, word i >= a is word a + (i - a) % p, with a = g % n
+    and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", WORD.replace("^", "")), lambda w: w != "")
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    cut = words.withColumn("a", F.when(F.size("words") > 0, F.col("g") % F.size("words")))
+    cut = cut.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
+    places = F.sequence(F.lit(0).cast("long"), F.size("words") - F.col("a") - 1)
+    tail = F.transform(places, lambda i: F.get("words", (F.col("a") + i % F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse_runs(looped(table(spark, sf_dir, "documents")))
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  runs are in order: of equal ones the first stays
+    best = F.aggregate("runs", F.get("runs", 0), lambda b, r: F.when(more(r, b), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    digests = [F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")]
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), *digests)
+    milli = F.expr("(1000 * b.length) div b.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline, which lies beside the package."""
     import corpus_pipeline
@@ -96,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_shard_jump": op9_shard_jump,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_language_vectors": op11_language_vectors,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 
