@@ -80,7 +80,7 @@ class PieceCodec:
         self.hash_at = self._hash_table(1 << (4 * len(self.keys)).bit_length())
         self.class_of = np.full(0x110000, -1, np.int16)
         self.chars: list[str] = []
-        self.memo: dict[int, bytes] = {}  # the ids of stretches that have been encoded, by mark
+        self.memo: dict[str, bytes] = {}  # the ids of stretches that have been encoded
         self.held, self.noise = 0, np.zeros(0, np.uint64)
         self.symbol_of = np.zeros(CLASSES, np.int32)
         self.pairs = np.full((CLASSES, CLASSES), -1, np.int32)  # the place of a pair in keys, -1: never merges, -2: in no piece
@@ -232,11 +232,25 @@ class PieceCodec:
         """64 bits for each stretch: the sum of its characters, each times the noise of its place."""
         if (longest := int(sizes.max())) > self.noise.size:
             self.noise = np.random.default_rng(5).integers(1, 2**64, 2 * longest, dtype=np.uint64) | np.uint64(1)
-            self.memo, self.held = {}, 0
         place = np.arange(points.size) - np.repeat(cuts - sizes, sizes)
         mixed = (points + np.uint64(1)) * self.noise[place]
         return np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), cuts - sizes)
 
+    def _different(self, points: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches that stand for all, and for each stretch the place of the one of them that has the same characters.
+
+        Marks bring stretches together; one whose characters aren't those of the first with its mark stands for itself.
+        """
+        _, first, which = np.unique(self._marks(points, cuts, sizes), return_index=True, return_inverse=True)
+        begin, chief = cuts - sizes, first[which]
+        near = np.repeat(begin[chief] - begin, sizes) + np.arange(points.size)
+        alien = np.logical_or.reduceat(points[np.minimum(near, points.size - 1)] != points, begin) | (sizes[chief] != sizes)
+        if alien.any():
+            alone = np.flatnonzero(alien)
+            which[alone] = first.size + np.arange(alone.size)
+            first = np.concatenate((first, alone))
+        return first, which
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has.
 
@@ -252,17 +266,16 @@ class PieceCodec:
         ends = np.cumsum([len(t) for t in marked])
         cuts = np.flatnonzero(self._first_pairs(points, ends)[1] == -2) + 1
         sizes = np.diff(cuts, prepend=0)
-        marks, first, which = np.unique(self._marks(points, cuts, sizes), return_index=True, return_inverse=True)
-        marks = marks.tolist()
-        got = list(map(self.memo.get, marks))
+        first, which = self._different(points, cuts, sizes)
+        stop = cuts[first]
+        keys = [joined[i:j] for i, j in zip((stop - sizes[first]).tolist(), stop.tolist())]
+        got = list(map(self.memo.get, keys))
         missing = [k for k, g in enumerate(got) if g is None]
         if missing:
-            stop = cuts[first[missing]]
-            begin = (stop - sizes[first[missing]]).tolist()
-            ids, n = self._by_agenda([joined[i:j] for i, j in zip(begin, stop.tolist())])
+            ids, n = self._by_agenda([keys[k] for k in missing])
             raw, stops = ids.tobytes(), (4 * np.cumsum(n)).tolist()
             for k, i, j in zip(missing, [0, *stops], stops):
-                got[k] = self.memo[marks[k]] = raw[i:j]
+                got[k] = self.memo[keys[k]] = raw[i:j]
             self.held += ids.size
             if self.held > MEMO_IDS:
                 self.memo, self.held = {}, 0
@@ -300,28 +313,28 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def checked(c: PieceCodec, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
-    """The ids of all texts in a row, where each text's begin and the last one's end, what they decode to,
-    and whether codec and library agree on each text; where they don't, ids and decoding are the library's."""
+    """The ids of all texts in a row, where each text's begin and the last one's end, what they decode to, and whether the
+    library says the same of each text. The agenda's ids stand, but for texts on which it and the library differ."""
     ids, counts = c.encode(texts)
     decoded = c.decode(ids, counts)
     lists = c.library.encode(texts, num_threads=1)
     plain = c.library.decode(lists, num_threads=1)
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    right = np.fromiter(chain.from_iterable(lists), "<i4", int(sizes.sum()))
-    if np.array_equal(counts, sizes) and np.array_equal(ids, right) and decoded == plain:
-        agrees = [True] * len(texts)
-    else:
-        own = np.split(ids, np.cumsum(counts)[:-1])
-        agrees = [x.tolist() == y and t == u for x, y, t, u in zip(own, lists, decoded, plain)]
-    return right, np.concatenate(([0], np.cumsum(sizes))), plain, agrees
+    if np.array_equal(counts, sizes) and decoded == plain and np.array_equal(ids, np.fromiter(chain.from_iterable(lists), "<i4", int(sizes.sum()))):
+        return ids, np.concatenate(([0], np.cumsum(counts))), decoded, [True] * len(texts)
+    own = np.split(ids, np.cumsum(counts)[:-1])
+    agrees = [x.tolist() == y and t == u for x, y, t, u in zip(own, lists, decoded, plain)]
+    own = [x if same else np.array(y, "<i4") for x, y, same in zip(own, lists, agrees)]
+    text = [t if same else u for t, u, same in zip(decoded, plain, agrees)]
+    return np.concatenate(own), np.concatenate(([0], np.cumsum([x.size for x in own]))), text, agrees
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array<int>), decoded (string), agrees (boolean).
 
     ids are those of the sentencepiece library for the model file at `path` (which every executor can
-    open), without begin or end ids. Texts are encoded and decoded by PieceCodec's agenda, and every one
-    of them by the library too. Where ids or decoding differ, the library's stand and agrees is false.
+    open), without begin or end ids. They come from PieceCodec's agenda, and so does the decoded text. The library
+    checks every text: one on which it differs takes the library's ids and decoding, and its `agrees` is false.
     A null text counts as empty; an empty one has no ids and decodes to an empty text.
     Repeated rows each have a row; an empty table gives none; other columns are not read.
     """

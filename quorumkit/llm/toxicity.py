@@ -120,6 +120,17 @@ class Featurizer:
 INSULT_SET = frozenset(INSULTS)
 
 
+def _pooled(blocks: list[tuple[float, float, float, float]]) -> list[tuple[float, ...]]:
+    """Blocks (sum of values, weight, sum of raw scores, rows), joined where a mean isn't above the one before it."""
+    out: list[tuple[float, ...]] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][0] * out[-1][1] >= out[-1][0] * out[-2][1]:
+            last = out.pop()
+            out[-1] = tuple(a + b for a, b in zip(out[-1], last))
+    return out
+
+
 class Trees:
     """Boosted trees for 0/1 labels on binned features, with a calibrated score."""
 
@@ -171,17 +182,15 @@ class Trees:
         return out
 
     def calibrate(self, raw: np.ndarray, y: np.ndarray) -> Trees:
-        """Isotonic regression of labels on raw scores: neighbours out of order are pooled, and each pool's
-        mean is drawn to the mean of all labels as by PRIOR rows."""
+        """Isotonic regression of labels on raw scores. Neighbours out of order are pooled; each pool's mean is drawn to
+        the mean of all labels as by PRIOR rows; pools whose drawn means are out of order are pooled once more, each
+        with the weight of its rows and PRIOR."""
         order = np.argsort(raw, kind="stable")
-        blocks: list[list[float]] = []  # sum of labels, rows, sum of raw scores
-        for r, t in zip(raw[order], y[order]):
-            blocks.append([float(t), 1.0, float(r)])
-            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-                last = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-        self.xs = np.array([b[2] / b[1] for b in blocks])
-        self.ys = np.maximum.accumulate([(b[0] + PRIOR * float(y.mean())) / (b[1] + PRIOR) for b in blocks])
+        first = _pooled([(float(t), 1.0, float(r), 1.0) for r, t in zip(raw[order], y[order])])
+        prior = PRIOR * float(y.mean())
+        pools = _pooled([(total + prior, rows + PRIOR, at, rows) for total, rows, at, _ in first])
+        self.xs = np.array([at / rows for _, _, at, rows in pools])
+        self.ys = np.array([total / weight for total, weight, _, _ in pools])
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:

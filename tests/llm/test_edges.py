@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -246,20 +246,31 @@ def test_trees():
     assert (np.diff(score[order]) >= -1e-12).all()
 
 
-@settings(max_examples=40, deadline=None)
+def isotonic(values, weights) -> np.ndarray:
+    """The value at i is the largest, over beginnings up to i, of the least mean up to any end from i on."""
+    v, w = np.array(values, float), np.array(weights, float)
+    mean = lambda a, b: float((v[a:b] * w[a:b]).sum() / w[a:b].sum())
+    return np.array([max(min(mean(a, b + 1) for b in range(i, v.size)) for a in range(i + 1)) for i in range(v.size)])
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1), min_size=1, max_size=30))
+@example([0] * 9 + [1, 1, 0, 1])
+@example([0, 1])
+@example([1, 0])
 def test_pooling_by_brute_force(labels):
-    """The isotonic value at i is the largest, over beginnings up to i, of the least mean up to any end from i on."""
+    """Pools are those of equal isotonic values; drawn to the prior by their sizes, they are put in order once more."""
     y = np.array(labels, float)
     model = toxicity.Trees().calibrate(np.arange(y.size, dtype=float), y)
-    sizes, at = [], 0.0
-    for x in model.xs:
-        sizes.append(round(2 * (x - at)) + 1)
-        at += sizes[-1]
-    assert sum(sizes) == y.size
-    sums = np.repeat(model.ys * (np.array(sizes) + toxicity.PRIOR) - toxicity.PRIOR * y.mean(), sizes) / np.repeat(sizes, sizes)
-    want = [max(min(y[a : b + 1].mean() for b in range(i, y.size)) for a in range(i + 1)) for i in range(y.size)]
-    assert np.allclose(sums, want)
+    plain = np.round(isotonic(y, np.ones(y.size)), 9)
+    values, sizes = np.unique(plain, return_counts=True)
+    drawn = (values * sizes + toxicity.PRIOR * y.mean()) / (sizes + toxicity.PRIOR)
+    want = np.repeat(isotonic(drawn, sizes + toxicity.PRIOR), sizes)
+    assert np.allclose(np.unique(np.round(want, 9)), model.ys) and (np.diff(model.ys) > 0).all()
+    got = [model.ys[np.flatnonzero(np.round(np.unique(np.round(want, 9)), 9) == round(w, 9))[0]] for w in want]
+    assert np.allclose(got, want)
+    for x, value in zip(model.xs, model.ys):
+        assert x == pytest.approx(np.flatnonzero(np.isclose(want, value)).mean())
 
 
 @settings(max_examples=20, deadline=None)
@@ -360,6 +371,15 @@ def test_every_text_is_checked(codec, at):
     assert agrees == [k != at for k in range(9)]
 
 
+def test_stretches_with_one_mark(codec, monkeypatch):
+    """Stretches whose marks collide are told apart by their characters."""
+    texts = ["the cat sat", "cat the sat the", "a b c", "é漢🙂 the", "", "sat"]
+    monkeypatch.setattr(codec, "memo", {})
+    monkeypatch.setattr(codec, "_marks", lambda points, cuts, sizes: np.zeros(cuts.size, np.uint64))
+    ids, counts = codec.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == codec.library.encode(texts)
+
+
 def brute_kn(grams: Counter, asked: bytes) -> float:
     """The interpolated modified Kneser-Ney probability of the last byte, from the definition."""
     orders = {quality_lm.ORDER: grams}
