@@ -3,54 +3,87 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Added to each share before the logarithm; one cluster therefore gives about -1e-10.
 EPSILON = 1e-10
+#: Log probabilities are added up in steps of this size.
+STEP = 32.0
 MEASURES = ("PE_MC", "PE_Rao", "SE", "DSE")
 
 
 def discrete_entropy(clustered: DataFrame, group: Sequence[str] = ("qid",)) -> DataFrame:
     """(group, DSE, num_samples, num_clusters): the entropy of the clusters' shares of the samples."""
     sizes = clustered.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    return _from_sizes(sizes, group, [])
+    met = _with_totals(sizes, group, ["cluster"], [F.sum("n").alias("__total")])
+    return met.groupBy(*group).agg(_shares().alias("DSE"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"))
 
 
-def _from_sizes(sizes: DataFrame, group: Sequence[str], more: list[Column]) -> DataFrame:
-    # sum(n) over the clusters of a question is needed before its shares; clusters are few per question
-    total = F.sum("n").over(Window.partitionBy(*group))
-    share = F.col("n") / total
-    with_share = sizes.withColumn("__term", -share * F.log(share + EPSILON))
-    return with_share.groupBy(*group).agg(
-        F.sum("__term").alias("DSE"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"), *more
-    )
+def _shares() -> Column:
+    """Minus the sum of share * log(share) of clusters with n of all __total samples."""
+    share = F.col("n") / F.col("__total")
+    return F.sum(-share * F.log(share + EPSILON))
+
+
+def _with_totals(parts: DataFrame, group: Sequence[str], key: Sequence[str], totals: list[Column]) -> DataFrame:
+    """parts with totals of their groups. Both sides read one exchange by group and key, so that a group is in no single task."""
+    spread, own = parts.repartition(*group, *key), [f"__g{i}" for i in range(len(group))]
+    whole = spread.groupBy(*[F.col(c).alias(o) for c, o in zip(group, own)]).agg(*totals)
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(o)) for c, o in zip(group, own)])
+    return spread.join(whole, same).drop(*own)
+
+
+def entropy_parts(samples: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """(group, key, step, n, m, s, z, w): what the entropies of a question are made of, in sums that add up.
+
+    Rows of one (group, key, step) can be added number by number, whatever part of the samples each is from: `n` samples,
+    `m` of them with a log probability, whose sum is `s`; `z` is the sum of exp(d) and `w` that of d exp(d), where d is
+    what the log probability is above step * STEP. Steps keep exponentials of very small log probabilities.
+    """
+    lp = F.col(logprob).cast("double")
+    step = F.floor(lp / STEP)
+    d = lp - step * STEP
+    sums = [F.count(F.lit(1)).alias("n"), F.count("__lp").alias("m"), F.sum("__lp").alias("s"), F.sum(F.exp("__d")).alias("z"), F.sum(F.col("__d") * F.exp("__d")).alias("w")]
+    return samples.select(*group, *key, lp.alias("__lp"), step.alias("step"), d.alias("__d")).groupBy(*group, *key, "step").agg(*sums)
+
 
+def add_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """Parts of several sets of samples as those of all of them."""
+    return parts.groupBy(*group, *key, "step").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")])
 
-def entropies(clustered: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per question: PE_MC, PE_Rao, SE, DSE, num_samples, num_clusters, and `extra` aggregates.
+
+def entropies_of_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """The measures of entropies() from parts, of which each (group, key, step) has one row.
+
+    With z and w brought to the greatest step of a question, Z their sum and z by key: PE_Rao is log Z - W / Z, and
+    SE is log Z - sum(z log z) / Z. All sums are combined before they are shuffled.
+    """
+    met = _with_totals(parts, group, key, [F.max("step").alias("__top"), F.sum("n").alias("__total")])
+    ahead = (F.col("step") - F.col("__top")) * STEP
+    shrink = F.exp(ahead)
+    met = met.select(*group, *key, "__total", "n", "m", "s", (F.col("z") * shrink).alias("z"), ((F.col("w") + F.col("z") * ahead) * shrink).alias("w"))
+    clusters = met.groupBy(*group, *key, "__total").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")])
+    z = F.sum("z")
+    terms = F.sum(F.when(F.col("z") > 0, F.col("z") * F.log("z")).when(F.col("z") == 0, 0.0))
+    return clusters.groupBy(*group).agg(
+        F.try_divide(-F.sum("s"), F.sum("m")).alias("PE_MC"), (F.log(z) - F.sum("w") / z).alias("PE_Rao"), (F.log(z) - terms / z).alias("SE"), _shares().alias("DSE"),
+        F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"),
+    )
+
+
+def entropies(clustered: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",)) -> DataFrame:
+    """One row per question: PE_MC, PE_Rao, SE, DSE, num_samples, num_clusters.
 
     PE_MC is minus the mean log probability. PE_Rao is the entropy of the log probabilities normalised
     over the samples, SE that of the clusters' summed probabilities. Samples without a log probability
-    count for DSE only; without any the other three are null. Sums of exponentials are shifted by the
-    question's greatest log probability, so very small ones don't underflow all at once.
+    count for DSE only; without any the other three are null. Samples are added up by (question, cluster) before they
+    are shuffled, and a question's parts meet as sums only, so that one question may have most of all samples.
     """
-    lp = F.col(logprob).cast("double")
-    question = Window.partitionBy(*group)
-    shifted = clustered.withColumn("__d", lp - F.max(lp).over(question)).withColumn("__lp", lp)
-    e = F.exp("__d")
-    parts = shifted.groupBy(*group, "cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.count("__lp").alias("m"), F.sum("__lp").alias("s"), F.sum(e).alias("z"), F.sum(e * F.col("__d")).alias("w"), *extra
-    )
-    q = F.col("z") / F.sum("z").over(question)
-    parts = parts.withColumn("__se", F.when(F.col("z") > 0, -q * F.log(q)).when(F.col("z") == 0, 0.0))
-    more = [
-        F.try_divide(-F.sum("s"), F.sum("m")).alias("PE_MC"),
-        (F.log(F.sum("z")) - F.sum("w") / F.sum("z")).alias("PE_Rao"),
-        F.sum("__se").alias("SE"),
-    ]
-    return _from_sizes(parts, group, more).select(*group, *MEASURES, "num_samples", "num_clusters")
+    return entropies_of_parts(entropy_parts(clustered, logprob, group), group)
 
 
 def question_rows(clustered: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), pos: str = "pos", score: str = "score") -> DataFrame:

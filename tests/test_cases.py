@@ -6,6 +6,7 @@ import ast
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -496,3 +497,65 @@ def test_parsers_never_fail(text):
     assert isinstance(G.parse_tests(text, True), list) and isinstance(G.parse_tests(text, False), list)
     L.as_json(text)
     C.function_name(text)
+
+
+def brute_entropies(rows) -> dict:
+    """The four measures of each question from their definitions, in exact shifts."""
+    out = {}
+    for q in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == q]
+        lps = [lp for _, _, lp in own if lp is not None]
+        sizes = Counter(c for _, c, _ in own)
+        dse = -sum(n / len(own) * math.log(n / len(own) + 1e-10) for n in sizes.values())
+        if not lps:
+            out[q] = (None, None, None, dse)
+            continue
+        top = max(lps)
+        e = [math.exp(x - top) for x in lps]
+        z = sum(e)
+        by = Counter()
+        for _, c, lp in own:
+            if lp is not None:
+                by[c] += math.exp(lp - top)
+        se = -sum(v / z * math.log(v / z) for v in by.values() if v > 0)
+        out[q] = (-sum(lps) / len(lps), math.log(z) - sum(x * (lp - top) for x, lp in zip(e, lps)) / z, se, dse)
+    return out
+
+
+def entropy_rows(seed: int) -> list:
+    rng = np.random.default_rng(seed)
+    rows = [(int(q), int(c), None if rng.random() < 0.1 else float(-rng.exponential(s))) for q, c, s in zip(rng.integers(0, 12, 600), rng.integers(0, 9, 600), rng.choice([0.5, 20, 900], 600))]
+    return rows + [(50, 0, None), (50, 1, None), (51, 0, -1000.0), (51, 1, -1001.0), (52, 3, -5000.0), (53, 0, 0.0), (53, 1, -32.0), (53, 1, -64.0), (None, 0, -1.0), (None, 1, -2.0)]
+
+
+def near(got, want) -> bool:
+    return all((a is None and b is None) or (a is not None and b is not None and abs(a - b) < 1e-8) for a, b in zip(got, want))
+
+
+def test_entropies_by_brute_force(spark):
+    rows = entropy_rows(3)
+    want = brute_entropies(rows)
+    got = {r.qid: r for r in entropy.entropies(spark.createDataFrame(rows, "qid int, cluster int, logprob double")).collect()}
+    assert got.keys() == want.keys()
+    for q, r in got.items():
+        assert near((r.PE_MC, r.PE_Rao, r.SE, r.DSE), want[q]), q
+
+
+def test_parts_of_samples_add_up(spark):
+    """However samples are dealt to parts, and whatever order parts are added in, the measures are those of all samples."""
+    rows = entropy_rows(4)
+    df = spark.createDataFrame([(k % 5, *r) for k, r in enumerate(rows)], "part int, qid int, cluster int, logprob double")
+    parts = [entropy.entropy_parts(df.filter(F.col("part") == k)) for k in range(5)]
+    two = entropy.add_parts(parts[3].unionByName(parts[1]))
+    every = entropy.add_parts(two.unionByName(parts[0]).unionByName(parts[4]).unionByName(parts[2]))
+    want = brute_entropies(rows)
+    for r in entropy.entropies_of_parts(every).collect():
+        assert near((r.PE_MC, r.PE_Rao, r.SE, r.DSE), want[r.qid])
+
+
+def test_no_window_over_samples(spark):
+    """Samples are counted before they are shuffled by question, and nothing sorts a question's samples."""
+    df = spark.range(1000).selectExpr("id % 3 AS qid", "id % 50 AS cluster", "-CAST(id AS double) / 100 AS logprob")
+    plan = entropy.entropies(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert "Window" not in entropy.discrete_entropy(df)._jdf.queryExecution().executedPlan().toString()
