@@ -35,7 +35,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     asked = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("quorumkit").getOrCreate()
     if asked.run == "entropy":
-        rows = readers.rounds(spark, asked.rounds, asked.difficulty, asked.model)
+        rows = readers.rounds(spark, asked.rounds, asked.difficulty, asked.model, [(None, k) for k in asked.rounds_used])
         methods = {m: asked.options.get(m, {}) for m in asked.methods}
         parameters = {"methods": methods, "rounds": asked.rounds_used, "norm": asked.norm, "difficulty": asked.difficulty, "model": asked.model}
         parameters["timestamp"] = datetime.now(timezone.utc).isoformat()

@@ -27,16 +27,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoints(spark)}/{name}-{uuid4().hex}"
 
 
-def saved_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The binding's samples, written as rounds and read again. Every sample has a trace of two steps."""
+def saved_rounds(spark: SparkSession, sf_dir: str, wanted: readers.Wanted | None = None) -> DataFrame:
+    """The binding's samples, written as rounds, of which the wanted ones are read again. A sample has a trace of two steps, or of
+    one where its key ends with O."""
     step = lambda code, logprob: F.struct(code.alias("code"), F.lit(1).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"), logprob.alias("logprob"), logprob.alias("norm_logprob"))
-    trace = F.array(step(F.concat(F.lit("first "), "code"), F.lit(-9.0)), step(F.col("code"), F.col("logprob")))
+    one, two = F.array(step(F.col("code"), F.col("logprob"))), F.array(step(F.concat(F.lit("first "), "code"), F.lit(-9.0)), step(F.col("code"), F.col("logprob")))
+    trace = F.when(F.endswith("code", F.lit("O")), one).otherwise(two)
     rows = bound(spark, sf_dir, RUNS).withColumn("question_id", F.col("qid").cast("string")).withColumn("debug_trace", trace)
     writers.write_rounds(rows, at := folder(spark, "rounds"))
-    return readers.rounds(spark, at)
+    return readers.rounds(spark, at, wanted=wanted)
 
 
-@query(f"SELECT qid::VARCHAR AS question_id, difficulty, model, round_id::INTEGER AS round_id, code, ROUND(COALESCE(logprob, -9), 6) AS logprob, is_passed_public, passed, ROUND(score, 6) AS score FROM ({RUNS})")
+@query(f"SELECT qid::VARCHAR AS question_id, difficulty, model, round_id::INTEGER AS round_id, code, ROUND(COALESCE(logprob, CASE WHEN code LIKE '%O' THEN NULL ELSE -9 END), 6) AS logprob, is_passed_public, passed, ROUND(score, 6) AS score FROM ({RUNS})")
 def rounds_written_and_read(spark, sf_dir):
     rows = readers.final_samples(saved_rounds(spark, sf_dir))
     return rows.select("question_id", "difficulty", "model", "round_id", "code", F.round("logprob", 6).alias("logprob"), "is_passed_public", "passed", F.round("score", 6).alias("score"))
@@ -44,12 +46,12 @@ def rounds_written_and_read(spark, sf_dir):
 
 @query(f"SELECT qid::VARCHAR AS qid, model, code, CASE round_id WHEN 2 THEN 0 ELSE 0 + (SELECT COUNT(*) FROM ({RUNS}) x WHERE x.qid = r.qid AND x.model = r.model AND x.round_id = 2) END::BIGINT AS pos FROM ({RUNS}) r WHERE round_id IN (2, 0)")
 def model_samples_of_rounds(spark, sf_dir):
-    return rounded(readers.model_samples(saved_rounds(spark, sf_dir), [2, 0]).select("qid", "model", "code", "pos"))
+    return rounded(readers.model_samples(saved_rounds(spark, sf_dir, [(None, 2), (None, 0)]), [2, 0]).select("qid", "model", "code", "pos"))
 
 
 @query(f"SELECT qid::VARCHAR AS qid, model, code, (ROW_NUMBER() OVER (PARTITION BY qid ORDER BY CASE model WHEN 'm1' THEN 0 ELSE 1 END) - 1)::BIGINT AS pos FROM ({RUNS}) WHERE (model = 'm1' AND round_id = 0) OR (model = 'm0' AND round_id = 1)")
 def ensemble_samples_of_rounds(spark, sf_dir):
-    return rounded(readers.ensemble_samples(saved_rounds(spark, sf_dir), ["m1", "m0"], [0, 1]).select("qid", "model", "code", "pos"))
+    return rounded(readers.ensemble_samples(saved_rounds(spark, sf_dir, [("m1", 0), ("m0", 1)]), ["m1", "m0"], [0, 1]).select("qid", "model", "code", "pos"))
 
 
 @query(f"""WITH s AS (SELECT qid, model, difficulty, code, COUNT(*) AS n FROM ({RUNS}) r WHERE round_id < 3 GROUP BY ALL)
@@ -57,7 +59,7 @@ SELECT qid::VARCHAR AS problem_id, difficulty, model, 'equality' AS method, SUM(
 FROM (SELECT *, SUM(n) OVER (PARTITION BY qid, model, difficulty) AS t FROM s) x GROUP BY qid, difficulty, model""")
 def entropy_sweep_of_rounds(spark, sf_dir):
     """Every model and difficulty of the saved rounds, in one plan."""
-    rows = entropy_sweep(saved_rounds(spark, sf_dir), {"equality": {"key": ["code"]}}, [0, 1, 2])
+    rows = entropy_sweep(saved_rounds(spark, sf_dir, [(None, k) for k in range(3)]), {"equality": {"key": ["code"]}}, [0, 1, 2])
     return rounded(rows.select("problem_id", "difficulty", "model", "method", "num_samples", "num_clusters", "DSE"))
 
 
@@ -67,15 +69,17 @@ def read_config(spark: SparkSession) -> dict:
 
 
 @query(f"""WITH s AS (SELECT *, CASE WHEN model = 'm2' THEN 1 ELSE 0 END AS layer, CASE WHEN model = 'm1' THEN 2 WHEN model = 'm2' THEN 0 ELSE round_id END AS k FROM ({RUNS}) WHERE (model = 'm0' AND round_id < 2) OR (model = 'm1' AND round_id = 0) OR (model = 'm2' AND round_id = 2))
-SELECT qid::VARCHAR AS qid, layer::BIGINT AS layer, model || '/round_' || round_id AS source, (ROW_NUMBER() OVER (PARTITION BY qid, layer ORDER BY k) - 1)::BIGINT AS pos, ROUND(COALESCE(logprob, -9), 6) AS logprob FROM s""")
+SELECT qid::VARCHAR AS qid, layer::BIGINT AS layer, model || '/round_' || round_id AS source, (ROW_NUMBER() OVER (PARTITION BY qid, layer ORDER BY k) - 1)::BIGINT AS pos, ROUND(COALESCE(logprob, CASE WHEN code LIKE '%O' THEN 0 ELSE -9 END), 6) AS logprob FROM s""")
 def layer_samples_of_rounds(spark, sf_dir):
-    return rounded(readers.layer_samples(saved_rounds(spark, sf_dir), read_config(spark)).select("qid", "layer", "source", "pos", "logprob"))
+    found = read_config(spark)
+    return rounded(readers.layer_samples(saved_rounds(spark, sf_dir, readers.wanted_of(found)), found).select("qid", "layer", "source", "pos", "logprob"))
 
 
 @query(f"""WITH s AS (SELECT *, CASE WHEN model = 'm1' THEN 2 ELSE round_id END AS k FROM ({RUNS}) WHERE (model = 'm0' AND round_id < 2) OR (model = 'm1' AND round_id = 0))
-SELECT qid::VARCHAR AS qid, model || '/round_' || round_id AS source, (ROW_NUMBER() OVER (PARTITION BY qid ORDER BY k) - 1)::BIGINT AS pos, 'first ' || code AS first_code, code AS last_code, FALSE AS first_passed, passed AS last_passed FROM s""")
+SELECT qid::VARCHAR AS qid, model || '/round_' || round_id AS source, (ROW_NUMBER() OVER (PARTITION BY qid ORDER BY k) - 1)::BIGINT AS pos, CASE WHEN code LIKE '%O' THEN code ELSE 'first ' || code END AS first_code, code AS last_code, passed AND code LIKE '%O' AS first_passed, passed AS last_passed FROM s""")
 def baseline_samples_of_rounds(spark, sf_dir):
-    rows = readers.baseline_samples(saved_rounds(spark, sf_dir), read_config(spark))
+    found = read_config(spark)
+    rows = readers.baseline_samples(saved_rounds(spark, sf_dir, readers.wanted_of(found, 1)), found)
     return rounded(rows.select("qid", "source", "pos", "first_code", "last_code", "first_passed", "last_passed"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from base64 import b64decode
 from collections.abc import Sequence
@@ -16,6 +17,7 @@ from ..session import ship
 
 TRACE = "array<struct<code:string,prompt_tokens:int,completion_tokens:int,logprob:double,norm_logprob:double>>"
 ROUND = f"question_id string, debug_trace {TRACE}, is_passed_public boolean, passed boolean, score double"
+ROUND_KEYS = "difficulty string, model string, round_id int"
 QUESTION = "task_id string, prompt string, is_stdin boolean"
 RESULT = "problem_id string, num_samples int, cluster_ids array<int>, num_clusters int, PE_MC double, PE_Rao double, SE double, DSE double, avg_score double, scores array<double>"
 CACHE = "task_id string, question_id string, is_stdin boolean, generated_tests array<struct<input:string,output:string,testtype:string>>"
@@ -24,15 +26,25 @@ CONFIG = "layers_count int, layers array<struct<layer_idx:int,samples:map<string
 TESTS = "array<struct<input:string,output:string,testtype:string>>"
 
 
-def _paths(spark: SparkSession, *patterns: str) -> list[str]:
-    """The folders that some pattern matches, in whatever file system they are."""
+def _paths(spark: SparkSession, *patterns: str, folders: bool = True) -> list[str]:
+    """The folders, or else the files, that some pattern matches, in whatever file system they are."""
     found = []
     for pattern in patterns:
         at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        found += [str(x.getPath()) for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if x.isDirectory()]
+        found += [str(x.getPath()) for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if x.isDirectory() == folders]
     return found
 
 
+def _literal(name: str) -> str:
+    """A pattern that matches a name alone."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", name)
+
+
+def _folder(spark: SparkSession, column: str, value: str | int) -> str:
+    """A pattern for the folder that partitionBy(column) makes for a value."""
+    return f"{column}={_literal(spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value)))}"
+
+
 def _plain(part: Column) -> Column:
     """A part of a path as it was before it was put into a URI."""
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
@@ -54,34 +66,53 @@ def line_order() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
 
 
-def _json(spark: SparkSession, schema: str, paths: list[str], glob: str) -> DataFrame:
+def _json(spark: SparkSession, schema: str, paths: list[str], glob: str, base: str | None = None) -> DataFrame:
     read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("allowNonNumericNumbers", True)
+    read = read if base is None else read.option("basePath", base)
     return read.option("pathGlobFilter", glob).json(paths)
 
 
-def rounds(spark: SparkSession, folder: str, difficulty: str = "*", model: str = "*") -> DataFrame:
+#: Rounds to read: (model, round) pairs, of which a model of None stands for every model.
+Wanted = Sequence[tuple[str | None, int]]
+
+
+def rounds(spark: SparkSession, folder: str, difficulty: str = "*", model: str = "*", wanted: Wanted | None = None) -> DataFrame:
     """Saved rounds: their rows with difficulty, model, round_id.
 
     They lie in <difficulty>/<model>/round_<k>.jsonl (or .json), or as writers.write_rounds leaves them, in
     difficulty=<d>/model=<m>/round_id=<k>/. Blank lines and lines that are no JSON are skipped; numbers may be NaN or
-    Infinity. A folder without rounds gives no rows.
+    Infinity. A folder without rounds gives no rows. Only files of wanted rounds are listed and read, all if `wanted` is
+    None; in the second layout filters on the three columns leave out files too. difficulty and model: names, or "*".
     """
-    named = lambda name, value: value if value == "*" else f"{name}={value}"
-    flat = [p for p in _paths(spark, f"{folder}/{difficulty}/{model}") if "/model=" not in p]
-    deep = _paths(spark, f"{folder}/{'difficulty=*' if difficulty == '*' else named('difficulty', difficulty)}/{'model=*' if model == '*' else named('model', model)}/round_id=*")
-    number = F.regexp_extract(F.input_file_name(), r"round_(\d+)\.jsonl?$", 1).try_cast("int").alias("round_id")
-    out = None
+    flat, deep = round_paths(spark, folder, difficulty, model, wanted)
+    out = spark.createDataFrame([], f"{ROUND}, {ROUND_KEYS}") if not (flat or deep) else None
     if flat:
+        number = F.regexp_extract(F.input_file_name(), r"round_(\d+)\.jsonl?$", 1).try_cast("int").alias("round_id")
         out = _json(spark, ROUND, flat, "round_*.json*").select("*", *_path_parts("difficulty", "model"), number)
     if deep:
-        level, name, k = _path_parts("difficulty", "model", "round_id")
-        rows = _json(spark, ROUND, deep, "*.json*").select("*", level, name, k.try_cast("int").alias("round_id"))
+        rows = _json(spark, f"{ROUND}, {ROUND_KEYS}", deep, "*.json*", folder)
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], f"{ROUND}, difficulty string, model string, round_id int")
     return out.filter("question_id IS NOT NULL")
 
 
+def round_paths(spark: SparkSession, folder: str, difficulty: str = "*", model: str = "*", wanted: Wanted | None = None) -> tuple[list[str], list[str]]:
+    """The files of the first layout and the folders of the second that hold the wanted rounds, as patterns that match one each."""
+    flat, deep = [], []
+    for m, k in {(model if m is None else m, k) for m, k in wanted} if wanted is not None else [(model, None)]:
+        if m != model and model != "*":
+            continue
+        names = [x if x == "*" else _literal(x) for x in (difficulty, m)]
+        flat += _paths(spark, *[f"{folder}/{'/'.join(names)}/round_{'*' if k is None else k}.{kind}" for kind in ("json", "jsonl")], folders=False)
+        parts = [f"{c}=*" if x in ("*", None) else _folder(spark, c, x) for c, x in (("difficulty", difficulty), ("model", m), ("round_id", k))]
+        deep += _paths(spark, f"{folder}/{'/'.join(parts)}")
+    return sorted({_literal(p) for p in flat if "/model=" not in p}), sorted({_literal(p) for p in deep})
+
+
+def wanted_of(found: dict, layers: int | None = None) -> list[tuple[str, int]]:
+    """The rounds that a configuration names, in its first layers or in all."""
+    return [(m, r) for x in found["layers"][:layers] for m, ids in x["samples"].items() for r in ids]
+
+
 def model_samples(rows: DataFrame, round_ids: Sequence[int]) -> DataFrame:
     """Final samples of the given rounds, with `pos` in the order of the list; traces without steps are dropped."""
     chosen = _listed(rows.sparkSession, [(i, r) for i, r in enumerate(round_ids)], "__i int, round_id int")
@@ -183,16 +214,20 @@ def baseline_samples(rows: DataFrame, found: dict) -> DataFrame:
     return out.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("debug_trace", "k").withColumnRenamed("question_id", "qid")
 
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
+def results(spark: SparkSession, folder: str, difficulty: str = "*", model: str = "*", method: str = "*") -> DataFrame:
     """Entropy results below <difficulty>/<model>/<method>/, in result.jsonl or as writers.write_results leaves them,
-    with the three names as columns. A folder without results gives no rows."""
-    names, out = ("difficulty", "model", "method"), None
-    found = _paths(spark, f"{folder}/*/*/*")
-    for paths, glob in (([p for p in found if "/method=" not in p], "result.jsonl"), ([p for p in found if "/method=" in p], "*.json*")):
-        if paths:
-            rows = _json(spark, RESULT, paths, glob).select("*", *_path_parts(*names))
-            out = rows if out is None else out.unionByName(rows)
-    return spark.createDataFrame([], RESULT + "".join(f", {n} string" for n in names)) if out is None else out
+    with the three names as columns. A folder without results gives no rows; only files of the names given are listed and read."""
+    names = {"difficulty": difficulty, "model": model, "method": method}
+    flat = _paths(spark, f"{folder}/{'/'.join(x if x == '*' else _literal(x) for x in names.values())}/result.jsonl", folders=False)
+    deep = _paths(spark, f"{folder}/{'/'.join(f'{c}=*' if x == '*' else _folder(spark, c, x) for c, x in names.items())}")
+    kind = RESULT + "".join(f", {n} string" for n in names)
+    out = spark.createDataFrame([], kind) if not (flat or deep) else None
+    if flat:
+        out = _json(spark, RESULT, list(map(_literal, flat)), "result.jsonl").select("*", *_path_parts(*names))
+    if deep:
+        rows = _json(spark, kind, list(map(_literal, deep)), "*.json*", folder)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def test_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -559,3 +559,53 @@ def test_no_window_over_samples(spark):
     plan = entropy.entropies(df)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "Window" not in entropy.discrete_entropy(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tmp_path_factory):
+    """Six rounds of three models and two difficulties in both layouts; names have what patterns and paths treat apart."""
+    base = tmp_path_factory.mktemp("tree")
+    step = F.struct(F.lit("c").alias("code"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(-1.0).alias("logprob"), F.lit(-1.0).alias("norm_logprob"))
+    model = F.element_at(F.array(F.lit("7"), F.lit("a+b [x]"), F.lit("m=*%?")), (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(72).select(
+        F.col("id").cast("string").alias("question_id"), F.array(step).alias("debug_trace"), F.lit(True).alias("is_passed_public"), F.lit(True).alias("passed"), F.lit(1.0).alias("score"),
+        F.when(F.col("id") % 2 == 0, "easy").otherwise("hard").alias("difficulty"), model.alias("model"), F.expr("cast(id div 6 % 6 as int)").alias("round_id"),
+    )
+    writers.write_rounds(rows.repartition(1), f"{base}/deep")
+    for r in rows.select("difficulty", "model", "round_id").distinct().collect():
+        folder = base / "flat" / r.difficulty / r.model
+        folder.mkdir(parents=True, exist_ok=True)
+        own = rows.filter((F.col("difficulty") == r.difficulty) & (F.col("model") == r.model) & (F.col("round_id") == r.round_id))
+        (folder / f"round_{r.round_id}.jsonl").write_text("\n".join(x.value for x in own.select(F.to_json(F.struct(*writers.ROUND_COLUMNS)).alias("value")).collect()))
+    return base, sorted(map(tuple, rows.select("question_id", "difficulty", "model", "round_id").collect()))
+
+
+@pytest.mark.parametrize("layout", ["flat", "deep"])
+@pytest.mark.parametrize(
+    ("difficulty", "model", "wanted", "files"),
+    [("*", "*", None, 36), ("easy", "*", None, 18), ("*", "a+b [x]", None, 12), ("*", "*", [(None, 1), (None, 4), (None, 4), (None, 99)], 12), ("*", "*", [("m=*%?", 5), ("7", 0)], 4),
+     ("hard", "*", [("a+b [x]", 2)], 1), ("*", "7", [(None, 3)], 2), ("*", "7", [("a+b [x]", 3)], 0), ("none", "*", None, 0), ("*", "*", [], 0)],
+)
+def test_only_wanted_rounds_are_read(spark, tree, layout, difficulty, model, wanted, files):
+    base, rows = tree
+    found = readers.rounds(spark, f"{base}/{layout}", difficulty, model, wanted)
+    assert len(found.inputFiles()) == files
+    kept = [r for r in rows if difficulty in ("*", r[1]) and model in ("*", r[2]) and (wanted is None or any(m in (None, r[2]) and k == r[3] for m, k in wanted))]
+    assert sorted(map(tuple, found.select("question_id", "difficulty", "model", "round_id").collect())) == kept
+
+
+def test_filters_prune_written_rounds(spark, tree):
+    found = readers.rounds(spark, f"{tree[0]}/deep").filter("round_id IN (1, 2) AND model = '7'")
+    assert found.count() == 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [round_id" in plan.replace("isnotnull(model", "round_id") and "round_id#" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_results_of_one_method_are_read(spark, tmp_path):
+    rows = spark.range(8).selectExpr("CAST(id AS STRING) AS problem_id", "CAST(id % 2 AS STRING) AS difficulty", "'m/n' AS model", "CASE WHEN id < 4 THEN 'a' ELSE 'b c' END AS method", "1.0D AS DSE")
+    writers.write_results(rows, f"{tmp_path}/r", {"x": 1})
+    assert readers.results(spark, f"{tmp_path}/r").count() == 8
+    some = readers.results(spark, f"{tmp_path}/r", "1", "m/n", "b c")
+    assert sorted((r.problem_id, r.difficulty, r.model, r.method) for r in some.collect()) == [("5", "1", "m/n", "b c"), ("7", "1", "m/n", "b c")]
+    assert len(some.inputFiles()) < len(readers.results(spark, f"{tmp_path}/r").inputFiles())
+    assert readers.results(spark, f"{tmp_path}/r", method="none").count() == 0
