@@ -37,18 +37,18 @@ def _with_totals(parts: DataFrame, group: Sequence[str], key: Sequence[str], tot
     return spread.join(whole, same).drop(*own)
 
 
-def entropy_parts(samples: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
-    """(group, key, step, n, m, s, z, w): what the entropies of a question are made of, in sums that add up.
+def entropy_parts(samples: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",), also: Sequence[Column] = ()) -> DataFrame:
+    """(group, key, step, n, m, s, z, w, also): what the entropies of a question are made of, in sums that add up.
 
     Rows of one (group, key, step) can be added number by number, whatever part of the samples each is from: `n` samples,
     `m` of them with a log probability, whose sum is `s`; `z` is the sum of exp(d) and `w` that of d exp(d), where d is
-    what the log probability is above step * STEP. Steps keep exponentials of very small log probabilities.
+    what the log probability is above step * STEP. Steps keep exponentials of very small log probabilities. `also`: more aggregates of the samples.
     """
     lp = F.col(logprob).cast("double")
     step = F.floor(lp / STEP)
     d = lp - step * STEP
     sums = [F.count(F.lit(1)).alias("n"), F.count("__lp").alias("m"), F.sum("__lp").alias("s"), F.sum(F.exp("__d")).alias("z"), F.sum(F.col("__d") * F.exp("__d")).alias("w")]
-    return samples.select(*group, *key, lp.alias("__lp"), step.alias("step"), d.alias("__d")).groupBy(*group, *key, "step").agg(*sums)
+    return samples.withColumns({"__lp": lp, "step": step, "__d": d}).groupBy(*group, *key, "step").agg(*sums, *also)
 
 
 def add_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
@@ -56,8 +56,10 @@ def add_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[s
     return parts.groupBy(*group, *key, "step").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")])
 
 
-def entropies_of_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",)) -> DataFrame:
-    """The measures of entropies() from parts, of which each (group, key, step) has one row.
+def entropies_of_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",), also: Sequence[Column] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """The measures of entropies() from parts, of which each (group, key, step) has one row, and `more`.
+
+    also: aggregates of other columns of parts by (group, key); more: aggregates by group of these, of the keys, and of `n`.
 
     With z and w brought to the greatest step of a question, Z their sum and z by key: PE_Rao is log Z - W / Z, and
     SE is log Z - sum(z log z) / Z. All sums are combined before they are shuffled.
@@ -65,13 +67,13 @@ def entropies_of_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: S
     met = _with_totals(parts, group, key, [F.max("step").alias("__top"), F.sum("n").alias("__total")])
     ahead = (F.col("step") - F.col("__top")) * STEP
     shrink = F.exp(ahead)
-    met = met.select(*group, *key, "__total", "n", "m", "s", (F.col("z") * shrink).alias("z"), ((F.col("w") + F.col("z") * ahead) * shrink).alias("w"))
-    clusters = met.groupBy(*group, *key, "__total").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")])
+    met = met.withColumns({"z": F.col("z") * shrink, "w": (F.col("w") + F.col("z") * ahead) * shrink})
+    clusters = met.groupBy(*group, *key, "__total").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")], *also)
     z = F.sum("z")
     terms = F.sum(F.when(F.col("z") > 0, F.col("z") * F.log("z")).when(F.col("z") == 0, 0.0))
     return clusters.groupBy(*group).agg(
         F.try_divide(-F.sum("s"), F.sum("m")).alias("PE_MC"), (F.log(z) - F.sum("w") / z).alias("PE_Rao"), (F.log(z) - terms / z).alias("SE"), _shares().alias("DSE"),
-        F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"),
+        F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"), *more,
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -10,24 +12,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .clusters import largest
-from .entropy import MEASURES
+from .entropy import MEASURES, entropies_of_parts, entropy_parts
 
-#: Ranges of entropy in which cumulative counts are taken apart, so that no group is sorted by one task.
-RANGES = 256
+#: Ranges of entropy between a power of two and the next, in which cumulative counts are taken apart.
+RANGES = 1024
+#: More than the number of ranges below any double's, and the range of infinity.
+_SHIFT, _LAST = 1100 * RANGES, 4 * 1100 * RANGES
+
+#: Sums of a cluster's scores, and what a question has of them: see question_scores().
+_SUMS = {"__max": F.max, "__sum": F.sum, "__scored": F.sum}
+
+
+def _score_parts(score: str) -> list[Column]:
+    return [F.max(score).alias("__max"), F.sum(score).alias("__sum"), F.count(score).alias("__scored")]
+
+
+def _score_sums() -> list[Column]:
+    return [f(c).alias(c) for c, f in _SUMS.items()]
+
+
+def _scores() -> list[Column]:
+    top = F.max(F.struct("n", (-F.col("cluster")).alias("last"), "__max", "__sum", "__scored"))
+    one = lambda c: F.coalesce(c == 1.0, F.lit(False)).cast("int")
+    mean = lambda total, n: F.coalesce(F.try_divide(total, n), F.lit(0.0))
+    return [
+        one(F.max("__max")).alias("pass_at_n"), one(top["__max"]).alias("pass_at_cluster"),
+        mean(F.sum("__sum"), F.sum("__scored")).alias("avg_score"), F.coalesce(F.max("__max"), F.lit(0.0)).alias("max_score"),
+        mean(top["__sum"], top["__scored"]).alias("cluster_avg_score"), F.coalesce(top["__max"], F.lit(0.0)).alias("cluster_max_score"),
+    ]
 
 
 def question_scores(samples: DataFrame, group: Sequence[str] = ("qid",), score: str = "score") -> DataFrame:
-    """One row per question: pass_at_n, pass_at_cluster, and the mean and greatest score of all samples and of the largest cluster."""
-    top = largest(samples, group).select(*group, F.col("cluster").alias("__top"))
-    met = samples.join(top, list(group))
-    inside = F.when(F.col("cluster") == F.col("__top"), F.col(score))
-    return met.groupBy(*group).agg(
-        F.coalesce(F.max(score) == 1.0, F.lit(False)).cast("int").alias("pass_at_n"),
-        F.coalesce(F.max(inside) == 1.0, F.lit(False)).cast("int").alias("pass_at_cluster"),
-        F.coalesce(F.avg(score), F.lit(0.0)).alias("avg_score"), F.coalesce(F.max(score), F.lit(0.0)).alias("max_score"),
-        F.coalesce(F.avg(inside), F.lit(0.0)).alias("cluster_avg_score"), F.coalesce(F.max(inside), F.lit(0.0)).alias("cluster_max_score"),
-    )
+    """One row per question: pass_at_n, pass_at_cluster, and the mean and greatest score of all samples and of the largest
+    cluster, of equal ones that with the lowest id. Samples are added up by cluster first, and read once."""
+    sums = samples.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("n"), *_score_parts(score))
+    return sums.groupBy(*group).agg(*_scores())
+
+
+def question_measures(samples: DataFrame, group: Sequence[str] = ("qid",), logprob: str = "logprob", score: str = "score") -> DataFrame:
+    """entropies() and question_scores() of the same samples, which are added up once for both."""
+    parts = entropy_parts(samples, logprob, group, also=_score_parts(score))
+    return entropies_of_parts(parts, group, also=_score_sums(), more=_scores())
 
 
 def with_overall(rows: DataFrame, difficulty: str = "difficulty") -> DataFrame:
@@ -51,24 +76,37 @@ def long_form(rows: DataFrame, keys: Sequence[str], targets: Sequence[str], meas
     return out.filter(F.col("entropy").isNotNull())
 
 
+def entropy_range(e: Column) -> Column:
+    """A whole number that doesn't fall as e rises: RANGES of them between each power of two and the next, zero apart.
+
+    Whether the logarithm is rounded up or down at a power of two makes no difference: the last range below it is what
+    the place before the first range above it is.
+    """
+    size = F.abs(e)
+    power = F.floor(F.log2(size))
+    place = power * RANGES + F.floor((size / F.pow(F.lit(2.0), power) - 1) * RANGES) + _SHIFT
+    far = F.when(size == float("inf"), _LAST).when(size < 2.0**-1000, 1).otherwise(place).cast("long")
+    return F.when(F.isnan(e), 2 * _LAST).when(e == 0, 0).when(e > 0, far).otherwise(-far)
+
+
 def _cumulative(rows: DataFrame, group: Sequence[str], label: str, entropy: str) -> DataFrame:
     """Per distinct entropy of a group: positives and negatives here and at lower entropies, and in all.
 
-    Rows with equal entropies are counted first. Running sums are taken inside ranges of entropy and
-    added to those of the ranges below. Ranges end at approximate quantiles of the different entropies, so that
-    none holds most of them, whatever outliers there are.
+    Rows with equal entropies are counted first; the counts are read once. Running sums are taken inside ranges of
+    entropy (a fixed function of the number, see entropy_range) and added to those of the ranges below, so that no
+    group is sorted by one task.
     """
     counted = rows.groupBy(*group, F.col(entropy).cast("double").alias("__e")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    cuts = F.percentile_approx("__e", [k / RANGES for k in range(1, RANGES)], 4 * RANGES)
-    ends = counted.groupBy(*group).agg(F.array_sort(F.array_distinct(cuts)).alias("__cuts"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    met = counted.join(ends, list(group))
-    met = met.withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__e")))).drop("__cuts")
+    met = counted.withColumn("__r", entropy_range(F.col("__e"))).repartition(*group, "__r")
     sums = met.groupBy(*group, "__r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    below = Window.partitionBy(*group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, "__r", F.coalesce(F.sum("rp").over(below), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(below), F.lit(0)).alias("bn"))
+    whole = Window.partitionBy(*group)
+    below = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    base = [F.coalesce(F.sum(c).over(below), F.lit(0)).alias(n) for c, n in (("rp", "bp"), ("rn", "bn"))]
+    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__r").alias("__own"), *base, F.sum("rp").over(whole).alias("all_p"), F.sum("rn").over(whole).alias("all_n"))
     inside = Window.partitionBy(*group, "__r").orderBy("__e").rowsBetween(Window.unboundedPreceding, -1)
     run = met.withColumn("lp", F.coalesce(F.sum("p").over(inside), F.lit(0))).withColumn("ln", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return run.join(sums, [*group, "__r"]).select(*group, F.col("__e").alias("entropy"), "p", "n", "all_p", "all_n", (F.col("lp") + F.col("bp")).alias("tp"), (F.col("ln") + F.col("bn")).alias("fp"))
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{c}")) for c in group], F.col("__r") == F.col("__own"))
+    return run.join(sums, same).select(*group, F.col("__e").alias("entropy"), "p", "n", "all_p", "all_n", (F.col("lp") + F.col("bp")).alias("tp"), (F.col("ln") + F.col("bn")).alias("fp"))
 
 
 def roc_points(rows: DataFrame, group: Sequence[str], label: str = "y", entropy: str = "entropy") -> DataFrame:

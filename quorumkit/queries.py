@@ -425,8 +425,7 @@ def pearson_p_value(spark, sf_dir):
 
 
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = line_clusters(spark, sf_dir)
-    rows = entropy.entropies(c).join(evaluate.question_scores(c), "qid")
+    rows = evaluate.question_measures(line_clusters(spark, sf_dir))
     return rows.select("*", F.lit("all").alias("model"), F.lit("equality").alias("method"), F.concat(F.lit("d"), (F.col("qid") % 3).cast("string")).alias("difficulty"))
 
 
@@ -453,9 +452,23 @@ def rounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_lines(spark, sf_dir).withColumns({m: F.round(m, 9) for m in MEASURED})
 
 
-@query(f"{AREAS} SELECT difficulty, metric, entropy_type, ROUND(auroc, 5) AS auroc, num_samples FROM a")
+def _point_sql(x: str, y: str, at: str, name: str) -> str:
+    """y where the curve through pts reaches x = at: from the last point up to there, of equal x the highest y, straight to the next."""
+    low, high = f"arg_max({y}, {x} * 1e6 + {y}) FILTER (WHERE {x} <= {at})", f"arg_min({y}, {x} * 1e6 - {y}) FILTER (WHERE {x} > {at})"
+    lx, hx = f"MAX({x}) FILTER (WHERE {x} <= {at})", f"MIN({x}) FILTER (WHERE {x} > {at})"
+    return f"ROUND(CASE WHEN MAX(ap) = 0 OR MAX(an) = 0 THEN {at} WHEN {hx} IS NULL THEN {low} ELSE {low} + ({high} - {low}) * ({at} - {lx}) / ({hx} - {lx}) END, 5) + 0 AS {name}"
+
+
+POINTS = ", ".join(_point_sql(*p) for p in (("y", "x", "0.8", "fpr_at_80"), ("y", "x", "0.9", "fpr_at_90"), ("x", "y", "0.05", "tpr_at_5"), ("x", "y", "0.1", "tpr_at_10")))
+#: SQL: ev, the areas with their operating points.
+EVALUATED = f"""{AREAS}, pts AS (SELECT difficulty, metric, entropy_type, (fp + n) / an AS x, (tp + p) / ap AS y, ap, an FROM u JOIN a USING (difficulty, metric, entropy_type) UNION ALL SELECT difficulty, metric, entropy_type, 0, 0, ap, an FROM a),
+o AS (SELECT difficulty, metric, entropy_type, {POINTS} FROM pts GROUP BY difficulty, metric, entropy_type),
+ev AS (SELECT o.*, ROUND(auroc, 5) AS auroc, num_samples FROM o JOIN a USING (difficulty, metric, entropy_type))"""
+
+
+@query(f"{EVALUATED} SELECT * FROM ev")
 def evaluation_grouped(spark, sf_dir):
-    return rounded(evaluate.evaluate(rounded_lines(spark, sf_dir)).select("difficulty", "metric", "entropy_type", "auroc", "num_samples"), 5)
+    return rounded(evaluate.evaluate(rounded_lines(spark, sf_dir)).drop("model", "method"), 5)
 
 
 @query(f"{CORRELATIONS} SELECT difficulty, score_type, entropy_type, ROUND(correlation, 5) AS correlation, num_samples FROM cells")

@@ -609,3 +609,62 @@ def test_results_of_one_method_are_read(spark, tmp_path):
     assert sorted((r.problem_id, r.difficulty, r.model, r.method) for r in some.collect()) == [("5", "1", "m/n", "b c"), ("7", "1", "m/n", "b c")]
     assert len(some.inputFiles()) < len(readers.results(spark, f"{tmp_path}/r").inputFiles())
     assert readers.results(spark, f"{tmp_path}/r", method="none").count() == 0
+
+
+def plain_areas(rows) -> dict:
+    """Areas by counting pairs."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        own = [(e, y) for h, e, y in rows if h == g]
+        p, n = [e for e, y in own if y], [e for e, y in own if not y]
+        out[g] = (sum((b > a) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)) if p and n else 0.0, len(own))
+    return out
+
+
+SPREADS = {
+    "outliers": lambda r, n: np.where(r.random(n) < 0.02, r.choice([1e300, -1e300, 1e-300, math.inf, -math.inf], n), r.integers(0, 40, n) / 7),
+    "one value": lambda r, n: np.where(r.random(n) < 0.95, 0.5, r.random(n)),
+    "negative": lambda r, n: -r.exponential(3, n),
+    "tiny": lambda r, n: r.choice([0.0, -0.0, -1e-10, 5e-324, 1e-310, -5e-324], n),
+    "powers": lambda r, n: 2.0 ** r.integers(-30, 30, n) * r.choice([1, 1 - 2**-53, 1 + 2**-52, -1], n),
+}
+
+
+@pytest.mark.parametrize("spread", sorted(SPREADS))
+def test_areas_by_counting_pairs(spark, spread):
+    r = np.random.default_rng(7)
+    e, y = SPREADS[spread](r, 400), r.integers(0, 2, 400)
+    rows = [("g" if k % 3 else None, float(e[k]), int(y[k])) for k in range(400)] + [("ones", 1.0, 1), ("none", 2.0, 0)]
+    got = {x.g: (x.auroc, x.num_samples) for x in evaluate.auroc(spark.createDataFrame(rows, "g string, entropy double, y int"), ["g"]).collect()}
+    want = plain_areas(rows)
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == (pytest.approx(want[g][0], abs=1e-9), want[g][1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(allow_nan=False), min_size=2, max_size=40))
+def test_ranges_are_in_order(spark, numbers):
+    rows = spark.createDataFrame([(x,) for x in numbers], "e double").select("e", evaluate.entropy_range(F.col("e")).alias("r")).collect()
+    rows = sorted((x.e, x.r) for x in rows)
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:])) and all((e == 0) == (r == 0) for e, r in rows)
+
+
+def scans(df, name: str) -> int:
+    """How often a table's files are read by a plan, once it has run: exchanges that were reused read nothing."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return sum("Scan" in line and name in line for line in plan.split("== Initial Plan ==")[0].splitlines())
+
+
+def test_measures_are_read_once(spark):
+    from quorumkit import queries
+
+    from .conftest import SF
+
+    assert scans(evaluate.evaluate(queries.rounded_lines(spark, SF)), "lineitem") <= 4
+    c = queries.line_clusters(spark, SF)
+    both = entropy.entropies(c).join(evaluate.question_scores(c), "qid")
+    key = lambda df: sorted(tuple(None if v is None else round(float(v), 9) for v in r) for r in df.select(sorted(both.columns)).collect())
+    assert key(evaluate.question_measures(c)) == key(both)
