@@ -15,13 +15,23 @@ from ..session import kept, ship
 
 #: Questions with more samples than this get their clusters by joins instead of one row with all links.
 ARRAY_LIMIT = 64
+#: Questions of up to so many samples are ranked by windows over their samples, larger ones by their different keys.
+WINDOW_LIMIT = 100_000
+#: Positions of a question that are settled in the first round, and the most links of a block that one task searches.
+LEAD_BLOCK, MOST_LINKS = 1024, 2_000_000
 
 
-def by_key(samples: DataFrame, key: Sequence[str], group: str = "qid", pos: str = "pos") -> DataFrame:
+def by_key(samples: DataFrame, key: Sequence[str], group: str = "qid", pos: str = "pos", limit: int = WINDOW_LIMIT) -> DataFrame:
     """Adds `cluster`: samples of a question with equal keys share one; ids count from 0 by first position.
 
-    Keys are counted first and only different ones are ranked, so that a large question is in no single task.
+    Where no question has more than `limit` samples, which one count by question tells, two windows rank them: one
+    exchange, one scan. Else keys are counted first and only different ones are ranked, so that no large question is
+    in a single task. Both give the same ids.
     """
+    largest = samples.groupBy(group).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= limit:
+        first = samples.withColumn("__first", F.min(pos).over(Window.partitionBy(group, *key)))
+        return first.withColumn("cluster", F.dense_rank().over(Window.partitionBy(group).orderBy("__first")) - 1).drop("__first")
     names = [f"__key{k}" for k in range(len(key) + 1)]
     firsts = samples.groupBy(*[F.col(c).alias(n) for c, n in zip([group, *key], names)]).agg(F.min(pos).alias("__first"))
     ranked = firsts.withColumn("cluster", F.dense_rank().over(Window.partitionBy(names[0]).orderBy("__first")) - 1).drop("__first")
@@ -139,7 +149,7 @@ def propagate(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str
 def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", limit: int = ARRAY_LIMIT) -> DataFrame:
     """(group, pos, cluster): a sample that no earlier leader matches leads; any other takes the last leader that matches it.
 
-    Questions with more than `limit` samples find their leaders in rounds of joins.
+    Questions with more than `limit` samples find their leaders block by block of positions.
     """
     small, large = _by_size(samples, group, pos, limit)
     rows = _grouped(samples.join(small, group, "left_semi"), links, group, pos)
@@ -150,26 +160,59 @@ def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str =
     return out.unionByName(lead_by_rounds(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos))
 
 
-def lead_by_rounds(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:
-    """Leaders of questions of any size: in each round a sample without an undecided or leading one before it leads,
-    and one that a leader before it matches follows."""
+def lead_by_rounds(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", block: int = LEAD_BLOCK) -> DataFrame:
+    """Leaders of questions of any size, block by block of positions; blocks double.
+
+    Whether a sample leads depends on those before it only. Each round settles the next block of every question: a
+    join strikes the samples that a settled leader matches; those that are left and have no links among each other lead,
+    the others are searched by one task a question. A block is halved if a question has more than MOST_LINKS such
+    links in it, else the next one is twice as long: the rounds are logarithmic in the samples of a question, whatever
+    chains its links form.
+    """
     ends = links.filter("a <> b").select(group, F.greatest("a", "b").alias(pos), F.least("a", "b").alias("__before")).distinct()
-    nodes = kept(samples.select(group, pos).distinct())
-    ends = kept(ends.join(nodes, [group, pos], "left_semi").join(nodes.withColumnRenamed(pos, "__before"), [group, "__before"], "left_semi"))
-    state = nodes.withColumn("__leads", F.lit(None).cast("boolean"))
-    while not state.filter("__leads IS NULL").isEmpty():
-        ahead = ends.join(state.select(group, F.col(pos).alias("__before"), "__leads"), [group, "__before"])
-        seen = ahead.groupBy(group, pos).agg(F.bool_or(F.coalesce("__leads", F.lit(False))).alias("__led"), F.count_if(F.col("__leads").isNull()).alias("__open"))
-        met = state.join(seen, [group, pos], "left")
-        fresh = F.when(F.coalesce("__led", F.lit(False)), False).when(F.coalesce("__open", F.lit(0)) == 0, True)
-        state = kept(met.select(group, pos, F.coalesce("__leads", fresh).alias("__leads")))
-    lead = state.filter("__leads").select(group, pos)
-    last = ends.join(lead.withColumnRenamed(pos, "__before"), [group, "__before"]).groupBy(group, pos).agg(F.max("__before").alias("__own"))
-    own = state.join(last, [group, pos], "left").select(group, pos, F.when(F.col("__leads"), F.col(pos)).otherwise(F.col("__own")).alias("__own"))
-    ids = lead.withColumn("cluster", (F.row_number().over(Window.partitionBy(group).orderBy(pos)) - 1).cast("int")).withColumnRenamed(pos, "__own")
+    nodes = kept(samples.select(group, pos).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(pos)) - 1))
+    ahead = nodes.select(group, F.col(pos).alias("__before"), F.col("__rank").alias("__before_rank"))
+    ends = kept(ends.join(nodes, [group, pos]).join(ahead, [group, "__before"]))
+    most, done, leads = nodes.agg(F.max("__rank")).first()[0], 0, None
+    ship(samples.sparkSession)
+    while most is not None and done <= most:
+        fresh = nodes.filter(F.col("__rank").between(done, done + block - 1))
+        if leads is not None:
+            struck = ends.filter(F.col("__rank").between(done, done + block - 1)).join(leads.withColumnRenamed(pos, "__before"), [group, "__before"], "left_semi")
+            fresh = fresh.join(struck, [group, pos], "left_anti")
+        fresh = kept(fresh)
+        open_ = fresh.select(group, pos)
+        inner = ends.filter(F.col("__rank").between(done, done + block - 1) & (F.col("__before_rank") >= done)).join(open_, [group, pos], "left_semi")
+        inner = kept(inner.join(open_.withColumnRenamed(pos, "__before"), [group, "__before"], "left_semi"))
+        worst = inner.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        if worst > MOST_LINKS and block > 1:
+            block //= 2
+            continue
+        linked = inner.select(group, pos).union(inner.select(group, F.col("__before").alias(pos))).distinct()
+        found = _unfolded(_grouped(linked, inner.select(group, F.col(pos).alias("a"), F.col("__before").alias("b")), group, pos), _ids(_leads), group, pos)
+        own = kept(open_.join(found.filter("cluster = 0"), [group, pos], "left_anti"))
+        leads = own if leads is None else leads.unionByName(own)
+        done, block = done + block, 2 * block
+    if leads is None:
+        return samples.select(group, pos).withColumn("cluster", F.lit(None).cast("int")).filter("false")
+    last = ends.join(leads.withColumnRenamed(pos, "__before"), [group, "__before"]).groupBy(group, pos).agg(F.max("__before").alias("__last"))
+    marked = leads.withColumn("__leads", F.lit(True))
+    own = nodes.join(marked, [group, pos], "left").join(last, [group, pos], "left").select(group, pos, F.when(F.col("__leads"), F.col(pos)).otherwise(F.col("__last")).alias("__own"))
+    ids = leads.withColumn("cluster", (F.row_number().over(Window.partitionBy(group).orderBy(pos)) - 1).cast("int")).withColumnRenamed(pos, "__own")
     return own.join(ids, [group, "__own"]).select(group, pos, "cluster")
 
 
+def _leads(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """For each position, whether it leads: no earlier leader matches it."""
+    before: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist()):
+        before[max(x, y)].append(min(x, y))
+    out: list[int] = []
+    for i in range(n):
+        out.append(int(not any(out[k] for k in before[i])))
+    return out
+
+
 def cluster(samples: DataFrame, links: DataFrame, algorithm: str = "dfs", **names: str) -> DataFrame:
     """Components ('dfs') or leaders ('greedy')."""
     if algorithm not in ("dfs", "greedy"):

@@ -496,9 +496,10 @@ def chart_correlation_bars(spark, sf_dir):
 # -- selection --------------------------------------------------------------------------------------
 
 
-def baseline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def baseline_lines(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFrame:
     source = F.concat_ws("/", "model", F.col("pos").cast("string"))
-    return line_clusters(spark, sf_dir).withColumns({"first_passed": F.col("is_passed_public"), "last_passed": F.col("passed"), "source": source})
+    rows = line_clusters(spark, sf_dir) if clustered else bound(spark, sf_dir, L)
+    return rows.withColumns({"first_passed": F.col("is_passed_public"), "last_passed": F.col("passed"), "source": source})
 
 
 @query(f"WITH b AS ({L}) SELECT qid, is_passed_public AS passed, is_passed_public::INTEGER::DOUBLE AS score, model || '/' || pos AS source FROM b WHERE pos = 0")
@@ -514,7 +515,7 @@ def error_rows(spark, sf_dir):
     """Questions with a sample without code, and questions without metadata, are rows of their own."""
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("qid"))
     metadata = keys.filter("qid % 5 <> 0").select(F.col("qid").alias("task_id"), F.lit("").alias("prompt"), F.lit(True).alias("is_stdin"))
-    samples = baseline_lines(spark, sf_dir).drop("cluster").withColumn("code", F.when((F.col("qid") % 11 != 0) | (F.col("pos") > 0), F.col("ckey")))
+    samples = baseline_lines(spark, sf_dir).withColumn("code", F.when((F.col("qid") % 11 != 0) | (F.col("pos") > 0), F.col("ckey")))
     found, errors = registry.cluster_sound(samples, "equality", metadata)
     return selection.answers("vanilla", found, keys, errors, seed=None).select("qid", "method", "passed", "score", "source", "error")
 
@@ -523,7 +524,7 @@ def error_rows(spark, sf_dir):
 x AS (SELECT c.*, top.size, ROW_NUMBER() OVER (PARTITION BY c.qid ORDER BY c.pos) AS k FROM c JOIN top ON c.qid = top.qid AND c.cluster = top.cluster)
 SELECT x.qid, is_passed_public AS passed, is_passed_public::INTEGER::DOUBLE AS score, model || '/' || pos AS source, num_clusters, size AS largest_cluster_size FROM x JOIN n ON x.qid = n.qid WHERE k = 1""")
 def major_voting(spark, sf_dir):
-    return selection.select("major_voting", baseline_lines(spark, sf_dir), seed=None)
+    return selection.select("major_voting", baseline_lines(spark, sf_dir, clustered=True), seed=None)
 
 
 PASS_SQL = "WITH b AS ({b}) SELECT qid, BOOL_OR({p}) AS passed, ROUND(AVG(score), 6) AS score, COUNT(*) AS num_samples, COUNT(*) FILTER (WHERE {p}) AS num_passed FROM b GROUP BY qid"

@@ -85,7 +85,7 @@ def brute_leaders(n, links):
     return ids
 
 
-def test_components_and_leaders_against_brute_force(spark):
+def test_components_and_leaders_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     graphs = {}
     for q in range(60):
@@ -104,8 +104,13 @@ def test_components_and_leaders_against_brute_force(spark):
     assert got(clusters.components(samples, links, limit=3)) == {q: brute(n, ls, False) for q, (n, ls) in graphs.items()}
     assert got(clusters.components(samples, links, directed=True)) == {q: brute(n, ls, True) for q, (n, ls) in graphs.items()}
     assert got(clusters.components(samples, links, directed=True, limit=3)) == {q: brute(n, ls, True) for q, (n, ls) in graphs.items()}
+    want = {q: brute_leaders(n, ls) for q, (n, ls) in graphs.items()}
     for limit in (3, clusters.ARRAY_LIMIT):
-        assert got(clusters.leaders(samples, links, limit=limit)) == {q: brute_leaders(n, ls) for q, (n, ls) in graphs.items()}
+        assert got(clusters.leaders(samples, links, limit=limit)) == want
+    assert got(clusters.lead_by_rounds(samples, links, block=1)) == want
+    monkeypatch.setattr(clusters, "MOST_LINKS", 1)
+    assert got(clusters.lead_by_rounds(samples, links, block=4)) == want
+    assert clusters.lead_by_rounds(samples.limit(0), links).count() == 0
 
 
 def test_a_large_question(spark):
@@ -120,6 +125,29 @@ def test_a_large_question(spark):
     assert ids(clusters.leaders(samples, links)) == clusters._led(n, *ends)
 
 
+def test_leaders_of_a_long_path(spark, monkeypatch):
+    """Every link hangs on the one before it; the rounds are few all the same."""
+    n, calls, grouped = 5000, [], clusters._grouped
+    monkeypatch.setattr(clusters, "_grouped", lambda *a: calls.append(1) or grouped(*a))
+    samples = spark.range(n).selectExpr("'q' AS qid", "CAST(id AS int) AS pos")
+    links = spark.range(n - 1).selectExpr("'q' AS qid", "CAST(id AS int) AS a", "CAST(id + 1 AS int) AS b")
+    ids = [r.cluster for r in clusters.lead_by_rounds(samples, links).orderBy("pos").collect()]
+    assert ids == [k // 2 for k in range(n)] and len(calls) == 3
+
+
+def test_ids_by_key_both_ways(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice(["x", "y", "z", None]), rng.choice([1, None])) for k in range(200)]
+    samples = spark.createDataFrame(rows, "qid string, pos int, k string, l int")
+    by = lambda limit: sorted(map(str, clusters.by_key(samples, ["k", "l"], limit=limit).select(*samples.columns, "cluster").collect()))
+    assert by(clusters.WINDOW_LIMIT) == by(0)
+    assert clusters.by_key(samples.limit(0), ["k"]).count() == 0
+    first = {}
+    for r in clusters.by_key(samples, ["k", "l"]).orderBy("pos").collect():
+        own = first.setdefault(r.qid, {})
+        assert own.setdefault((r.k, r.l), len(own)) == r.cluster
+
+
 def test_largest_cluster_tie(spark):
     rows = samples_of(spark, [("a", i, c, None, s) for i, (c, s) in enumerate([(0, 0.1), (1, 1.0), (1, 0.2), (0, 0.3)])])
     assert clusters.largest(rows).first().cluster == 0
