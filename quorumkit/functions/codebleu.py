@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import keyword
 from collections import Counter
+from hashlib import md5
 from math import exp, log
 
 import pandas as pd
@@ -117,11 +118,24 @@ def both_ways(first: str | None, second: str | None) -> float:
     return (code_bleu(first, second) + code_bleu(second, first)) / 2
 
 
-def code_bleu_of(first: Column, second: Column) -> Column:
-    """CodeBLEU averaged over both directions."""
+def features(code: str | None) -> tuple[bool, list[dict]]:
+    """Whether a program can be read, and its subtrees ('t') and flows ('f') with their counts. Shapes go by their MD5."""
+    if code is None:
+        return False, []
+    tree = _parsed(code)
+    try:
+        trees, flows = _subtrees(tree), _flows(tree)
+    except (RecursionError, MemoryError, OverflowError):
+        return False, []
+    return True, [{"kind": kind, "k": md5(repr(k).encode()).hexdigest(), "c": c} for kind, found in (("t", trees), ("f", flows)) for k, c in found.items()]
+
+
+def features_of(code: Column) -> Column:
+    """struct<sound, found>: features() of each program, which is parsed once."""
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([both_ways(x, y) for x, y in zip(a, b)], dtype=float)
+    @F.pandas_udf("sound boolean, found array<struct<kind:string,k:string,c:int>>")
+    def run(codes: pd.Series) -> pd.DataFrame:
+        made = [features(c) for c in codes]
+        return pd.DataFrame({"sound": [x for x, _ in made], "found": pd.Series([y for _, y in made], dtype=object)})
 
-    return run(first, second)
+    return run(code)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .clusters import by_key, cluster, components
 from .functional import by_outputs
-from .similarity import above, code_bleu_pairs, cosine_pairs, entails, ngram_precision_pairs
+from .similarity import above, code_bleu_pairs, cosine_links, entails, ngram_precision_pairs
 
 
 def _attach(samples: DataFrame, found: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def _attach(samples: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def embed(samples: DataFrame, vector: str = "embedding", threshold: float = 0.5, algorithm: str = "dfs") -> DataFrame:
-    return _attach(samples, cluster(samples, above(cosine_pairs(samples, vector), threshold), algorithm))
+    return _attach(samples, cluster(samples, cosine_links(samples, vector, threshold), algorithm))
 
 
 def bleu(samples: DataFrame, code: str = "code", threshold: float = 0.7, algorithm: str = "dfs") -> DataFrame:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from keyword import kwlist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codebleu import code_bleu_of
+from ..functions.codebleu import KEYWORD_WEIGHT, ORDER, OTHER_WEIGHT, SMOOTHING, features_of
 from ..session import ship
 
+#: Samples of a question that are compared pair by pair; larger questions are cut into tiles of about so many samples.
+PAIRS_LIMIT, TILE = 64, 1024
+#: Cosines this near to the threshold are added up once more, in the order of the vectors' numbers.
+MARGIN = 1e-9
+
 
 def pairs(samples: DataFrame, value: str, group: str = "qid", pos: str = "pos") -> DataFrame:
     """(group, a, b, x, y): each two samples of a question once, a before b."""
@@ -27,6 +37,97 @@ def cosine_pairs(samples: DataFrame, vector: str, group: str = "qid", pos: str =
     return both.select(group, "a", "b", F.coalesce(F.try_divide(_dot(F.col("x.v"), F.col("y.v")), F.col("x.n") * F.col("y.n")), F.lit(0.0)).alias("similarity"))
 
 
+def cosine_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The cosine as cosine_pairs() adds it up: number after number."""
+    dot, own, other = (float(np.cumsum(v)[-1]) for v in (x * y, x * x, y * y))
+    return dot / (np.sqrt(own) * np.sqrt(other))
+
+
+def near_rows(x: np.ndarray, y: np.ndarray, threshold: float, same: bool = False, steps: Sequence[float] = (0.25, 0.5)) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places (i, j) of rows whose cosine is above the threshold, and how many whole products that took. With `same`, x and y
+    are the same rows: only places with i < j.
+
+    Of unit vectors the first numbers are multiplied first: the rest adds no more than the product of the lengths of the
+    rests (Cauchy and Schwarz). Rows that reach the threshold with nobody are left out of the next step. Of what is left
+    the whole products are taken; those near the threshold are added up once more as cosine_of() does.
+    """
+    a, b = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y))
+    rows, cols = np.arange(len(x)), np.arange(len(y))
+    for share in steps:
+        k = int(share * x.shape[1])
+        if not (k and rows.size and cols.size):
+            continue
+        p, q = a[rows], b[cols]
+        rest = [np.sqrt(np.maximum(0.0, (v[:, k:] ** 2).sum(axis=1))) for v in (p, q)]
+        open_ = p[:, :k] @ q[:, :k].T + np.outer(*rest) > threshold - MARGIN
+        if same:
+            open_ &= rows[:, None] < cols
+        rows, cols = rows[open_.any(axis=1)], cols[open_.any(axis=0)]
+    cosine = a[rows] @ b[cols].T
+    near = cosine > threshold - MARGIN
+    i, j = np.nonzero(near & (rows[:, None] < cols) if same else near)
+    sure = cosine[i, j] > threshold + MARGIN
+    for k in np.flatnonzero(~sure):
+        sure[k] = cosine_of(x[rows[i[k]]], y[cols[j[k]]]) > threshold
+    return rows[i[sure]], cols[j[sure]], int(rows.size * cols.size)
+
+
+def _tile_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def run(part: pa.Table) -> pa.Table:
+        tiles = [t.values for t in part.column("rows")]
+        place = [t.field("p").to_numpy() for t in tiles]
+        value = [t.field("v").flatten().to_numpy().reshape(len(t), -1) for t in tiles]
+        i, j, _ = near_rows(value[0], value[-1], threshold, len(tiles) == 1)
+        a, b = place[0][i], place[-1][j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        q = part.column("q")[0]
+        return pa.table({"q": pa.array([q.as_py()] * len(low), part.schema.field("q").type), "a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    return run
+
+
+def cosine_links(samples: DataFrame, vector: str, threshold: float, group: str = "qid", pos: str = "pos", limit: int = PAIRS_LIMIT, tile: int = TILE) -> DataFrame:
+    """(group, a, b): the pairs above a threshold of at least 0, as above(cosine_pairs()) gives them, a before b.
+
+    Questions of up to `limit` samples make their pairs. Of larger ones the samples are dealt into tiles of about `tile` by
+    a hash; two tiles at a time meet in a task, which multiplies them as matrices and leaves out rows that a part of
+    their numbers shows to be far from all others. Vectors that are null, of zeros, or hold a null or a number that isn't
+    finite are near none there, nor are those of different lengths. Positions are whole numbers, one sample each.
+    """
+    if threshold < 0:
+        return above(cosine_pairs(samples, vector, group, pos), threshold).select(group, "a", "b")
+    sizes = samples.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    large = sizes.filter(F.col("__n") > limit)
+    if large.isEmpty():
+        return above(cosine_pairs(samples, vector, group, pos), threshold).select(group, "a", "b")
+    plain = samples.join(large.select(group), group, "left_anti")
+    small = above(cosine_pairs(plain, vector, group, pos), threshold).select(group, "a", "b")
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
+    rows = samples.join(large.select(group, F.ceil(F.col("__n") / tile).alias("tiles")), group)
+    rows = rows.select(F.col(group).alias("q"), F.struct(F.col(pos).cast("long").alias("p"), v.alias("v")).alias("r"), v.alias("v"), "tiles").filter(F.col("v").isNotNull() & ~bad)
+    dealt = rows.groupBy("q", F.size("v").alias("d"), F.pmod(F.xxhash64("r.p"), F.col("tiles")).alias("own"), "tiles").agg(F.collect_list("r").alias("rows"))
+    meets = dealt.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    meets = meets.select("q", "d", F.least("own", "w").alias("s"), F.greatest("own", "w").alias("t"), "rows")
+    kind = f"q {samples.schema[group].dataType.simpleString()}, a long, b long"
+    ship(samples.sparkSession)
+    found = meets.groupBy("q", "d", "s", "t").applyInArrow(_met(_tile_links(threshold)), kind)
+    at = samples.schema[pos].dataType
+    return small.unionByName(found.select(F.col("q").alias(group), F.col("a").cast(at).alias("a"), F.col("b").cast(at).alias("b")))
+
+
+def _met(find: Callable[[pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Of two tiles that meet: nothing if one of them has no rows."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        s, t = key[2].as_py(), key[3].as_py()
+        if len(part) == (1 if s == t else 2):
+            return find(part)
+        return find(part.slice(0, 1)).slice(0, 0)
+
+    return run
+
+
 def matrix(similar: DataFrame, samples: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:
     """Both halves and a diagonal of ones, as rows (group, a, b, similarity)."""
     mirrored = similar.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
@@ -66,10 +167,59 @@ def ngram_precision_pairs(samples: DataFrame, code: str, n: int = 1, group: str
     return met.select(group, "a", "b", ((share("ta") + share("tb")) / 2).alias("similarity"))
 
 
-def code_bleu_pairs(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos") -> DataFrame:
-    """(group, a, b, similarity): CodeBLEU averaged over both directions, each pair once, in Arrow batches."""
+def _parts(code: Column, n: int) -> Column:
+    return F.transform(ngrams(code, n), lambda g: F.struct(F.lit(f"g{n}").alias("kind"), g.alias("k"), F.lit(1).alias("c")))
+
+
+def code_bleu_parts(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos") -> DataFrame:
+    """(group, a, b, ngram, weighted, tree, flow): the four parts of CodeBLEU, each the mean of both directions, each pair once.
+
+    A program is parsed once. Its n-grams, subtrees and flows are rows with counts, which meet those of the question's
+    other programs by equality; totals are joined to what the pairs share. A null text, or one that is too deep to
+    read, has 0 in every part; one that doesn't parse has no subtrees and flows.
+    """
     ship(samples.sparkSession)
-    return pairs(samples, code, group, pos).select(group, "a", "b", code_bleu_of(F.col("x"), F.col("y")).alias("similarity"))
+    read = samples.select(group, F.col(pos).alias("p"), tokens(F.col(code)).alias("t"), features_of(F.col(code)).alias("f"))
+    read = read.select(group, "p", F.when(F.col("f.sound"), F.col("t")).otherwise(F.array().cast("array<string>")).alias("t"), F.col("f.found").alias("found"))
+    rows = read.select(group, "p", F.explode(F.concat("found", *[_parts(F.col("t"), n) for n in range(1, ORDER + 1)])).alias("x")).select(group, "p", "x.*")
+    rows = rows.groupBy(group, "p", "kind", "k").agg(F.sum("c").alias("c"))
+    weight = F.when((F.col("kind") == "g1") & F.col("k").isin(kwlist), KEYWORD_WEIGHT).otherwise(F.when(F.col("kind") == "g1", OTHER_WEIGHT).otherwise(1.0))
+    rows = rows.withColumn("w", weight * F.col("c")).repartition(group, "k")
+    kinds = [f"g{n}" for n in range(1, ORDER + 1)] + ["t", "f"]
+    of = lambda value: [F.sum(F.when(F.col("kind") == k, value)).alias(k) for k in kinds]
+    weighed = lambda value: F.sum(F.when(F.col("kind") == "g1", value)).alias("w1")
+    totals = rows.groupBy(group, "p").agg(*of(F.col("c")), weighed(F.col("w")))
+    left, right = (rows.select(group, "kind", "k", F.col("p").alias(n), F.col("c").alias(f"c{n}"), F.col("w").alias(f"w{n}")) for n in "ab")
+    shared = left.join(right, [group, "kind", "k"]).filter("a < b").groupBy(group, "a", "b").agg(*of(F.least("ca", "cb")), weighed(F.least("wa", "wb")))
+    met = pairs(samples, pos, group, pos).select(group, "a", "b").join(shared, [group, "a", "b"], "left")
+    for n in "ab":
+        met = met.join(totals.select(group, F.col("p").alias(n), *[F.col(c).alias(f"{n}{c}") for c in (*kinds, "w1")]), [group, n], "left")
+    met = met.select(group, "a", "b", *[F.coalesce(f"{n}{c}", F.lit(0)).cast("double").alias(f"{n}{c}") for n in ("", "a", "b") for c in (*kinds, "w1")])
+    both = lambda part: (part("a", "b") + part("b", "a")) / 2
+    share = lambda kind: lambda one, other: F.coalesce(F.try_divide(F.col(kind), F.col(f"{one}{kind}")), F.lit(0.0))
+    return met.select(group, "a", "b", both(_ngram_match).alias("ngram"), both(_weighted_match).alias("weighted"), both(share("t")).alias("tree"), both(share("f")).alias("flow"))
+
+
+def _mean_share(reference: str, candidate: str, shares: Sequence[tuple[Column, Column]]) -> Column:
+    """The geometric mean of (matched, all) with a penalty for brevity; 0 if no single token matches."""
+    logs = [F.log(F.when(m > 0, m).otherwise(SMOOTHING) / F.greatest(t, F.when(m > 0, SMOOTHING).otherwise(1.0))) for m, t in shares]
+    total, size = sum(logs[1:], logs[0]) / len(logs), F.col(f"{candidate}g1")
+    brief = F.least(F.lit(1.0), F.exp(1 - F.try_divide(F.col(f"{reference}g1"), size)))
+    return F.when((size > 0) & (shares[0][0] > 0), brief * F.exp(total)).otherwise(0.0)
+
+
+def _ngram_match(reference: str, candidate: str) -> Column:
+    return _mean_share(reference, candidate, [(F.col(f"g{n}"), F.greatest(F.lit(1.0), F.col(f"{candidate}g{n}"))) for n in range(1, ORDER + 1)])
+
+
+def _weighted_match(reference: str, candidate: str) -> Column:
+    names = ["w1", *[f"g{n}" for n in range(2, ORDER + 1)]]
+    return _mean_share(reference, candidate, [(F.col(n), F.when(F.col(f"{reference}{n}") > 0, F.col(f"{reference}{n}")).otherwise(1.0)) for n in names])
+
+
+def code_bleu_pairs(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos") -> DataFrame:
+    """(group, a, b, similarity): CodeBLEU, the mean of code_bleu_parts(), averaged over both directions, each pair once."""
+    return code_bleu_parts(samples, code, group, pos).select(group, "a", "b", ((F.col("ngram") + F.col("weighted") + F.col("tree") + F.col("flow")) / 4).alias("similarity"))
 
 
 #: Verdicts of a pair: contradiction, neutral, entailment.

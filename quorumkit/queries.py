@@ -174,7 +174,7 @@ NEAR = 0.1
 
 def vector_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     samples = bound(spark, sf_dir, V)
-    return samples, similarity.above(similarity.cosine_pairs(samples, "embedding"), NEAR)
+    return samples, similarity.cosine_links(samples, "embedding", NEAR)
 
 
 @query(f"WITH {COS} SELECT qid, a, b, ROUND(similarity, 6) + 0 AS similarity FROM s")
@@ -233,10 +233,34 @@ def bleu_ngram_pairs(spark, sf_dir):
     return rounded(similarity.ngram_precision_pairs(bound(spark, sf_dir, K), "code", 2, pos="step"))
 
 
-@query()
+#: SQL: programs as text: kind 0 doesn't parse, 1 calls itself, 2 has a loop. Of their syntax trees, counted by hand, kind 1 has
+#: 8 inner nodes and 2 has 11, which share the import; kind 2 has data flows, kind 1 none.
+PROGRAMS = """SELECT event_id, event_id // 8 AS qid, event_id % 8 AS pos, CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 2 ELSE 1 END AS kind, CASE WHEN event_id % 10 = 0 THEN 'def broken('
+  WHEN event_id % 3 = 1 THEN 'import math' || chr(10) || 'def f' || event_id || '(a, b):' || chr(10) || '    total = a + b' || chr(10) || '    for i in range(total):' || chr(10) || '        total = total - i' || chr(10) || '    return total' || chr(10)
+  ELSE 'import math' || chr(10) || chr(10) || 'def f' || event_id || '(a, b=1):' || chr(10) || '    return f' || event_id || '(a - 1) if a else b' || chr(10) END AS code FROM events"""
+KEYWORDS = "['def', 'import', 'return', 'if', 'else', 'for', 'in']"
+
+
+def _bleu_sql(ref: str, cand: str, w: bool) -> str:
+    """SQL: the n-gram match (or the weighted one) of cand's program against ref's, from matches m1 to m4 and totals."""
+    m = [f"COALESCE({'mw' if w and n == 1 else f'm{n}'}, 0)" for n in range(1, 5)]
+    t = [f"CASE WHEN COALESCE({c}, 0) = 0 THEN 1.0 ELSE {c} END" for c in ([f"{ref}.{'tw' if n == 1 else f't{n}'}" for n in range(1, 5)] if w else [f"{cand}.t{n}" for n in range(1, 5)])]
+    logs = " + ".join(f"LN((CASE WHEN {a} > 0 THEN {a} ELSE 0.1 END) / {b})" for a, b in zip(m, t))
+    return f"CASE WHEN {m[0]} > 0 THEN LEAST(1, EXP(1 - {ref}.t1 / {cand}.t1)) * EXP(({logs}) / 4) ELSE 0 END"
+
+
+@query(f"""WITH b AS ({PROGRAMS}), w AS (SELECT qid, pos, kind, list_filter(regexp_split_to_array(code, '\\s+'), lambda t: t <> '') AS t FROM b),
+g AS (SELECT qid, pos, n, g, COUNT(*)::DOUBLE AS c FROM (SELECT qid, pos, n, unnest(list_transform(range(1, len(t)::BIGINT - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
+x AS (SELECT *, CASE WHEN n > 1 THEN 0 WHEN list_contains({KEYWORDS}, g) THEN 1.0 ELSE 0.2 END AS w FROM g),
+z AS (SELECT qid, pos, {", ".join(f"SUM(c) FILTER (WHERE n = {n}) AS t{n}" for n in range(1, 5))}, SUM(c * w) AS tw FROM x GROUP BY qid, pos),
+m AS (SELECT p.qid, p.pos AS a, q.pos AS b, {", ".join(f"SUM(LEAST(p.c, q.c)) FILTER (WHERE p.n = {n}) AS m{n}" for n in range(1, 5))}, SUM(LEAST(p.c, q.c) * p.w) AS mw
+  FROM x p JOIN x q ON p.qid = q.qid AND p.n = q.n AND p.g = q.g AND p.pos < q.pos GROUP BY p.qid, p.pos, q.pos),
+k AS (SELECT x.qid, x.pos AS a, y.pos AS b, x.kind AS ka, y.kind AS kb FROM b x JOIN b y ON x.qid = y.qid AND x.pos < y.pos)
+SELECT k.qid, k.a, k.b, ROUND(({_bleu_sql("za", "zb", False)} + {_bleu_sql("zb", "za", False)}) / 2, 6) + 0 AS ngram, ROUND(({_bleu_sql("za", "zb", True)} + {_bleu_sql("zb", "za", True)}) / 2, 6) + 0 AS weighted,
+  ROUND(CASE WHEN ka = 0 OR kb = 0 THEN 0 WHEN ka = kb THEN 1 ELSE (1.0 / 8 + 1.0 / 11) / 2 END, 6) + 0 AS tree, CASE WHEN ka = 2 AND kb = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS flow
+FROM k JOIN z za ON za.qid = k.qid AND za.pos = k.a JOIN z zb ON zb.qid = k.qid AND zb.pos = k.b LEFT JOIN m ON m.qid = k.qid AND m.a = k.a AND m.b = k.b""")
 def code_bleu_pairs(spark, sf_dir):
-    rows = programs(spark, sf_dir).withColumns({"qid": F.expr("event_id div 8"), "pos": F.col("event_id") % 8})
-    return rounded(similarity.code_bleu_pairs(rows, "code"))
+    return rounded(similarity.code_bleu_parts(bound(spark, sf_dir, PROGRAMS.replace("chr(10)", "CHAR(10)").replace("//", "DIV")), "code"))
 
 
 #: SQL: verdicts of both directions for pairs of lines, made from part keys.

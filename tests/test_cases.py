@@ -696,3 +696,75 @@ def test_measures_are_read_once(spark):
     both = entropy.entropies(c).join(evaluate.question_scores(c), "qid")
     key = lambda df: sorted(tuple(None if v is None else round(float(v), 9) for v in r) for r in df.select(sorted(both.columns)).collect())
     assert key(evaluate.question_measures(c)) == key(both)
+
+
+def vectors_of(rng, n: int, d: int = 24) -> list:
+    """Unit-like vectors of which some are near each other, some of zeros, null, or with odd numbers."""
+    base = rng.normal(size=(8, d))
+    v = base[rng.integers(0, 8, n)] * rng.choice([0.0, 1.0, 2.0], n)[:, None] + rng.normal(size=(n, d)) * rng.choice([0.1, 1.0], n)[:, None]
+    rows = [list(map(float, x)) for x in np.float32(v)]
+    rows[3], rows[7], rows[11], rows[12] = [0.0] * d, None, [1.0] * (d - 1), rows[13]
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.3, 0.5, 0.7, 0.9])
+def test_cosine_links(spark, threshold):
+    """Tiles give the pairs that all pairs give, at every threshold, for several questions at once."""
+    rng = np.random.default_rng(int(threshold * 10))
+    rows = [(q, k, v) for q, n in ((None, 90), ("a", 200), ("b", 40), ("c", 70)) for k, v in enumerate(vectors_of(rng, n))]
+    samples = spark.createDataFrame(rows, "qid string, pos int, v array<float>")
+    want = sorted(map(tuple, similarity.above(similarity.cosine_pairs(samples, "v"), threshold).select("qid", "a", "b").collect()))
+    for limit, tile in ((64, 32), (10, 1024), (64, 7)):
+        got = similarity.cosine_links(samples, "v", threshold, limit=limit, tile=tile)
+        assert sorted(map(tuple, got.filter("qid IS NOT NULL").collect())) == want
+    assert similarity.cosine_links(samples.limit(0), "v", threshold).count() == 0
+
+
+def test_cosines_at_the_threshold(spark):
+    """Pairs whose cosine is the threshold itself, or the next number to it."""
+    rows = [(0, k, [float(x) for x in v]) for k, v in enumerate([[3, 4], [4, 3], [1, 0], [0, 1], [1, 1], [0.6, 0.8], [24, 7]])]
+    samples = spark.createDataFrame(rows, "qid int, pos int, v array<double>")
+    for p in similarity.cosine_pairs(samples, "v").collect():
+        for t in (p.similarity, np.nextafter(p.similarity, 0)):
+            want = similarity.above(similarity.cosine_pairs(samples, "v"), float(t)).select("a", "b").collect()
+            assert sorted(similarity.cosine_links(samples, "v", float(t), limit=1, tile=3).select("a", "b").collect()) == sorted(want)
+
+
+def test_rows_that_bounds_leave_out():
+    """At high thresholds most pairs are settled by a part of their numbers."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 64))
+    x[1] = x[0] + 0.01
+    unit, share = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for t in (0.1, 0.5, 0.7, 0.9):
+        i, j, whole = similarity.near_rows(x, x, t, same=True)
+        share[t] = whole / 600**2
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(np.triu(unit @ unit.T > t, 1)))))
+        i, j, _ = similarity.near_rows(x[:200], x[200:], t)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(unit[:200] @ unit[200:].T > t))))
+    assert share[0.1] > 0.9 and share[0.7] < 0.8 and share[0.9] < 0.01
+
+
+PROGRAMS = [
+    "def f(a, b):\n    total = a + b\n    for i in range(total):\n        total = total - i\n    return total\n", "def g(a):\n    x = a\n    y = x\n    return [z for z in y if z]\n",
+    "def f(a, b):\n    return a + b", "x = 1\nx += 2\nprint(x)", "def broken(", "", None, " \n", "return return if", "a b c d e f", "async def h(x: int = 3) -> int:\n    with x as y:\n        return await y", "(" * 3000 + ")" * 3000,
+]
+
+
+def test_code_bleu_by_pairs_of_programs(spark):
+    """Each part from rows that meet by equality against the part from two parsed programs."""
+    rows = [(k % 2, k, c) for k, c in enumerate(PROGRAMS * 2)] + [(5, 0, PROGRAMS[0])]
+    got = {(r.qid, r.a, r.b): r for r in similarity.code_bleu_parts(spark.createDataFrame(rows, "qid int, pos int, code string"), "code").collect()}
+    assert len(got) == 2 * 12 * 11 // 2
+    mean = lambda f, x, y: (f(x, y) + f(y, x)) / 2
+    for (q, a, b), r in got.items():
+        x, y = rows[a][2], rows[b][2]
+        sound = codebleu.features(x)[0] and codebleu.features(y)[0]
+        want = [0.0] * 4
+        if sound:
+            u, v = codebleu._parsed(x), codebleu._parsed(y)
+            want = [mean(f, x.split(), y.split()) for f in (codebleu.ngram_match, codebleu.weighted_match)]
+            want += [mean(codebleu._share, f(u), f(v)) for f in (codebleu._subtrees, codebleu._flows)]
+        assert [r.ngram, r.weighted, r.tree, r.flow] == pytest.approx(want, abs=1e-9), (x, y)
+    whole = {(r.a, r.b): r.similarity for r in similarity.code_bleu_pairs(spark.createDataFrame(rows, "qid int, pos int, code string").filter("qid = 0"), "code").collect()}
+    assert all(s == pytest.approx(codebleu.both_ways(rows[a][2], rows[b][2]), abs=1e-9) for (a, b), s in whole.items())
