@@ -20,9 +20,13 @@ def _longest(found: Column) -> Column:
     return F.aggregate(found, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
 
 
+#: Patterns of fenced blocks, in the order in which they are tried.
+FENCES = (r"(?s)```python\s*\n(.*?)```", r"(?s)```(?:.*?)\n(.*?)```", r"(?s)<code>(.*?)</code>")
+
+
 def code_block(text: Column) -> Column:
     """The longest fenced block marked python, else the longest of any mark, else the longest <code> element, else the text; stripped."""
-    kinds = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"(?s)```python\s*\n(.*?)```", r"(?s)```(?:.*?)\n(.*?)```", r"(?s)<code>(.*?)</code>")]
+    kinds = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in FENCES]
     out = text
     for found in reversed(kinds):
         out = F.when(F.size(found) > 0, _longest(found)).otherwise(out)
@@ -106,6 +110,7 @@ def has_test_type(tests_json: Column, kind: str) -> Column:
     return F.coalesce(F.exists(tests, lambda t: t["testtype"] == kind), F.lit(False))
 
 
+# The wording and layout of what follows, on which digests of prompts depend.
 def debug_feedback(prompt: Column, code: Column, tests: Column) -> Column:
     """The problem, the code and each test's outcome; details for failed ones. tests: array of struct(passed, message, input, output)."""
     one = lambda t, i: F.concat(
@@ -124,6 +129,7 @@ def debug_feedback(prompt: Column, code: Column, tests: Column) -> Column:
     )
 
 
+# The wording and layout of what follows, on which digests of prompts depend.
 def test_feedback(index: Column, given: Column, expected: Column, actual: Column, passed: Column, message: Column, seconds: Column) -> Column:
     """One test's outcome as labelled lines."""
     failed = F.concat(F.lit("Status: FAILED ✗\n"), F.when(F.length(message) > 0, F.concat(F.lit("Error: "), message, F.lit("\n"))).otherwise(""))
@@ -134,6 +140,7 @@ def test_feedback(index: Column, given: Column, expected: Column, actual: Column
     )
 
 
+# The wording and layout of what follows, on which digests of prompts depend.
 def debug_case(given: Column, expected: Column, actual: Column, passed: Column, message: Column, seconds: Column, stdin: Column) -> Column:
     """One test case between rules, for debugging."""
     rule = "-" * 50 + "\n"
@@ -144,6 +151,7 @@ def debug_case(given: Column, expected: Column, actual: Column, passed: Column,
     )
 
 
+# The wording and layout of what follows, on which digests of prompts depend.
 def results_summary(tests: Column) -> Column:
     """Passed of all, and the failed ones' messages. tests: array of struct(passed, message)."""
     rule = "=" * 50

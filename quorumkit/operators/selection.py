@@ -15,8 +15,9 @@ OF_ALL, OF_PUBLIC, MODELS = 0.3, 0.6, 1
 
 
 def pick_order(group: Sequence[str], pos: str, seed: int | None) -> list[Column]:
-    """By position, or in a fixed pseudorandom order."""
-    return [F.col(pos)] if seed is None else [F.xxhash64(F.lit(seed), *group, pos), F.col(pos)]
+    """By position, or in a pseudorandom order that any engine can make again: by the MD5 of seed/group/position."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*group, pos)])
+    return [F.col(pos)] if seed is None else [F.md5(text), F.col(pos)]
 
 
 def pick_one(rows: DataFrame, group: Sequence[str] = ("qid",), pos: str = "pos", seed: int | None = 0) -> DataFrame:

@@ -253,6 +253,7 @@ def parse_verdict(response: Column) -> Column:
     return F.when(head.contains("entailment"), ENTAILMENT).when(head.contains("neutral"), NEUTRAL).when(head.contains("contradiction"), CONTRADICTION).otherwise(NEUTRAL)
 
 
+# The wording of the prompt, on which the keys of cached responses depend.
 def verdict_prompt(question: Column, first: Column, second: Column) -> Column:
     return F.concat(
         F.lit('We are evaluating answers to the question "'), question, F.lit('"\nHere are two possible answers:\nPossible Answer 1: '), first, F.lit("\nPossible Answer 2: "), second,

@@ -500,10 +500,30 @@ def correlation_grouped(spark, sf_dir):
     return rounded(evaluate.correlate(scored_lines(spark, sf_dir)).select("difficulty", "score_type", "entropy_type", "correlation", "num_samples"), 5)
 
 
-@query(f"{AREAS} SELECT difficulty, metric, entropy_type, ROUND(auroc, 5) AS auroc, 'roc' AS chart FROM a WHERE auroc >= {SHOWN}")
+@query(f"""{EVALUATED} SELECT * FROM (SELECT difficulty, metric, entropy_type, auroc, unnest(['roc', 'fpr', 'tpr']) AS chart, unnest([auroc >= {SHOWN}, fpr_at_80 < 0.8 OR fpr_at_90 < 0.8, tpr_at_5 >= 0.1 OR tpr_at_10 >= 0.1]) AS shown FROM ev) WHERE shown""")
 def evaluation_charts(spark, sf_dir):
-    rows = evaluate.chart_rows(evaluate.evaluate(rounded_lines(spark, sf_dir)), ["roc"], (SHOWN, *evaluate.LIMITS[1:]))
-    return rounded(writers.evaluation_rows(rows).select("difficulty", "metric", "entropy_type", "auroc", "chart"), 5)
+    """What each of the three charts shows, by limits that some rows of these tables reach and others don't."""
+    found = rounded(evaluate.evaluate(rounded_lines(spark, sf_dir)), 5)
+    rows = evaluate.chart_rows(found, limits=(SHOWN, 0.8, 0.1))
+    return writers.evaluation_rows(rows).select("difficulty", "metric", "entropy_type", "auroc", "chart", F.lit(True).alias("shown"))
+
+
+@query(f"""{EVALUATED}, report AS (SELECT difficulty, metric, entropy_type, unnest(['fpr_at_80', 'fpr_at_90', 'tpr_at_10', 'tpr_at_5']) AS point, unnest([fpr_at_80, fpr_at_90, tpr_at_10, tpr_at_5]) AS value FROM ev)
+SELECT *, (ROW_NUMBER() OVER (ORDER BY difficulty, metric, entropy_type, point) - 1)::BIGINT AS place FROM report""")
+def operating_points_in_order(spark, sf_dir):
+    """The rows of the report in the order in which they are written."""
+    return placed(writers.operating_rows(rounded(evaluate.evaluate(rounded_lines(spark, sf_dir)), 5))).drop("model", "method")
+
+
+@query(f"""{CORRELATIONS}, report AS (SELECT difficulty, score_type, entropy_type, ROUND(correlation, 5) AS correlation, num_samples FROM cells)
+SELECT *, (ROW_NUMBER() OVER (ORDER BY difficulty, score_type, entropy_type) - 1)::BIGINT AS place FROM report""")
+def correlations_in_order(spark, sf_dir):
+    return rounded(placed(writers.correlation_rows(evaluate.correlate(scored_lines(spark, sf_dir)))).drop("model", "method"), 5)
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """A report with the place of each row, as one file of it has them: rows per group, not per question."""
+    return report.coalesce(1).withColumn("place", F.monotonically_increasing_id())
 
 
 @query(f"""{AREAS}, pts AS (SELECT difficulty, metric, entropy_type, (fp + n) / an AS x, (tp + p) / ap AS y FROM u JOIN a USING (difficulty, metric, entropy_type) WHERE auroc >= {SHOWN} UNION ALL SELECT difficulty, metric, entropy_type, 0, 0 FROM a WHERE auroc >= {SHOWN})
@@ -727,9 +747,37 @@ def names_of_functions_and_files(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.signature_name(head).alias("name"), T.file_name(F.col("p_name")).alias("file"))
 
 
-@query("SELECT i AS round_id, ROUND(0.7 + 0.01 * i, 6)::DOUBLE AS temperature FROM range(20) t(i)")
+@query(f"WITH b AS ({E}) SELECT qid, pos::BIGINT AS round_id, ROUND(0.7 + 0.01 * pos, 6)::DOUBLE AS temperature FROM b")
 def temperature_schedule(spark, sf_dir):
-    return rounded(spark.range(20).select(F.col("id").alias("round_id"), T.temperature(0.7, F.col("id")).alias("temperature")))
+    """Each sample of a question is a round of its own."""
+    return rounded(bound(spark, sf_dir, E).select("qid", F.col("pos").alias("round_id"), T.temperature(0.7, F.col("pos")).alias("temperature")))
+
+
+@query(f"WITH b AS ({L}) SELECT qid, pos::BIGINT AS pos, CASE model WHEN 'm0' THEN 'a first model' WHEN 'm2' THEN 'a third model' ELSE model END AS name FROM b")
+def alias_names(spark, sf_dir):
+    return rounded(bound(spark, sf_dir, L).select("qid", "pos", T.alias(F.col("model"), {"m0": "a first model", "m2": "a third model"}).alias("name")))
+
+
+#: SQL: a line's outcome on its test, as text.
+OUTCOME = """'[Test ' || pos || ']' || chr(10) || 'Input: ' || model || chr(10) || 'Expected: ' || ckey2 || chr(10) || 'Actual: ' || ckey || chr(10)
+  || CASE WHEN passed THEN 'Status: PASSED ✓' || chr(10) ELSE 'Status: FAILED ✗' || chr(10) || CASE WHEN pos % 2 = 0 THEN 'Error: ' || ckey || chr(10) ELSE '' END END || CASE WHEN pos % 3 = 0 THEN '' ELSE 'Time: ' || printf('%.3f', line / 8.0) || 's' || chr(10) END"""
+#: SQL: the same between rules.
+CASE_TEXT = """chr(10) || repeat('-', 50) || chr(10) || CASE WHEN pos % 2 = 0 THEN 'Input (stdin):' || chr(10) || model || chr(10) || 'Expected Output (stdout):' || chr(10) || ckey2 ELSE 'Input: ' || model || chr(10) || 'Expected Output: ' || ckey2 END
+  || chr(10) || 'Actual Output: ' || ckey || chr(10) || 'Status: ' || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END || chr(10) || 'Time: ' || printf('%.3f', line / 8.0) || 's' || chr(10) || CASE WHEN passed THEN '' ELSE 'Error: ' || COALESCE(CASE WHEN pos % 2 = 0 THEN ckey END, 'None') || chr(10) END || repeat('-', 50) || chr(10)"""
+
+
+@query(f"WITH b AS ({L}) SELECT qid, pos::BIGINT AS pos, md5({OUTCOME}) AS outcome, md5({CASE_TEXT}) AS shown FROM b")
+def test_outcome_texts(spark, sf_dir):
+    even, seconds = F.col("pos") % 2 == 0, F.col("line") / 8.0
+    outcome = T.test_feedback(F.col("pos"), F.col("model"), F.col("ckey2"), F.col("ckey"), F.col("passed"), F.when(even, F.col("ckey")).otherwise(""), F.when(F.col("pos") % 3 != 0, seconds))
+    shown = T.debug_case(F.col("model"), F.col("ckey2"), F.col("ckey"), F.col("passed"), F.when(even, F.col("ckey")), seconds, even)
+    return rounded(bound(spark, sf_dir, L).select("qid", "pos", F.md5(outcome).alias("outcome"), F.md5(shown).alias("shown")))
+
+
+@query(f"""WITH b AS ({L}), h AS (SELECT *, md5('7/' || qid || '/' || pos) AS h FROM b)
+SELECT qid, arg_min(is_passed_public, h) AS passed, arg_min(is_passed_public, h)::INTEGER::DOUBLE AS score, arg_min(model || '/' || pos, h) AS source FROM h GROUP BY qid""")
+def vanilla_pick_seeded(spark, sf_dir):
+    return selection.select("vanilla", baseline_lines(spark, sf_dir), seed=7)
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS is_stdin FROM documents")
@@ -844,9 +892,9 @@ def quotes_to_json(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", G.quotes_to_json_of(raw).alias("json"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'from typing import *' || chr(10) || chr(10) || 'def fun1(a, b=1):' || chr(10) || '    return fun1(a - 1) if a else b' || chr(10) || chr(10) || 'def fun2(x):' || chr(10) || '    return x' || chr(10) || chr(10)
-  || 'def check(*values, **named):' || chr(10) || '    one = fun1(*values, **named)' || chr(10) || '    two = fun2(*values, **named)' || chr(10) || '    if one != two:' || chr(10)
-  || '        raise AssertionError(f"fun1 gives {one!r}, fun2 gives {two!r}")' || chr(10) || '    return True' || chr(10) END AS program FROM events""")
+@query("""WITH p AS (SELECT string_agg(line, chr(10) ORDER BY k) AS tail FROM (VALUES (1, 'def outcome(run, values):'), (2, '    try:'), (3, '        return ''value'', run(*values)'), (4, '    except Exception as error:'),
+  (5, '        return ''error'', type(error).__name__'), (6, ''), (7, ''), (8, 'def agree(*values) -> bool:'), (9, '    return outcome(left, values) == outcome(right, values)'), (10, '')) t(k, line))
+SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'def left(a, b=1):' || chr(10) || '    return left(a - 1) if a else b' || repeat(chr(10), 3) || 'def right(x):' || chr(10) || '    return x' || repeat(chr(10), 3) || tail END AS program FROM events, p""")
 def check_program(spark, sf_dir):
     rows = programs(spark, sf_dir)
     return rows.select("event_id", C.check_program_of(F.col("code"), F.lit("def h(x):\n    return x\n")).alias("program"))

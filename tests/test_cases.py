@@ -378,7 +378,13 @@ def test_syntax_trees():
     renamed = C.rename_function(CODE, "outer", "fun1")
     assert "def fun1(a" in renamed and "return fun1(a)" in renamed and ast.parse(renamed)
     program = C.check_program("def f(x):\n    return f(x)", "def g(y):\n    return y")
-    assert "def fun1(x)" in program and "def fun2(y)" in program and ast.parse(program)
+    made: dict = {}
+    exec(program, made)  # a program of these tests' own
+    assert not made["agree"](1) and "def left(x)" in program and "def right(y)" in program
+    exec(C.check_program("def f(x):\n    return 1 / x", "def h(x):\n    return x\n\ndef g(y):\n    return h(y)"), made)
+    assert made["agree"](1) and not made["agree"](2) and not made["agree"](0)
+    exec(C.check_program("def f(x):\n    return 1 / x", "def g(x):\n    return x ** -1"), made)
+    assert made["agree"](0) and made["agree"](4) and made["agree"]("a")
     assert C.check_program("x", "def g(): pass") is None
 
 
