@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import largest
+from .entropy import entropies_of_parts, entropy_parts
 
 #: A layer stops if its largest cluster has more than these shares of all samples and of those that pass
 #: public tests, and comes from more than one model.
@@ -101,53 +102,67 @@ def layer_score(entropy: Column, total: Column, public: Column, alpha: Column, b
     return F.when(public == 0, F.lit(float("inf"))).otherwise(F.coalesce(entropy, F.lit(0.0)) * alpha + rate * beta)
 
 
-def cascade_layers(samples: DataFrame, entropy: DataFrame, config: Sequence[dict], measure: str = "DSE", group: str = "qid") -> DataFrame:
-    """One row per question and layer: counts, entropy, score, largest cluster, and the decision.
+def cascade_layers(samples: DataFrame, config: Sequence[dict], measure: str = "DSE", group: str = "qid", logprob: str = "logprob", seed: int | None = 0) -> DataFrame:
+    """One row per question and layer: counts, entropy, score, largest cluster, a sample of it (`pick`), and the decision.
 
-    samples: (group, layer, pos, model, is_passed_public, cluster); clusters are of those that pass public
-    tests, null for the others. entropy: the measures of those by (group, layer). config: layer, alpha, beta and
-    threshold of each layer. A layer without passing samples is skipped; the last one always
-    stops; another stops if its largest cluster dominates (OF_ALL, OF_PUBLIC, MODELS).
+    samples: (group, layer, pos, model, is_passed_public, passed, score, cluster); clusters are of those that pass public
+    tests, null for the others. config: layer, alpha, beta and threshold of each layer. A layer without passing samples
+    is skipped; the last one always stops; another stops if its largest cluster dominates (OF_ALL, OF_PUBLIC, MODELS).
+    Entropies, clusters and picks come from one aggregate of the passing samples.
     """
     keys = [group, "layer"]
     counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"), F.count_if("is_passed_public").alias("passed_public_count"))
-    good = samples.filter("is_passed_public")
-    clusters = good.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("model").alias("models"))
-    top = clusters.groupBy(*keys).agg(F.max(F.struct("size", (-F.col("cluster")).alias("last"), "models")).alias("__top"), F.count(F.lit(1)).alias("num_clusters"))
+    pick = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(pick_order(keys, "pos", seed))], "pos", "model", "passed", "score")).alias("__pick")
+    parts = entropy_parts(samples.filter("is_passed_public"), logprob, keys, also=[F.collect_set("model").alias("__models"), pick])
+    models = F.size(F.array_distinct(F.flatten(F.collect_list("__models")))).alias("__models")
+    top = F.max(F.struct("n", (-F.col("cluster")).alias("last"), "__models", "__pick")).alias("__top")
+    found = entropies_of_parts(parts, keys, also=[models, F.min("__pick").alias("__pick")], more=[top])
     rows = [F.struct(F.lit(c["layer"]).alias("layer"), *[F.lit(float(c[k])).alias(k) for k in ("alpha", "beta", "threshold")]) for c in config]
-    every = samples.select(group).distinct().select(group, F.explode(F.array(*rows)).alias("__c")).select(group, "__c.*")
-    met = every.join(counts, keys, "left").join(top, keys, "left").join(entropy.select(*keys, F.col(measure).alias("entropy")), keys, "left")
+    every = counts.select(group).distinct().select(group, F.explode(F.array(*rows)).alias("__c")).select(group, "__c.*")
+    met = every.join(counts, keys, "left").join(found.select(*keys, F.col(measure).alias("entropy"), "num_clusters", "__top"), keys, "left")
     total, public = F.coalesce("total_count", F.lit(0)), F.coalesce("passed_public_count", F.lit(0))
-    size = F.col("__top.size")
+    size = F.col("__top.n")
     last = F.col("layer") == F.max("layer").over(Window.partitionBy(group))
-    dominates = (size > OF_ALL * total) & (size > OF_PUBLIC * public) & (F.col("__top.models") > MODELS)
+    dominates = (size > OF_ALL * total) & (size > OF_PUBLIC * public) & (F.col("__top.__models") > MODELS)
     decision = F.when(public == 0, "skip_no_samples").when(last | dominates, "stop").otherwise("continue")
     return met.select(
         *keys, total.alias("total_count"), public.alias("passed_public_count"), F.when(public == 0, 0.0).otherwise(F.coalesce("entropy", F.lit(0.0))).alias("entropy"),
         F.when(public == 0, 1.0).otherwise((total - public).cast("double") / total).alias("public_fail_rate"),
         layer_score(F.col("entropy"), total, public, F.col("alpha"), F.col("beta")).alias("score"), "threshold",
         F.coalesce("num_clusters", F.lit(0)).alias("num_clusters"), (-F.col("__top.last")).alias("top_cluster"), F.coalesce(size, F.lit(0)).alias("top_size"), decision.alias("decision"),
+        F.col("__top.__pick").alias("pick"),
     )
 
 
-def cascade(layers: DataFrame, samples: DataFrame, group: str = "qid", seed: int | None = 0) -> DataFrame:
-    """One row per question: the first layer that stops and a sample of its largest cluster; final_layer -1,
+def cascade(layers: DataFrame, group: str = "qid") -> DataFrame:
+    """One row per question: the first layer that stops and the sample of its largest cluster; final_layer -1,
     score 0.0 and no source if none stops. `layer_details` lists the layers up to it, all if none stops."""
-    details = layers.groupBy(group).agg(
-        F.coalesce(F.min(F.when(F.col("decision") == "stop", F.col("layer"))), F.lit(-1)).alias("final_layer"),
+    stops = F.col("decision") == "stop"
+    out = layers.groupBy(group).agg(
+        F.min(F.when(stops, F.struct("layer", "pick"))).alias("__s"),
         F.sort_array(F.collect_list(F.struct("layer", "total_count", "passed_public_count", "entropy", "public_fail_rate", "score", "num_clusters", "decision"))).alias("__all"),
     )
-    details = details.withColumn("layer_details", F.filter("__all", lambda d: (F.col("final_layer") < 0) | (d["layer"] <= F.col("final_layer")))).drop("__all")
-    final = details.join(layers.select(group, F.col("layer").alias("final_layer"), F.col("top_cluster").alias("cluster")), [group, "final_layer"], "left")
-    chosen = final.join(samples.filter("is_passed_public").withColumnRenamed("layer", "final_layer").select(group, "final_layer", "cluster", "pos", "model", "passed", F.col("score").alias("sample_score")), [group, "final_layer", "cluster"])
-    chosen = pick_one(chosen.select(group, "pos", "model", "passed", "sample_score"), (group,), seed=seed)
-    out = details.join(chosen, group, "left")
+    final, pick = F.coalesce("__s.layer", F.lit(-1)), F.col("__s.pick")
     return out.select(
-        group, F.coalesce("sample_score", F.lit(0.0)).alias("final_score"), F.coalesce("passed", F.lit(False)).alias("final_passed"), "final_layer",
-        F.coalesce(F.concat_ws("/", "model", F.col("pos").cast("string")), F.lit("")).alias("source"), F.col("pos").alias("selected_pos"), "layer_details",
+        group, F.coalesce(pick["score"], F.lit(0.0)).alias("final_score"), F.coalesce(pick["passed"], F.lit(False)).alias("final_passed"), final.alias("final_layer"),
+        F.coalesce(F.concat_ws("/", pick["model"], pick["pos"].cast("string")), F.lit("")).alias("source"), pick["pos"].alias("selected_pos"),
+        F.filter("__all", lambda d: (final < 0) | (d["layer"] <= final)).alias("layer_details"),
     )
 
 
+def cascade_answers(results: DataFrame, questions: DataFrame, errors: DataFrame | None = None, group: str = "qid") -> DataFrame:
+    """One row for each question, with `error`: those of results, and for others what a question without an answer has.
+
+    errors: (group, error), one row for each question that has a fault: it has no answer, whatever results say. A
+    question without samples has none either, and no error.
+    """
+    every = questions.select(group).distinct()
+    faults = every.select(group, F.lit(None).cast("string").alias("error")).filter("false") if errors is None else errors.select(group, "error")
+    met = every.join(results.join(faults, group, "left_anti"), group, "left").join(faults, group, "left")
+    plain = {"final_score": F.lit(0.0), "final_passed": F.lit(False), "final_layer": F.lit(-1), "source": F.lit("")}
+    return met.withColumns({c: F.coalesce(c, v) for c, v in plain.items()}).withColumn("layer_details", F.coalesce("layer_details", F.array().cast(results.schema["layer_details"].dataType)))
+
+
 def cascade_statistics(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """How many questions stop at each layer; the mean final score; the mean entropy of each layer that was reached."""
     stops = results.groupBy("final_layer").agg(F.count(F.lit(1)).alias("questions"))

@@ -13,7 +13,7 @@ from .functions import text as T
 from .operators import clusters, entropy, evaluate, functional, registry, selection, similarity, traces
 from .plans import bindings
 from .plans.bindings import bound
-from .plans.runs import cascade_run
+from .plans.runs import cascade_run, layer_clusters
 from .session import ship
 from .sources import readers, writers
 
@@ -610,10 +610,7 @@ fin AS (SELECT qid, COALESCE(MIN(CASE WHEN decision = 'stop' THEN layer END), -1
 
 
 def line_layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = bound(spark, sf_dir, L)
-    public = rows.filter("is_passed_public")
-    named = clusters.by_key(public.withColumn("g", F.struct("qid", "layer")), ["ckey2"], "g").select("qid", "layer", "pos", "cluster")
-    return cascade_run(rows.join(named, ["qid", "layer", "pos"], "left"), CONFIG)
+    return cascade_run(layer_clusters(bound(spark, sf_dir, L), "equality", key=["ckey2"]), CONFIG, seed=None)
 
 
 @query(f"WITH {LAYERS} SELECT qid, layer::BIGINT AS layer, CASE WHEN passed_public_count = 0 THEN 'Infinity'::DOUBLE ELSE ROUND(entropy * 0.5 + rate * 0.5, 6) + 0 END AS score, ROUND(rate, 6) AS public_fail_rate FROM a")
@@ -631,10 +628,7 @@ dl AS (SELECT a.qid, COUNT(*) AS layers FROM a JOIN fin ON a.qid = fin.qid WHERE
 SELECT fin.qid, COALESCE(b0.score, 0) AS final_score, COALESCE(b0.passed, FALSE) AS final_passed, final_layer::BIGINT AS final_layer, COALESCE(b0.model || '/' || b0.pos, '') AS source, dl.layers AS num_layers
 FROM fin LEFT JOIN z ON z.qid = fin.qid LEFT JOIN b0 ON b0.qid = z.qid AND b0.pos = z.pos JOIN dl ON dl.qid = fin.qid""")
 def cascade_selection(spark, sf_dir):
-    rows = bound(spark, sf_dir, L)
-    layers, _ = line_layers(spark, sf_dir)
-    public = clusters.by_key(rows.filter("is_passed_public").withColumn("g", F.struct("qid", "layer")), ["ckey2"], "g").drop("g")
-    out = selection.cascade(layers, public, seed=None)
+    out = line_layers(spark, sf_dir)[1]
     return rounded(out.select("qid", "final_score", "final_passed", "final_layer", "source", F.size("layer_details").cast("long").alias("num_layers")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import entropy
 from .plans.bindings import bound
-from .plans.runs import entropy_sweep
+from .plans.runs import baseline_sweep, cascade_sweep, entropy_sweep
 from .queries import E, L, query, rounded
 from .session import checkpoints
 from .sources import readers, writers
@@ -144,3 +144,54 @@ def rejected_lines(spark, sf_dir):
     rows.select(line.alias("value")).write.text(at := folder(spark, "lines"))
     out = writers.rejected(spark, at, readers.ROUND)
     return out.select(F.regexp_extract("_corrupt_record", r"(\d+)", 1).cast("long").alias("event_id"), "_corrupt_record")
+
+
+#: SQL: the samples of both layers of questions that have metadata; a, each layer's decision; fin, the first layer that stops; pick, its answer.
+CASCADE = f"""s AS (SELECT *, CASE WHEN model = 'm2' THEN 1 ELSE 0 END AS layer, CASE WHEN model = 'm1' THEN 2 WHEN model = 'm2' THEN 0 ELSE round_id END AS k FROM ({RUNS}) WHERE (model = 'm0' AND round_id < 2) OR (model = 'm1' AND round_id = 0) OR (model = 'm2' AND round_id = 2)),
+p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid, layer ORDER BY k) - 1 AS pos FROM s WHERE qid % 5 <> 0),
+n AS (SELECT qid, layer, COUNT(*) AS total, COUNT(*) FILTER (WHERE is_passed_public) AS pp FROM p GROUP BY qid, layer),
+g AS (SELECT qid, layer, code, COUNT(*) AS size, COUNT(DISTINCT model) AS models, MIN(pos) AS first FROM p WHERE is_passed_public GROUP BY qid, layer, code),
+t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid, layer ORDER BY size DESC, first) AS r FROM g) WHERE r = 1),
+a AS (SELECT q.qid, l.layer, COALESCE(n.total, 0) AS total, COALESCE(n.pp, 0) AS pp, t.first, COALESCE(n.pp, 0) > 0 AND (l.layer = 1 OR (t.size > 0.3 * n.total AND t.size > 0.6 * n.pp AND t.models > 1)) AS stop
+  FROM (SELECT DISTINCT qid FROM p) q CROSS JOIN (SELECT unnest([0, 1]) AS layer) l LEFT JOIN n ON n.qid = q.qid AND n.layer = l.layer LEFT JOIN t ON t.qid = q.qid AND t.layer = l.layer),
+fin AS (SELECT qid, COALESCE(MIN(CASE WHEN stop THEN layer END), -1) AS final_layer FROM a GROUP BY qid),
+pick AS (SELECT fin.qid, fin.final_layer, p.score, p.passed, p.model || '/' || p.pos AS source FROM fin LEFT JOIN a ON a.qid = fin.qid AND a.layer = fin.final_layer LEFT JOIN p ON p.qid = fin.qid AND p.layer = fin.final_layer AND p.pos = a.first)"""
+
+
+def swept_cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A cascade over saved rounds; every fifth question has no metadata."""
+    found = read_config(spark)
+    rows = saved_rounds(spark, sf_dir, readers.wanted_of(found))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("task_id"), F.lit("").alias("prompt"), F.lit(True).alias("is_stdin"))
+    return cascade_sweep(rows, found, "equality", keys, seed=None, key=["code"])
+
+
+@query(f"""WITH {CASCADE}, every AS (SELECT DISTINCT qid FROM s)
+SELECT e.qid::VARCHAR AS qid, COALESCE(k.final_layer, -1)::BIGINT AS final_layer, ROUND(COALESCE(k.score, 0), 6) + 0 AS final_score, COALESCE(k.passed, FALSE) AS final_passed, COALESCE(k.source, '') AS source,
+  CASE WHEN e.qid % 5 = 0 THEN 'the question has no metadata' END AS error, CASE WHEN k.qid IS NULL THEN 0 WHEN k.final_layer = 0 THEN 1 ELSE 2 END::BIGINT AS num_layers FROM every e LEFT JOIN pick k ON k.qid = e.qid""")
+def cascade_of_rounds(spark, sf_dir):
+    """Every question of the rounds has a row; those with a fault say which."""
+    out = writers.full_rows(swept_cascade(spark, sf_dir)[0])
+    return rounded(out.select("qid", "final_layer", "final_score", "final_passed", "source", "error", F.size("layer_details").cast("long").alias("num_layers")))
+
+
+@query(f"""WITH {CASCADE}, shown AS (SELECT a.* FROM a JOIN fin ON fin.qid = a.qid WHERE fin.final_layer < 0 OR a.layer <= fin.final_layer),
+ids AS (SELECT p.qid, p.layer, list(c.id ORDER BY p.pos) AS ids, list(p.passed ORDER BY p.pos) AS oks FROM p JOIN (SELECT qid, layer, code, DENSE_RANK() OVER (PARTITION BY qid, layer ORDER BY first) - 1 AS id FROM g) c ON c.qid = p.qid AND c.layer = p.layer AND c.code = p.code WHERE p.is_passed_public GROUP BY p.qid, p.layer)
+SELECT shown.qid::VARCHAR AS qid, shown.layer::BIGINT AS layer, shown.pp AS passed_public, stop, ids.ids AS cluster_ids, ids.oks AS passed FROM shown LEFT JOIN ids ON ids.qid = shown.qid AND ids.layer = shown.layer""")
+def cascade_report_of_rounds(spark, sf_dir):
+    """The layers of the report, one row each."""
+    rows = writers.cascade_rows(*swept_cascade(spark, sf_dir)).select("qid", F.explode("layers").alias("l"))
+    return rounded(rows.select("qid", F.col("l.layer_idx").alias("layer"), F.col("l.passed_public").alias("passed_public"), "l.stop", F.col("l.cluster_ids").cast("array<bigint>").alias("cluster_ids"), "l.passed"))
+
+
+@query(f"""WITH b AS (SELECT * FROM ({RUNS}) WHERE (model = 'm0' AND round_id < 2) OR (model = 'm1' AND round_id = 0)), e AS (SELECT DISTINCT qid FROM b),
+r AS (SELECT qid, BOOL_OR(passed) AS passed, AVG(score) AS score, COUNT(*) AS n FROM b WHERE qid % 5 <> 0 GROUP BY qid),
+o AS (SELECT qid, BOOL_OR(passed AND code LIKE '%O') AS passed, AVG(score) AS score, COUNT(*) AS n FROM b WHERE qid % 5 <> 0 GROUP BY qid)
+SELECT e.qid::VARCHAR AS qid, m.method, COALESCE(CASE m.method WHEN 'pass_at_n' THEN r.passed ELSE o.passed END, FALSE) AS passed, ROUND(COALESCE(r.score, 0), 6) + 0 AS score, r.n AS num_samples,
+  CASE WHEN e.qid % 5 = 0 THEN 'the question has no metadata' END AS error FROM e CROSS JOIN (SELECT unnest(['pass_at_n', 'pass_at_n_oneshot']) AS method) m LEFT JOIN r ON r.qid = e.qid LEFT JOIN o ON o.qid = e.qid""")
+def baselines_of_rounds(spark, sf_dir):
+    found = read_config(spark)
+    rows = saved_rounds(spark, sf_dir, readers.wanted_of(found, 1))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("task_id"), F.lit("").alias("prompt"), F.lit(True).alias("is_stdin"))
+    out = baseline_sweep(rows, found, ["pass_at_n", "pass_at_n_oneshot"], metadata=keys)
+    return rounded(out.select("qid", "method", "passed", "score", "num_samples", "error"))

@@ -141,6 +141,10 @@ def test_ids_by_key_both_ways(spark):
     samples = spark.createDataFrame(rows, "qid string, pos int, k string, l int")
     by = lambda limit: sorted(map(str, clusters.by_key(samples, ["k", "l"], limit=limit).select(*samples.columns, "cluster").collect()))
     assert by(clusters.WINDOW_LIMIT) == by(0)
+    some = samples.withColumn("ok", F.when(F.col("pos") % 3 > 0, F.col("pos") % 3 == 1))
+    part = lambda limit: sorted(map(str, clusters.by_key(some, ["k", "l"], limit=limit, where="ok").select(*some.columns, "cluster").collect()))
+    alone = clusters.by_key(some.filter("ok"), ["k", "l"]).select(*some.columns, "cluster").unionByName(some.filter("ok IS NOT TRUE").withColumn("cluster", F.lit(None).cast("int")))
+    assert part(clusters.WINDOW_LIMIT) == part(0) == sorted(map(str, alone.collect()))
     assert clusters.by_key(samples.limit(0), ["k"]).count() == 0
     first = {}
     for r in clusters.by_key(samples, ["k", "l"]).orderBy("pos").collect():
@@ -774,3 +778,47 @@ def test_code_bleu_by_pairs_of_programs(spark):
         assert [r.ngram, r.weighted, r.tree, r.flow] == pytest.approx(want, abs=1e-9), (x, y)
     whole = {(r.a, r.b): r.similarity for r in similarity.code_bleu_pairs(spark.createDataFrame(rows, "qid int, pos int, code string").filter("qid = 0"), "code").collect()}
     assert all(s == pytest.approx(codebleu.both_ways(rows[a][2], rows[b][2]), abs=1e-9) for (a, b), s in whole.items())
+
+
+def test_command_line_of_selections(spark, saved):
+    """Cascade and baselines over saved rounds, with a question that has no metadata."""
+    from quorumkit.__main__ import main
+
+    (saved / "c.json").write_text(json.dumps(CONFIG))
+    (saved / "q.json").write_text(json.dumps([{"task_id": q, "prompt": "p", "is_stdin": False} for q in ("q0", "q1")]))
+    rounds_, config, metadata = (str(saved / n) for n in ("rounds", "c.json", "q.json"))
+    for _ in range(2):  # a second run writes in place of the first
+        main(["cascade", rounds_, config, str(saved / "out"), "--metadata", metadata, "--options", '{"key": ["code"]}'], spark)
+    full = {r.qid: r for r in spark.read.json(str(saved / "out" / "full")).collect()}
+    assert {q: (r.final_layer, r.error if "error" in r else None) for q, r in full.items()} == {"q0": (0, None), "q1": (-1, None), "q2": (-1, "the question has no metadata")}
+    assert full["q0"].final_score == 1.0 and full["q0"].final_passed and full["q1"].source == ""
+    assert {r.qid for r in spark.read.json(str(saved / "out" / "report")).collect()} == {"q0", "q1", "q2"}
+    main(["baselines", rounds_, config, str(saved / "base"), "--metadata", metadata], spark)
+    rows = spark.read.json(str(saved / "base" / "answers")).collect()
+    assert {(r.qid, r.method): r.passed for r in rows} == {(q, m): q == "q0" for q in ("q0", "q1", "q2") for m in selection.METHODS}
+    assert {r.error for r in rows if r.qid == "q2"} == {"the question has no metadata"} and all(r.error is None for r in rows if r.qid != "q2")
+    totals = spark.read.json(str(saved / "base" / "statistics" / "vanilla")).first()
+    assert (totals.total_questions, totals.passed, totals.accuracy) == (3, 1, pytest.approx(1 / 3))
+    told = json.loads("\n".join(r.value for r in spark.read.text(str(saved / "base" / "config")).collect()))
+    assert told["config"] == CONFIG and told["parameters"]["seed"] == 0
+
+
+def test_cascade_answers_of_faulty_and_unsampled_questions(spark):
+    stop = [("s", 0, 0, "m0", True, 0, True, 1.0, -1.0), ("f", 0, 0, "m0", True, 0, True, 1.0, -1.0)]
+    samples = spark.createDataFrame(stop, "qid string, layer int, pos int, model string, is_passed_public boolean, cluster int, passed boolean, score double, logprob double")
+    _, chosen = runs.cascade_run(samples, [{"layer": 0, "alpha": 1.0, "beta": 1.0, "threshold": 0.5}])
+    questions = spark.createDataFrame([("s",), ("f",), ("n",), ("n",)], "qid string")
+    errors = spark.createDataFrame([("f", "broken"), ("x", "unknown")], "qid string, error string")
+    got = {r.qid: (r.final_score, r.final_layer, r.source, r.error, len(r.layer_details)) for r in selection.cascade_answers(chosen, questions, errors).collect()}
+    assert got == {"s": (1.0, 0, "m0/0", None, 1), "f": (0.0, -1, "", "broken", 0), "n": (0.0, -1, "", None, 0)}
+    assert selection.cascade_answers(chosen, questions).filter("error IS NOT NULL").count() == 0
+
+
+def test_selections_are_read_few_times(spark):
+    from quorumkit import queries
+
+    from .conftest import SF
+
+    assert scans(queries.line_layers(spark, SF)[1], "lineitem") <= 4
+    assert scans(selection.select("pass_at_n", queries.baseline_lines(spark, SF)), "lineitem") == 1
+    assert scans(queries.event_clusters(spark, SF), "events") == 1
