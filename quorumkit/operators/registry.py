@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import by_key, cluster, components
 from .functional import by_outputs
-from .similarity import above, code_bleu_pairs, cosine_links, entails, ngram_precision_pairs
+from .similarity import above, code_bleu_pairs, cosine_links, entails, links_by, ngram_precision_pairs
 
 
 def _attach(samples: DataFrame, found: DataFrame) -> DataFrame:
@@ -80,6 +81,16 @@ def register(name: str, method: Callable[..., DataFrame], description: str) -> N
     METHODS[name] = (method, description)
 
 
+def register_similarity(name: str, similarity: Callable[[list, list], np.ndarray], value: str, threshold: float, description: str, symmetric: bool = False) -> None:
+    """Adds a method that links samples by a function of one's own (similarity.links_by) on a column of samples; components
+    or leaders of the links are its clusters."""
+
+    def method(samples: DataFrame, threshold: float = threshold, algorithm: str = "dfs") -> DataFrame:
+        return _attach(samples, cluster(samples, links_by(samples, value, similarity, threshold, symmetric), algorithm))
+
+    register(name, method, description)
+
+
 def check_samples(samples: DataFrame, needed: Sequence[str] = ("qid", "pos")) -> DataFrame:
     """samples, if they have the columns; rows without text in a `code` column fail the query."""
     missing = [c for c in needed if c not in samples.columns]

@@ -72,60 +72,79 @@ def near_rows(x: np.ndarray, y: np.ndarray, threshold: float, same: bool = False
     return rows[i[sure]], cols[j[sure]], int(rows.size * cols.size)
 
 
-def _tile_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    def run(part: pa.Table) -> pa.Table:
-        tiles = [t.values for t in part.column("rows")]
-        place = [t.field("p").to_numpy() for t in tiles]
-        value = [t.field("v").flatten().to_numpy().reshape(len(t), -1) for t in tiles]
-        i, j, _ = near_rows(value[0], value[-1], threshold, len(tiles) == 1)
-        a, b = place[0][i], place[-1][j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        q = part.column("q")[0]
-        return pa.table({"q": pa.array([q.as_py()] * len(low), part.schema.field("q").type), "a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+#: Finds links between two tiles: (values, values, positions, positions, same tile) -> places (i, j).
+Find = Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
 
-    return run
+
+def _tiled(rows: DataFrame, group: str, pos: str, find: Find, tile: int, alike: Column | None = None) -> DataFrame:
+    """(group, a, b), a before b: what `find` finds among the samples (group, pos, v) of a question, two tiles at a time.
+
+    Samples are dealt into tiles of about `tile` by a hash of their position; each two tiles of a question meet in one
+    call, and each with itself. alike: only samples with equal values of it meet. Positions are whole numbers.
+    """
+    ship(rows.sparkSession)
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles")).select(F.col(group).alias("__q"), "tiles")
+    met = rows.join(sizes, F.col(group).eqNullSafe(F.col("__q"))).select(F.col(group).alias("q"), F.struct(F.col(pos).cast("long").alias("p"), "v").alias("r"), "tiles", (F.lit(0) if alike is None else alike).alias("d"))
+    dealt = met.groupBy("q", "d", F.pmod(F.xxhash64("r.p"), F.col("tiles")).alias("own"), "tiles").agg(F.collect_list("r").alias("rows"))
+    meets = dealt.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    meets = meets.select("q", "d", F.least("own", "w").alias("s"), F.greatest("own", "w").alias("t"), "rows")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        tiles, same = [t.values for t in part.column("rows")], key[2].as_py() == key[3].as_py()
+        low = high = np.zeros(0, np.int64)
+        if len(tiles) == (1 if same else 2):  # else the other tile has no rows
+            place = [t.field("p").to_numpy() for t in tiles]
+            i, j = find(tiles[0].field("v"), tiles[-1].field("v"), place[0], place[-1], same)
+            low, high = np.minimum(place[0][i], place[-1][j]), np.maximum(place[0][i], place[-1][j])
+        return pa.table({"q": pa.array([key[0].as_py()] * len(low), part.schema.field("q").type), "a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    at = rows.schema[pos].dataType
+    found = meets.groupBy("q", "d", "s", "t").applyInArrow(run, f"q {rows.schema[group].dataType.simpleString()}, a long, b long")
+    return found.select(F.col("q").alias(group), F.col("a").cast(at).alias("a"), F.col("b").cast(at).alias("b"))
 
 
 def cosine_links(samples: DataFrame, vector: str, threshold: float, group: str = "qid", pos: str = "pos", limit: int = PAIRS_LIMIT, tile: int = TILE) -> DataFrame:
     """(group, a, b): the pairs above a threshold of at least 0, as above(cosine_pairs()) gives them, a before b.
 
-    Questions of up to `limit` samples make their pairs. Of larger ones the samples are dealt into tiles of about `tile` by
-    a hash; two tiles at a time meet in a task, which multiplies them as matrices and leaves out rows that a part of
-    their numbers shows to be far from all others. Vectors that are null, of zeros, or hold a null or a number that isn't
-    finite are near none there, nor are those of different lengths. Positions are whole numbers, one sample each.
+    Questions of up to `limit` samples make their pairs. Of larger ones two tiles of samples at a time meet in a task,
+    which multiplies them as matrices and leaves out rows that a part of their numbers shows to be far from all others.
+    Vectors that are null, of zeros, or hold a null or a number that isn't finite are near none there, nor are those of
+    different lengths. Positions are whole numbers, one sample each; a question without an id has no pairs.
     """
     if threshold < 0:
         return above(cosine_pairs(samples, vector, group, pos), threshold).select(group, "a", "b")
     sizes = samples.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.filter(F.col("__n") > limit)
+    large = sizes.filter((F.col("__n") > limit) & F.col(group).isNotNull()).select(group)
     if large.isEmpty():
         return above(cosine_pairs(samples, vector, group, pos), threshold).select(group, "a", "b")
-    plain = samples.join(large.select(group), group, "left_anti")
-    small = above(cosine_pairs(plain, vector, group, pos), threshold).select(group, "a", "b")
-    v = F.col(vector).cast("array<double>")
+    small = above(cosine_pairs(samples.join(large, group, "left_anti"), vector, group, pos), threshold).select(group, "a", "b")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
-    rows = samples.join(large.select(group, F.ceil(F.col("__n") / tile).alias("tiles")), group)
-    rows = rows.select(F.col(group).alias("q"), F.struct(F.col(pos).cast("long").alias("p"), v.alias("v")).alias("r"), v.alias("v"), "tiles").filter(F.col("v").isNotNull() & ~bad)
-    dealt = rows.groupBy("q", F.size("v").alias("d"), F.pmod(F.xxhash64("r.p"), F.col("tiles")).alias("own"), "tiles").agg(F.collect_list("r").alias("rows"))
-    meets = dealt.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    meets = meets.select("q", "d", F.least("own", "w").alias("s"), F.greatest("own", "w").alias("t"), "rows")
-    kind = f"q {samples.schema[group].dataType.simpleString()}, a long, b long"
-    ship(samples.sparkSession)
-    found = meets.groupBy("q", "d", "s", "t").applyInArrow(_met(_tile_links(threshold)), kind)
-    at = samples.schema[pos].dataType
-    return small.unionByName(found.select(F.col("q").alias(group), F.col("a").cast(at).alias("a"), F.col("b").cast(at).alias("b")))
+    rows = samples.join(large, group, "left_semi").select(group, pos, F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & ~bad)
 
+    def find(x: pa.Array, y: pa.Array, p: np.ndarray, q: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        return near_rows(*(v.flatten().to_numpy().reshape(len(v), -1) for v in (x, y)), threshold, same)[:2]
 
-def _met(find: Callable[[pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Of two tiles that meet: nothing if one of them has no rows."""
+    return small.unionByName(_tiled(rows, group, pos, find, tile, F.size("v")))
 
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        s, t = key[2].as_py(), key[3].as_py()
-        if len(part) == (1 if s == t else 2):
-            return find(part)
-        return find(part.slice(0, 1)).slice(0, 0)
 
-    return run
+def links_by(samples: DataFrame, value: str, similarity: Callable[[list, list], np.ndarray], threshold: float, symmetric: bool = False, group: str = "qid", pos: str = "pos", tile: int = TILE) -> DataFrame:
+    """(group, a, b): pairs of samples of a question that a function of one's own finds above a threshold, a before b.
+
+    similarity takes two lists of values, null ones as None, and gives a matrix: row i and column j say how like the
+    i-th of the first is to the j-th of the second, where the first stands before the second in its question. A function
+    that is the same both ways is called once for each two tiles, any other twice. It runs where Spark runs it, so what
+    it needs must be there or come with it. NaN is not above a threshold.
+    """
+
+    def find(x: pa.Array, y: pa.Array, p: np.ndarray, q: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        one, other = x.to_pylist(), y.to_pylist()
+        found = np.asarray(similarity(one, other), np.float64).reshape(len(one), len(other))
+        if not symmetric:
+            back = np.asarray(similarity(other, one), np.float64).reshape(len(other), len(one))
+            found = np.where(p[:, None] < q, found, back.T)
+        return np.nonzero((found > threshold) & (p[:, None] < q if same else True))
+
+    return _tiled(samples.select(group, pos, F.col(value).alias("v")), group, pos, find, tile)
 
 
 def matrix(similar: DataFrame, samples: DataFrame, group: str = "qid", pos: str = "pos") -> DataFrame:

@@ -90,7 +90,7 @@ def rounds(spark: SparkSession, folder: str, difficulty: str = "*", model: str =
         number = F.regexp_extract(F.input_file_name(), r"round_(\d+)\.jsonl?$", 1).try_cast("int").alias("round_id")
         out = _json(spark, ROUND, flat, "round_*.json*").select("*", *_path_parts("difficulty", "model"), number)
     if deep:
-        rows = _json(spark, f"{ROUND}, {ROUND_KEYS}", deep, "*.json*", folder)
+        rows = _json(spark, f"{ROUND}, {ROUND_KEYS}", deep, "*.json*", folder).drop("batch")
         out = rows if out is None else out.unionByName(rows)
     return out.filter("question_id IS NOT NULL")
 

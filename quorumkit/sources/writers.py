@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 ROUND_COLUMNS = ("question_id", "debug_trace", "is_passed_public", "passed", "score")
 
 
-def write_rounds(rows: DataFrame, folder: str, append: bool = False) -> None:
-    """The five saved columns, in folders by difficulty, model and round_id, which readers.rounds reads; null values are kept."""
+def write_rounds(rows: DataFrame, folder: str, append: bool = False, batch: int | None = None) -> None:
+    """The five saved columns, in folders by difficulty, model and round_id, which readers.rounds reads; null values are kept.
+
+    With a batch number they go into a folder batch=<number> below these, in place of what a batch of that number left
+    there: a batch that is written again after a failure counts once, and others stay. All batches of a folder have numbers,
+    or none has. Files of a write that didn't end are never seen by readers.
+    """
     names = ("difficulty", "model", "round_id")
-    rows.select(*ROUND_COLUMNS, *names).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).partitionBy(*names).json(folder)
+    out = rows.select(*ROUND_COLUMNS, *names)
+    if batch is None:
+        write = out.write.mode("append" if append else "overwrite").partitionBy(*names)
+    else:
+        write = out.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names, "batch")
+    write.option("ignoreNullFields", False).json(folder)
 
 
 def write_results(rows: DataFrame, folder: str, parameters: dict | None = None) -> None:

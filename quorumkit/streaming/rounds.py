@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import prompt_key
 from ..operators.traces import final_samples
 from ..session import ship
 from ..sources.readers import ROUND
+from ..sources.writers import write_rounds
 
 
 def read_rounds(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,6 +23,13 @@ def read_rounds(spark: SparkSession, folder: str, files_per_trigger: int | None
     return (read.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else read).json(folder)
 
 
+def save_rounds(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that appends new rows (the saved columns with difficulty, model, round_id) to a folder of rounds, and
+    ends with what is there. A batch that is repeated after a failure overwrites what it had written."""
+    stream = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    return stream.foreachBatch(lambda batch, number: write_rounds(batch, folder, batch=number)).start()
+
+
 def running_counts(rows: DataFrame) -> DataFrame:
     """Per question: samples, those that pass public tests, those that pass all (for mode complete or update)."""
     return rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("is_passed_public").alias("public"), F.count_if("passed").alias("passed"))

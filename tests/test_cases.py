@@ -822,3 +822,62 @@ def test_selections_are_read_few_times(spark):
     assert scans(queries.line_layers(spark, SF)[1], "lineitem") <= 4
     assert scans(selection.select("pass_at_n", queries.baseline_lines(spark, SF)), "lineitem") == 1
     assert scans(queries.event_clusters(spark, SF), "events") == 1
+
+
+def test_links_by_a_function(spark):
+    """A function of one's own, the same both ways or not, over tiles: what it says of each pair in order."""
+    rng = random.Random(3)
+    rows = [(q, k, None if rng.random() < 0.1 else rng.randrange(60)) for q in ("a", "b", None) for k in rng.sample(range(500), 70)]
+    samples = spark.createDataFrame(rows, "qid string, pos int, v int")
+
+    def ahead(x: list, y: list) -> np.ndarray:
+        return np.array([[float("nan") if a is None or b is None else (b - a) % 7 for b in y] for a in x], float)
+
+    def near(x: list, y: list) -> np.ndarray:
+        return np.array([[-1.0 if a is None or b is None else 1 / (1 + abs(a - b)) for b in y] for a in x], float)
+
+    for f, t, both in ((ahead, 4, False), (near, 0.4, True), (near, 0.4, False)):
+        want = {(q, a, b) for q, a, x in rows for r, b, y in rows if q == r and a < b and f([x], [y])[0, 0] > t}
+        for tile in (9, 1000):
+            found = [tuple(r) for r in similarity.links_by(samples, "v", f, t, both, tile=tile).collect()]
+            assert set(found) == want and len(found) == len(want)
+    assert similarity.links_by(samples.limit(0), "v", near, 0.4).count() == 0
+
+
+def test_a_registered_similarity(spark):
+    rows = [("q", k, v) for k, v in enumerate([1, 5, 2, 9, 6, 3])]
+    samples = spark.createDataFrame(rows, "qid string, pos int, v int")
+    registry.register_similarity("beside", lambda x, y: (np.abs(np.subtract.outer(x, y)) <= 1).astype(float), "v", 0.5, "numbers beside each other", symmetric=True)
+    try:
+        for algorithm, want in (("dfs", [0, 1, 0, 2, 1, 0]), ("greedy", [0, 1, 0, 2, 1, 3])):
+            got = registry.cluster_samples(samples, "beside", algorithm=algorithm).orderBy("pos").collect()
+            assert [r.cluster for r in got] == want
+        assert registry.method_info("beside")["description"] == "numbers beside each other"
+    finally:
+        del registry.METHODS["beside"]
+
+
+def test_batches_of_rounds_count_once(spark, tmp_path, monkeypatch):
+    """A stream that ends between its write and its commit, and is started again."""
+    step = F.struct(F.lit("c").alias("code"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(-1.0).alias("logprob"), F.lit(-1.0).alias("norm_logprob"))
+    made = lambda lo, hi: spark.range(lo, hi).select(F.col("id").cast("string").alias("question_id"), F.array(step).alias("debug_trace"), F.lit(True).alias("is_passed_public"), F.lit(True).alias("passed"), F.lit(1.0).alias("score"), F.lit("easy").alias("difficulty"), F.lit("m").alias("model"), (F.col("id") % 2).cast("int").alias("round_id"))
+    source, folder, checkpoint = (f"{tmp_path}/{n}" for n in ("source", "rounds", "checkpoint"))
+    made(0, 10).coalesce(1).write.parquet(source)
+    start = lambda: rounds.save_rounds(spark.readStream.schema(made(0, 1).schema).parquet(source), folder, checkpoint).awaitTermination()
+    start()
+    made(10, 30).coalesce(1).write.mode("append").parquet(source)
+    write = writers.write_rounds
+
+    def broken(*a, **k):
+        write(*a, **k)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rounds, "write_rounds", broken)
+        with pytest.raises(Exception, match="lost"):
+            start()
+    for _ in range(2):
+        start()
+        back = readers.rounds(spark, folder)
+        assert sorted(int(r.question_id) for r in back.collect()) == list(range(30)) and "batch" not in back.columns
+        assert readers.rounds(spark, folder, wanted=[("m", 1)]).count() == 15
