@@ -44,24 +44,51 @@ def _shorter(kind: str, found: str) -> list[str]:
     if kind == "card":
         return [v for v in all_ if digits(v) >= 13]
     if kind == "iban":
-        size = IBAN_SIZES.get(found[:2])
+        size = IBAN_SIZES.get(found[:2].upper())
         return [v for v in all_ if (v == found or not size or len(v.replace(" ", "")) == int(size)) and len(v.replace(" ", "")) >= 15]
     if kind == "international":
         return [v for v in all_ if 8 <= digits(v) <= 15 and v.count("(") == v.count(")")]
     return [found]
 
 #: The local part of an address, of any length; an apostrophe may stand inside. Each run is tried once, from its beginning.
-EMAIL = re.compile(r"(?<![\w.%+-])(?<![\w.%+-]')[\w.%+-]++(?:'[\w.%+-]++)*+(?=(@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}))")
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
+EMAIL = re.compile(r"(?<![\w.%+-])(?<![\w.%+-]')[\w.%+-]++(?:'[\w.%+-]++)*+(?=(@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}))")
+IBAN = re.compile(r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}(?!\w)", re.ASCII)
 CARD = re.compile(r"(?<![\w+-])(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\w|-\w)")
 #: The usual groups of card numbers.
 GROUPS = re.compile(r"\d+|\d{4}([ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
 #: A number with its country code, in groups of any sizes; at most 15 digits (E.164).
 INTERNATIONAL = re.compile(r"(?<![\w.+])\+\d{1,4}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14}))+(?!\w)")
+#: A number within a country: a trunk 0 and an area code of up to four digits, the rest behind a space, a slash or a hyphen; a
+#: trunk 0 and five pairs; three groups of three from 6 to 9 on.
+NATIONAL = re.compile(
+    r"(?<![\w.+/-])(?:\(0\d{1,4}\)[ /-]?\d{3,8}(?:[ -]\d{2,4}){0,2}|0\d(?:[ .]\d{2}){4}|0\d{1,4}(?: ?/ ?|[ -])\d{3,8}(?:[ -]\d{2,4}){0,2}|[6-9]\d{2}[ .]\d{3}[ .]\d{3})(?!\w|[./-]\w)"
+)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
-DATE = re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])")
+IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)")
+DATE = re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2}))(?![\w/-]|\.\d)")
+#: Dates with years of two digits are permuted among the days of these.
+SHORT_FIRST, SHORT_LAST = dt.date(1950, 1, 1), dt.date(2049, 12, 31)
+#: Months in English, German, French and Spanish.
+MONTHS = (
+    "january february march april may june july august september october november december",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)
+#: The language and number of each name; one that several languages have is the first one's.
+MONTH_OF: dict[str, tuple[int, int]] = {}
+for _language, _names in enumerate(MONTHS):
+    for _number, _name in enumerate(_names.split(), 1):
+        MONTH_OF.setdefault(_name, (_language, _number))
+_ANY_MONTH = "|".join(sorted(MONTH_OF, key=len, reverse=True))
+#: Day, month by name and year, or month, day and year.
+NAMED_DATE = re.compile(rf"(?<![\w/.-])(?:(?P<d>\d{{1,2}})(?P<x>(?:\.|st|nd|rd|th|er)? (?:de )?)(?P<m>{_ANY_MONTH})(?P<y>,? (?:de )?\d{{4}})|(?P<n>{_ANY_MONTH})(?P<z> )(?P<e>\d{{1,2}})(?P<w>,? \d{{4}}))(?![\w/-])", re.IGNORECASE)
+
+
+#: What spans call the kinds that stand for several patterns.
+KIND_OF = {"international": "phone", "national": "phone", "named": "date"}
 
 
 class Feistel:
@@ -179,7 +206,7 @@ class Pseudonyms:
         self.cache: dict[tuple[str, str], str | None] = {}
         self.kinds = [
             ("iban", IBAN, self.iban), ("card", CARD, self.card), ("international", INTERNATIONAL, self.phone), ("phone", PHONE, self.phone),
-            ("ssn", SSN, self.ssn), ("ipv4", IPV4, self.ipv4), ("date", DATE, self.date),
+            ("national", NATIONAL, self.national), ("ssn", SSN, self.ssn), ("ipv4", IPV4, self.ipv4), ("ipv6", IPV6, self.ipv6), ("date", DATE, self.date), ("named", NAMED_DATE, self.named_date),
         ]
 
     def _digits(self, kind: str, digits: str, fits: Callable[[str], bool] = lambda d: True) -> str:
@@ -211,6 +238,45 @@ class Pseudonyms:
         rest = found[len(head) :]
         return head + _refill(rest, self._digits("phone", re.sub(r"\D", "", rest)))
 
+    def national(self, found: str) -> str | None:
+        """The trunk 0, or the first digit, stays."""
+        head = re.match(r"\D*\d", found)[0]
+        rest = found[len(head) :]
+        return head + _refill(rest, self._digits("national", re.sub(r"\D", "", rest)))
+
+    def ipv6(self, found: str) -> str | None:
+        """Hexadecimal digits move, in one case; what has no decimal digit is left alone, and none becomes so."""
+        digits, upper = re.sub(r"[^0-9A-Fa-f]", "", found), found != found.lower()
+        if not re.search(r"\d", digits) or (upper and found != found.upper()):
+            return None
+
+        def at(x: int) -> str:
+            it = iter(f"{x:0{len(digits)}{'X' if upper else 'x'}}")
+            return "".join(c if c == ":" else next(it) for c in found)
+
+        fits = lambda x: bool(re.search(r"\d", at(x))) and (not upper or at(x) != at(x).lower())
+        return at(self.feistel.permute(int(digits, 16), 16 ** len(digits), "ipv6", self.inverse, fits))
+
+    def named_date(self, found: str) -> str | None:
+        """A date with its month by name: the new month has a name of the same language that no earlier one has, in the same case."""
+        m = NAMED_DATE.fullmatch(found)
+        name, day, year = m["m"] or m["n"], m["d"] or m["e"], m["y"] or m["w"]
+        language, number = MONTH_OF[name.lower()]
+        try:
+            date = dt.date(int(year[-4:]), number, int(day))
+        except ValueError:
+            return None
+        if not FIRST_DAY <= date <= LAST_DAY or name not in (name.lower(), name.upper(), name.capitalize()):
+            return None
+        of = lambda x: FIRST_DAY + dt.timedelta(x)
+        named = lambda new: MONTHS[language].split()[new.month - 1]
+        fits = lambda x: MONTH_OF[named(of(x))][0] == language and len(f"{of(x).day:0{1 if len(day) == 1 else 2}d}") == len(day)
+        new = of(self.feistel.permute((date - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, f"named {language} {len(day)}", self.inverse, fits))
+        text = named(new)
+        text = text if name.islower() else text.upper() if name.isupper() else text.capitalize()
+        number_ = f"{new.day:0{len(day)}d}"
+        return f"{number_}{m['x']}{text}{year[:-4]}{new.year:04d}" if m["m"] else f"{text}{m['z']}{number_}{year[:-4]}{new.year:04d}"
+
     def ssn(self, found: str) -> str | None:
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
         digits = found.replace("-", "")
@@ -224,28 +290,31 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4)))
 
     def date(self, found: str) -> str | None:
-        """Year first, or day first where that is a day of the calendar, else month first."""
-        parts = [int(x) for x in re.split(r"\D", found)]
-        mark = re.search(r"\D", found)[0]
-        orders = ["ymd"] if mark == "-" else ["dmy", "mdy"] if mark == "/" else ["dmy"]
+        """Year first, or day first where that is a day of the calendar, else month first. Years of two digits are those of SHORT_FIRST to SHORT_LAST."""
+        texts, mark = re.split(r"\D", found), re.search(r"\D", found)[0]
+        parts = [int(x) for x in texts]
+        orders = ["ymd"] if len(texts[0]) == 4 else ["dmy", "mdy"] if mark == "/" else ["dmy"]
+        short_year = "ymd" not in orders and len(texts[2]) == 2
+        low, high = (SHORT_FIRST, SHORT_LAST) if short_year else (FIRST_DAY, LAST_DAY)
         for order in orders:
             p = dict(zip(order, parts))
             try:
-                day = dt.date(p["y"], p["m"], p["d"])
+                day = dt.date((1900 if p["y"] >= SHORT_FIRST.year - 1900 else 2000) + p["y"] if short_year else p["y"], p["m"], p["d"])
             except ValueError:
                 continue
-            if not FIRST_DAY <= day <= LAST_DAY:
+            if not low <= day <= high:
                 return None
-            short = {c for c, v in zip(order, re.split(r"\D", found)) if len(v) == 1}
+            short = {c for c, v in zip(order, texts) if len(v) == 1}
 
             def same(x: int) -> bool:
                 """Month first and day first stay apart, or the way back would read the other one; what has one digit keeps one."""
-                new = FIRST_DAY + dt.timedelta(x)
+                new = low + dt.timedelta(x)
                 return (order != "mdy" or new.day > 12) and ("d" not in short or new.day < 10) and ("m" not in short or new.month < 10)
 
-            x = self.feistel.permute((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, f"date {order}", self.inverse, same)
-            new = FIRST_DAY + dt.timedelta(x)
-            values = {c: f"{v:0{1 if c in short else 2}d}" for c, v in (("y", new.year), ("m", new.month), ("d", new.day))}
+            kind = f"date {order}" + (" short" if short_year else "")
+            new = low + dt.timedelta(self.feistel.permute((day - low).days, (high - low).days + 1, kind, self.inverse, same))
+            year = f"{new.year % 100:02d}" if short_year else f"{new.year:04d}"
+            values = {c: f"{v:0{1 if c in short else 2}d}" for c, v in (("m", new.month), ("d", new.day))} | {"y": year}
             return mark.join(values[c] for c in order)
         return None
 
@@ -314,8 +383,8 @@ class Pseudonyms:
                         end = m.start() + len(value)
                         if taken.meets(m.start(), end):
                             continue
-                        if (new := self._new("phone" if kind == "international" else kind, value, make)) is not None:
-                            found.append((m.start(), end, "phone" if kind == "international" else kind, new))
+                        if (new := self._new(kind, value, make)) is not None:
+                            found.append((m.start(), end, KIND_OF.get(kind, kind), new))
                             taken.add(m.start(), end)
                             break
         out, spans, at, length = [], [], 0, 0
@@ -333,8 +402,9 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     Replaced are e-mail addresses (the whole part before the @), card numbers (valid by Luhn's rule, and
     valid again), IBANs (valid check digits, and valid again), phone numbers (with a + and a country code in
-    any groups; without, only in groups of 3, 3 and 4 digits), US social security numbers, IPv4 addresses and
-    calendar dates of the years 1900 to 2099 (others stay). Digits and letters move only within their format:
+    any groups; without, in groups of 3, 3 and 4 digits, with a trunk 0 and an area code, in five pairs from 0 on, or in
+    three groups of three from 6 to 9 on), US social security numbers, IPv4 and IPv6 addresses and calendar dates of the
+    years 1900 to 2099, of two digits 1950 to 2049, with months as numbers or by name in four languages (others stay). Digits and letters move only within their format:
     Latin, Greek and Cyrillic letters within their alphabet and case; letters of other alphabets stay. A match
     that fails its check is tried shorter, up to each separator, and then from the next word on; numbers that
     fail it in every way are left alone. Under one key equal values get equal pseudonyms in every document,
