@@ -26,11 +26,12 @@ ZSTD = pa.Codec("zstd", compression_level=9)
 MOST_GRAMS = 4_000_000
 #: The quantile of trusted documents' ratings, by language, above which a document is rejected.
 QUANTILE = 0.995
-#: Roles of trusted documents: the model is trained on some, the thresholds are set by the others, of
-#: which a language needs LEAST_HELD to have a quantile of its own. With fewer, the language needs as many
-#: different ratings of any documents; its threshold is then FENCE quartile ranges above the upper quartile of their logarithms.
-TRAIN, HELD, HELD_OUT_OF, LEAST_HELD = 1, 2, 5, 30
-FENCE = 3.0
+#: Roles of trusted documents: the model is trained on some, the thresholds are set by the others.
+TRAIN, HELD, HELD_OUT_OF = 1, 2, 5
+#: A language's quantile is drawn to that of all languages as by so many documents.
+DRAWN = 30
+#: The least quartile range of a language's logarithms of ratings.
+LEAST_SPREAD = 0.01
 #: Discounts where they can't be estimated.
 FALLBACK = (0.5, 1.0, 1.5)
 #: Bytes of usual text that every document is given before it is rated.
@@ -336,18 +337,19 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     met = met.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))))
     rating = F.exp((F.col("nll") + PRIOR_BYTES * F.col("usual")) / (F.col("n_bytes") + PRIOR_BYTES))
     met = met.withColumn("rating", F.when(F.col("n_bytes") > 0, rating))
-    rated = met.filter((F.col("role") == HELD) & F.col("rating").isNotNull())
-    at = F.percentile_approx("rating", F.lit(quantile), F.lit(10_000))
-    limits = rated.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= LEAST_HELD)
-    limits = settle(limits.select("lang", "own"))
-    pooled = rated.agg(at).first()[0]
-    rare = met.filter((F.col("role") != TRAIN) & F.col("rating").isNotNull() & F.lit(pooled is not None))
-    rare = rare.join(limits.withColumnRenamed("lang", "__lang"), same, "left_anti").select("lang", F.log("rating").alias("r")).distinct()
-    low, high = (F.percentile_approx("r", F.lit(q), F.lit(10_000)) for q in (0.25, 0.75))
-    fences = rare.groupBy("lang").agg(F.exp(high + FENCE * (high - low)).alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_HELD)
-    fences = fences.select("lang", F.greatest("own", F.lit(pooled).cast("double")).alias("own"))
-    limits = settle(limits.unionByName(fences)).select(F.col("lang").alias("__lang"), F.col("own").alias("threshold"))
-    out = met.join(limits, same, "left").drop("__lang")
+    met = met.withColumn("__log", F.log("rating"))
+    seen = met.filter((F.col("role") != TRAIN) & F.col("rating").isNotNull())
+    low, centre, high = (F.percentile_approx("__log", F.lit(q), F.lit(10_000)) for q in (0.25, 0.5, 0.75))
+    spread = seen.select("lang", "__log").distinct().groupBy("lang").agg(centre.alias("centre"), F.greatest(high - low, F.lit(LEAST_SPREAD)).alias("spread"))
+    centres = settle(spread).withColumnRenamed("lang", "__lang")
+    above = seen.filter(F.col("role") == HELD).join(centres, same).select("lang", ((F.col("__log") - F.col("centre")) / F.col("spread")).alias("above"))
+    at = F.percentile_approx("above", F.lit(quantile), F.lit(10_000))
+    own = settle(above.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("held")))
+    pooled = F.lit(above.agg(at).first()[0]).cast("double")
+    held = F.coalesce("held", F.lit(0))
+    drawn = (F.coalesce(held * F.col("own"), F.lit(0.0)) + DRAWN * pooled) / (held + DRAWN)
+    limits = centres.join(own, same, "left").select("__lang", F.exp(F.col("centre") + F.col("spread") * drawn).alias("threshold"))
+    out = met.join(settle(limits), same, "left").drop("__lang", "__log")
     return out.withColumn("kept", F.coalesce(F.col("rating") <= F.col("threshold"), F.lit(True)))
 
 
@@ -357,13 +359,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Trusted are the documents that `labels` (doc_id, quality) calls good. The model is trained on four of
     five of them, whole; the others, which it hasn't seen, set the thresholds. The rating is the
     perplexity as it would be after PRIOR_BYTES more bytes of usual text of the language, so that a few
-    odd words don't condemn a short text. The threshold of a language is the given quantile of the
-    ratings of its held-out trusted documents. The model hardly knows a language with fewer than
-    LEAST_HELD of them (null is a language), so that all its ratings lie above those of others: its
-    threshold is set by its own documents, trusted or not, where those far above most of them lie, and is
-    no less than the quantile of all languages; with fewer than LEAST_HELD different ratings it has none.
+    odd words don't condemn a short text. The model knows some languages better than others, so the logarithms
+    of ratings are compared with their median in the language, in quartile ranges, both of its different ratings
+    but of those trained on. The threshold is as many quartile ranges above the median as the given quantile of the
+    held-out trusted documents is: the language's own quantile, drawn to that of all languages as by DRAWN
+    documents. That is one rule for languages with many, few and no trusted documents (null is a language).
     A document rated above its threshold is not kept. A null or empty text has no rating and is kept, as
-    are all documents of a language without a threshold, and all if nothing is trusted. Repeated rows each have a row; an empty table
+    are all documents if nothing that is trusted is held out. Repeated rows each have a row; an empty table
     gives none; other columns are not read.
     """
     return _judged(docs, labels, id_col, text_col, lang_col, quantile).select("doc_id", "lang", "n_bytes", "perplexity", "rating", "threshold", "kept")
