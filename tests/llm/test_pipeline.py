@@ -77,3 +77,42 @@ def test_tokens(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[4][1].count()
+
+
+def test_only_the_last_input_stays(spark):
+    from quorumkit.llm.common import checkpoint_path
+
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    base = checkpoint_path(spark)
+    listed = lambda: {str(x.getPath()) for x in jvm(base).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm(f"{base}/pipeline-*/*"))}
+    before = listed()
+    out = corpus_pipeline.run(spark, SF)
+    assert [x.rsplit("/", 1)[-1] for x in listed() - before] == ["3-mix_sources"] and out.count() > 0
+
+
+def folder_of(spark, tmp_path, rows) -> str:
+    """Tables with an odd set of documents, whose further columns have names that stages use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k1 string, block int, label double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1) for r in rows if r[0] is not None and r[0] < 40], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_documents(spark, tmp_path):
+    rows = [(k, f"word{k} and other words of text {k}", "en", f"s{k % 2}", 9, "x", k, 0.5) for k in range(40)]
+    rows += [rows[0], rows[0], (50, None, None, None, None, None, None, None), (51, "", "en", "s0", 0, "", 0, 0.0), (52, " \n", None, "s1", 2, "", 0, 0.0), (None, "no id here", "en", None, 1, "", 0, 0.0), (None, None, None, None, None, None, None, None)]
+    rows += [(60, "long " * 20_000, "en", "s0", 5, "a", 1, 1.0), (61, "same text", "en", "s0", 1, "a", 1, 1.0), (62, "same text", "de", "s1", 1, "b", 2, 2.0)]
+    folder = folder_of(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    assert docs.filter("text IS NULL").count() == 0 and docs.filter("text = 'same text'").count() >= 0
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256", "agrees"] and all(r.agrees and r.n_tokens == len(r.ids) for r in got.collect())
+
+
+def test_no_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder_of(spark, tmp_path, [])).count() == 0
