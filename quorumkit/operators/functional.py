@@ -22,32 +22,41 @@ def pick_tests(tests: DataFrame, k: int = 5, group: str = "qid", test: str = "te
     return tests.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
 
 
-def grid(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
-    """(group, pos, test, output): the output of every sample on every test of its question; ERROR where there is none.
+def passed_outputs(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
+    """(group, pos, test, output) of what the samples gave and is no error: a missing, null or failed output has no row.
 
     Of repeated outputs of a sample on a test the least counts, null last.
     """
-    given = outputs.groupBy(group, pos, test).agg(F.min(normalised(F.col(output))).alias(output))
-    every = samples.select(group, pos).distinct().join(outputs.select(group, test).distinct(), group)
-    return every.join(given, [group, pos, test], "left").withColumn(output, F.coalesce(output, F.lit(ERROR)))
+    least = outputs.groupBy(group, pos, test).agg(F.min(normalised(F.col(output))).alias(output))
+    return least.filter(F.col(output) != ERROR).join(samples.select(group, pos).distinct(), [group, pos], "left_semi")
+
+
+def _sizes(samples: DataFrame, group: str, pos: str) -> DataFrame:
+    return samples.groupBy(group).agg(F.countDistinct(pos).alias("n"))
 
 
 def error_counts(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
     """(group, test, errors, n): on how many of a question's n samples each test failed or gave nothing."""
-    rows = grid(samples, outputs, group, pos, test, output)
-    return rows.groupBy(group, test).agg(F.count_if(F.col(output) == ERROR).alias("errors"), F.count(F.lit(1)).alias("n"))
+    passed = passed_outputs(samples, outputs, group, pos, test, output).groupBy(group, test).agg(F.count(F.lit(1)).alias("__ok"))
+    tests = outputs.select(group, test).distinct().join(_sizes(samples, group, pos), group).join(passed, [group, test], "left")
+    return tests.select(group, test, (F.col("n") - F.coalesce("__ok", F.lit(0))).alias("errors"), "n")
 
 
 def by_outputs(samples: DataFrame, outputs: DataFrame, group: str = "qid", pos: str = "pos", test: str = "test", output: str = "output") -> DataFrame:
     """Adds `cluster`: samples with equal outputs on all valid tests, those that fewer than half of the question's
-    samples failed; alone where a question has no valid test. A missing output is an error."""
-    rows = grid(samples, outputs, group, pos, test, output)
-    failed = rows.groupBy(group, test).agg(F.count_if(F.col(output) == ERROR).alias("__errors"), F.count(F.lit(1)).alias("__n"))
-    good = rows.join(failed.filter(F.col("__errors") < F.col("__n") / 2).select(group, test), [group, test], "left_semi")
-    vectors = good.groupBy(group, pos).agg(F.sort_array(F.collect_list(F.struct(test, output))).alias("__v"))
-    met = samples.join(vectors, [group, pos], "left")
-    alone = F.when(F.col("__v").isNull(), F.col(pos))
-    return by_key(met.withColumn("__alone", alone), ["__v", "__alone"], group, pos).drop("__v", "__alone")
+    samples failed; alone where a question has no valid test. A missing output is an error.
+
+    Errors are what is left when passed outputs are counted, and two samples agree on all valid tests if what they passed
+    with is the same: no row is made for a sample and a test it has no output of.
+    """
+    passed = passed_outputs(samples, outputs, group, pos, test, output).repartition(group, test)
+    counts = passed.groupBy(group, test).agg(F.count(F.lit(1)).alias("__ok")).join(_sizes(samples, group, pos), group)
+    valid = counts.filter(F.col("n") - F.col("__ok") < F.col("n") / 2).select(group, test)
+    vectors = passed.join(valid, [group, test], "left_semi").groupBy(group, pos).agg(F.sort_array(F.collect_list(F.struct(test, output))).alias("__v"))
+    some = valid.select(group, F.lit(True).alias("__some")).distinct()
+    met = samples.join(vectors, [group, pos], "left").join(some, group, "left")
+    alone = F.when(F.col("__some").isNull(), F.col(pos))
+    return by_key(met.withColumn("__alone", alone), ["__v", "__alone"], group, pos).drop("__v", "__alone", "__some")
 
 
 def acquire_tests(questions: DataFrame, cache: DataFrame, fresh: DataFrame, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -881,3 +881,29 @@ def test_batches_of_rounds_count_once(spark, tmp_path, monkeypatch):
         back = readers.rounds(spark, folder)
         assert sorted(int(r.question_id) for r in back.collect()) == list(range(30)) and "batch" not in back.columns
         assert readers.rounds(spark, folder, wanted=[("m", 1)]).count() == 15
+
+
+def test_clusters_by_outputs_by_brute_force(spark):
+    """Against every sample's vector on every test: missing, null, repeated and failed outputs, outputs of no sample."""
+    rng = random.Random(6)
+    samples = [(q, p) for q in range(25) for p in range(rng.randint(1, 7))]
+    outputs = [(q, p, t, rng.choice(["1", "1", "2", None, "Error: x", "an Error: y"])) for q in range(27) for p in range(8) for t in range(rng.randint(0, 4)) for _ in range(rng.choice([0, 1, 1, 1, 2])) if rng.random() < 0.9]
+    given: dict = {}
+    for q, p, t, o in outputs:
+        given.setdefault((q, p, t), []).append("ERROR" if o and "Error:" in o else o)
+    least = {k: min((o for o in v if o is not None), default="ERROR") for k, v in given.items()}
+    want, errors = {}, {}
+    for q in {q for q, _ in samples}:
+        own, tests = [p for r, p in samples if r == q], sorted({t for r, _, t, _ in outputs if r == q})
+        failed = {t: sum(least.get((q, p, t), "ERROR") == "ERROR" for p in own) for t in tests}
+        errors |= {(q, t): (n, len(own)) for t, n in failed.items()}
+        valid, ids = [t for t in tests if failed[t] < len(own) / 2], {}
+        for p in own:
+            key = tuple(least.get((q, p, t), "ERROR") for t in valid) if valid else p
+            want[q, p] = ids.setdefault(key, len(ids))
+    s = spark.createDataFrame(samples, "qid int, pos int")
+    o = spark.createDataFrame(outputs, "qid int, pos int, test int, output string")
+    assert {(r.qid, r.pos): r.cluster for r in functional.by_outputs(s, o).collect()} == want
+    assert {(r.qid, r.test): (r.errors, r.n) for r in functional.error_counts(s, o).collect()} == errors
+    assert functional.by_outputs(s.limit(0), o).count() == 0
+    assert [r.cluster for r in functional.by_outputs(s.filter("qid = 0"), o.limit(0)).orderBy("pos").collect()] == list(range(sum(q == 0 for q, _ in samples)))
