@@ -19,7 +19,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in names})
+    return df.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in names})
 
 
 def job1_follow_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,10 @@ t AS (SELECT question, COUNT(*) AS n, COUNT(lp) AS m, SUM(lp) AS s, MAX(lp) AS m
 p AS (SELECT c.question, answer, COUNT(*) AS n, SUM(EXP(lp - mx)) AS z, SUM(EXP(lp - mx) * (lp - mx)) AS w FROM c JOIN t ON c.question = t.question GROUP BY c.question, answer),
 q AS (SELECT question, SUM(z) AS z, SUM(w) AS w, arg_max(answer, (n, -rank)) AS top, MAX(n) AS top_n
       FROM (SELECT *, RANK() OVER (PARTITION BY question ORDER BY answer NULLS LAST) AS rank FROM p) GROUP BY question)
-SELECT p.question, ROUND(MAX(-t.s / t.m), 6) + 0 AS PE_MC, ROUND(MAX(LN(q.z) - q.w / q.z), 6) + 0 AS PE_Rao,
-  ROUND(SUM(CASE WHEN p.z > 0 THEN -(p.z / q.z) * LN(p.z / q.z) WHEN p.z = 0 THEN 0 END), 6) + 0 AS SE,
-  ROUND(SUM(-(p.n / t.n::DOUBLE) * LN(p.n / t.n::DOUBLE + 1e-10)), 6) + 0 AS DSE, MAX(t.n) AS num_samples, COUNT(*) AS num_clusters,
-  ANY_VALUE(q.top) AS top_answer, ROUND(MAX(q.top_n) / MAX(t.n)::DOUBLE, 6) + 0 AS top_share
+SELECT p.question, ROUND(MAX(-t.s / t.m), 8) + 0 AS PE_MC, ROUND(MAX(LN(q.z) - q.w / q.z), 8) + 0 AS PE_Rao,
+  ROUND(SUM(CASE WHEN p.z > 0 THEN -(p.z / q.z) * LN(p.z / q.z) WHEN p.z = 0 THEN 0 END), 8) + 0 AS SE,
+  ROUND(SUM(-(p.n / t.n::DOUBLE) * LN(p.n / t.n::DOUBLE + 1e-10)), 8) + 0 AS DSE, MAX(t.n) AS num_samples, COUNT(*) AS num_clusters,
+  ANY_VALUE(q.top) AS top_answer, ROUND(MAX(q.top_n) / MAX(t.n)::DOUBLE, 8) + 0 AS top_share
 FROM p JOIN t ON p.question = t.question JOIN q ON p.question = q.question GROUP BY p.question""",
     "job2_answer_chats": r"""
 WITH RECURSIVE k AS (SELECT conv_id // 8 AS qid, conv_id AS pos, arg_max(text, (turn, text)) AS t, COUNT(*) AS steps FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
@@ -68,7 +68,7 @@ c AS (SELECT qid, pos, MIN(r) AS root FROM reach GROUP BY qid, pos),
 n AS (SELECT qid, root, COUNT(*) AS n FROM c GROUP BY qid, root),
 h AS (SELECT qid, SUM(-(n / t) * LN(n / t + 1e-10)) AS DSE, MAX(t)::BIGINT AS num_samples, COUNT(*) AS num_clusters FROM (SELECT *, (SUM(n) OVER (PARTITION BY qid))::DOUBLE AS t FROM n) GROUP BY qid),
 top AS (SELECT qid, root, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY n DESC, root) AS k FROM n) WHERE k = 1)
-SELECT top.qid, top.root AS sample, sha256(b.code) AS answer_sha256, b.steps, top.n AS votes, ROUND(DSE, 6) + 0 AS DSE, num_samples, num_clusters, DSE > 1.0 AS review,
+SELECT top.qid, top.root AS sample, sha256(b.code) AS answer_sha256, b.steps, top.n AS votes, ROUND(DSE, 8) + 0 AS DSE, num_samples, num_clusters, DSE > 1.0 AS review,
   CASE WHEN DSE > 1.0 THEN 2 * (num_clusters - 1) ELSE 0 END AS requests
 FROM top JOIN b ON b.qid = top.qid AND b.pos = top.root JOIN h ON h.qid = top.qid""",
 }

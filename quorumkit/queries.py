@@ -65,7 +65,9 @@ e AS (SELECT {', '.join('x.' + g.strip() for g in group.split(','))}, MAX(-t.s /
       FROM p x JOIN t ON {on} JOIN tz ON {on.replace('t.', 'tz.')} GROUP BY {', '.join('x.' + g.strip() for g in group.split(','))})"""
 
 
-MEASURES_SQL = "ROUND(PE_MC, 6) + 0 AS PE_MC, ROUND(PE_Rao, 6) + 0 AS PE_Rao, ROUND(SE, 6) + 0 AS SE, ROUND(DSE, 6) + 0 AS DSE"
+#: SQL: the measures. Means of numbers with a few decimals may end in a five at the seventh place, which sums in another
+#: order round the other way; at these places none of the tables' means does.
+MEASURES_SQL = ", ".join(f"ROUND({m}, 8) + 0 AS {m}" for m in ("PE_MC", "PE_Rao", "SE", "DSE"))
 
 
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +90,12 @@ def dse_by_group(spark, sf_dir):
 
 @query(f"WITH {keyed(E, 'ckey')}, {bundle('logprob')} SELECT qid, {MEASURES_SQL}, num_samples, num_clusters FROM e")
 def entropy_bundle(spark, sf_dir):
-    return rounded(entropy.entropies(event_clusters(spark, sf_dir)))
+    return rounded(entropy.entropies(event_clusters(spark, sf_dir)), 8)
 
 
-@query(f"WITH {keyed(E, 'ckey')}, {bundle('norm_logprob')} SELECT qid, {MEASURES_SQL}, num_samples, num_clusters FROM e")
+@query(f"WITH {keyed(E, 'ckey')}, {bundle('norm_logprob')} SELECT qid, {MEASURES_SQL.replace('8', '9')}, num_samples, num_clusters FROM e")
 def entropy_norm_switch(spark, sf_dir):
-    return rounded(entropy.entropies(event_clusters(spark, sf_dir), "norm_logprob"))
+    return rounded(entropy.entropies(event_clusters(spark, sf_dir), "norm_logprob"), 9)
 
 
 @query(f"WITH {keyed(L, 'ckey')}, {bundle('logprob')} SELECT qid, ROUND(PE_MC, 10) + 0 AS PE_MC FROM e")
@@ -111,10 +113,10 @@ def se_soft(spark, sf_dir):
     return rounded(entropy.entropies(line_clusters(spark, sf_dir)).select("qid", "SE"))
 
 
-@query(f"""WITH {keyed(E, 'ckey')}, {bundle('logprob')} SELECT e.qid, {MEASURES_SQL}, num_samples, num_clusters, ROUND(avg_score, 6) + 0 AS avg_score,
+@query(f"""WITH {keyed(E, 'ckey')}, {bundle('logprob')} SELECT e.qid, {MEASURES_SQL}, num_samples, num_clusters, ROUND(avg_score, 8) + 0 AS avg_score,
   scores, cluster_ids FROM e JOIN (SELECT qid, AVG(score) AS avg_score, LIST(ROUND(score, 6) ORDER BY pos) AS scores, LIST(cluster::INTEGER ORDER BY pos) AS cluster_ids FROM c GROUP BY qid) s ON e.qid = s.qid""")
 def question_results(spark, sf_dir):
-    return rounded(entropy.question_rows(event_clusters(spark, sf_dir))).withColumn("scores", F.transform("scores", lambda x: F.round(x, 6))).withColumn("cluster_ids", F.col("cluster_ids").cast("array<int>"))
+    return rounded(entropy.question_rows(event_clusters(spark, sf_dir)), 8).withColumn("scores", F.transform("scores", lambda x: F.round(x, 6))).withColumn("cluster_ids", F.col("cluster_ids").cast("array<int>"))
 
 
 @query(f"""WITH {keyed(E, 'ckey')}, {bundle('logprob')}, s AS (SELECT qid, AVG(score) AS avg_score FROM c GROUP BY qid)
