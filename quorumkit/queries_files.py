@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import entropy
 from .plans.bindings import bound
 from .plans.runs import baseline_sweep, cascade_sweep, entropy_sweep
-from .queries import E, L, query, rounded
+from .queries import ORACLE_SQL, E, L, query, rounded
 from .session import checkpoints
 from .sources import readers, writers
 
@@ -107,6 +107,17 @@ def cache_written_and_read(spark, sf_dir):
     return readers.test_cache(spark, f"{at}/*").select("task_id", "is_stdin", F.col("generated_tests.input").alias("inputs"))
 
 
+@query(ORACLE_SQL["cache_upsert"])
+def cache_appended_and_read(spark, sf_dir):
+    """Tests of even samples, then those of others and of every third, which are added to a cache in parts; the second twice."""
+    test = F.struct("pos", F.struct(F.col("ckey").alias("input"), F.lit("").alias("output"), F.lit("stdin").alias("testtype")).alias("t"))
+    rows, at = bound(spark, sf_dir, E), folder(spark, "parts")
+    for which in ("pos % 2 = 0", "pos % 2 = 1 OR pos % 3 = 0", "pos % 2 = 1 OR pos % 3 = 0"):
+        lists = rows.filter(which).groupBy(F.col("qid").cast("string").alias("task_id"), F.lit(True).alias("is_stdin")).agg(F.sort_array(F.collect_list(test)).alias("g"))
+        writers.append_tests(spark, lists.select("task_id", "is_stdin", F.col("g.t").alias("generated_tests")), at)
+    return readers.test_cache(spark, at).select("task_id", F.col("generated_tests.input").alias("inputs"))
+
+
 @query("SELECT c_custkey::VARCHAR AS task_id, 'later ' || c_name AS prompt, c_custkey % 2 = 0 AS is_stdin FROM customer")
 def questions_written_and_read(spark, sf_dir):
     """One JSON array that holds each question twice; the later one counts."""

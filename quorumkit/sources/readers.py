@@ -20,7 +20,7 @@ ROUND = f"question_id string, debug_trace {TRACE}, is_passed_public boolean, pas
 ROUND_KEYS = "difficulty string, model string, round_id int"
 QUESTION = "task_id string, prompt string, is_stdin boolean"
 RESULT = "problem_id string, num_samples int, cluster_ids array<int>, num_clusters int, PE_MC double, PE_Rao double, SE double, DSE double, avg_score double, scores array<double>"
-CACHE = "task_id string, question_id string, is_stdin boolean, generated_tests array<struct<input:string,output:string,testtype:string>>"
+CACHE = "task_id string, question_id string, is_stdin boolean, generated_tests array<struct<input:string,output:string,testtype:string>>, version long"
 PROBLEM = "question_id string, question_title string, question_content string, starter_code string, difficulty string, contest_date timestamp, public_test_cases string, private_test_cases string, metadata string"
 CONFIG = "layers_count int, layers array<struct<layer_idx:int,samples:map<string,array<int>>,alpha:double,beta:double,threshold:double>>"
 TESTS = "array<struct<input:string,output:string,testtype:string>>"
@@ -230,10 +230,16 @@ def results(spark: SparkSession, folder: str, difficulty: str = "*", model: str
     return out
 
 
+def cache_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a cache as they are stored; `version` is null in lines without one, and `bucket` is there where
+    writers.append_tests has written."""
+    return spark.read.schema(CACHE).option("mode", "DROPMALFORMED").json(path)
+
+
 def test_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(task_id, is_stdin, generated_tests): the last line of each key, of several files that of the last name; empty
-    ids and empty lists are left out."""
-    rows = spark.read.schema(CACHE).option("mode", "DROPMALFORMED").json(path).withColumn("__k", line_order())
+    """(task_id, is_stdin, generated_tests): the line of each key with the highest version, lines without one first, then
+    the last line, of several files that of the last name; empty ids and empty lists are left out."""
+    rows = cache_lines(spark, path).withColumn("__k", F.struct(F.coalesce("version", F.lit(-1)), line_order()))
     return last_tests(rows, "__k")
 
 

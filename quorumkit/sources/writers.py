@@ -5,9 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+from .readers import TESTS, _paths, cache_lines
+
+#: The buckets of a cache in parts; part of its layout, so that it can't be changed for a cache that is there.
+BUCKETS = 64
 ROUND_COLUMNS = ("question_id", "debug_trace", "is_passed_public", "passed", "score")
 
 
@@ -95,6 +100,51 @@ def write_cache(spark: SparkSession, cache: DataFrame, path: str) -> None:
     cache.write.mode("errorifexists").json(path)
 
 
+def append_tests(spark: SparkSession, fresh: DataFrame, path: str) -> None:
+    """Adds fresh tests to the cache at path, as upsert_tests does, by writing the lists that change and no others.
+
+    A changed list is a new line with the next version of its key, below bucket=<number>; readers.test_cache takes the
+    highest version. Only buckets that fresh keys fall into are read. The same fresh tests again change no list, so that
+    nothing is written; what a write that failed has left is never read. Of several fresh rows of a key the greatest list
+    counts; rows without a task_id or tests are left out, a null is_stdin is false. A cache has one writer at a time.
+    """
+    keys = ["task_id", "is_stdin"]
+    named = fresh.filter("task_id <> '' AND size(generated_tests) > 0").select("task_id", F.coalesce("is_stdin", F.lit(False)).alias("is_stdin"), "generated_tests")
+    new = named.groupBy(*keys).agg(F.max("generated_tests").alias("__new")).withColumn("bucket", _bucket())
+    if _paths(spark, path):
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
+        lines = cache_lines(spark, path).filter(F.col("bucket").isin(buckets))
+        known = lines.groupBy(*keys).agg(F.max_by("generated_tests", "version").alias("__old"), F.max("version").alias("__version"))
+    else:
+        known = spark.createDataFrame([], f"task_id string, is_stdin boolean, __old {TESTS}, __version long")
+    more = F.filter("__new", lambda t: ~F.array_contains("__old", t))
+    tests = F.when(F.col("__old").isNull(), F.col("__new")).otherwise(F.concat("__old", more))
+    out = new.join(known, keys, "left").filter(F.col("__old").isNull() | (F.size(more) > 0))
+    out = out.select(*keys, tests.alias("generated_tests"), (F.coalesce("__version", F.lit(-1)) + 1).alias("version"), "bucket")
+    out.repartition("bucket").write.mode("append").partitionBy("bucket").json(path)
+
+
+def compact_tests(spark: SparkSession, path: str, lines_per_key: float = 2.0) -> None:
+    """Writes the buckets anew that have more than so many lines a key: one line a key, that of the highest version.
+
+    Other buckets aren't touched. The rows are first written to the shared checkpoint folder, as a bucket can't be read
+    while it is overwritten.
+    """
+    lines = cache_lines(spark, path)
+    sizes = lines.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("task_id", "is_stdin").alias("keys"))
+    buckets = [r.bucket for r in sizes.filter(F.col("lines") > lines_per_key * F.col("keys")).collect()]
+    if not buckets:
+        return
+    held = lines.filter(F.col("bucket").isin(buckets))
+    last = held.groupBy("task_id", "is_stdin").agg(F.max_by("generated_tests", "version").alias("generated_tests"), F.max("version").alias("version"))
+    rows = kept(last.withColumn("bucket", _bucket()))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("task_id", "is_stdin"), F.lit(BUCKETS)).cast("int")
+
+
 def rejected(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that the schema can't read, but for blank ones."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}

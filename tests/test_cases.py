@@ -517,13 +517,72 @@ def test_runs_and_results(spark, tmp_path):
     assert len(list((tmp_path / "e").glob("part-*"))) == 1
 
 
+def test_appended_tests_write_what_changes(spark, tmp_path):
+    """1 % of the keys: that many lines and few bytes more; nothing when repeated; compaction leaves the same cache in fewer lines."""
+    at, kind = str(tmp_path / "cache"), "task_id string, is_stdin boolean, generated_tests array<struct<input:string,output:string,testtype:string>>"
+    made = lambda ids, *inputs: spark.createDataFrame([(f"t{i}", i % 2 == 0, [(x, "", "stdin") for x in inputs]) for i in ids], kind)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "cache").rglob("*.json"))
+    read = lambda: {(r.task_id, r.is_stdin): [t.input for t in r.generated_tests] for r in readers.test_cache(spark, at).collect()}
+    want = {(f"t{i}", i % 2 == 0): ["a", "b"] for i in range(2000)}
+    writers.append_tests(spark, made(range(2000), "a", "b"), at)
+    first = size()
+    assert read() == want
+    for inputs in (("b", "c"), ("c", "b"), ("d", "d")):
+        before = size()
+        writers.append_tests(spark, made(range(0, 2000, 100), *inputs), at)
+        assert size() - before < first / 25 and (size() == before) == (inputs == ("c", "b"))
+    want |= {(f"t{i}", True): ["a", "b", "c", "d", "d"] for i in range(0, 2000, 100)}
+    odd = spark.createDataFrame([(None, True, [("x", "", "stdin")]), ("", True, [("x", "", "stdin")]), ("e", True, []), ("n", None, [("x", "", "stdin")]), ("n", False, [("y", "", "stdin")])], kind)
+    writers.append_tests(spark, odd, at)
+    writers.append_tests(spark, odd.limit(0), at)
+    want[("n", False)] = ["y"]
+    assert read() == want
+    lines = lambda: readers.cache_lines(spark, at).count()
+    assert lines() == 2041
+    writers.compact_tests(spark, at, 2.0)
+    assert lines() == 2041
+    writers.compact_tests(spark, at, 1.0)
+    assert lines() == 2001 and read() == want
+    writers.append_tests(spark, made([0], "z"), at)
+    assert read() == want | {("t0", True): [*want[("t0", True)], "z"]}
+
+
+def test_stream_state_over_a_restart(spark, tmp_path):
+    """Against the definition over all samples so far: digests that come again, new ones, no code, questions that stay away."""
+    rng, source, seen = random.Random(11), tmp_path / "source", {}
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k, questions in enumerate((["a", "b"], ["a", "c"], ["a", "b"])):
+            lines = []
+            for q in questions:
+                codes = [rng.choice([None, *"uvwxyz"][: 3 + 2 * k]) for _ in range(rng.randint(1, 60))]
+                seen[q] = seen.get(q, []) + codes
+                lines += [json.dumps({"question_id": q, "debug_trace": [{"code": c, "logprob": -1.0}], "is_passed_public": True, "passed": True, "score": 1.0}) for c in codes]
+            source.mkdir(exist_ok=True)
+            (source / f"round_{k}.jsonl").write_text("\n".join(lines))
+            got = {}
+            stream = rounds.running_entropy(rounds.read_rounds(spark, str(source)))
+            write = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+            write.foreachBatch(lambda batch, _: got.update({r.qid: (r.num_samples, r.num_clusters, r.DSE) for r in batch.collect()})).start().awaitTermination()  # noqa: B023
+            assert set(got) == set(questions)
+            for q, (samples, clusters, entropy) in got.items():
+                counts = Counter(seen[q])
+                brute = -sum(n / samples * math.log(n / samples + 1e-10) for n in counts.values())
+                assert (samples, clusters) == (len(seen[q]), len(counts)) and abs(entropy - brute) < 1e-9
+    finally:
+        spark.conf.unset(key)
+
+
 def test_stream(spark, saved):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = rounds.running_entropy(rounds.read_rounds(spark, str(saved / "rounds"), 2))
     query = stream.writeStream.format("memory").queryName("entropy").outputMode("update").option("checkpointLocation", str(saved / "c")).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     last = spark.table("entropy").groupBy("qid").agg(F.max("num_samples").alias("n"), F.max_by("DSE", "num_samples").alias("d")).collect()
     assert {r.qid: r.n for r in last} == {"q0": 6, "q1": 6, "q2": 6}
     assert all(0 < r.d < math.log(2) + 1e-9 for r in last)
