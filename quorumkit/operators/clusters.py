@@ -21,25 +21,26 @@ WINDOW_LIMIT = 100_000
 LEAD_BLOCK, MOST_LINKS = 1024, 2_000_000
 
 
-def by_key(samples: DataFrame, key: Sequence[str], group: str = "qid", pos: str = "pos", limit: int = WINDOW_LIMIT, where: str | None = None) -> DataFrame:
+def by_key(samples: DataFrame, key: Sequence[str], group: str | Sequence[str] = "qid", pos: str = "pos", limit: int = WINDOW_LIMIT, where: str | None = None) -> DataFrame:
     """Adds `cluster`: samples of a question with equal keys share one; ids count from 0 by first position.
 
-    where: a boolean column; samples for which it isn't true take no part and have a null. Where no question has more
-    than `limit` samples, which one count by question tells, two windows rank them: one exchange, one scan. Else keys
-    are counted first and only different ones are ranked, so that no large question is in a single task. Both give
-    the same ids.
+    group: the columns of a question. where: a boolean column; samples for which it isn't true take no part and have a
+    null. Where no question has more than `limit` samples, which one count by question tells, two windows rank them: one
+    exchange, one scan. Else keys are counted first and only different ones are ranked, so that no large question is in a
+    single task. Both give the same ids.
     """
+    groups = [group] if isinstance(group, str) else list(group)
     part = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
-    largest = samples.groupBy(group).count().agg(F.max("count")).first()[0]
+    largest = samples.groupBy(*groups).count().agg(F.max("count")).first()[0]
     if (largest or 0) <= limit:
         marked = samples.withColumn("__in", part)
-        first = marked.withColumn("__first", F.min(pos).over(Window.partitionBy(group, "__in", *key)))
-        rank = F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc("__in"), "__first")) - 1
+        first = marked.withColumn("__first", F.min(pos).over(Window.partitionBy(*groups, "__in", *key)))
+        rank = F.dense_rank().over(Window.partitionBy(*groups).orderBy(F.desc("__in"), "__first")) - 1
         return first.withColumn("cluster", F.when(F.col("__in"), rank)).drop("__in", "__first")
-    names = [f"__key{k}" for k in range(len(key) + 1)]
-    firsts = samples.filter(part).groupBy(*[F.col(c).alias(n) for c, n in zip([group, *key], names)]).agg(F.min(pos).alias("__first"))
-    ranked = firsts.withColumn("cluster", F.dense_rank().over(Window.partitionBy(names[0]).orderBy("__first")) - 1).drop("__first")
-    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip([group, *key], names)], part)
+    names = [f"__key{k}" for k in range(len(key) + len(groups))]
+    firsts = samples.filter(part).groupBy(*[F.col(c).alias(n) for c, n in zip([*groups, *key], names)]).agg(F.min(pos).alias("__first"))
+    ranked = firsts.withColumn("cluster", F.dense_rank().over(Window.partitionBy(*names[: len(groups)]).orderBy("__first")) - 1).drop("__first")
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip([*groups, *key], names)], part)
     return samples.join(ranked, same, "left" if where else "inner").drop(*names)
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,22 +17,25 @@ MEASURES = ("PE_MC", "PE_Rao", "SE", "DSE")
 def discrete_entropy(clustered: DataFrame, group: Sequence[str] = ("qid",)) -> DataFrame:
     """(group, DSE, num_samples, num_clusters): the entropy of the clusters' shares of the samples."""
     sizes = clustered.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    met = _with_totals(sizes, group, ["cluster"], [F.sum("n").alias("__total")])
-    return met.groupBy(*group).agg(_shares().alias("DSE"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"))
+    alike = sizes.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("k"))
+    listed = alike.groupBy(*group).agg(F.collect_list(F.struct("n", "k")).alias("__l"), F.sum(F.col("n") * F.col("k")).alias("num_samples"), F.sum("k").alias("num_clusters"))
+    return listed.select(*group, _shares("num_samples").alias("DSE"), "num_samples", "num_clusters")
 
 
-def _shares() -> Column:
-    """Minus the sum of share * log(share) of clusters with n of all __total samples."""
-    share = F.col("n") / F.col("__total")
-    return F.sum(-share * F.log(share + EPSILON))
+def _added(f: Callable[[Column], Column]) -> Column:
+    """The sum of f over the list __l of what a question's clusters are, nulls left out; null if there is nothing else."""
+    one = F.filter(F.transform("__l", f), lambda v: v.isNotNull())
+    return F.when(F.size(one) > 0, F.aggregate(one, F.lit(0.0), lambda a, v: a + v))
 
 
-def _with_totals(parts: DataFrame, group: Sequence[str], key: Sequence[str], totals: list[Column]) -> DataFrame:
-    """parts with totals of their groups. Both sides read one exchange by group and key, so that a group is in no single task."""
-    spread, own = parts.repartition(*group, *key), [f"__g{i}" for i in range(len(group))]
-    whole = spread.groupBy(*[F.col(c).alias(o) for c, o in zip(group, own)]).agg(*totals)
-    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(o)) for c, o in zip(group, own)])
-    return spread.join(whole, same).drop(*own)
+def _scaled(f: Callable[[Column], Column], ahead: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: f(x) * F.exp(ahead(x))
+
+
+def _shares(total: str) -> Column:
+    """Minus the sum of share * log(share), where k clusters have n of all samples each; null without samples."""
+    share = lambda x: F.try_divide(x["n"].cast("double"), F.col(total))
+    return _added(lambda x: -x["k"] * share(x) * F.log(share(x) + EPSILON))
 
 
 def entropy_parts(samples: DataFrame, logprob: str = "logprob", group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",), also: Sequence[Column] = ()) -> DataFrame:
@@ -56,24 +57,40 @@ def add_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[s
     return parts.groupBy(*group, *key, "step").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")])
 
 
-def entropies_of_parts(parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",), also: Sequence[Column] = (), more: Sequence[Column] = ()) -> DataFrame:
-    """The measures of entropies() from parts, of which each (group, key, step) has one row, and `more`.
+def entropies_of_parts(
+    parts: DataFrame, group: Sequence[str] = ("qid",), key: Sequence[str] = ("cluster",), also: Sequence[Column] = (),
+    more: Mapping[str, tuple[Callable[[Column], Column], Column]] | None = None, then: Sequence[Column] = (),
+) -> DataFrame:
+    """The measures of entropies() from parts, of which each (group, key, step) has one row, and `then`.
 
-    also: aggregates of other columns of parts by (group, key); more: aggregates by group of these, of the keys, and of `n`.
+    also: aggregates of other columns of parts by (group, key); more: by name, an aggregate such as F.max that can be taken
+    again of its own results, and what it is taken of: these, the keys and `n`; then: columns of `more` and the measures.
+    A key with n = 0 is no cluster.
 
     With z and w brought to the greatest step of a question, Z their sum and z by key: PE_Rao is log Z - W / Z, and
-    SE is log Z - sum(z log z) / Z. All sums are combined before they are shuffled.
+    SE is log Z - sum(z log z) / Z. A key's z, w and z log z are brought to its own greatest step, and added up over
+    the keys of a question with the same step and size, of which there are few; what is left is one short list for a
+    question. Nothing is joined and all sums are combined before they are shuffled: where samples lie by question,
+    nothing is shuffled at all.
     """
-    met = _with_totals(parts, group, key, [F.max("step").alias("__top"), F.sum("n").alias("__total")])
-    ahead = (F.col("step") - F.col("__top")) * STEP
-    shrink = F.exp(ahead)
-    met = met.withColumns({"z": F.col("z") * shrink, "w": (F.col("w") + F.col("z") * ahead) * shrink})
-    clusters = met.groupBy(*group, *key, "__total").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s", "z", "w")], *also)
-    z = F.sum("z")
-    terms = F.sum(F.when(F.col("z") > 0, F.col("z") * F.log("z")).when(F.col("z") == 0, 0.0))
-    return clusters.groupBy(*group).agg(
-        F.try_divide(-F.sum("s"), F.sum("m")).alias("PE_MC"), (F.log(z) - F.sum("w") / z).alias("PE_Rao"), (F.log(z) - terms / z).alias("SE"), _shares().alias("DSE"),
-        F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_clusters"), *more,
+    more = more or {}
+    steps = F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "z", "w"))).alias("__steps")
+    clusters = parts.groupBy(*group, *key).agg(*[F.sum(c).alias(c) for c in ("n", "m", "s")], F.max("step").alias("__top"), steps, *also)
+    ahead = lambda x: (x["step"] - F.col("__top")) * STEP
+    add = lambda f: F.when(F.col("__top").isNotNull(), F.aggregate("__steps", F.lit(0.0), lambda a, x: a + f(x) * F.exp(ahead(x))))
+    clusters = clusters.withColumns({"z": add(lambda x: x["z"]), "w": add(lambda x: x["w"] + x["z"] * ahead(x))}).drop("__steps")
+    clusters = clusters.withColumn("t", F.when(F.col("z") > 0, F.col("z") * F.log("z")).when(F.col("z") == 0, 0.0))
+    alike = clusters.groupBy(*group, "__top", "n").agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in ("m", "s", "z", "w", "t")], *[f(c).alias(name) for name, (f, c) in more.items()])
+    listed = alike.groupBy(*group).agg(
+        F.collect_list(F.struct(F.col("__top").alias("step"), "n", "k", "z", "w", "t")).alias("__l"), F.max("__top").alias("__top"), F.sum(F.col("n") * F.col("k")).alias("num_samples"),
+        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("num_clusters"), F.sum("m").alias("__m"), F.sum("s").alias("__s"), *[f(F.col(name)).alias(name) for name, (f, _) in more.items()],
+    )
+    # Z, W and the sum of z log z at the greatest step of all; z log z grows by z times the logarithm of the factor.
+    brought = {"__z": lambda x: x["z"], "__w": lambda x: x["w"] + x["z"] * ahead(x), "__t": lambda x: x["t"] + x["z"] * ahead(x)}
+    met = listed.withColumns({name: _added(_scaled(f, ahead)) for name, f in brought.items()})
+    return met.select(
+        *group, F.try_divide(-F.col("__s"), F.col("__m")).alias("PE_MC"), (F.log("__z") - F.col("__w") / F.col("__z")).alias("PE_Rao"), (F.log("__z") - F.col("__t") / F.col("__z")).alias("SE"),
+        _shares("num_samples").alias("DSE"), "num_samples", "num_clusters", *then,
     )
 
 

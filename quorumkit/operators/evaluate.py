@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import kept, ship
 from .entropy import MEASURES, entropies_of_parts, entropy_parts
 
 #: Ranges of entropy between a power of two and the next, in which cumulative counts are taken apart.
@@ -31,13 +31,19 @@ def _score_sums() -> list[Column]:
     return [f(c).alias(c) for c, f in _SUMS.items()]
 
 
+def _best() -> dict[str, tuple]:
+    """What a question has of its clusters: the sums of all, and of the largest, of equal ones that with the lowest id."""
+    top = F.struct("n", (-F.col("cluster")).alias("last"), "__max", "__sum", "__scored")
+    return {"__best": (F.max, top)} | {c: (f, F.col(c)) for c, f in _SUMS.items()}
+
+
 def _scores() -> list[Column]:
-    top = F.max(F.struct("n", (-F.col("cluster")).alias("last"), "__max", "__sum", "__scored"))
+    top = F.col("__best")
     one = lambda c: F.coalesce(c == 1.0, F.lit(False)).cast("int")
     mean = lambda total, n: F.coalesce(F.try_divide(total, n), F.lit(0.0))
     return [
-        one(F.max("__max")).alias("pass_at_n"), one(top["__max"]).alias("pass_at_cluster"),
-        mean(F.sum("__sum"), F.sum("__scored")).alias("avg_score"), F.coalesce(F.max("__max"), F.lit(0.0)).alias("max_score"),
+        one(F.col("__max")).alias("pass_at_n"), one(top["__max"]).alias("pass_at_cluster"),
+        mean(F.col("__sum"), F.col("__scored")).alias("avg_score"), F.coalesce(F.col("__max"), F.lit(0.0)).alias("max_score"),
         mean(top["__sum"], top["__scored"]).alias("cluster_avg_score"), F.coalesce(top["__max"], F.lit(0.0)).alias("cluster_max_score"),
     ]
 
@@ -46,13 +52,13 @@ def question_scores(samples: DataFrame, group: Sequence[str] = ("qid",), score:
     """One row per question: pass_at_n, pass_at_cluster, and the mean and greatest score of all samples and of the largest
     cluster, of equal ones that with the lowest id. Samples are added up by cluster first, and read once."""
     sums = samples.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("n"), *_score_parts(score))
-    return sums.groupBy(*group).agg(*_scores())
+    return sums.groupBy(*group).agg(*[f(c).alias(name) for name, (f, c) in _best().items()]).select(*group, *_scores())
 
 
 def question_measures(samples: DataFrame, group: Sequence[str] = ("qid",), logprob: str = "logprob", score: str = "score") -> DataFrame:
     """entropies() and question_scores() of the same samples, which are added up once for both."""
     parts = entropy_parts(samples, logprob, group, also=_score_parts(score))
-    return entropies_of_parts(parts, group, also=_score_sums(), more=_scores())
+    return entropies_of_parts(parts, group, also=_score_sums(), more=_best(), then=_scores())
 
 
 def with_overall(rows: DataFrame, difficulty: str = "difficulty") -> DataFrame:
@@ -90,14 +96,34 @@ def entropy_range(e: Column) -> Column:
 
 
 def _cumulative(rows: DataFrame, group: Sequence[str], label: str, entropy: str) -> DataFrame:
-    """Per distinct entropy of a group: positives and negatives here and at lower entropies, and in all.
+    """Per distinct entropy of a group: positives and negatives here and at lower entropies, and in all."""
+    return _running(rows.groupBy(*group, F.col(entropy).cast("double").alias("__e")).agg(*_labels(label)), group)
+
+
+def _labels(label: str, p: str = "p", n: str = "n") -> list[Column]:
+    return [F.sum(F.col(label).cast("long")).alias(p), F.sum(1 - F.col(label).cast("long")).alias(n)]
+
 
-    Rows with equal entropies are counted first; the counts are read once. Running sums are taken inside ranges of
+def _counted(rows: DataFrame, keys: Sequence[str], targets: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """The counts of with_overall(long_form()): of each entropy of a measure those of all targets are added up in one row, and
+    only these counts are repeated by target and for 'overall'."""
+    e = F.explode(F.array(*[F.struct(F.lit(c).alias("entropy_type"), F.col(c).cast("double").alias("__e")) for c in measures])).alias("__m")
+    labels = [c for i, t in enumerate(targets) for c in _labels(f"__y{i}", f"__p{i}", f"__n{i}")]
+    flat = rows.select(*keys, *[F.col(t).alias(f"__y{i}") for i, t in enumerate(targets)], e).select("*", "__m.*").filter(F.col("__e").isNotNull())
+    once = flat.groupBy(*keys, "entropy_type", "__e").agg(*labels)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("metric"), F.col(f"__p{i}").alias("p"), F.col(f"__n{i}").alias("n")) for i, t in enumerate(targets)])).alias("__t")
+    every = with_overall(once.select(*keys, "entropy_type", "__e", each).select(*keys, "entropy_type", "__e", "__t.*"), keys[-1])
+    return every.groupBy(*keys, "metric", "entropy_type", "__e").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
+def _running(counted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Counts (group, __e, p, n) of different entropies with those at lower ones, and in all.
+
+    The counts are stored, so that what they are made of is read once. Running sums are taken inside ranges of
     entropy (a fixed function of the number, see entropy_range) and added to those of the ranges below, so that no
     group is sorted by one task.
     """
-    counted = rows.groupBy(*group, F.col(entropy).cast("double").alias("__e")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    met = counted.withColumn("__r", entropy_range(F.col("__e"))).repartition(*group, "__r")
+    met = kept(counted).withColumn("__r", entropy_range(F.col("__e"))).repartition(*group, "__r")
     sums = met.groupBy(*group, "__r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     whole = Window.partitionBy(*group)
     below = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +137,11 @@ def _cumulative(rows: DataFrame, group: Sequence[str], label: str, entropy: str)
 
 def roc_points(rows: DataFrame, group: Sequence[str], label: str = "y", entropy: str = "entropy") -> DataFrame:
     """(group, fpr, tpr): the curve of "low entropy means passed", with its origin. Groups of one class get the diagonal."""
-    c = _cumulative(rows, group, label, entropy)
+    return _points(kept(_cumulative(rows, group, label, entropy)), group)
+
+
+def _points(c: DataFrame, group: Sequence[str]) -> DataFrame:
+    """roc_points() from cumulative counts."""
     one = (F.col("all_p") == 0) | (F.col("all_n") == 0)
     point = F.struct(((F.col("fp") + F.col("n")) / F.col("all_n")).alias("fpr"), ((F.col("tp") + F.col("p")) / F.col("all_p")).alias("tpr"))
     points = c.filter(~one).select(*group, point.alias("x"))
@@ -151,8 +181,7 @@ def tpr_at_fpr(points: DataFrame, group: Sequence[str], targets: Sequence[float]
 def evaluate(rows: DataFrame, keys: Sequence[str] = ("model", "method", "difficulty"), targets: Sequence[str] = ("pass_at_n", "pass_at_cluster")) -> DataFrame:
     """AUROC and its operating points per group, target and measure, and overall. rows: keys, targets and the four measures."""
     group = [*keys, "metric", "entropy_type"]
-    flat = with_overall(long_form(rows, keys, targets), keys[-1])
-    c = _cumulative(flat, group, "y", "entropy")
+    c = _running(_counted(rows, keys, targets), group)
     c = c.withColumn("fpr", F.try_divide(F.col("fp") + F.col("n"), F.col("all_n"))).withColumn("tpr", F.try_divide(F.col("tp") + F.col("p"), F.col("all_p")))
     one = (F.max("all_p") == 0) | (F.max("all_n") == 0)
     at = [("fpr_at", "tpr", "fpr", t) for t in (0.8, 0.9)] + [("tpr_at", "fpr", "tpr", t) for t in (0.05, 0.10)]
@@ -243,10 +272,10 @@ def roc_summary(rows: DataFrame, keys: Sequence[str] = ("model", "method", "diff
     """The curves of each model's summary, one row for each point: (keys, metric, entropy_type, label, auroc, fpr, tpr).
     Curves with an area below `least` are left out. rows: as in evaluate()."""
     group = [*keys, "metric", "entropy_type"]
-    flat = with_overall(long_form(rows, keys, targets), keys[-1])
-    shown = auroc(flat, group).filter(F.col("auroc") >= least).drop("num_samples")
+    c = kept(_running(_counted(rows, keys, targets), group))
+    shown = c.groupBy(*group).agg(*_area()).filter(F.col("auroc") >= least).drop("num_samples")
     label = F.concat(F.concat_ws("_", keys[1], "entropy_type"), F.format_string(" (AUC=%.4f)", "auroc"))
-    return roc_points(flat, group).join(shown, group).select(*group, label.alias("label"), "auroc", "fpr", "tpr")
+    return _points(c, group).join(shown, group).select(*group, label.alias("label"), "auroc", "fpr", "tpr")
 
 
 def correlation_bars(correlations: DataFrame) -> DataFrame:

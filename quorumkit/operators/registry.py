@@ -48,9 +48,9 @@ def functional(samples: DataFrame, outputs: DataFrame) -> DataFrame:
     return by_outputs(samples, outputs)
 
 
-def equality(samples: DataFrame, key: Sequence[str] = ("ckey",), where: str | None = None) -> DataFrame:
+def equality(samples: DataFrame, key: Sequence[str] = ("ckey",), where: str | None = None, group: str | Sequence[str] = "qid") -> DataFrame:
     """where: a boolean column; samples for which it isn't true are in no cluster."""
-    return by_key(samples, key, where=where)
+    return by_key(samples, key, group, where=where)
 
 
 METHODS: dict[str, tuple[Callable[..., DataFrame], str]] = {

@@ -108,29 +108,38 @@ def cascade_layers(samples: DataFrame, config: Sequence[dict], measure: str = "D
     samples: (group, layer, pos, model, is_passed_public, passed, score, cluster); clusters are of those that pass public
     tests, null for the others. config: layer, alpha, beta and threshold of each layer. A layer without passing samples
     is skipped; the last one always stops; another stops if its largest cluster dominates (OF_ALL, OF_PUBLIC, MODELS).
-    Entropies, clusters and picks come from one aggregate of the passing samples.
+    Counts, entropies, clusters and picks come from one aggregate of the samples, and a question's layers meet in one row:
+    samples that lie by question are not shuffled. A question without an id has no samples in any layer.
     """
-    keys = [group, "layer"]
-    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"), F.count_if("is_passed_public").alias("passed_public_count"))
-    pick = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(pick_order(keys, "pos", seed))], "pos", "model", "passed", "score")).alias("__pick")
-    parts = entropy_parts(samples.filter("is_passed_public"), logprob, keys, also=[F.collect_set("model").alias("__models"), pick])
+    keys, own = [group, "layer"], F.coalesce(F.col("is_passed_public"), F.lit(False))
+    inside = samples.withColumns({"__in": own, logprob: F.when(own, F.col(logprob))})
+    pick = F.min(F.when(F.col("__in"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(pick_order(keys, "pos", seed))], "pos", "model", "passed", "score"))).alias("__pick")
+    parts = entropy_parts(inside, logprob, keys, ["cluster", "__in"], also=[F.collect_set(F.when(F.col("__in"), F.col("model"))).alias("__models"), pick])
+    parts = parts.withColumns({"__all": F.col("n"), "n": F.when(F.col("__in"), F.col("n")).otherwise(0)})
     models = F.size(F.array_distinct(F.flatten(F.collect_list("__models")))).alias("__models")
-    top = F.max(F.struct("n", (-F.col("cluster")).alias("last"), "__models", "__pick")).alias("__top")
-    found = entropies_of_parts(parts, keys, also=[models, F.min("__pick").alias("__pick")], more=[top])
-    rows = [F.struct(F.lit(c["layer"]).alias("layer"), *[F.lit(float(c[k])).alias(k) for k in ("alpha", "beta", "threshold")]) for c in config]
-    every = counts.select(group).distinct().select(group, F.explode(F.array(*rows)).alias("__c")).select(group, "__c.*")
-    met = every.join(counts, keys, "left").join(found.select(*keys, F.col(measure).alias("entropy"), "num_clusters", "__top"), keys, "left")
+    top = F.when(F.col("__in"), F.struct("n", (-F.col("cluster")).alias("last"), "__models", "__pick"))
+    found = entropies_of_parts(
+        parts, keys, ["cluster", "__in"], also=[models, F.min("__pick").alias("__pick"), F.sum("__all").alias("__all")],
+        more={"__largest": (F.max, top), "__all": (F.sum, F.col("__all"))}, then=["__largest", F.col("__all").alias("total_count")],
+    )
+    has = ("layer", "total_count", "num_samples", "num_clusters", measure, "__largest")
+    named = F.col(group).isNotNull() & F.col("layer").isin([c["layer"] for c in config])
+    found = found.groupBy(group).agg(F.collect_list(F.when(named, F.struct(*has))).alias("__l"))
+    rows = F.array(*[F.struct(F.lit(c["layer"]).alias("layer"), *[F.lit(float(c[k])).alias(k) for k in ("alpha", "beta", "threshold")]) for c in config])
+    met = found.select(group, "__l", F.explode(rows).alias("__c")).select(group, "__l", "__c.*")
+    met = met.select("*", F.try_element_at(F.filter("__l", lambda x: x["layer"] == F.col("layer")), F.lit(1)).alias("__f")).drop("__l")
+    met = met.select(group, "layer", "alpha", "beta", "threshold", *[F.col(f"__f.{c}").alias(a) for c, a in zip(has[1:], ("total_count", "passed_public_count", "num_clusters", "entropy", "__largest"))])
     total, public = F.coalesce("total_count", F.lit(0)), F.coalesce("passed_public_count", F.lit(0))
-    size = F.col("__top.n")
-    last = F.col("layer") == F.max("layer").over(Window.partitionBy(group))
-    dominates = (size > OF_ALL * total) & (size > OF_PUBLIC * public) & (F.col("__top.__models") > MODELS)
+    size = F.col("__largest.n")
+    last = F.col("layer") == max(c["layer"] for c in config)
+    dominates = (size > OF_ALL * total) & (size > OF_PUBLIC * public) & (F.col("__largest.__models") > MODELS)
     decision = F.when(public == 0, "skip_no_samples").when(last | dominates, "stop").otherwise("continue")
     return met.select(
         *keys, total.alias("total_count"), public.alias("passed_public_count"), F.when(public == 0, 0.0).otherwise(F.coalesce("entropy", F.lit(0.0))).alias("entropy"),
         F.when(public == 0, 1.0).otherwise((total - public).cast("double") / total).alias("public_fail_rate"),
         layer_score(F.col("entropy"), total, public, F.col("alpha"), F.col("beta")).alias("score"), "threshold",
-        F.coalesce("num_clusters", F.lit(0)).alias("num_clusters"), (-F.col("__top.last")).alias("top_cluster"), F.coalesce(size, F.lit(0)).alias("top_size"), decision.alias("decision"),
-        F.col("__top.__pick").alias("pick"),
+        F.coalesce("num_clusters", F.lit(0)).alias("num_clusters"), (-F.col("__largest.last")).alias("top_cluster"), F.coalesce(size, F.lit(0)).alias("top_size"), decision.alias("decision"),
+        F.col("__largest.__pick").alias("pick"),
     )
 
 

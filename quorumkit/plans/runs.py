@@ -45,7 +45,7 @@ def layer_clusters(samples: DataFrame, method: str, **options) -> DataFrame:
     """Samples of layers (sources.readers.layer_samples) with `cluster`: each layer of a question clusters those that pass
     public tests by a method; the others have none. Equal keys are found in one pass over all of them."""
     if method == "equality":
-        return cluster_samples(samples.withColumn("qid", F.struct("qid", "layer")), method, where="is_passed_public", **options).withColumn("qid", F.col("qid.qid"))
+        return cluster_samples(samples, method, where="is_passed_public", group=("qid", "layer"), **options)
     public = samples.filter("is_passed_public").withColumn("qid", F.struct("qid", "layer"))
     found = cluster_samples(public, method, **options).withColumn("qid", F.col("qid.qid"))
     none = samples.filter("NOT coalesce(is_passed_public, false)").withColumn("cluster", F.lit(None).cast(found.schema["cluster"].dataType))
