@@ -13,6 +13,7 @@ from ..operators.entropy import MEASURES, question_rows
 from ..operators.evaluate import correlate, evaluate, question_scores, with_p_value
 from ..operators.registry import cluster_samples, faults
 from ..operators.selection import answers, cascade, cascade_answers, cascade_layers
+from ..session import kept
 from ..sources.readers import baseline_samples, config_rows, layer_samples, model_samples
 
 
@@ -56,8 +57,9 @@ def cascade_sweep(rows: DataFrame, config: dict, method: str, metadata: DataFram
     """A cascade over all questions of saved rounds (sources.readers.rounds) by a configuration, and its clustered samples.
 
     One row per question, with `error` for those that registry.faults names; a question that a layer has no sample of
-    goes on without it.
+    goes on without it. The rows are stored in columns, so that their text is parsed once.
     """
+    rows = kept(rows)
     samples = layer_samples(rows, config)
     errors = faults(samples, metadata)
     clustered = layer_clusters(samples.join(errors.select("qid"), "qid", "left_anti"), method, **options)
@@ -67,7 +69,8 @@ def cascade_sweep(rows: DataFrame, config: dict, method: str, metadata: DataFram
 
 def baseline_sweep(rows: DataFrame, config: dict, methods: Sequence[str], key: Sequence[str] = ("last_code",), metadata: DataFrame | None = None, seed: int | None = 0) -> DataFrame:
     """One row per question and baseline of operators.selection, over the first layer's samples of saved rounds; major
-    voting groups samples by equal keys."""
+    voting groups samples by equal keys. The rows are stored in columns, so that their text is parsed once."""
+    rows = kept(rows)
     samples = baseline_samples(rows, config).withColumn("code", F.col("last_code"))
     errors, questions = faults(samples, metadata), rows.select(F.col("question_id").alias("qid"))
     out = []
@@ -82,10 +85,11 @@ def entropy_sweep(rows: DataFrame, methods: Mapping[str, dict], round_ids: Seque
     """Clusters and entropies of all questions of all models and difficulties in `rows` (sources.readers.rounds) by each
     method with its options, as sources.writers.write_results takes them.
 
-    A question of one model and difficulty is one group; a method is one plan over all of them.
+    A question of one model and difficulty is one group; a method is one plan over all of them. The samples are stored
+    in columns, so that their text is parsed once.
     """
     names = ("difficulty", "model", "problem_id")
-    samples = model_samples(rows, round_ids)
+    samples = kept(model_samples(rows, round_ids))
     key = F.struct("difficulty", "model", F.col("qid").alias("problem_id"))
     samples = samples.withColumn("qid", key).drop("difficulty", "model")
     found = [question_rows(cluster_samples(samples, m, **o), "norm_logprob" if norm else "logprob").withColumn("method", F.lit(m)) for m, o in methods.items()]

@@ -18,6 +18,7 @@ ROUND_COLUMNS = ("question_id", "debug_trace", "is_passed_public", "passed", "sc
 
 def write_rounds(rows: DataFrame, folder: str, append: bool = False, batch: int | None = None) -> None:
     """The five saved columns, in folders by difficulty, model and round_id, which readers.rounds reads; null values are kept.
+    The lines are compressed by gzip; a file is what one task has of one round.
 
     With a batch number they go into a folder batch=<number> below these, in place of what a batch of that number left
     there: a batch that is written again after a failure counts once, and others stay. All batches of a folder have numbers,
@@ -29,7 +30,7 @@ def write_rounds(rows: DataFrame, folder: str, append: bool = False, batch: int
         write = out.write.mode("append" if append else "overwrite").partitionBy(*names)
     else:
         write = out.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names, "batch")
-    write.option("ignoreNullFields", False).json(folder)
+    write.option("ignoreNullFields", False).option("compression", "gzip").json(folder)
 
 
 def write_results(rows: DataFrame, folder: str, parameters: dict | None = None) -> None:

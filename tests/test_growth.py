@@ -51,3 +51,14 @@ def test_cascade_of_odd_samples(spark):
         ("a", 0): (3, 2, 1, 0, 2, "stop", 0), ("a", 1): none, ("b", 0): none, ("b", 1): none, ("c", 0): (1, 0, 0, None, 0, "skip_no_samples", None),
         ("c", 1): (2, 2, 2, 0, 1, "stop", 0), (None, 0): none, (None, 1): none,
     }
+
+
+def test_saved_rounds_are_small_and_parsed_once(spark):
+    from quorumkit import queries_files
+    from quorumkit.plans import runs
+
+    rows = queries_files.saved_rounds(spark, SF)
+    assert all(x.endswith(".json.gz") for x in rows.inputFiles())
+    assert scans(runs.cascade_sweep(rows, queries_files.CONFIG, "equality", seed=None, key=["code"])[0], "json") == 0
+    assert scans(runs.entropy_sweep(rows, {"equality": {"key": ["code"]}}, [0, 1]), "json") == 0
+    assert scans(runs.baseline_sweep(rows, queries_files.CONFIG, ["pass_at_n"]), "json") == 0
