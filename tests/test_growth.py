@@ -62,3 +62,14 @@ def test_saved_rounds_are_small_and_parsed_once(spark):
     assert scans(runs.cascade_sweep(rows, queries_files.CONFIG, "equality", seed=None, key=["code"])[0], "json") == 0
     assert scans(runs.entropy_sweep(rows, {"equality": {"key": ["code"]}}, [0, 1]), "json") == 0
     assert scans(runs.baseline_sweep(rows, queries_files.CONFIG, ["pass_at_n"]), "json") == 0
+
+
+def test_a_program_is_parsed_once_to_be_renamed(monkeypatch):
+    from quorumkit.functions import code as C
+
+    read, parse = [], C._tree
+    monkeypatch.setattr(C, "_tree", lambda code: read.append(code) or parse(code))
+    for k in range(5):
+        assert C.check_program(f"def f{k}(a):\n    return f{k}(a - 1)\n", "def second(x):\n    return x\n").startswith("def left(a):\n    return left(a - 1)\n\n\ndef right(x):\n")
+    assert len(read) == 2 * 5 + 2  # each program, and what became of it
+    assert C.check_program("def broken(", "def h(x): pass") is C.check_program("x = 1", None) is None
