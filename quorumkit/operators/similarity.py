@@ -20,10 +20,13 @@ MARGIN = 1e-9
 
 
 def pairs(samples: DataFrame, value: str, group: str = "qid", pos: str = "pos") -> DataFrame:
-    """(group, a, b, x, y): each two samples of a question once, a before b."""
+    """(group, a, b, x, y): each two samples of a question once, a before b.
+
+    The samples are never gathered by the driver: columns that take little of a file look small to a planner, however many rows they have.
+    """
     left = samples.select(group, F.col(pos).alias("a"), F.col(value).alias("x"))
     right = samples.select(group, F.col(pos).alias("b"), F.col(value).alias("y"))
-    return left.join(right, group).filter("a < b")
+    return left.join(right.hint("merge"), group).filter("a < b")
 
 
 def _dot(x: Column, y: Column) -> Column:
@@ -195,13 +198,14 @@ def code_bleu_parts(samples: DataFrame, code: str, group: str = "qid", pos: str
 
     A program is parsed once. Its n-grams, subtrees and flows are rows with counts, which meet those of the question's
     other programs by equality; totals are joined to what the pairs share. A null text, or one that is too deep to
-    read, has 0 in every part; one that doesn't parse has no subtrees and flows.
+    read, has 0 in every part; one that doesn't parse has no subtrees and flows. A question without an id has no pairs.
+    All that the rows of programs are needed for reads one exchange of them, and no join is made by the driver.
     """
     ship(samples.sparkSession)
-    read = samples.select(group, F.col(pos).alias("p"), tokens(F.col(code)).alias("t"), features_of(F.col(code)).alias("f"))
+    read = samples.filter(F.col(group).isNotNull()).select(group, F.col(pos).alias("p"), tokens(F.col(code)).alias("t"), features_of(F.col(code)).alias("f"))
     read = read.select(group, "p", F.when(F.col("f.sound"), F.col("t")).otherwise(F.array().cast("array<string>")).alias("t"), F.col("f.found").alias("found"))
     rows = read.select(group, "p", F.explode(F.concat("found", *[_parts(F.col("t"), n) for n in range(1, ORDER + 1)])).alias("x")).select(group, "p", "x.*")
-    rows = rows.groupBy(group, "p", "kind", "k").agg(F.sum("c").alias("c"))
+    rows = rows.filter("kind IS NOT NULL AND k IS NOT NULL").groupBy(group, "p", "kind", "k").agg(F.sum("c").alias("c"))  # as joins ask, so that all sides are alike
     weight = F.when((F.col("kind") == "g1") & F.col("k").isin(kwlist), KEYWORD_WEIGHT).otherwise(F.when(F.col("kind") == "g1", OTHER_WEIGHT).otherwise(1.0))
     rows = rows.withColumn("w", weight * F.col("c")).repartition(group, "k")
     kinds = [f"g{n}" for n in range(1, ORDER + 1)] + ["t", "f"]
@@ -209,10 +213,10 @@ def code_bleu_parts(samples: DataFrame, code: str, group: str = "qid", pos: str
     weighed = lambda value: F.sum(F.when(F.col("kind") == "g1", value)).alias("w1")
     totals = rows.groupBy(group, "p").agg(*of(F.col("c")), weighed(F.col("w")))
     left, right = (rows.select(group, "kind", "k", F.col("p").alias(n), F.col("c").alias(f"c{n}"), F.col("w").alias(f"w{n}")) for n in "ab")
-    shared = left.join(right, [group, "kind", "k"]).filter("a < b").groupBy(group, "a", "b").agg(*of(F.least("ca", "cb")), weighed(F.least("wa", "wb")))
-    met = pairs(samples, pos, group, pos).select(group, "a", "b").join(shared, [group, "a", "b"], "left")
+    shared = left.join(right.hint("merge"), [group, "kind", "k"]).filter("a < b").groupBy(group, "a", "b").agg(*of(F.least("ca", "cb")), weighed(F.least("wa", "wb")))
+    met = pairs(samples, pos, group, pos).select(group, "a", "b").join(shared.hint("merge"), [group, "a", "b"], "left")
     for n in "ab":
-        met = met.join(totals.select(group, F.col("p").alias(n), *[F.col(c).alias(f"{n}{c}") for c in (*kinds, "w1")]), [group, n], "left")
+        met = met.join(totals.select(group, F.col("p").alias(n), *[F.col(c).alias(f"{n}{c}") for c in (*kinds, "w1")]).hint("merge"), [group, n], "left")
     met = met.select(group, "a", "b", *[F.coalesce(f"{n}{c}", F.lit(0)).cast("double").alias(f"{n}{c}") for n in ("", "a", "b") for c in (*kinds, "w1")])
     both = lambda part: (part("a", "b") + part("b", "a")) / 2
     share = lambda kind: lambda one, other: F.coalesce(F.try_divide(F.col(kind), F.col(f"{one}{kind}")), F.lit(0.0))

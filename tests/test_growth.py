@@ -73,3 +73,10 @@ def test_a_program_is_parsed_once_to_be_renamed(monkeypatch):
         assert C.check_program(f"def f{k}(a):\n    return f{k}(a - 1)\n", "def second(x):\n    return x\n").startswith("def left(a):\n    return left(a - 1)\n\n\ndef right(x):\n")
     assert len(read) == 2 * 5 + 2  # each program, and what became of it
     assert C.check_program("def broken(", "def h(x): pass") is C.check_program("x = 1", None) is None
+
+
+def test_programs_are_read_once_and_never_by_the_driver(spark):
+    df = queries.code_bleu_pairs(spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Broadcast" not in plan and plan.count("- ArrowEvalPython") == 1
