@@ -44,6 +44,21 @@ def by_key(samples: DataFrame, key: Sequence[str], group: str | Sequence[str] =
     return samples.join(ranked, same, "left" if where else "inner").drop(*names)
 
 
+def plain(samples: DataFrame, group: str, pos: str, limit: int = ARRAY_LIMIT) -> bool:
+    """Whether no question has more than `limit` rows and no sample lacks a question or a position; one count by question."""
+    rows = samples.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(pos).isNull()).alias("none"))
+    most, none = rows.agg(F.max("n"), F.max((F.col("none") > 0) | F.col(group).isNull())).first()
+    return (most or 0) <= limit and not none
+
+
+def looked_up(samples: DataFrame, rows: DataFrame, ids: Column, group: str, pos: str) -> DataFrame:
+    """samples with `cluster`, from rows (group, __at, ...) with their question's positions and an array of ids for these:
+    samples that lie by question stay where they are."""
+    found = rows.select(group, "__at", ids.alias("__ids")).hint("merge")
+    met = samples.join(found, group).withColumn("cluster", F.get("__ids", (F.array_position("__at", F.col(pos)) - 1).cast("int")))
+    return met.select(group, pos, *[c for c in samples.columns if c not in (group, pos)], "cluster")
+
+
 def _reached(n: int, a: np.ndarray, b: np.ndarray, directed: bool) -> list[int]:
     """For each position, the id of the cluster it hangs together with. Directed links are followed from the least
     position that is not yet reached."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumkit import queries
-from quorumkit.operators import entropy, evaluate, selection
+from quorumkit.operators import entropy, evaluate, functional, selection
 
 from .conftest import SF
 from .test_cases import scans
@@ -80,3 +80,20 @@ def test_programs_are_read_once_and_never_by_the_driver(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Broadcast" not in plan and plan.count("- ArrowEvalPython") == 1
+
+
+def test_clusters_by_outputs_shuffle_samples_and_outputs_only(spark):
+    """By question: samples for their rows, samples for their positions, and outputs."""
+    assert exchanges(queries.functional_clusters(spark, SF)) <= 3
+
+
+def test_clusters_by_outputs_in_rows_and_by_joins(spark):
+    rows = [(q, p, t, ("a", "a", "b", None, "Error: x", "ERROR")[(7 * q + 3 * p * p + 5 * (t or 0) + p * q * (t or 0)) % 6]) for q in range(40) for p in range(-1, q % 9) for t in (0, 1, 2, None) if (q + p) % 7]
+    outputs = spark.createDataFrame(rows + rows[::3] + [(q, p, t, "c") for q, p, t, _ in rows[::11]], "qid int, pos int, test int, output string")
+    samples = spark.createDataFrame([(f"s{p}", q, p) for q in range(38) for p in range(q % 9 + 1)] + [("again", 8, 2)], "name string, qid int, pos int")
+    both = [functional.by_outputs(samples, outputs, limit=k) for k in (0, 64)]
+    assert both[0].columns == both[1].columns and both[0].dtypes == both[1].dtypes
+    got = [sorted(map(str, df.collect())) for df in both]
+    assert got[0] == got[1] and len(got[0]) == samples.count()
+    odd = samples.union(spark.createDataFrame([("no question", None, 0), ("no place", 3, None)], samples.schema))
+    assert sorted(map(str, functional.by_outputs(odd, outputs).collect())) == sorted(map(str, functional.by_outputs(odd, outputs, limit=0).collect()))
