@@ -8,6 +8,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ ARRAY_LIMIT = 64
 WINDOW_LIMIT = 100_000
 #: Positions of a question that are settled in the first round, and the most links of a block that one task searches.
 LEAD_BLOCK, MOST_LINKS = 1024, 2_000_000
+#: Questions whose links are held at once while their components are searched.
+SLICE = 1024
 
 
 def by_key(samples: DataFrame, key: Sequence[str], group: str | Sequence[str] = "qid", pos: str = "pos", limit: int = WINDOW_LIMIT, where: str | None = None) -> DataFrame:
@@ -59,25 +62,31 @@ def looked_up(samples: DataFrame, rows: DataFrame, ids: Column, group: str, pos:
     return met.select(group, pos, *[c for c in samples.columns if c not in (group, pos)], "cluster")
 
 
+def _labelled(sizes: np.ndarray, question: np.ndarray, a: np.ndarray, b: np.ndarray, directed: bool) -> np.ndarray:
+    """The cluster ids of all positions of many questions, from links between positions a and b of a question.
+
+    A label is the least position that reaches one, found by rounds that halve the distance to it; see propagate().
+    """
+    starts = np.cumsum(sizes) - sizes
+    x, y = starts[question] + a, starts[question] + b
+    if not directed:
+        x, y = np.concatenate((x, y)), np.concatenate((y, x))
+    label = own = np.arange(int(sizes.sum()))
+    while True:
+        after = label.copy()
+        np.minimum.at(after, y, label[x])
+        after = after[after]
+        if np.array_equal(after, label):
+            break
+        label = after
+    ids = np.cumsum(label == own) - 1
+    return (ids[label] - np.repeat(ids[starts[sizes > 0]], sizes[sizes > 0])).astype(np.int32)
+
+
 def _reached(n: int, a: np.ndarray, b: np.ndarray, directed: bool) -> list[int]:
     """For each position, the id of the cluster it hangs together with. Directed links are followed from the least
     position that is not yet reached."""
-    out: list[list[int]] = [[] for _ in range(n)]
-    for x, y in zip(a.tolist(), b.tolist()):
-        out[x].append(y)
-        if not directed:
-            out[y].append(x)
-    ids, next_id = [-1] * n, 0
-    for root in range(n):
-        if ids[root] < 0:
-            stack, ids[root] = [root], next_id
-            while stack:
-                for y in out[stack.pop()]:
-                    if ids[y] < 0:
-                        ids[y] = next_id
-                        stack.append(y)
-            next_id += 1
-    return ids
+    return _labelled(np.array([n]), np.zeros(len(a), np.int64), np.asarray(a, np.int64), np.asarray(b, np.int64), directed).tolist()
 
 
 def _led(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -106,36 +115,67 @@ def _ids(find: Callable[[int, np.ndarray, np.ndarray], list[int]]) -> Column:
     return run("__n", F.transform("__links", lambda e: e["a"]), F.transform("__links", lambda e: e["b"]))
 
 
+def _components(directed: bool) -> Column:
+    """The ids of the components of a question's positions, from its row; SLICE questions at a time."""
+
+    @F.arrow_udf("array<int>")
+    def run(n: pa.Array, links: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int32)]
+        for k in range(0, len(n), SLICE):
+            own, sizes = links.slice(k, SLICE), n.slice(k, SLICE).to_numpy().astype(np.int64)
+            ends, counts = own.flatten(), own.value_lengths().to_numpy()
+            a, b = (ends.field(c).to_numpy().astype(np.int64) for c in "ab")
+            out.append(_labelled(sizes, np.repeat(np.arange(len(sizes)), counts), a, b, directed))
+        offsets = np.concatenate(([0], np.cumsum(n.to_numpy())))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+
+    return run("__n", "__links")
+
+
 def _grouped(samples: DataFrame, links: DataFrame, group: str, pos: str) -> DataFrame:
-    """One row per question: its positions, their number, and its links between ranks of positions."""
-    ranked = samples.select(group, pos).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(pos)) - 1)
-    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("__n"), F.sort_array(F.collect_list(F.struct("__rank", pos))).alias("__at"))
-    ends = links.join(ranked.select(group, F.col(pos).alias("a"), F.col("__rank").alias("ra")), [group, "a"])
-    ends = ends.join(ranked.select(group, F.col(pos).alias("b"), F.col("__rank").alias("rb")), [group, "b"])
-    pairs = ends.groupBy(group).agg(F.sort_array(F.collect_set(F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")))).alias("__links"))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    return sizes.join(pairs, group, "left").withColumn("__links", F.coalesce("__links", none))
+    """One row per question: its positions, their number, and its links between ranks of positions. What lies by question
+    is not shuffled; links are ranked before they are gathered, so that those of other positions are left out."""
+    at = samples.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_set(F.struct(F.col(pos).alias("p")))).alias("__s")).select(group, F.col("__s.p").alias("__at"))
+    ends = at.join(links.select(group, "a", "b").hint("merge"), group, "left")
+    ends = ends.select(group, "__at", *[(F.array_position("__at", F.col(c)) - 1).cast("int").alias(c) for c in "ab"])
+    found = F.when((F.col("a") >= 0) & (F.col("b") >= 0), F.struct("a", "b"))
+    rows = ends.groupBy(group).agg(F.first("__at").alias("__at"), F.collect_set(found).alias("__links"))
+    return rows.withColumn("__n", F.size("__at"))
 
 
 def _unfolded(rows: DataFrame, ids: Column, group: str, pos: str) -> DataFrame:
     out = rows.select(group, F.arrays_zip(F.col("__at"), ids.alias("__ids")).alias("__z"))
-    return out.select(group, F.explode("__z").alias("z")).select(group, F.col(f"z.__at.{pos}").alias(pos), F.col("z.__ids").cast("int").alias("cluster"))
+    return out.select(group, F.explode("__z").alias("z")).select(group, F.col("z.__at").alias(pos), F.col("z.__ids").cast("int").alias("cluster"))
 
 
-def components(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", directed: bool = False, limit: int = ARRAY_LIMIT) -> DataFrame:
-    """(group, pos, cluster): samples that hang together by links (group, a, b).
+def _settled(samples: DataFrame, links: DataFrame, group: str, pos: str, limit: int, whole: bool, ids: Callable[[], Column], by_joins: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Clusters of small questions by `ids` from their rows, of larger ones by joins; whole: samples with all columns."""
+    ship(samples.sparkSession)  # before `ids` makes the function, which takes with it what workers import
 
-    Ids count from 0 in the order of each cluster's first member. Links count in both directions unless
-    `directed`; directed ones are followed outward from the first sample that is not in a cluster yet.
-    Small questions are searched one by one in Arrow batches, larger ones propagate labels by joins.
-    """
+    def in_rows(samples: DataFrame, links: DataFrame) -> DataFrame:
+        rows = _grouped(samples, links, group, pos)
+        return looked_up(samples.filter(F.col(pos).isNotNull()), rows, ids(), group, pos) if whole else _unfolded(rows, ids(), group, pos)
+
+    most = samples.groupBy(group).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= limit:
+        return in_rows(samples, links)
     small, large = _by_size(samples, group, pos, limit)
-    rows = _grouped(samples.join(small, group, "left_semi"), links, group, pos)
-    ship(samples.sparkSession)
-    out = _unfolded(rows, _ids(lambda n, a, b: _reached(n, a, b, directed)), group, pos)
+    out = in_rows(*(df.join(small, group, "left_semi") for df in (samples, links)))
     if large.isEmpty():
         return out
-    return out.unionByName(propagate(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos, directed))
+    samples, links = (df.join(large, group, "left_semi") for df in (samples, links))
+    found = by_joins(samples, links)
+    return out.unionByName(samples.join(found, [group, pos]) if whole else found)
+
+
+def components(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", directed: bool = False, limit: int = ARRAY_LIMIT, whole: bool = False) -> DataFrame:
+    """(group, pos, cluster): samples that hang together by links (group, a, b); whole: all columns of samples, and cluster.
+
+    Ids count from 0 in the order of each cluster's first member. Links count in both directions unless
+    `directed`; directed ones are followed outward from the first sample that is not in a cluster yet.
+    Small questions are searched many at a time in Arrow batches, larger ones propagate labels by joins.
+    """
+    return _settled(samples, links, group, pos, limit, whole, lambda: _components(directed), lambda s, l: propagate(s, l, group, pos, directed))
 
 
 def _by_size(samples: DataFrame, group: str, pos: str, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -166,18 +206,12 @@ def propagate(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str
     return labels.join(first, [group, "label"]).select(group, pos, F.col("cluster").cast("int").alias("cluster"))
 
 
-def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", limit: int = ARRAY_LIMIT) -> DataFrame:
+def leaders(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", limit: int = ARRAY_LIMIT, whole: bool = False) -> DataFrame:
     """(group, pos, cluster): a sample that no earlier leader matches leads; any other takes the last leader that matches it.
 
-    Questions with more than `limit` samples find their leaders block by block of positions.
+    Questions with more than `limit` samples find their leaders block by block of positions. whole: all columns of samples.
     """
-    small, large = _by_size(samples, group, pos, limit)
-    rows = _grouped(samples.join(small, group, "left_semi"), links, group, pos)
-    ship(samples.sparkSession)
-    out = _unfolded(rows, _ids(_led), group, pos)
-    if large.isEmpty():
-        return out
-    return out.unionByName(lead_by_rounds(samples.join(large, group, "left_semi"), links.join(large, group, "left_semi"), group, pos))
+    return _settled(samples, links, group, pos, limit, whole, lambda: _ids(_led), lambda s, l: lead_by_rounds(s, l, group, pos))
 
 
 def lead_by_rounds(samples: DataFrame, links: DataFrame, group: str = "qid", pos: str = "pos", block: int = LEAD_BLOCK) -> DataFrame:
@@ -233,7 +267,7 @@ def _leads(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def cluster(samples: DataFrame, links: DataFrame, algorithm: str = "dfs", **names: str) -> DataFrame:
+def cluster(samples: DataFrame, links: DataFrame, algorithm: str = "dfs", **names: str | bool) -> DataFrame:
     """Components ('dfs') or leaders ('greedy')."""
     if algorithm not in ("dfs", "greedy"):
         raise ValueError(f"unknown algorithm {algorithm!r}: 'dfs' or 'greedy'")

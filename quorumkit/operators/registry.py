@@ -9,38 +9,34 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import by_key, cluster, components
+from .clusters import by_key, cluster
 from .functional import by_outputs
 from .similarity import above, code_bleu_pairs, cosine_links, entails, links_by, ngram_precision_pairs
 
 
-def _attach(samples: DataFrame, found: DataFrame) -> DataFrame:
-    return samples.join(found, ["qid", "pos"])
-
-
 def embed(samples: DataFrame, vector: str = "embedding", threshold: float = 0.5, algorithm: str = "dfs") -> DataFrame:
-    return _attach(samples, cluster(samples, cosine_links(samples, vector, threshold), algorithm))
+    return cluster(samples, cosine_links(samples, vector, threshold), algorithm, whole=True)
 
 
 def bleu(samples: DataFrame, code: str = "code", threshold: float = 0.7, algorithm: str = "dfs") -> DataFrame:
-    return _attach(samples, cluster(samples, above(code_bleu_pairs(samples, code), threshold), algorithm))
+    return cluster(samples, above(code_bleu_pairs(samples, code), threshold), algorithm, whole=True)
 
 
 def ngrams(samples: DataFrame, code: str = "code", threshold: float = 0.7, n: int = 1, algorithm: str = "dfs") -> DataFrame:
-    return _attach(samples, cluster(samples, above(ngram_precision_pairs(samples, code, n), threshold), algorithm))
+    return cluster(samples, above(ngram_precision_pairs(samples, code, n), threshold), algorithm, whole=True)
 
 
 def nlg(samples: DataFrame, verdicts: DataFrame, strict: bool = True, algorithm: str = "dfs") -> DataFrame:
     """verdicts: (qid, a, b, verdict) for both directions of each pair."""
     back = verdicts.select("qid", F.col("a").alias("b"), F.col("b").alias("a"), F.col("verdict").alias("back"))
     links = verdicts.filter("a < b").join(back, ["qid", "a", "b"]).filter(entails(F.col("verdict"), F.col("back"), strict))
-    return _attach(samples, cluster(samples, links.select("qid", "a", "b"), algorithm))
+    return cluster(samples, links.select("qid", "a", "b"), algorithm, whole=True)
 
 
 def symbolic(samples: DataFrame, verdicts: DataFrame, algorithm: str = "dfs") -> DataFrame:
     """verdicts: (qid, a, b, equivalent), which need not agree in both directions; a missing one counts as false."""
     links = verdicts.filter("equivalent").select("qid", "a", "b")
-    return _attach(samples, components(samples, links, directed=True) if algorithm == "dfs" else cluster(samples, links, algorithm))
+    return cluster(samples, links, algorithm, whole=True, **({"directed": True} if algorithm == "dfs" else {}))
 
 
 def functional(samples: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -86,7 +82,7 @@ def register_similarity(name: str, similarity: Callable[[list, list], np.ndarray
     or leaders of the links are its clusters."""
 
     def method(samples: DataFrame, threshold: float = threshold, algorithm: str = "dfs") -> DataFrame:
-        return _attach(samples, cluster(samples, links_by(samples, value, similarity, threshold, symmetric), algorithm))
+        return cluster(samples, links_by(samples, value, similarity, threshold, symmetric), algorithm, whole=True)
 
     register(name, method, description)
 

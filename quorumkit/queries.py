@@ -321,7 +321,8 @@ u AS (SELECT qid, unnest(range(len(roots))) AS pos, unnest(roots) AS root FROM d
 SELECT qid, pos::BIGINT AS pos, (DENSE_RANK() OVER (PARTITION BY qid ORDER BY root) - 1)::BIGINT AS cluster FROM u""")
 def symbolic_directed_components(spark, sf_dir):
     v = verdict_pairs(spark, sf_dir)
-    verdicts = v.select("qid", "a", "b", (F.col("forth") == 2).alias("equivalent")).union(v.select("qid", F.col("b"), F.col("a"), F.col("back") == 2))
+    both = [F.struct(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(c) == 2).alias("equivalent")) for a, b, c in (("a", "b", "forth"), ("b", "a", "back"))]
+    verdicts = v.select("qid", F.inline(F.array(*both)))
     return rounded(registry.cluster_samples(bound(spark, sf_dir, L), "symbolic", verdicts=verdicts).select("qid", "pos", "cluster"))
 
 

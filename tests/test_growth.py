@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quorumkit import queries
-from quorumkit.operators import entropy, evaluate, functional, selection
+from quorumkit.operators import clusters, entropy, evaluate, functional, selection
 
 from .conftest import SF
 from .test_cases import scans
@@ -97,3 +99,32 @@ def test_clusters_by_outputs_in_rows_and_by_joins(spark):
     assert got[0] == got[1] and len(got[0]) == samples.count()
     odd = samples.union(spark.createDataFrame([("no question", None, 0), ("no place", 3, None)], samples.schema))
     assert sorted(map(str, functional.by_outputs(odd, outputs).collect())) == sorted(map(str, functional.by_outputs(odd, outputs, limit=0).collect()))
+
+
+def test_symbolic_clusters_shuffle_samples_only(spark):
+    """By question: samples for themselves, for their positions, for both sides of the pairs, and ids; no join by position."""
+    assert exchanges(queries.symbolic_directed_components(spark, SF)) <= 5
+
+
+def test_components_of_many_questions(spark):
+    """Against searches from each position that is not yet reached; with links of no sample, repeated ones and positions that leave gaps."""
+    rng = random.Random(9)
+    at = {q: sorted(rng.sample(range(100), rng.randint(1, 30))) for q in range(60)}
+    links = [(q, rng.choice([*own, 200]), rng.choice([*own, None])) for q, own in at.items() for _ in range(rng.randint(0, len(own)))] + [(99, 0, 1)] * 3
+    samples = spark.createDataFrame([(f"s{p}", q, p) for q, own in at.items() for p in own], "name string, qid int, pos int")
+    ends = spark.createDataFrame(links, "qid int, a int, b int")
+    for directed in (False, True):
+        want = {}
+        for q, own in at.items():
+            for root in own:
+                todo = [root] if (q, root) not in want else []
+                k = 1 + max([c for (r, _), c in want.items() if r == q], default=-1)
+                while todo:
+                    p = todo.pop()
+                    if want.setdefault((q, p), k) == k:
+                        near = [b for r, a, b in links if (r, a) == (q, p)] + [a for r, a, b in links if (r, b) == (q, p) and not directed]
+                        todo += [n for n in near if n in own and (q, n) not in want]
+        for limit in (10, 64):
+            assert {(r.qid, r.pos): r.cluster for r in clusters.components(samples, ends, directed=directed, limit=limit).collect()} == want
+            whole = clusters.components(samples, ends, directed=directed, limit=limit, whole=True)
+            assert {(r.qid, r.pos): r.cluster for r in whole.collect()} == want and whole.columns == ["qid", "pos", "name", "cluster"]
