@@ -168,15 +168,25 @@ def tokens(code: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+    """Texts of n words in a row. The words are a lambda's argument, so that they are made once a row and not for every
+    n-gram, and are taken one by one: a slice would copy all of them for every n-gram."""
 
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-def ngram_precision_pairs(samples: DataFrame, code: str, n: int = 1, group: str = "qid", pos: str = "pos") -> DataFrame:
+    return F.get(F.transform(F.array(words), of), 0)
+
+
+def ngram_precision_pairs(samples: DataFrame, code: str, n: int = 1, group: str = "qid", pos: str = "pos", limit: int = PAIRS_LIMIT) -> DataFrame:
     """(group, a, b, similarity): the clipped n-gram precision of each text against the other, averaged over both directions.
 
-    Counts of n-grams meet by equality, so only shared n-grams make rows; a text without n-grams scores 0.
+    Counts of n-grams meet by equality, so only shared n-grams make rows; a text without n-grams scores 0. Where no
+    question has more than `limit` samples, texts are shuffled once, by question: the samples that have an n-gram are
+    gathered and make their pairs; all have a null one, whose pairs carry the totals. Else counts meet by joins.
     """
+    if (samples.groupBy(group).count().agg(F.max("count")).first()[0] or 0) <= limit:
+        return _precision_by_question(samples, code, n, group, pos)
     grams = samples.select(group, F.col(pos).alias("p"), F.explode(ngrams(tokens(F.col(code)), n)).alias("g")).groupBy(group, "p", "g").agg(F.count(F.lit(1)).alias("c"))
     sizes = grams.groupBy(group, "p").agg(F.sum("c").alias("t"))
     left, right = grams.select(group, F.col("p").alias("a"), "g", F.col("c").alias("ca")), grams.select(group, F.col("p").alias("b"), "g", F.col("c").alias("cb"))
@@ -184,9 +194,30 @@ def ngram_precision_pairs(samples: DataFrame, code: str, n: int = 1, group: str
     every = pairs(samples, pos, group, pos).select(group, "a", "b")
     met = every.join(shared, [group, "a", "b"], "left").join(sizes.select(group, F.col("p").alias("a"), F.col("t").alias("ta")), [group, "a"], "left")
     met = met.join(sizes.select(group, F.col("p").alias("b"), F.col("t").alias("tb")), [group, "b"], "left")
-    m = F.coalesce("m", F.lit(0)).cast("double")
-    share = lambda t: F.coalesce(F.try_divide(m, F.col(t).cast("double")), F.lit(0.0))
-    return met.select(group, "a", "b", ((share("ta") + share("tb")) / 2).alias("similarity"))
+    return met.select(group, "a", "b", _mean_precision("m", "ta", "tb"))
+
+
+def _mean_precision(m: str, ta: str, tb: str) -> Column:
+    matched = F.coalesce(F.col(m), F.lit(0)).cast("double")
+    share = lambda t: F.coalesce(F.try_divide(matched, F.col(t).cast("double")), F.lit(0.0))
+    return ((share(ta) + share(tb)) / 2).alias("similarity")
+
+
+def _precision_by_question(samples: DataFrame, code: str, n: int, group: str, pos: str) -> DataFrame:
+    """ngram_precision_pairs() of questions of few samples. Repeated rows of a sample make repeated pairs, with common counts."""
+    rows = samples.filter(F.col(group).isNotNull() & F.col(pos).isNotNull()).select(group, F.col(pos).alias("p"), code).repartition(group)
+    rows = rows.select(group, "p", ngrams(tokens(F.col(code)), n).alias("gs"))
+    own = F.struct(F.lit(None).cast("string").alias("g"), F.size("gs").cast("long").alias("t"))
+    rows = rows.select(group, "p", F.inline(F.array_append(F.transform("gs", lambda g: F.struct(g.alias("g"), F.lit(0).cast("long").alias("t"))), own)))
+    counts = rows.groupBy(group, "p", "g").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("t"))
+    met = counts.groupBy(group, "g").agg(F.collect_list(F.struct("p", "c", "t")).alias("all")).filter(F.size("all") > 1)
+    met = met.select(group, "g", "all", F.explode("all").alias("x"))
+    met = met.select(group, "g", "x", F.explode(F.filter("all", lambda y: y["p"] > F.col("x.p"))).alias("y"))
+    every = lambda c: F.max(F.when(F.col("g").isNull(), c))
+    shared = F.sum(F.when(F.col("g").isNotNull(), F.least("x.c", "y.c")).otherwise(0)).alias("m")
+    both = met.groupBy(group, F.col("x.p").alias("a"), F.col("y.p").alias("b")).agg(shared, every(F.col("x.t")).alias("ta"), every(F.col("y.t")).alias("tb"), every(F.col("x.c") * F.col("y.c")).alias("rows"))
+    repeated = both.withColumn("r", F.explode(F.array_repeat(F.lit(True), F.col("rows").cast("int"))))
+    return repeated.select(group, "a", "b", _mean_precision("m", "ta", "tb"))
 
 
 def _parts(code: Column, n: int) -> Column:

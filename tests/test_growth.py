@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quorumkit import queries
-from quorumkit.operators import clusters, entropy, evaluate, functional, selection
+from quorumkit.operators import clusters, entropy, evaluate, functional, selection, similarity
 
 from .conftest import SF
 from .test_cases import scans
@@ -128,3 +128,17 @@ def test_components_of_many_questions(spark):
             assert {(r.qid, r.pos): r.cluster for r in clusters.components(samples, ends, directed=directed, limit=limit).collect()} == want
             whole = clusters.components(samples, ends, directed=directed, limit=limit, whole=True)
             assert {(r.qid, r.pos): r.cluster for r in whole.collect()} == want and whole.columns == ["qid", "pos", "name", "cluster"]
+
+
+def test_ngram_pairs_shuffle_texts_only(spark):
+    assert exchanges(queries.bleu_ngram_pairs(spark, SF)) == 1
+
+
+def test_ngram_pairs_by_question_and_by_joins(spark):
+    rng = random.Random(3)
+    texts = lambda: rng.choice([None, "", " ", " ".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))])
+    rows = [(q, p, texts()) for q in (*range(20), None) for p in (0, 1, 3, 4, None, 4)]
+    samples = spark.createDataFrame(rows, "qid int, pos int, code string")
+    for n in (1, 2, 3):
+        both = [sorted(map(str, similarity.ngram_precision_pairs(samples, "code", n, limit=k).collect())) for k in (0, 64)]
+        assert both[0] == both[1] and len(both[0]) == 20 * 9
