@@ -49,7 +49,7 @@ def answers(turns: DataFrame, config: dict) -> DataFrame:
 
 def clustered(samples: DataFrame, config: dict) -> DataFrame:
     links = above(ngram_precision_pairs(samples, "code", config["words"]), config["threshold"])
-    return samples.join(components(samples, links), ["qid", "pos"])
+    return components(samples, links, whole=True)
 
 
 def chosen(found: DataFrame, config: dict) -> DataFrame:

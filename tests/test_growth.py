@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from jobs import answer_chats
 from quorumkit import queries
 from quorumkit.operators import clusters, entropy, evaluate, functional, selection, similarity
 
@@ -142,3 +143,9 @@ def test_ngram_pairs_by_question_and_by_joins(spark):
     for n in (1, 2, 3):
         both = [sorted(map(str, similarity.ngram_precision_pairs(samples, "code", n, limit=k).collect())) for k in (0, 64)]
         assert both[0] == both[1] and len(both[0]) == 20 * 9
+
+
+def test_chats_are_clustered_by_question(spark):
+    samples = spark.createDataFrame([(1, k, "a b", 1) for k in range(3)], "qid long, pos long, code string, steps long")
+    found = answer_chats.clustered(samples, answer_chats.SETTINGS)
+    assert exchanges(found) <= 4 and found.columns == [*samples.columns, "cluster"] and [r.cluster for r in found.collect()] == [0, 0, 0]
