@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codebleu import KEYWORD_WEIGHT, ORDER, OTHER_WEIGHT, SMOOTHING, features_of
+from ..functions.codebleu import KEYWORD_WEIGHT, ORDER, OTHER_WEIGHT, SMOOTHING, features_of, shared_of
 from ..session import ship
 
 #: Samples of a question that are compared pair by pair; larger questions are cut into tiles of about so many samples.
 PAIRS_LIMIT, TILE = 64, 1024
+#: Programs of a question that one row takes: up to 496 pairs, so that a batch of such rows stays small.
+PROGRAMS_LIMIT = 32
 #: Cosines this near to the threshold are added up once more, in the order of the vectors' numbers.
 MARGIN = 1e-9
 
@@ -224,34 +226,68 @@ def _parts(code: Column, n: int) -> Column:
     return F.transform(ngrams(code, n), lambda g: F.struct(F.lit(f"g{n}").alias("kind"), g.alias("k"), F.lit(1).alias("c")))
 
 
-def code_bleu_parts(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos") -> DataFrame:
+#: What CodeBLEU counts: n-grams, subtrees, flows, and words by their weight.
+COUNTS = (*[f"g{n}" for n in range(1, ORDER + 1)], "t", "f", "w1")
+
+
+def code_bleu_parts(samples: DataFrame, code: str, group: str = "qid", pos: str = "pos", limit: int = PROGRAMS_LIMIT) -> DataFrame:
     """(group, a, b, ngram, weighted, tree, flow): the four parts of CodeBLEU, each the mean of both directions, each pair once.
 
-    A program is parsed once. Its n-grams, subtrees and flows are rows with counts, which meet those of the question's
-    other programs by equality; totals are joined to what the pairs share. A null text, or one that is too deep to
-    read, has 0 in every part; one that doesn't parse has no subtrees and flows. A question without an id has no pairs.
-    All that the rows of programs are needed for reads one exchange of them, and no join is made by the driver.
+    A program is parsed once. Where a question has no more than `limit` samples, only texts are shuffled, by question, and a
+    row of all its programs makes its pairs. In larger ones n-grams, subtrees and flows are rows with counts, which meet
+    those of the question's other programs by equality. A null text, or one that is too deep to read, has 0 in every
+    part; one that doesn't parse has no subtrees and flows. A question without an id has no pairs.
     """
     ship(samples.sparkSession)
-    read = samples.filter(F.col(group).isNotNull()).select(group, F.col(pos).alias("p"), tokens(F.col(code)).alias("t"), features_of(F.col(code)).alias("f"))
+    known = samples.filter(F.col(group).isNotNull() & F.col(pos).isNotNull())
+    large = known.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(group)
+    if large.isEmpty():
+        met = _shared_by_question(known, code, group, pos)
+    else:
+        met = _shared_by_question(known.join(large, group, "left_anti"), code, group, pos).unionByName(_shared_by_joins(known.join(large, group, "left_semi"), code, group, pos))
+    both = lambda part: (part("a", "b") + part("b", "a")) / 2
+    share = lambda kind: lambda one, other: F.coalesce(F.try_divide(F.col(kind), F.col(f"{one}{kind}")), F.lit(0.0))
+    return met.select(group, "a", "b", both(_ngram_match).alias("ngram"), both(_weighted_match).alias("weighted"), both(share("t")).alias("tree"), both(share("f")).alias("flow"))
+
+
+def _shared_by_question(samples: DataFrame, code: str, group: str, pos: str) -> DataFrame:
+    """(group, a, b, COUNTS of both, of a and of b) for questions of few samples, of which each is one row.
+
+    Texts are dealt into a fixed number of parts: adaptive execution would merge what is little to read, but long to parse.
+    """
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = samples.select(group, pos, code).repartition(parts, group).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(code).alias("c")))).alias("all"))
+    rows = rows.select(group, F.array_distinct("all.p").alias("at"), "all")
+    place = F.transform("all.p", lambda p: F.array_position("at", p).cast("int") - 1)
+    rows = rows.select(group, "at", place.alias("place"), F.col("all.c").alias("codes"))
+    rows = rows.select(group, "at", shared_of(F.col("place"), F.col("codes")).alias("m")).select(group, "at", "m.totals", F.inline("m.pairs"))
+
+    def counts(prefix: str, of: Callable[[str], Column]) -> list[Column]:
+        made = {"g1": of("k1") + of("o1"), "w1": KEYWORD_WEIGHT * of("k1") + OTHER_WEIGHT * of("o1")}
+        return [(made[c] if c in made else of(c)).cast("double").alias(f"{prefix}{c}") for c in COUNTS]
+
+    own = lambda place: lambda c: F.get("totals", F.col(place))[c]
+    return rows.select(group, F.get("at", F.col("i")).alias("a"), F.get("at", F.col("j")).alias("b"), *counts("", F.col), *counts("a", own("i")), *counts("b", own("j")))
+
+
+def _shared_by_joins(samples: DataFrame, code: str, group: str, pos: str) -> DataFrame:
+    """_shared_by_question() for questions of any size. All that the rows of programs are needed for reads one exchange
+    of them, and no join is made by the driver."""
+    read = samples.select(group, F.col(pos).alias("p"), tokens(F.col(code)).alias("t"), features_of(F.col(code)).alias("f"))
     read = read.select(group, "p", F.when(F.col("f.sound"), F.col("t")).otherwise(F.array().cast("array<string>")).alias("t"), F.col("f.found").alias("found"))
     rows = read.select(group, "p", F.explode(F.concat("found", *[_parts(F.col("t"), n) for n in range(1, ORDER + 1)])).alias("x")).select(group, "p", "x.*")
     rows = rows.filter("kind IS NOT NULL AND k IS NOT NULL").groupBy(group, "p", "kind", "k").agg(F.sum("c").alias("c"))  # as joins ask, so that all sides are alike
     weight = F.when((F.col("kind") == "g1") & F.col("k").isin(kwlist), KEYWORD_WEIGHT).otherwise(F.when(F.col("kind") == "g1", OTHER_WEIGHT).otherwise(1.0))
     rows = rows.withColumn("w", weight * F.col("c")).repartition(group, "k")
-    kinds = [f"g{n}" for n in range(1, ORDER + 1)] + ["t", "f"]
-    of = lambda value: [F.sum(F.when(F.col("kind") == k, value)).alias(k) for k in kinds]
+    of = lambda value: [F.sum(F.when(F.col("kind") == k, value)).alias(k) for k in COUNTS[:-1]]
     weighed = lambda value: F.sum(F.when(F.col("kind") == "g1", value)).alias("w1")
     totals = rows.groupBy(group, "p").agg(*of(F.col("c")), weighed(F.col("w")))
     left, right = (rows.select(group, "kind", "k", F.col("p").alias(n), F.col("c").alias(f"c{n}"), F.col("w").alias(f"w{n}")) for n in "ab")
     shared = left.join(right.hint("merge"), [group, "kind", "k"]).filter("a < b").groupBy(group, "a", "b").agg(*of(F.least("ca", "cb")), weighed(F.least("wa", "wb")))
     met = pairs(samples, pos, group, pos).select(group, "a", "b").join(shared.hint("merge"), [group, "a", "b"], "left")
     for n in "ab":
-        met = met.join(totals.select(group, F.col("p").alias(n), *[F.col(c).alias(f"{n}{c}") for c in (*kinds, "w1")]).hint("merge"), [group, n], "left")
-    met = met.select(group, "a", "b", *[F.coalesce(f"{n}{c}", F.lit(0)).cast("double").alias(f"{n}{c}") for n in ("", "a", "b") for c in (*kinds, "w1")])
-    both = lambda part: (part("a", "b") + part("b", "a")) / 2
-    share = lambda kind: lambda one, other: F.coalesce(F.try_divide(F.col(kind), F.col(f"{one}{kind}")), F.lit(0.0))
-    return met.select(group, "a", "b", both(_ngram_match).alias("ngram"), both(_weighted_match).alias("weighted"), both(share("t")).alias("tree"), both(share("f")).alias("flow"))
+        met = met.join(totals.select(group, F.col("p").alias(n), *[F.col(c).alias(f"{n}{c}") for c in COUNTS]).hint("merge"), [group, n], "left")
+    return met.select(group, "a", "b", *[F.coalesce(f"{n}{c}", F.lit(0)).cast("double").alias(f"{n}{c}") for n in ("", "a", "b") for c in COUNTS])
 
 
 def _mean_share(reference: str, candidate: str, shares: Sequence[tuple[Column, Column]]) -> Column:

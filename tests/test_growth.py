@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobs import answer_chats
 from quorumkit import queries
+from quorumkit.functions import codebleu
 from quorumkit.operators import clusters, entropy, evaluate, functional, selection, similarity
 
 from .conftest import SF
@@ -85,6 +86,32 @@ def test_programs_are_read_once_and_never_by_the_driver(spark):
     assert "Broadcast" not in plan and plan.count("- ArrowEvalPython") == 1
 
 
+def test_pairs_of_programs_shuffle_texts_only(spark):
+    """One exchange, below the parser: no n-gram, subtree or flow is shuffled."""
+    df = queries.code_bleu_pairs(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert exchanges(df) == 1 and plan.index("- ArrowEvalPython") < plan.index("Exchange hashpartitioning")
+
+
+def test_pairs_of_programs_in_rows_and_by_joins(spark):
+    rng = random.Random(5)
+    lines = ["x = a", "y = x + a", "for i in range(y):\n    x = i", "return return", "if x: y = 2", "def f(a):\n    return a if a else 1", "s = '\u00a0 \u2003'", "\u85cf = '\U0001f600'"]
+    text = lambda: rng.choice([None, "", " \x0b\t", "(" * 3000, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 5)))])
+    rows = [(q, p, text()) for q in (*range(12), None) for p in (0, 1, 5, 3, None, 5, 5)[: rng.randint(1, 7)]] + [(20, p, text()) for p in range(40)]
+    samples = spark.createDataFrame(rows, "qid int, pos long, code string")
+    every = [similarity.code_bleu_parts(samples, "code", limit=k) for k in (0, 32, 64)]
+    rounded = [sorted(map(str, queries.rounded(df).collect())) for df in every]
+    assert rounded[0] == rounded[1] == rounded[2] and len(rounded[0]) > 40 * 39 // 2 and every[0].dtypes == every[1].dtypes == every[2].dtypes
+
+
+def test_items_of_programs_are_counted_in_parts(monkeypatch):
+    samples = [codebleu.counted([c]) for c in ("a b a b", "def f(a):\n    return a", None, "a b c\n" * 3)]
+    whole = codebleu.shared_counts(samples)
+    monkeypatch.setattr(codebleu, "ITEMS", 2)
+    assert all((x == y).all() for x, y in zip(whole, codebleu.shared_counts(samples)))
+    assert whole[0][0].tolist() == [0, 4, 3, 2, 1, 0, 0] and whole[1][2].tolist() == [0, 4, 2, 0, 0, 0, 0]  # the first and the last share a twice, b twice, "a b" twice
+
+
 def test_clusters_by_outputs_shuffle_samples_and_outputs_only(spark):
     """By question: samples for their rows, samples for their positions, and outputs."""
     assert exchanges(queries.functional_clusters(spark, SF)) <= 3
