@@ -99,18 +99,20 @@ def mix_plan(targets: DataFrame, slots: int, block: int = BLOCK, shard_slots: in
     counts = locate(drawn, "u", shares.select("s", "first", "last"), "first", "last", width).groupBy("shard", "s").agg(F.count(F.lit(1)).alias("c"))
     counts = settle(counts)
     starts = running_total(counts, ["s"], F.expr(f"cast(shard div {SHARD_CHUNK} as int)"), "c")
-    # dealt out by (shard, source) into a fixed number of tasks: adaptive execution would merge so few rows, and they unfold into all slots
-    slot = starts.repartition(parts, "shard", "s").select("shard", "s", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("q"))
-    had = live.select("s", "quota").join(counts.groupBy("s").agg(F.sum("c").alias("had")), "s", "left").select("s", "quota", F.coalesce("had", F.lit(0)).alias("had"))
+    had = live.select("s", "quota", "blocks").join(counts.groupBy("s").agg(F.sum("c").alias("had")), "s", "left").select("s", "quota", "blocks", F.coalesce("had", F.lit(0)).alias("had"))
     over = lambda amount: F.sum(amount).over(by)
     extra, lack = F.greatest(F.col("had") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("had"), F.lit(0))
-    moves = had.select("s", "quota", "had", (over(extra) - extra).alias("extra_before"), (over(lack) - lack).alias("lack_first"), over(lack).alias("lack_last"))
-    placed = slot.join(moves.select("s", "quota", "extra_before"), "s")
-    fits = placed.filter("q < quota").select("shard", "s", "q")
-    freed = placed.filter("q >= quota").select("shard", (F.col("extra_before") + F.col("q") - F.col("quota")).alias("e"))
-    takers = moves.select("s", "had", "lack_first", "lack_last")
-    moved = locate(freed, "e", takers, "lack_first", "lack_last", max(1, slots // BUCKETS)).select("shard", "s", (F.col("had") + F.col("e") - F.col("lack_first")).alias("q"))
-    slotted = fits.unionByName(moved).join(live.select("s", "blocks"), "s")
+    moves = had.select("s", "quota", "blocks", "had", (over(extra) - extra).alias("extra_before"), (over(lack) - lack).alias("lack_first"), over(lack).alias("lack_last"))
+    # joined while a (shard, source) is one row: what has unfolded looks to a planner as small as what it unfolds from, and would be
+    # broadcast. Then dealt out into a fixed number of tasks: adaptive execution would merge so few rows, and they unfold into all slots
+    held = starts.join(moves.select("s", "quota", "blocks", "extra_before"), "s").withColumn("end", F.col("start") + F.col("c")).repartition(parts, "shard", "s")
+    fits = held.filter("start < quota").select("shard", "s", "blocks", F.explode(F.sequence(F.col("start"), F.least("end", "quota") - 1)).alias("q"))
+    # few: about as many as the root of all slots
+    shift = F.col("extra_before") - F.col("quota")
+    freed = held.filter("end > quota").select("shard", F.explode(F.sequence(F.greatest("start", "quota") + shift, F.col("end") - 1 + shift)).alias("e"))
+    takers = moves.select("s", "blocks", "had", "lack_first", "lack_last")
+    moved = locate(freed, "e", takers, "lack_first", "lack_last", max(1, slots // BUCKETS)).select("shard", "s", "blocks", (F.col("had") + F.col("e") - F.col("lack_first")).alias("q"))
+    slotted = fits.unionByName(moved)
     at = permuted(F.expr("q % blocks"), F.col("blocks"), [F.lit(seed), F.col("s"), F.expr("q div blocks")])
     return slotted.select("shard", "s", "q", at.alias("block"))
 

@@ -108,6 +108,27 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_slots_of_the_mix_meet_no_join(spark):
+    """A (shard, source) unfolds after it is joined: unfolded slots look as small to a planner as it, and would be broadcast."""
+    targets = spark.createDataFrame([(0, "a", 64 * 9000, 64 * 9500.0, 9000, 9500), (1, "b", 64 * 500, 64 * 1500.0, 500, 1500)], "s int, source string, source_size long, target double, blocks long, quota long")
+    plan = mixing.mix_plan(targets, 11_000)
+    joins = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            joins.append(node.treeString())
+        for k in range(node.children().length()):
+            walk(node.children().apply(k))
+
+    walk(plan._jdf.queryExecution().optimizedPlan())
+    assert joins and not any(re.search(r"Generate explode.*\[q#", x) for x in joins)
+    slots = plan.collect()
+    assert len(slots) == len({(r.s, r.q) for r in slots}) == 11_000 and max(r.shard for r in slots) == 10_999 // mixing.SHARD_SLOTS
+    for s, blocks, quota in ((0, 9000, 9500), (1, 500, 1500)):
+        own = [r.block for r in slots if r.s == s]
+        assert len(own) == quota and Counter(Counter(own).values()).keys() <= {quota // blocks, -(-quota // blocks)} and len(set(own)) == blocks
+
+
 def test_mixing_caps_small_sources(spark):
     rows = docs_of(spark, [(0, "w " * 10, "a"), *[(i, "w " * 500, "b") for i in range(1, 5)], (9, "w " * 300, None)])
     got = mixing.mix_report(rows, block=4).collect()
