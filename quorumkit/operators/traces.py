@@ -59,13 +59,11 @@ def layer_counts(rows: DataFrame, keys: Sequence[str] = ("qid", "layer"), public
 
 
 def fill_tests(expected: DataFrame, results: DataFrame, keys: Sequence[str] = ("qid", "test")) -> DataFrame:
-    """Every expected test with its result; missing ones time out: failed, 'Error: Time out!', infinite seconds."""
-    met = expected.join(results, list(keys), "left")
-    return met.select(
-        *expected.columns, F.coalesce("passed", F.lit(False)).alias("passed"),
-        F.when(F.col("passed").isNull(), "Error: Time out!").otherwise(F.col("message")).alias("message"),
-        F.coalesce("seconds", F.lit(float("inf"))).alias("seconds"),
-    )
+    """Every expected test with its result; missing ones time out: failed, 'Error: Time out!', infinite seconds. A result
+    that is there stays as it is, nulls included."""
+    met = expected.join(results.withColumn("__known", F.lit(True)), list(keys), "left")
+    known = lambda c, missing: F.when(F.col("__known"), F.col(c)).otherwise(F.lit(missing)).alias(c)
+    return met.select(*expected.columns, known("passed", False), known("message", "Error: Time out!"), known("seconds", float("inf")))
 
 
 def verdicts(results: DataFrame, keys: Sequence[str] = ("qid",), order: str = "test", passed: str = "passed", fast: bool = False) -> DataFrame:

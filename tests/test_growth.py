@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from jobs import answer_chats
 from quorumkit import queries
 from quorumkit.functions import codebleu
-from quorumkit.operators import clusters, entropy, evaluate, functional, selection, similarity
+from quorumkit.operators import clusters, entropy, evaluate, functional, selection, similarity, traces
 
 from .conftest import SF
 from .test_cases import scans
@@ -176,3 +176,23 @@ def test_chats_are_clustered_by_question(spark):
     samples = spark.createDataFrame([(1, k, "a b", 1) for k in range(3)], "qid long, pos long, code string, steps long")
     found = answer_chats.clustered(samples, answer_chats.SETTINGS)
     assert exchanges(found) <= 4 and found.columns == [*samples.columns, "cluster"] and [r.cluster for r in found.collect()] == [0, 0, 0]
+
+
+def test_results_of_tests_that_hold_nulls_are_not_missing(spark):
+    expected = spark.createDataFrame([("a", k) for k in range(4)], "qid string, test int")
+    results = spark.createDataFrame([("a", 0, None, "m", 1.0), ("a", 1, True, None, None), ("a", 3, None, None, None)], "qid string, test int, passed boolean, message string, seconds double")
+    got = {r.test: (r.passed, r.message, r.seconds) for r in traces.fill_tests(expected, results).collect()}
+    assert got == {0: (None, "m", 1.0), 1: (True, None, None), 2: (False, "Error: Time out!", float("inf")), 3: (None, None, None)}
+
+
+def test_missing_tests_as_sql_where_quantities_are_null(spark, tmp_path):
+    import duckdb
+
+    from .conftest import rows_of
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.withColumn("l_quantity", F.when(F.col("l_partkey") % 7 > 0, F.col("l_quantity"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * REPLACE (CASE WHEN l_partkey % 7 > 0 THEN l_quantity END AS l_quantity) FROM '{SF}/lineitem.parquet'")
+    got = queries.QUERIES["fill_missing_tests"](spark, str(tmp_path)).toArrow()
+    assert rows_of(got) == rows_of(duck.sql(queries.ORACLE_SQL["fill_missing_tests"]).to_arrow_table())
